@@ -137,6 +137,17 @@ def kmer_position_features(rna: str | Column, k: int) -> Column:
     return let(S.kmers(rna, k), build)
 
 
+def _numbered_kmers(rna: str, k: int, offset: int) -> Column:
+    return F.transform(
+        kmer_position_features(rna, k),
+        lambda f: F.struct(
+            f["pos"].alias("pos"),
+            (S.kmer_index(f["kmer"], k) + offset).alias("feature"),
+            f["value"].alias("value"),
+        ),
+    )
+
+
 def encode_features(df: DataFrame, keys: list[str], length: int = WINDOW) -> DataFrame:
     """Long rows ``(keys, pos, feature, value)`` in the fixed column order 3 + 1 + 11 + 4 + 16 + 64.
 
@@ -167,17 +178,7 @@ def encode_features(df: DataFrame, keys: list[str], length: int = WINDOW) -> Dat
     ]
     offset = 4 + len(DINUCLEOTIDE_PROPERTIES)
     for k in (1, 2, 3):
-        start = offset
-        blocks.append(
-            F.transform(
-                kmer_position_features("_rna", k),
-                lambda f, k=k, start=start: F.struct(
-                    f["pos"].alias("pos"),
-                    (S.kmer_index(f["kmer"], k) + start).alias("feature"),
-                    f["value"].alias("value"),
-                ),
-            )
-        )
+        blocks.append(_numbered_kmers("_rna", k, offset))
         offset += 4**k
     return rna.select(*keys, F.inline(F.concat(*blocks)))
 

@@ -129,8 +129,11 @@ def record_model_expand(records: DataFrame, models: DataFrame) -> DataFrame:
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"),
     )
     by_cell = models.where(F.contains("model_id", F.lit("_"))).withColumn("_cell", F.explode(suffixes))
-    joined = cells.join(by_cell, "_cell").drop("_cell")
-    return joined.dropDuplicates(["header", "model_id"])
+    joined = cells.join(by_cell, "_cell")
+    # A name can end in both cells; it is taken once, through the first.
+    through_first = F.col("_cell") == F.col("cells.cell1")
+    ends_in_first = F.col("model_id").endswith(F.concat(F.lit("_"), F.col("cells.cell1")))
+    return joined.where(through_first | ~ends_in_first).drop("_cell")
 
 
 def model_lookup(records: DataFrame, models: DataFrame) -> DataFrame:

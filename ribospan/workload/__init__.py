@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from ribospan.workload import score_tables, sequences, variants  # noqa: F401
+from ribospan.workload.registry import QUERIES, SQL  # noqa: F401
