@@ -6,10 +6,16 @@ They run on already aggregated rows (one per motif or group), never on records.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# The helpers travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _log_choose(n: float, k: float) -> float:
@@ -50,7 +56,7 @@ def hypergeom_upper(x: int, total: int, marked: int, drawn: int) -> float:
     return max(0.0, 1.0 - tail(x - 1, lo, -1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeom_sf(x: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series(
         [hypergeom_upper(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(x, total, marked, drawn)],
@@ -58,7 +64,7 @@ def hypergeom_sf(x: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Se
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore").astype(float)
 
@@ -78,7 +84,7 @@ def rank_sum_exact(w: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * tail))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rank_sum_p(w: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     """R's default: exact below 50 per group without ties, else normal with continuity correction."""
     def p_value(w: float, n1: float, n2: float, ties: float) -> float:
@@ -125,7 +131,7 @@ def regularized_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     def p_value(t: float, dof: float) -> float:
         if dof < 1 or math.isnan(t):

@@ -50,27 +50,42 @@ def _points(iv: DataFrame, cells: list[str]) -> DataFrame:
     return rows.groupBy(*_SITE, "pos").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def _axis(iv: DataFrame, cells: list[str]) -> DataFrame:
+    columns = [f"{kind}{i}" for kind in ("s", "e") for i in range(len(cells))]
+    return running_sums(_points(iv, cells), _SITE, ["pos"], columns)
+
+
+def _started(i: int) -> Column:
+    """Intervals of cell i that start strictly before this position."""
+    return F.col(f"s{i}_before")
+
+
+def _ended(i: int) -> Column:
+    """Intervals of cell i that end at or before this position."""
+    return F.col(f"e{i}_before") + F.col(f"e{i}")
+
+
 def interval_overlap_hits(df: DataFrame, cells: list[str]) -> DataFrame:
-    """One row per distinct interval with its multiplicity ``m`` and ``hits<i>`` per later cell."""
+    """One row per distinct interval: its multiplicity ``m`` and ``hits<i>`` in every cell."""
     iv = _distinct_intervals(df, cells)
-    columns = [f"{kind}{i}" for kind in ("s", "e") for i in range(len(cells))]
-    sums = running_sums(_points(iv, cells), _SITE, ["pos"], columns)
-    # Starts strictly before a.end; ends at or before a.start.
-    axis = sums.select(
-        *_SITE,
-        "pos",
-        *[F.col(f"s{i}_before").alias(f"started{i}") for i in range(len(cells))],
-        *[(F.col(f"e{i}_before") + F.col(f"e{i}")).alias(f"ended{i}") for i in range(len(cells))],
-    )
     n = range(len(cells))
-    at_end = axis.select(
-        *_SITE, F.col("pos").alias("end"), *[f"started{i}" for i in n]
+    axis = _axis(iv, cells).select(
+        *_SITE, "pos", *[_started(i).alias(f"started{i}") for i in n], *[_ended(i).alias(f"ended{i}") for i in n]
+    )
+    # Each interval meets the axis twice, at its end and at its start, in one join.
+    probes = iv.select(
+        *_SITE, "cell", "start", "end", "m", F.explode(F.array("start", "end")).alias("pos")
     )
-    at_start = axis.select(*_SITE, F.col("pos").alias("start"), *[f"ended{i}" for i in n])
-    hits = iv.join(at_end, [*_SITE, "end"]).join(at_start, [*_SITE, "start"])
-    return hits.select(
-        *_SITE, "cell", "start", "end", "m",
-        *[(F.col(f"started{i}") - F.col(f"ended{i}")).alias(f"hits{i}") for i in n],
+    at_end = F.col("pos") == F.col("end")
+    return (
+        probes.join(axis, [*_SITE, "pos"])
+        .groupBy(*_SITE, "cell", "start", "end", "m")
+        .agg(
+            *[
+                F.sum(F.when(at_end, F.col(f"started{i}")).otherwise(-F.col(f"ended{i}"))).alias(f"hits{i}")
+                for i in n
+            ]
+        )
     )
 
 
@@ -79,17 +94,18 @@ def interval_overlap_count(df: DataFrame, cells: list[str], mode: str = "raw") -
 
     ``raw`` counts overlapping (a, b) pairs, ``unique`` the a intervals with any overlap.
     """
-    hits = interval_overlap_hits(df, cells)
     pairs = [(i, j) for i in range(len(cells)) for j in range(i + 1, len(cells))]
-
-    def shared(i: int, j: int) -> Column:
-        h = F.col(f"hits{j}")
-        per_row = F.col("m") * (h if mode == "raw" else (h > 0).cast("int"))
-        return F.coalesce(
-            F.sum(F.when(F.col("cell") == cells[i], per_row)), F.lit(0)
-        ).alias(f"p{i}_{j}")
-
-    totals = hits.agg(*[shared(i, j) for i, j in pairs])
+    if mode == "raw":
+        # Summed over all a the two probes need no a at all: every end counts what
+        # has started, every start takes off what has ended.
+        rows = _axis(_distinct_intervals(df, cells), cells)
+        shared = lambda i, j: F.sum(F.col(f"e{i}") * _started(j) - F.col(f"s{i}") * _ended(j))
+    else:
+        rows = interval_overlap_hits(df, cells)
+        shared = lambda i, j: F.sum(
+            F.when((F.col("cell") == cells[i]) & (F.col(f"hits{j}") > 0), F.col("m"))
+        )
+    totals = rows.agg(*[F.coalesce(shared(i, j), F.lit(0)).alias(f"p{i}_{j}") for i, j in pairs])
     return totals.select(
         F.inline(
             F.array(

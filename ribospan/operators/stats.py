@@ -121,8 +121,8 @@ def qq_points(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     first = F.col("_chunk").cast("bigint") * QQ_CHUNK + 1
     last = F.least(first + (QQ_CHUNK - 1), F.col("n"))
     rows = chunked.select(
-        *by, p, "n_total", (F.col("n_before") + F.explode(F.sequence(first, last))).alias("i")
-    )
+        *by, p, "n_total", "n_before", F.explode(F.sequence(first, last)).alias("_k")
+    ).withColumn("i", F.col("n_before") + F.col("_k"))
     return rows.select(
         *by, "i", p,
         (-F.log10(p)).alias("observed"),

@@ -167,10 +167,10 @@ fixed AS (
     CAST(sum(CASE WHEN list_contains(cells, c1) <> list_contains(cells, c2) THEN 1 ELSE 0 END) AS BIGINT) AS dynamic,
     CAST(sum(CASE WHEN list_contains(cells, c1) AND list_contains(cells, c2) THEN 1 ELSE 0 END) AS BIGINT) AS common
   FROM sets, pairs WHERE list_contains(cells, c1) OR list_contains(cells, c2) GROUP BY ALL),
-both AS (
+everything AS (
   SELECT 'All pairwise cells' AS cell_line_pair, * FROM (""" + DYNAMIC_FIRST + """)
   UNION ALL SELECT * FROM fixed)""", body="""
-SELECT *, round(ln(1 + dynamic + 0.5 * (dynamic * common + 1)), 9) AS odds_ratio FROM both
+SELECT *, round(ln(1 + dynamic + 0.5 * (dynamic * common + 1)), 9) AS odds_ratio FROM everything
 """))
 def ribosnitch_dynamics_odds(spark, sf_dir):
     out = ribosnitch_dynamics(_two_cells(spark, sf_dir), CELLS, inclusive=True)
