@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, col, let, positions
-from ribospan.session import ensure_checkpoint_dir
+from ribospan.functions.special import pwm_top_windows
+from ribospan.session import materialize
 
 # ---------------------------------------------------------------- regions
 
@@ -220,16 +221,14 @@ def most_stable(entropies: DataFrame, by: list[str], motif: str = "motif") -> Da
     )
 
 
-def pwm_rows(pwm: DataFrame, by: list[str]) -> DataFrame:
-    """One row per motif: ``cols``, its columns in order as ``map<symbol, p>``."""
-    columns = pwm.groupBy(*by, "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", "p"))).alias("c")
+def pwm_rows(pwm: DataFrame, by: list[str], alphabet: str = S.RNA) -> DataFrame:
+    """One row per motif: ``cols``, its columns in order, each the shares in alphabet order."""
+    shares = F.array(
+        *[F.coalesce(F.max(F.when(F.col("symbol") == a, F.col("p"))), F.lit(0.0)) for a in alphabet]
     )
+    columns = pwm.groupBy(*by, "pos").agg(shares.alias("c"))
     return columns.groupBy(*by).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", F.map_entries("c").alias("e")))),
-            lambda r: F.map_from_entries(r["e"]),
-        ).alias("cols")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "c"))), lambda r: r["c"]).alias("cols")
     )
 
 
@@ -238,45 +237,26 @@ def pwm_rows(pwm: DataFrame, by: list[str]) -> DataFrame:
 
 def pfm_scan(
     records: DataFrame, pwms: DataFrame, keys: list[str], on: list[str], motif: str = "motif",
-    top_n: int = 1, seq: str = "seq",
+    top_n: int = 1, seq: str = "seq", alphabet: str = S.RNA,
 ) -> DataFrame:
     """Sum of the ``top_n`` best window scores of each record for each motif of its group.
 
     A window score is the product of the motif's probabilities along it; a record
-    shorter than width + top_n - 1 scores 0. ``pwms`` comes from :func:`pwm_rows`;
-    the scan itself happens inside the joined row.
+    shorter than width + top_n - 1 scores 0. ``pwms`` comes from :func:`pwm_rows` over the
+    same alphabet. The join decides which record meets which motif; the products are
+    taken by an Arrow-batched helper, as nested lambdas evaluate one factor at a time.
     """
-    def scan(s: Column) -> Column:
-        cols = F.col("cols")
-        width = F.size(cols)
-        windows = F.transform(
-            positions(F.length(s) - width + 1),
-            lambda o: F.aggregate(
-                positions(width),
-                F.lit(1.0),
-                lambda acc, j: acc
-                * F.coalesce(
-                    F.try_element_at(F.element_at(cols, j), char_at(s, o + j - 1)), F.lit(0.0)
-                ),
-            ),
-        )
-        best = F.slice(F.sort_array(windows, asc=False), 1, top_n)
-        return F.when(F.length(s) < width + (top_n - 1), F.lit(0.0)).otherwise(
-            F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
-        )
-
     joined = records.join(pwms, on)
-    return joined.select(*on, *keys, motif, let(F.col(seq), scan).alias("score"))
+    score = pwm_top_windows(F.col(seq), F.col("cols"), F.lit(alphabet), F.lit(top_n))
+    return joined.select(*on, *keys, motif, score.alias("score"))
 
 
 # ------------------------------------------------------------ similarity
 
 
-def _column_pearson(a: Column, b: Column, alphabet: str) -> Column:
-    """Pearson correlation of two PWM columns (maps) over the alphabet; 0 for a flat column."""
-    n = float(len(alphabet))
-    va = [F.coalesce(F.try_element_at(a, F.lit(x)), F.lit(0.0)) for x in alphabet]
-    vb = [F.coalesce(F.try_element_at(b, F.lit(x)), F.lit(0.0)) for x in alphabet]
+def _column_pearson(a: Column, b: Column, n: int) -> Column:
+    """Pearson correlation of two PWM columns of n shares; 0 for a flat column."""
+    va, vb = [F.get(a, F.lit(i)) for i in range(n)], [F.get(b, F.lit(i)) for i in range(n)]
 
     def add(terms):
         total = terms[0]
@@ -307,7 +287,7 @@ def motif_similarity(
             F.sequence(first, F.greatest(first, last)),
             F.lit(0.0),
             lambda acc, i: acc
-            + _column_pearson(F.element_at(q, i), F.element_at(t, i - offset), alphabet),
+            + _column_pearson(F.element_at(q, i), F.element_at(t, i - offset), len(alphabet)),
         )
         return F.when(
             overlap >= min_overlap,
@@ -387,17 +367,15 @@ def merge_similar_motifs(
     removes everything similar to those kept. A round sees at most ``batch`` motifs of
     a group in one place, and the rounds end with the kept set, not the input.
     """
-    spark = motifs.sparkSession
-    ensure_checkpoint_dir(spark)
     similar = lambda a, b: alignment(a, b)["score"] >= merge_threshold(a, b, min_len, score_threshold)
     rank = F.struct(F.length("motif").alias("len"), F.col("first_seen"), F.col("motif").alias("m"))
-    undecided = motifs.select(*by, rank.alias("rank")).checkpoint()
+    undecided = materialize(motifs.select(*by, rank.alias("rank")))
     kept_rounds: list[DataFrame] = []
     order = W.partitionBy(*by).orderBy("rank")
     while not undecided.isEmpty():
         next_up = undecided.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= batch)
         empty = F.array().cast("array<" + undecided.schema["rank"].dataType.simpleString() + ">")
-        kept = next_up.groupBy(*by).agg(
+        decided = next_up.groupBy(*by).agg(
             F.aggregate(
                 F.sort_array(F.collect_list("rank")),
                 empty,
@@ -405,13 +383,13 @@ def merge_similar_motifs(
                     F.exists(acc, lambda k: similar(x["m"], k["m"])), acc
                 ).otherwise(F.concat(acc, F.array(x))),
             ).alias("kept")
-        ).checkpoint()
+        )
+        kept = materialize(decided)
         kept_rounds.append(kept)
-        undecided = (
+        undecided = materialize(
             undecided.join(kept, by)
             .where(~F.exists("kept", lambda k: similar(F.col("rank.m"), k["m"])))
             .select(*by, "rank")
-            .checkpoint()
         )
     if not kept_rounds:
         return motifs.select(*by, "motif", F.col("motif").alias("target"), F.lit(0).alias("shift"))

@@ -104,8 +104,11 @@ def suffix_min(
 ) -> DataFrame:
     """Add the minimum of ``value`` over this and all later keys of the group."""
     sliced = with_slice(df, group, order)
-    later = W.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(
-        1, W.unboundedFollowing
+    # Read backwards, so that both frames only ever grow.
+    later = (
+        W.partitionBy(*(group or [F.lit(0)]))
+        .orderBy(F.desc("_slice"))
+        .rowsBetween(W.unboundedPreceding, -1)
     )
     rest = (
         sliced.groupBy(*group, "_slice")
@@ -113,7 +116,9 @@ def suffix_min(
         .select(*group, "_slice", F.min("_m").over(later).alias("_rest"))
     )
     inside = (
-        W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+        W.partitionBy(*group, "_slice")
+        .orderBy(*[F.desc(c) for c in order])
+        .rowsBetween(W.unboundedPreceding, 0)
     )
     local = sliced.select("*", F.min(value).over(inside).alias("_local"))
     joined = _join_on_group(local, rest, [*group, "_slice"])

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ribospan.functions.core import char_at, col, let, positions
+from ribospan.functions.core import col, let
 
 
 def annotate_structure(df: DataFrame, key: str = "rec_id", structure: str = "structure") -> DataFrame:
     """Seven-state string (L R H B T M E) of a dot-bracket string, as ``(key, states)``.
 
-    Positions are exploded and every lookup is a window over one record: depth is a
-    running sum, a bracket's partner is its neighbour at the same depth, a dot sees the
-    nearest brackets on both sides. All windows share the partitioning by record.
+    A row per token, a token being one bracket or one run of dots, and windows over one
+    record: depth is a running sum, a bracket's partner is its neighbour at the same
+    depth, and a run's neighbours are the brackets around it. All windows share the
+    partitioning by record, so there is one shuffle.
 
     * no bracket on one side, or unpaired outside all pairs: E
     * ``( . )``: H;  ``) . (`` inside a pair: M
@@ -22,59 +23,51 @@ def annotate_structure(df: DataFrame, key: str = "rec_id", structure: str = "str
       which is M when the branch it leads to is followed or preceded by another
       branch, else T.
     """
-    chars = df.select(
-        key,
-        F.posexplode(
-            let(structure, lambda s: F.transform(positions(F.length(s)), lambda i: char_at(s, i)))
-        ).alias("pos", "ch"),
-    )
-    record = W.partitionBy(key)
-    step = F.when(F.col("ch") == "(", 1).when(F.col("ch") == ")", -1).otherwise(0)
-    upto = record.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    opened = chars.withColumn("_open", F.sum(step).over(upto)).withColumn(
-        "_depth", F.col("_open") + (F.col("ch") == ")").cast("int")
-    )
-    is_bracket = F.col("ch") != "."
-    # Nearest bracket strictly before and after each position.
-    before = record.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    after = record.orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    near = opened.select(
-        "*",
-        F.last(F.when(is_bracket, F.col("ch")), ignorenulls=True).over(before).alias("_prev_ch"),
-        F.first(F.when(is_bracket, F.col("ch")), ignorenulls=True).over(after).alias("_next_ch"),
+    tokens = df.select(
+        key, F.posexplode(F.regexp_extract_all(structure, F.lit("[()]|[.]+"), F.lit(0))).alias("pos", "tok")
     )
-    # Partner, and what lies beyond the partner, within (record, bracket depth).
-    level = W.partitionBy(key, is_bracket, "_depth").orderBy("pos")
-    opening = F.col("ch") == "("
-    paired = near.select(
+    order = W.partitionBy(key).orderBy("pos")
+    opening, closing = F.col("tok") == "(", F.col("tok") == ")"
+    bracket = opening | closing
+    before = lambda c, n=1: F.lag(c, n).over(order)
+    after = lambda c, n=1: F.lead(c, n).over(order)
+    is_dots = lambda c: F.startswith(c, F.lit("."))
+    size = F.when(bracket, 1).otherwise(F.length("tok"))
+    step = opening.cast("int") - closing.cast("int")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    placed = tokens.select(
         "*",
-        F.when(opening, F.lead("pos").over(level)).otherwise(F.lag("pos").over(level)).alias("_mate"),
-        F.when(opening, F.lead("_next_ch").over(level))
-        .otherwise(F.lag("_prev_ch").over(level))
-        .alias("_beyond"),
+        (F.sum(size).over(upto) - size).alias("at"),
+        F.sum(step).over(upto).alias("open"),
+        F.when(is_dots(before("tok")), before("tok", 2)).otherwise(before("tok")).alias("prev_bracket"),
+        F.when(is_dots(after("tok")), after("tok", 2)).otherwise(after("tok")).alias("next_bracket"),
     )
-    bracket = F.when(is_bracket, F.struct("ch", F.col("_mate").alias("mate"), F.col("_beyond").alias("beyond")))
-    seen = paired.select(
-        key, "pos", "ch", "_open",
-        F.last(bracket, ignorenulls=True).over(before).alias("k"),
-        F.first(bracket, ignorenulls=True).over(after).alias("m"),
+    # Partner, and what lies beyond the partner, among the brackets of one depth.
+    level = W.partitionBy(key, bracket, F.col("open") + closing.cast("int")).orderBy("pos")
+    paired = placed.select(
+        key, "pos", "tok", "open",
+        F.when(opening, F.lead("at").over(level)).otherwise(F.lag("at").over(level)).alias("mate"),
+        F.when(opening, F.lead("next_bracket").over(level))
+        .otherwise(F.lag("prev_bracket").over(level))
+        .alias("beyond"),
     )
+    here = F.struct("tok", "mate", "beyond")
+    seen = paired.select(key, "pos", "tok", "open", before(here).alias("k"), after(here).alias("m"))
     k, m = F.col("k"), F.col("m")
-    bulge = m["mate"] + 1 == k["mate"]
     state = (
-        F.when(F.col("ch") == "(", "L")
-        .when(F.col("ch") == ")", "R")
+        F.when(opening, "L")
+        .when(closing, "R")
         .when(k.isNull() | m.isNull(), "E")
-        .when((k["ch"] == "(") & (m["ch"] == ")"), "H")
-        .when((k["ch"] == ")") & (m["ch"] == "("), F.when(F.col("_open") > 0, "M").otherwise("E"))
-        .when(bulge, "B")
-        .when((m["ch"] == "(") & (m["beyond"] == "("), "M")
-        .when((k["ch"] == ")") & (k["beyond"] == ")"), "M")
+        .when((k["tok"] == "(") & (m["tok"] == ")"), "H")
+        .when((k["tok"] == ")") & (m["tok"] == "("), F.when(F.col("open") > 0, "M").otherwise("E"))
+        .when(m["mate"] + 1 == k["mate"], "B")
+        .when((m["tok"] == "(") & (m["beyond"] == "("), "M")
+        .when((k["tok"] == ")") & (k["beyond"] == ")"), "M")
         .otherwise("T")
     )
     return (
         seen.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", state.alias("s")))).alias("_s"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.repeat(state, F.length("tok")).alias("s")))).alias("_s"))
         .select(key, F.concat_ws("", F.transform("_s", lambda x: x["s"])).alias("states"))
     )
 

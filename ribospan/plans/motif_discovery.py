@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ribospan.operators import motifs as M
 from ribospan.operators.stats import bh_adjust, hypergeom_enrichment
+from ribospan.session import materialize
 
 BY = ["dataset_id"]
 
@@ -22,7 +23,10 @@ def enriched_motifs(
     records: DataFrame, motifs: DataFrame, lengths: list[int] | None = None, p_cutoff: float = 5e-3
 ) -> DataFrame:
     """Motifs whose adjusted hypergeometric p is below the cutoff (strictly)."""
-    counts = M.with_population(M.motif_containment(records, motifs, BY, lengths), records, BY)
+    # Everything after the scan of the records works on this table, one row per motif.
+    counts = materialize(
+        M.with_population(M.motif_containment(records, motifs, BY, lengths), records, BY)
+    )
     tested = bh_adjust(hypergeom_enrichment(counts), BY)
     return tested.where(F.col("p_adj") < p_cutoff)
 
@@ -39,13 +43,16 @@ def discover_motifs(
     only enriched motifs are ever compared with each other.
     """
     positives = records.where(F.col("label") == 1)
-    instances = M.region_instances(
-        positives, [*BY, "rec_id"], "scores", min_len=min_len, condition=condition, offset=offset
+    instances = materialize(
+        M.region_instances(
+            positives, [*BY, "rec_id"], "scores", min_len=min_len, condition=condition, offset=offset
+        )
     )
+    candidates = materialize(motif_table(instances))
     kept = enriched_motifs(
-        records.select(*BY, "rec_id", "seq", "label"), motif_table(instances), p_cutoff=p_cutoff
+        records.select(*BY, "rec_id", "seq", "label"), candidates, p_cutoff=p_cutoff
     )
-    seen = motif_table(instances).join(kept.select(*BY, "motif"), [*BY, "motif"], "left_semi")
+    seen = candidates.join(kept.select(*BY, "motif"), [*BY, "motif"], "left_semi")
     mapping = M.merge_similar_motifs(
         seen, BY, min_len=min_len, all_ties=all_ties, score_threshold=score_threshold, batch=batch
     )

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
 from ribospan.operators import motifs as M
-from ribospan.operators.stats import bonferroni_keep, hypergeom_enrichment
+from ribospan.operators.stats import hypergeom_enrichment
+from ribospan.session import materialize
 
 # Symbols of each alphabet.
 ALPHABETS = {
@@ -40,9 +41,11 @@ def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int)
     Enriched means p below 0.01 / n, n being the words seen in the group.
     """
     words = rows.select(*by, "label", F.explode(F.array_distinct(S.kmers("seq", width))).alias("motif"))
-    counts = words.groupBy(*by, "motif").agg(
-        F.count(F.lit(1)).alias("n_with"),
-        F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
+    counts = materialize(
+        words.groupBy(*by, "motif").agg(
+            F.count(F.lit(1)).alias("n_with"),
+            F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
+        )
     )
     tested = hypergeom_enrichment(M.with_population(counts, rows, by))
     n_words = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
@@ -61,7 +64,7 @@ def prior_features(
     a word is built from its occurrences widened by ``flank`` positions on each side.
     """
     by = ["dataset_id", "alphabet"]
-    rows = alphabet_rows(records, ["dataset_id", "rec_id", "label"], alphabets)
+    rows = materialize(alphabet_rows(records, ["dataset_id", "rec_id", "label"], alphabets))
     words = enriched_words(rows, by, width, max_motifs)
     grams = rows.where(F.col("label") == 1).select(
         *by, "seq", F.posexplode(S.kmers("seq", width)).alias("at", "motif")
@@ -73,8 +76,9 @@ def prior_features(
         F.substr("seq", F.col("at") - flank + 1, F.lit(width + 2 * flank)).alias("seq"),
     )
     symbols = "".join(sorted({c for a in alphabets for c in ALPHABETS[a]}))
-    pwms = M.pwm_rows(M.symbol_frequencies(instances, [*by, "motif"], "seq", symbols), [*by, "motif"])
-    scores = M.pfm_scan(rows, pwms, ["rec_id", "label"], by, "motif", top_n)
+    shares = M.symbol_frequencies(instances, [*by, "motif"], "seq", symbols)
+    pwms = M.pwm_rows(shares, [*by, "motif"], symbols)
+    scores = M.pfm_scan(rows, pwms, ["rec_id", "label"], by, "motif", top_n, alphabet=symbols)
     return scores.select(
         "dataset_id", "rec_id", "label", F.concat_ws("_", "alphabet", "motif").alias("feature"), "score"
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,13 +32,27 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder the cluster names; fall back only where none is set."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where none is named (tests, a laptop) a temporary folder is made and set for
+    the rest of the session.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        import tempfile
+        configured = tempfile.mkdtemp(prefix="ribospan-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
 
-        configured = tempfile.mkdtemp(prefix="ribospan-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results several later stages start from: they are computed once, the lineage
+    ends there, a lost executor costs no more than the tasks it held, and the reader
+    knows the table's real size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/ribospan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,11 +11,17 @@ from ribospan.plans import motif_discovery as MD
 from ribospan.plans import motif_prior as MP
 from ribospan.plans import splice_profile as SP
 from ribospan.plans import training as TR
+from ribospan.session import materialize
 from ribospan.workload.inputs_sql import PROFILES, WINDOWS, grams
 from ribospan.workload.registry import query, with_ctes
 
 BY = ["dataset_id"]
 
+# The windows with one dataset per source and English as the positive class.
+LANGUAGE = """
+lang AS (SELECT rec_id, rbp AS dataset_id, CASE WHEN cell = 'en' THEN 1 ELSE 0 END AS label, seq FROM windows)
+"""
+
 
 def rounded(df, digits=6):
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
@@ -51,9 +57,17 @@ def centered_windows(spark, sf_dir):
     return w.select("rec_id", "start", "end")
 
 
+def language_windows(spark, sf_dir):
+    """Windows with one dataset per source; English is the positive class."""
+    w = X.windows(spark, sf_dir)
+    return w.select(
+        "rec_id", F.col("rbp").alias("dataset_id"), "cell", (F.col("cell") == "en").cast("int").alias("label"), "seq"
+    )
+
+
 def scored_windows(spark, sf_dir):
     """Windows with a per-base score track (A 0.1, C 0.4, G 0.2, T 0.3)."""
-    w = X.windows(spark, sf_dir)
+    w = language_windows(spark, sf_dir)
     weight = lambda c: F.when(c == "A", 0.1).when(c == "C", 0.4).when(c == "G", 0.2).otherwise(0.3)
     return w.select("dataset_id", "rec_id", "label", "seq", F.transform(S.kmers("seq", 1), weight).alias("scores"))
 
@@ -62,7 +76,7 @@ REGION_MOTIFS = """
 bases AS (
   SELECT dataset_id, rec_id, seq, i - 1 AS pos, CASE substr(seq, i, 1) WHEN 'A' THEN 0.1::DOUBLE WHEN 'C' THEN 0.4::DOUBLE
          WHEN 'G' THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END AS v
-  FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM windows WHERE label = 1)),
+  FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM lang WHERE label = 1)),
 hot AS (SELECT dataset_id, rec_id, seq, pos FROM (
   SELECT *, sum(round(v * 10)) OVER w AS t, count(*) OVER w AS n, min(v) OVER w AS lo FROM bases WINDOW w AS (PARTITION BY rec_id))
   WHERE round(v * 10) * n > t AND v > lo),
@@ -92,7 +106,7 @@ def _instances(spark, sf_dir):
     return M.region_instances(positives, ["dataset_id", "rec_id"], min_len=5, condition=_condition)
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, body="SELECT dataset_id, motif, n_regions FROM motifs"))
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, body="SELECT dataset_id, motif, n_regions FROM motifs"))
 def region_motifs(spark, sf_dir):
     return MD.motif_table(_instances(spark, sf_dir)).select("dataset_id", "motif", "n_regions")
 
@@ -101,21 +115,21 @@ CONTAINMENT = """
 lens AS (SELECT DISTINCT length(motif) AS l FROM motifs),
 subs AS (
   SELECT DISTINCT dataset_id, rec_id, label, substr(seq, i, CAST(l AS INTEGER)) AS motif FROM (
-    SELECT dataset_id, rec_id, label, seq, l, unnest(range(1, length(seq) - l + 2)) AS i FROM windows, lens)),
+    SELECT dataset_id, rec_id, label, seq, l, unnest(range(1, length(seq) - l + 2)) AS i FROM lang, lens)),
 counts AS (
   SELECT m.dataset_id, m.motif, count(*) AS n_with, CAST(sum(label) AS BIGINT) AS n_pos_with
   FROM motifs m JOIN subs USING (dataset_id, motif) GROUP BY ALL)
 """
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, CONTAINMENT, body="SELECT * FROM counts"))
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, CONTAINMENT, body="SELECT * FROM counts"))
 def motif_containment(spark, sf_dir):
-    motifs = MD.motif_table(_instances(spark, sf_dir))
-    return M.motif_containment(X.windows(spark, sf_dir), motifs, BY)
+    motifs = materialize(MD.motif_table(_instances(spark, sf_dir)))
+    return M.motif_containment(language_windows(spark, sf_dir), motifs, BY)
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, CONTAINMENT, """
-size_ AS (SELECT dataset_id, count(*) AS total, CAST(sum(label) AS BIGINT) AS positives FROM windows GROUP BY 1),
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, CONTAINMENT, """
+size_ AS (SELECT dataset_id, count(*) AS total, CAST(sum(label) AS BIGINT) AS positives FROM lang GROUP BY 1),
 terms AS (
   SELECT dataset_id, motif, exp(
       lgamma(positives + 1) - lgamma(k + 1) - lgamma(positives - k + 1)
@@ -129,8 +143,8 @@ a AS (SELECT *, min(p * m / i) OVER (PARTITION BY dataset_id ORDER BY i DESC ROW
 SELECT dataset_id, motif, round(p, 6) AS p, round(least(1.0::DOUBLE, adj), 6) AS p_adj FROM a WHERE round(adj, 6) < 0.2
 """))
 def enriched_motifs(spark, sf_dir):
-    motifs = MD.motif_table(_instances(spark, sf_dir))
-    out = MD.enriched_motifs(X.windows(spark, sf_dir), motifs, p_cutoff=2.0)
+    motifs = materialize(MD.motif_table(_instances(spark, sf_dir)))
+    out = MD.enriched_motifs(language_windows(spark, sf_dir), motifs, p_cutoff=2.0)
     kept = rounded(out.select("dataset_id", "motif", "p", "p_adj"))
     return kept.where(F.col("p_adj") < 0.2)
 
@@ -171,21 +185,21 @@ def _pwm(spark, sf_dir):
     return M.pwm_from_instances(_anchored(spark, sf_dir), ["motif"])
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, body="""
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, body="""
 SELECT motif, CAST(pos AS INTEGER) AS pos, symbol, round(p, 9) AS p FROM pwm
 """))
 def pwm(spark, sf_dir):
     return rounded(_pwm(spark, sf_dir), 9)
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, body="""
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, body="""
 SELECT motif, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) AS entropy FROM pwm GROUP BY motif
 """))
 def pwm_entropy(spark, sf_dir):
     return rounded(M.pwm_entropy(_pwm(spark, sf_dir), ["motif"]))
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, """
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, """
 e AS (SELECT motif, substr(motif, 1, 1) AS grp, -sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) AS entropy FROM pwm GROUP BY motif)""", body="""
 SELECT grp, motif, round(entropy, 6) AS entropy FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY entropy, motif) AS r FROM e) WHERE r = 1
@@ -196,7 +210,7 @@ def most_stable_motif(spark, sf_dir):
     return rounded(M.most_stable(staged, ["grp"]))
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, body="""
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, body="""
 SELECT motif, CAST(pos AS INTEGER) AS pos, symbol, round(abs(b / s * log2(s)), 6) AS height FROM (
   SELECT *, pow(p, 2) AS b, sum(pow(p, 2)) OVER (PARTITION BY motif, pos) AS s FROM pwm)
 """))
@@ -211,7 +225,7 @@ def _strongest(spark, sf_dir, n=5):
     return M.pwm_rows(p.join(best.select("motif"), "motif", "left_semi"), ["motif"])
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, """
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, """
 best AS (SELECT motif FROM pwm GROUP BY motif
          ORDER BY round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9), motif LIMIT 5),
 mine AS (SELECT * FROM pwm WHERE motif IN (SELECT motif FROM best)),
@@ -241,7 +255,7 @@ def pfm_scan(spark, sf_dir):
     )
 
 
-@query(with_ctes(WINDOWS, REGION_MOTIFS, PWM, """
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, """
 e AS (SELECT motif, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9) AS entropy FROM pwm GROUP BY motif),
 best AS (SELECT motif FROM e ORDER BY entropy, motif LIMIT 5),
 cols AS (SELECT motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
@@ -422,7 +436,7 @@ def paired_probability(spark, sf_dir):
 
 @query()
 def train_and_validate(spark, sf_dir):
-    w = X.windows(spark, sf_dir).select("dataset_id", "rec_id", "label", "seq")
+    w = language_windows(spark, sf_dir).select("dataset_id", "rec_id", "label", "seq")
     _, metrics = TR.train_and_validate(w, k=2)
     return metrics
 
@@ -438,9 +452,9 @@ def transfer_evaluation(spark, sf_dir):
 
 @query()
 def motif_prior_features(spark, sf_dir):
-    records = _stated(spark, sf_dir).join(X.windows(spark, sf_dir).select("rec_id", "label"), "rec_id")
-    one_set = records.withColumn("dataset_id", F.substring_index("dataset_id", "_", -1))
-    features = MP.prior_features(one_set, ["seq_4", "struct_4"], width=5, max_motifs=3, flank=1)
+    labels = language_windows(spark, sf_dir).select("rec_id", "label", F.lit("all").alias("dataset_id"))
+    records = _stated(spark, sf_dir).drop("dataset_id").join(labels, "rec_id")
+    features = MP.prior_features(records, ["seq_4", "struct_4"], width=5, max_motifs=3, flank=1)
     return features.groupBy("dataset_id", "feature", "label").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score")
     )
