@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,12 @@ def sigmoid(x: str | Column) -> Column:
 
 def string_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once per row.
+
+    A filter on a plain derived column is pushed below it with the whole expression
+    repeated for each use; generated columns stay where they are.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))

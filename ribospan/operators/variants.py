@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ribospan.functions import headers as H
 from ribospan.functions import sequence as S
-from ribospan.functions.core import char_at
+from ribospan.functions.core import char_at, with_once
 
 
 def _stranded(allele: Column, strand: Column) -> Column:
@@ -44,15 +44,15 @@ def _substitute_exact(df: DataFrame, after: bool) -> DataFrame:
 
 def apply_variant_gwas(df: DataFrame, mode: str = "after") -> DataFrame:
     """Strict header, reference check in both modes, substitution only in ``after``."""
-    return _substitute_exact(df.withColumn("parsed", H.parse_header_strict("header")), mode == "after")
+    return _substitute_exact(with_once(df, "parsed", H.parse_header_strict("header")), mode == "after")
 
 
 def apply_variant_ribosnitch(df: DataFrame, mode: str = "after", forced: bool = False) -> DataFrame:
     """Flexible header; in ``before`` mode the window is used as it is, unchecked."""
-    pair = df.withColumn("cells", H.cell_pair("header"))
+    pair = with_once(df, "cells", H.cell_pair("header"))
     if mode == "after" or forced:
         out = _substitute_exact(
-            pair.withColumn("parsed", H.parse_header_flexible("header")), after=True
+            with_once(pair, "parsed", H.parse_header_flexible("header")), after=True
         )
     else:
         out = pair.withColumn("reject_reason", F.lit(None).cast("string")).withColumn(
@@ -88,10 +88,11 @@ def apply_variant_catalog(
     df: DataFrame, mode: str = "after", strict_ref_match: bool = False, try_off_by_one: bool = True
 ) -> DataFrame:
     """Catalog header; only a window that shows the reference base is substituted."""
-    parsed = df.withColumn("parsed", H.parse_header_catalog("header"))
+    parsed = with_once(df, "parsed", H.parse_header_catalog("header"))
     p = F.col("parsed")
     alt = _stranded(p["alt"], p["strand"])
-    located = parsed.withColumn(
+    located = with_once(
+        parsed,
         "found",
         F.when(
             p.isNotNull(),
