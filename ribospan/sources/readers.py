@@ -153,7 +153,7 @@ def read_structure_profiles(
 
 def _matrix_rows(rows: Column) -> Column:
     return F.transform(
-        rows, lambda line: F.transform(F.split(F.trim(line), r"\s+"), lambda x: x.cast("double"))
+        rows, lambda line: F.transform(F.split(F.trim(line), r"\s+"), lambda x: x.try_cast("double"))
     )
 
 
@@ -168,7 +168,7 @@ def read_meme(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("file_name", r"\.meme$", "").alias("dataset_id"),
         F.element_at(F.split(F.element_at(lines, 1), r"\s+"), 1).alias("motif"),
         F.filter(lines, lambda x: x.rlike(r"^[-+0-9.eE]+(\s+[-+0-9.eE]+)+$")).alias("rows"),
-        F.regexp_extract("value", r"w=\s*(\d+)", 1).cast("int").alias("w"),
+        F.regexp_extract("value", r"w=\s*(\d+)", 1).try_cast("int").alias("w"),
     )
     return _long_pwm(
         parsed.select("dataset_id", "motif", F.slice(_matrix_rows(F.col("rows")), F.lit(1), F.col("w")).alias("m")),
@@ -288,10 +288,8 @@ def read_score_lines(spark: SparkSession, path: str, strict: bool = True) -> Dat
 def read_ribosnitch_scores(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace lines: variant, chr_loc, variant_loc, cell1, cell2, rbp_cell, score.
 
-    ``line_no`` is the byte-ordered position inside its file: file name, block start and
-    order within the read are not stable across splits, so callers that need "first"
-    should write an explicit order column upstream; here it is null-free only for
-    tables that carry one as an eighth column.
+    Text has no stable line order once it is split, so rules about the "first" line need
+    an order written with the data: an eighth column, read as ``line_no``.
     """
     names = ["variant", "chr_loc", "variant_loc", "cell1", "cell2", "rbp_cell"]
     parts = spark.read.text(path).where(F.trim("value") != "").select(
@@ -395,7 +393,7 @@ def read_position_rows(spark: SparkSession, path: str, motifs: list[str]) -> Dat
 
     A file is one record here: it has a handful of lines, and their order names the motif.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     staged = raw.select(
         F.regexp_replace("_metadata.file_name", r"_relative_positions\.txt$", "").alias("dataset_id"),
