@@ -23,7 +23,7 @@ def let(value: str | Column, body: Callable[[Column], Column]) -> Column:
 
 def positions(n: Column) -> Column:
     """``[1..n]``, empty when ``n < 1`` (``sequence`` alone would count down)."""
-    return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+    return F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), F.greatest(n, F.lit(0)))
 
 
 def char_at(text: Column, pos: Column) -> Column:

@@ -1,6 +1,7 @@
-"""Tail probabilities Spark has no function for, as Arrow-batched helpers.
+"""Arrow-batched helpers for what Column expressions cannot do, or only position by position.
 
-They run on already aggregated rows (one per motif or group), never on records.
+The tail probabilities run on already aggregated rows (one per motif or group). The PWM
+scan and the structure states run on records, a whole batch per array operation.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 # The helpers travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -145,17 +146,15 @@ def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def pwm_top_windows(
-    seq: pd.Series, cols: pd.Series, alphabet: pd.Series, top_n: pd.Series
+    seq: pd.Series, motif: pd.Series, cols: pd.Series, alphabet: pd.Series, top_n: pd.Series
 ) -> pd.Series:
     """Sum of the ``top_n`` best products of a PWM along each sequence.
 
-    The rows of a batch that share a PWM are laid end to end with gaps, so a window
-    score is one array product per PWM position.
+    The rows of a batch that share a PWM (named by ``motif``) are laid end to end with
+    gaps, so a window score is one array product per PWM position.
     """
     out = np.zeros(len(seq))
-    keys = pd.Series([str(len(c)) + "|" + "|".join(r.tobytes().hex() for r in c) for c in cols])
-    for _, rows in keys.groupby(keys).groups.items():
-        rows = np.asarray(rows)
+    for rows in motif.reset_index(drop=True).groupby(motif.to_numpy()).indices.values():
         matrix = np.stack(cols.iloc[rows[0]]).astype(float)
         width, n = len(matrix), int(top_n.iloc[rows[0]])
         table = np.full(256, matrix.shape[1])
@@ -175,3 +174,41 @@ def pwm_top_windows(
                 out[row] = mine.max() if n == 1 else np.sort(mine)[-n:].sum()
             start += len(text) + width
     return pd.Series(out)
+
+
+@F.pandas_udf(StringType())
+def dot_bracket_states(structure: pd.Series) -> pd.Series:
+    """Seven-state strings of balanced dot-bracket strings, all records of a batch at once."""
+    text = "|".join(structure.fillna("")) + "||"
+    ch = np.frombuffer(text.encode(), dtype=np.uint8)
+    opening, closing, end = (ch == ord(c) for c in "()|")
+    depth_after = np.cumsum(opening.astype(np.int64) - closing)
+    if depth_after.min() < 0 or depth_after[end].any():
+        raise ValueError("unbalanced dot-bracket string")
+    at = np.arange(len(ch))
+    # Brackets of one depth alternate, so neighbours in depth order are partners.
+    brackets = np.flatnonzero(opening | closing)
+    depth = (depth_after + closing)[brackets]
+    paired = brackets[np.argsort(depth, kind="stable")]
+    mate = at.copy()
+    mate[paired[0::2]], mate[paired[1::2]] = paired[1::2], paired[0::2]
+    # Nearest bracket or record end strictly before and after each position.
+    stop = opening | closing | end
+    last = len(ch) - 1
+    k = np.append(last, np.maximum.accumulate(np.where(stop, at, -1))[:-1])
+    k[k < 0] = last
+    m = np.append(np.minimum.accumulate(np.where(stop, at, last)[::-1])[::-1][1:], last)
+    past, before = ch[m[mate[m]]], ch[k[mate[k]]]
+    inner_left, inner_right = opening[k] & opening[m], closing[k] & closing[m]
+    state = np.select(
+        [
+            end, opening, closing, end[k] | end[m], opening[k] & closing[m],
+            closing[k] & opening[m] & (depth_after > 0), closing[k] & opening[m],
+            mate[m] + 1 == mate[k],
+            (inner_left & (past == ord("("))) | (inner_right & (before == ord(")"))),
+        ],
+        [ord(c) for c in "|LREHMEBM"],
+        ord("T"),
+    )
+    out = state.astype(np.uint8).tobytes().decode().split("|")[: len(structure)]
+    return pd.Series(out, index=structure.index).where(structure.notna(), None)

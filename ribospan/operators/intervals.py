@@ -19,35 +19,23 @@ from ribospan.operators.ordered import running_sums
 _SITE = ["rbp", "chrom"]
 
 
-def _distinct_intervals(df: DataFrame, cells: list[str]) -> DataFrame:
-    span = F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(
+def _checked(df: DataFrame, cells: list[str]) -> DataFrame:
+    end = F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(
         F.raise_error(F.lit("interval end must be after its start"))
     )
-    return (
-        df.where(F.col("cell").isin(cells))
-        .select(*_SITE, "cell", "start", span.alias("end"))
-        .groupBy(*_SITE, "cell", "start", "end")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
+    return df.where(F.col("cell").isin(cells)).select(*_SITE, "cell", "start", end.alias("end"))
 
 
 def _points(iv: DataFrame, cells: list[str]) -> DataFrame:
-    """Every interval as (pos, cell -> starts, ends); one row per (rbp, chrom, pos)."""
-    def ev(pos: str, name: str) -> Column:
-        return F.struct(
-            F.col(pos).alias("pos"),
-            *[
-                F.when(F.col("cell") == c, F.col("m")).otherwise(F.lit(0)).alias(f"{kind}{i}")
-                if kind == name
-                else F.lit(0).cast("bigint").alias(f"{kind}{i}")
-                for kind in ("s", "e")
-                for i, c in enumerate(cells)
-            ],
-        )
-
-    columns = [f"{kind}{i}" for kind in ("s", "e") for i in range(len(cells))]
-    rows = iv.select(*_SITE, F.inline(F.array(ev("start", "s"), ev("end", "e"))))
-    return rows.groupBy(*_SITE, "pos").agg(*[F.sum(c).alias(c) for c in columns])
+    """Starts and ends per cell at every position; repeats collapse before the shuffle."""
+    point = lambda pos, is_start: F.struct(F.col(pos).alias("pos"), F.lit(is_start).alias("is_start"))
+    rows = iv.select(*_SITE, "cell", F.inline(F.array(point("start", True), point("end", False))))
+    counts = [
+        F.sum(((F.col("cell") == c) & (F.col("is_start") == (kind == "s"))).cast("bigint")).alias(f"{kind}{i}")
+        for kind in ("s", "e")
+        for i, c in enumerate(cells)
+    ]
+    return rows.groupBy(*_SITE, "pos").agg(*counts)
 
 
 def _axis(iv: DataFrame, cells: list[str]) -> DataFrame:
@@ -66,26 +54,22 @@ def _ended(i: int) -> Column:
 
 
 def interval_overlap_hits(df: DataFrame, cells: list[str]) -> DataFrame:
-    """One row per distinct interval: its multiplicity ``m`` and ``hits<i>`` in every cell."""
-    iv = _distinct_intervals(df, cells)
+    """One row per distinct interval: its multiplicity ``m`` and whether it meets each cell (``hit<i>``)."""
+    iv = _checked(df, cells)
     n = range(len(cells))
     axis = _axis(iv, cells).select(
         *_SITE, "pos", *[_started(i).alias(f"started{i}") for i in n], *[_ended(i).alias(f"ended{i}") for i in n]
     )
     # Each interval meets the axis twice, at its end and at its start, in one join.
-    probes = iv.select(
-        *_SITE, "cell", "start", "end", "m", F.explode(F.array("start", "end")).alias("pos")
-    )
+    probes = iv.select(*_SITE, "cell", "start", "end", F.explode(F.array("start", "end")).alias("pos"))
     at_end = F.col("pos") == F.col("end")
+    hits = [
+        F.sum(F.when(at_end, F.col(f"started{i}")).otherwise(-F.col(f"ended{i}"))) > 0 for i in n
+    ]
     return (
         probes.join(axis, [*_SITE, "pos"])
-        .groupBy(*_SITE, "cell", "start", "end", "m")
-        .agg(
-            *[
-                F.sum(F.when(at_end, F.col(f"started{i}")).otherwise(-F.col(f"ended{i}"))).alias(f"hits{i}")
-                for i in n
-            ]
-        )
+        .groupBy(*_SITE, "cell", "start", "end")
+        .agg((F.count(F.lit(1)) / 2).cast("bigint").alias("m"), *[h.alias(f"hit{i}") for i, h in zip(n, hits)])
     )
 
 
@@ -98,12 +82,12 @@ def interval_overlap_count(df: DataFrame, cells: list[str], mode: str = "raw") -
     if mode == "raw":
         # Summed over all a the two probes need no a at all: every end counts what
         # has started, every start takes off what has ended.
-        rows = _axis(_distinct_intervals(df, cells), cells)
+        rows = _axis(_checked(df, cells), cells)
         shared = lambda i, j: F.sum(F.col(f"e{i}") * _started(j) - F.col(f"s{i}") * _ended(j))
     else:
         rows = interval_overlap_hits(df, cells)
         shared = lambda i, j: F.sum(
-            F.when((F.col("cell") == cells[i]) & (F.col(f"hits{j}") > 0), F.col("m"))
+            F.when((F.col("cell") == cells[i]) & F.col(f"hit{j}"), F.col("m"))
         )
     totals = rows.agg(*[F.coalesce(shared(i, j), F.lit(0)).alias(f"p{i}_{j}") for i, j in pairs])
     return totals.select(

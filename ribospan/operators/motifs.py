@@ -97,42 +97,71 @@ def extract_windows(instances: DataFrame, width: int = 24) -> DataFrame:
 # ------------------------------------------------------------ containment
 
 
+def seed_lengths(lengths: Column) -> Column:
+    """Seed sizes for a sorted array of motif lengths: the shortest, then each at least twice the last."""
+    return F.aggregate(
+        lengths,
+        F.array().cast("array<int>"),
+        lambda acc, n: F.when(
+            (F.size(acc) == 0) | (n >= 2 * F.try_element_at(acc, F.lit(-1))),
+            F.concat(acc, F.array(n)),
+        ).otherwise(acc),
+    )
+
+
 def motif_containment(
     records: DataFrame, motifs: DataFrame, by: list[str], lengths: list[int] | None = None,
     allow_multi: bool = False,
 ) -> DataFrame:
     """``n_with`` and ``n_pos_with``: records (or hits) containing each motif, zero included.
 
-    Substrings are exploded only at lengths that occur among the motifs and are made
-    distinct inside the row, so one output row is one containing record and the
-    count needs no distinct. ``motifs`` has ``by`` and ``motif``.
+    Motifs are looked up by a leading seed. A few seed sizes, each at least twice the one
+    before, cover all motif lengths, so a record is exploded once per position and seed
+    size, not once per position and length, and a seed is shared by few motifs. A candidate counts at the motif's first occurrence in the record only,
+    so no distinct is needed. ``motifs`` has ``by`` and ``motif``.
     """
     if lengths is None:
-        table = motifs.agg(F.sort_array(F.collect_set(F.length("motif"))).alias("l")).scalar()
+        known = motifs.agg(F.sort_array(F.collect_set(F.length("motif"))).alias("l"))
+        seeds = known.select(seed_lengths(F.col("l"))).scalar()
     else:
-        table = F.array(*[F.lit(n) for n in lengths])
-    sized = records.withColumn("_lengths", table)
-
-    def substrings(s: Column) -> Column:
-        grams = F.flatten(
-            F.transform(
-                F.col("_lengths"),
-                lambda n: F.transform(positions(F.length(s) - n + 1), lambda i: F.substr(s, i, n)),
-            )
+        seeds = seed_lengths(F.array(*[F.lit(n) for n in sorted(lengths)]))
+    wanted = motifs.select(*by, "motif").distinct()
+    fitting = F.array_max(F.filter(F.col("_seeds"), lambda n: n <= F.length("motif")))
+    seeded = wanted.withColumn("_seeds", seeds).select(
+        *by, "motif", F.substr("motif", F.lit(1), fitting).alias("seed")
+    )
+    grams = F.flatten(
+        F.transform(
+            F.col("_seeds"),
+            lambda n: F.transform(
+                positions(F.length("seq") - n + 1),
+                lambda i: F.struct(i.alias("at"), F.substr("seq", i, n).alias("seed")),
+            ),
         )
-        return grams if allow_multi else F.array_distinct(grams)
-
-    hits = sized.select(*by, "label", F.explode(let("seq", substrings)).alias("motif"))
-    # Popular substrings collapse in the partial aggregate before the shuffle.
+    )
+    cells = (
+        records.select(*by, "label", "seq", seeds.alias("_seeds"))
+        .select(*by, "label", "seq", F.inline(grams))
+        .alias("c")
+    )
+    here = (
+        F.substr("seq", F.col("at"), F.length("motif")) == F.col("motif")
+        if allow_multi
+        else F.call_function("locate", F.col("motif"), F.col("seq")) == F.col("at")
+    )
+    same = F.col("c.seed") == F.col("m.seed")
+    for k in by:
+        same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
+    # Popular motifs collapse in the partial aggregate before the shuffle.
     counts = (
-        hits.join(motifs.select(*by, "motif").distinct(), [*by, "motif"], "left_semi")
-        .groupBy(*by, "motif")
+        cells.join(seeded.alias("m"), same & here)
+        .groupBy(*[F.col(f"m.{k}").alias(k) for k in by], "motif")
         .agg(
             F.count(F.lit(1)).alias("n_with"),
             F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
         )
     )
-    return motifs.select(*by, "motif").distinct().join(counts, [*by, "motif"], "left").select(
+    return wanted.join(counts, [*by, "motif"], "left").select(
         *by, "motif",
         F.coalesce("n_with", F.lit(0)).alias("n_with"),
         F.coalesce("n_pos_with", F.lit(0)).alias("n_pos_with"),
@@ -247,7 +276,8 @@ def pfm_scan(
     taken by an Arrow-batched helper, as nested lambdas evaluate one factor at a time.
     """
     joined = records.join(pwms, on)
-    score = pwm_top_windows(F.col(seq), F.col("cols"), F.lit(alphabet), F.lit(top_n))
+    name = F.to_json(F.struct(*on, motif))
+    score = pwm_top_windows(F.col(seq), name, F.col("cols"), F.lit(alphabet), F.lit(top_n))
     return joined.select(*on, *keys, motif, score.alias("score"))
 
 

@@ -4,72 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ribospan.functions.core import col, let
+from ribospan.functions.special import dot_bracket_states
 
 
 def annotate_structure(df: DataFrame, key: str = "rec_id", structure: str = "structure") -> DataFrame:
-    """Seven-state string (L R H B T M E) of a dot-bracket string, as ``(key, states)``.
-
-    A row per token, a token being one bracket or one run of dots, and windows over one
-    record: depth is a running sum, a bracket's partner is its neighbour at the same
-    depth, and a run's neighbours are the brackets around it. All windows share the
-    partitioning by record, so there is one shuffle.
+    """Seven-state string (L R H B T M E) of a balanced dot-bracket string, as ``(key, states)``.
 
     * no bracket on one side, or unpaired outside all pairs: E
     * ``( . )``: H;  ``) . (`` inside a pair: M
     * ``( . (`` and ``) . )``: B when the partners are adjacent; otherwise an inner loop,
-      which is M when the branch it leads to is followed or preceded by another
+      which is M when the branch it leads to is followed (or preceded) by another
       branch, else T.
+
+    A record needs nothing but its own string, so no row leaves its partition: one row per
+    character and windows over records would shuffle some fifty bytes for every letter.
     """
-    tokens = df.select(
-        key, F.posexplode(F.regexp_extract_all(structure, F.lit("[()]|[.]+"), F.lit(0))).alias("pos", "tok")
-    )
-    order = W.partitionBy(key).orderBy("pos")
-    opening, closing = F.col("tok") == "(", F.col("tok") == ")"
-    bracket = opening | closing
-    before = lambda c, n=1: F.lag(c, n).over(order)
-    after = lambda c, n=1: F.lead(c, n).over(order)
-    is_dots = lambda c: F.startswith(c, F.lit("."))
-    size = F.when(bracket, 1).otherwise(F.length("tok"))
-    step = opening.cast("int") - closing.cast("int")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    placed = tokens.select(
-        "*",
-        (F.sum(size).over(upto) - size).alias("at"),
-        F.sum(step).over(upto).alias("open"),
-        F.when(is_dots(before("tok")), before("tok", 2)).otherwise(before("tok")).alias("prev_bracket"),
-        F.when(is_dots(after("tok")), after("tok", 2)).otherwise(after("tok")).alias("next_bracket"),
-    )
-    # Partner, and what lies beyond the partner, among the brackets of one depth.
-    level = W.partitionBy(key, bracket, F.col("open") + closing.cast("int")).orderBy("pos")
-    paired = placed.select(
-        key, "pos", "tok", "open",
-        F.when(opening, F.lead("at").over(level)).otherwise(F.lag("at").over(level)).alias("mate"),
-        F.when(opening, F.lead("next_bracket").over(level))
-        .otherwise(F.lag("prev_bracket").over(level))
-        .alias("beyond"),
-    )
-    here = F.struct("tok", "mate", "beyond")
-    seen = paired.select(key, "pos", "tok", "open", before(here).alias("k"), after(here).alias("m"))
-    k, m = F.col("k"), F.col("m")
-    state = (
-        F.when(opening, "L")
-        .when(closing, "R")
-        .when(k.isNull() | m.isNull(), "E")
-        .when((k["tok"] == "(") & (m["tok"] == ")"), "H")
-        .when((k["tok"] == ")") & (m["tok"] == "("), F.when(F.col("open") > 0, "M").otherwise("E"))
-        .when(m["mate"] + 1 == k["mate"], "B")
-        .when((m["tok"] == "(") & (m["beyond"] == "("), "M")
-        .when((k["tok"] == ")") & (k["beyond"] == ")"), "M")
-        .otherwise("T")
-    )
-    return (
-        seen.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.repeat(state, F.length("tok")).alias("s")))).alias("_s"))
-        .select(key, F.concat_ws("", F.transform("_s", lambda x: x["s"])).alias("states"))
-    )
+    return df.select(key, dot_bracket_states(structure).alias("states"))
 
 
 def paired_probability(

@@ -77,7 +77,8 @@ def prior_features(
     )
     symbols = "".join(sorted({c for a in alphabets for c in ALPHABETS[a]}))
     shares = M.symbol_frequencies(instances, [*by, "motif"], "seq", symbols)
-    pwms = M.pwm_rows(shares, [*by, "motif"], symbols)
+    # At most max_motifs rows per group; as a stored table its size is known to the join.
+    pwms = materialize(M.pwm_rows(shares, [*by, "motif"], symbols))
     scores = M.pfm_scan(rows, pwms, ["rec_id", "label"], by, "motif", top_n, alphabet=symbols)
     return scores.select(
         "dataset_id", "rec_id", "label", F.concat_ws("_", "alphabet", "motif").alias("feature"), "score"

@@ -1,5 +1,6 @@
 """Motif, structure and composite queries."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ribospan import surrogates as X
@@ -218,35 +219,52 @@ def structure_power(spark, sf_dir):
     return rounded(M.structure_power(_pwm(spark, sf_dir), ["motif"], 2.0))
 
 
-def _strongest(spark, sf_dir, n=5):
-    """PWMs of the n anchors with the lowest entropy, as arrays of column maps."""
-    p = _pwm(spark, sf_dir)
-    best = M.pwm_entropy(p, ["motif"]).orderBy(F.round("entropy", 9), "motif").limit(n)
-    return M.pwm_rows(p.join(best.select("motif"), "motif", "left_semi"), ["motif"])
+def _strongest(spark, sf_dir, by, n):
+    """PWMs of the n lowest-entropy anchors of each group, as arrays of columns."""
+    p = materialize(M.pwm_from_instances(_anchored(spark, sf_dir).withColumn("grp", F.substr("motif", F.lit(1), F.lit(1))), [by, "motif"]))
+    order = W.partitionBy(by).orderBy(F.round("entropy", 9), "motif")
+    ranked = M.pwm_entropy(p, [by, "motif"]).withColumn("r", F.row_number().over(order))
+    best = ranked.where(F.col("r") <= n).select(by, "motif")
+    return p, materialize(M.pwm_rows(p.join(best, [by, "motif"], "left_semi"), [by, "motif"]))
 
 
-@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, """
-best AS (SELECT motif FROM pwm GROUP BY motif
-         ORDER BY round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9), motif LIMIT 5),
-mine AS (SELECT * FROM pwm WHERE motif IN (SELECT motif FROM best)),
-offs AS (SELECT rec_id, dataset_id, seq, unnest(range(0, length(seq) - 7)) AS o FROM windows WHERE length(seq) >= 8),
+def _pwm_sql(by: str) -> str:
+    """The PWM per (group, motif) and the ``n`` strongest of each group."""
+    return f"""
+anchors AS (SELECT dataset_id, substr(motif, 1, 3) AS motif, substr(motif, 1, 1) AS grp,
+                   substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances WHERE s + 8 <= length(seq)),
+cell_counts AS (SELECT {by}, motif, i - 1 AS pos, replace(substr(w, i, 1), 'T', 'U') AS symbol, count(*) AS c
+                FROM (SELECT *, unnest(range(1, 9)) AS i FROM anchors) GROUP BY ALL),
+totals AS (SELECT {by}, motif, count(*) AS n FROM anchors GROUP BY ALL),
+pwm AS (
+  SELECT t.{by}, t.motif, p.pos, s.symbol, coalesce(c, 0) / n AS p
+  FROM totals t, (SELECT unnest(range(0, 8)) AS pos) p, (SELECT unnest(['A','C','G','U']) AS symbol) s
+  LEFT JOIN cell_counts c ON c.{by} = t.{by} AND c.motif = t.motif AND c.pos = p.pos AND c.symbol = s.symbol),
+ent AS (SELECT {by}, motif, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9) AS e FROM pwm GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY e, motif) AS r FROM ent)
+"""
+
+
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("dataset_id"), """
+mine AS (SELECT pwm.* FROM pwm JOIN ranked USING (dataset_id, motif) WHERE r <= 3),
+offs AS (SELECT rec_id, dataset_id, seq, unnest(range(0, length(seq) - 7)) AS o FROM lang WHERE length(seq) >= 8),
 prod AS (
-  SELECT rec_id, dataset_id, motif, o, product(p) AS s FROM offs JOIN mine
-  ON symbol = replace(substr(seq, CAST(o + pos AS INTEGER) + 1, 1), 'T', 'U') GROUP BY ALL),
+  SELECT rec_id, offs.dataset_id, motif, o, product(p) AS s FROM offs JOIN mine
+  ON mine.dataset_id = offs.dataset_id AND symbol = replace(substr(seq, CAST(o + pos AS INTEGER) + 1, 1), 'T', 'U') GROUP BY ALL),
 top_ AS (SELECT *, row_number() OVER (PARTITION BY rec_id, motif ORDER BY s DESC) AS r FROM prod),
 sc AS (SELECT dataset_id, motif, rec_id, sum(s) AS score FROM top_ WHERE r <= 2 GROUP BY ALL),
 all_ AS (SELECT w.dataset_id, b.motif, CASE WHEN length(seq) < 9 THEN 0 ELSE coalesce(score, 0) END AS score
-         FROM windows w CROSS JOIN best b LEFT JOIN sc ON sc.rec_id = w.rec_id AND sc.motif = b.motif)""", body="""
+         FROM lang w JOIN ranked b ON b.dataset_id = w.dataset_id AND b.r <= 3
+         LEFT JOIN sc ON sc.rec_id = w.rec_id AND sc.motif = b.motif)""", body="""
 SELECT dataset_id, motif, count(*) AS n, round(avg(score), 9) AS mean_score, round(max(score), 9) AS best_score
 FROM all_ GROUP BY ALL
 """))
 def pfm_scan(spark, sf_dir):
-    strongest = _strongest(spark, sf_dir)
-    per_dataset = X.windows(spark, sf_dir).select("dataset_id", "rec_id", S.normalize_rna("seq").alias("seq"))
-    keyed = strongest.withColumn("set", F.lit("all"))
-    scores = M.pfm_scan(
-        per_dataset.withColumn("set", F.lit("all")), keyed, ["dataset_id", "rec_id"], ["set"], top_n=2
+    _, strongest = _strongest(spark, sf_dir, "dataset_id", 3)
+    records = language_windows(spark, sf_dir).select(
+        "dataset_id", "rec_id", S.normalize_rna("seq").alias("seq")
     )
+    scores = M.pfm_scan(records, strongest, ["rec_id"], BY, top_n=2)
     return rounded(
         scores.groupBy("dataset_id", "motif").agg(
             F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("best_score")
@@ -255,13 +273,12 @@ def pfm_scan(spark, sf_dir):
     )
 
 
-@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, PWM, """
-e AS (SELECT motif, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9) AS entropy FROM pwm GROUP BY motif),
-best AS (SELECT motif FROM e ORDER BY entropy, motif LIMIT 5),
-cols AS (SELECT motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
-q AS (SELECT * FROM cols WHERE motif IN (SELECT motif FROM best)),
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("grp"), """
+cols AS (SELECT grp, motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
+q AS (SELECT cols.* FROM cols JOIN ranked USING (grp, motif) WHERE r <= 3),
 pair AS (
-  SELECT q.motif, t.motif AS target, q.pos - t.pos AS o, q.c AS a, t.c AS b FROM q JOIN cols t ON q.motif <> t.motif),
+  SELECT q.motif, t.motif AS target, q.pos - t.pos AS o, q.c AS a, t.c AS b
+  FROM q JOIN cols t ON q.grp = t.grp AND q.motif <> t.motif),
 cor AS (
   SELECT *, a[1]*b[1]+a[2]*b[2]+a[3]*b[3]+a[4]*b[4] - ma*mb*4 AS cross_,
     a[1]*a[1]+a[2]*a[2]+a[3]*a[3]+a[4]*a[4] - ma*ma*4 AS sa, b[1]*b[1]+b[2]*b[2]+b[3]*b[3]+b[4]*b[4] - mb*mb*4 AS sb
@@ -275,10 +292,11 @@ SELECT motif, target, round(s, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY motif ORDER BY round(s, 9) DESC, target) AS k FROM bo) WHERE k = 1
 """))
 def motif_similarity(spark, sf_dir):
-    every = M.pwm_rows(_pwm(spark, sf_dir), ["motif"]).withColumn("set", F.lit("all"))
-    queries = _strongest(spark, sf_dir).withColumn("set", F.lit("all"))
-    db = every.select("set", F.col("motif").alias("target"), F.col("cols").alias("target_cols"))
-    sims = M.motif_similarity(queries, db, ["set"], 5).where(F.col("motif") != F.col("target"))
+    every, queries = _strongest(spark, sf_dir, "grp", 3)
+    db = M.pwm_rows(every, ["grp", "motif"]).select(
+        "grp", F.col("motif").alias("target"), F.col("cols").alias("target_cols")
+    )
+    sims = M.motif_similarity(queries, db, ["grp"], 5).where(F.col("motif") != F.col("target"))
     best = M.best_match(sims.withColumn("similarity", F.round("similarity", 9)), ["motif"])
     return rounded(best.select("motif", "target", "similarity"))
 

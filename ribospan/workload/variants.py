@@ -8,6 +8,7 @@ from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
 from ribospan.operators import variants as V
 from ribospan.plans import variant_scoring as P
+from ribospan.session import materialize
 from ribospan.workload.inputs_sql import CATALOG, SCORES, VARIANTS, WINDOWS, grams
 from ribospan.workload.registry import query, with_ctes
 
@@ -218,9 +219,11 @@ def _models(spark, sf_dir):
     rows = counts.join(total, "dataset_id").select(
         "dataset_id", F.struct("kmer", (F.col("n") / F.col("t")).alias("w")).alias("e")
     )
-    return rows.groupBy(F.col("dataset_id").alias("model_id")).agg(
+    models = rows.groupBy(F.col("dataset_id").alias("model_id")).agg(
         F.map_from_entries(F.collect_list("e")).alias("weights")
-    ).withColumn("bias", F.lit(-0.5))
+    )
+    # A model table is stored, so its size decides how it is joined.
+    return materialize(models.withColumn("bias", F.lit(-0.5)))
 
 
 @query(with_ctes(WINDOWS, grams(2, "g2"), MODELS, VARIANTS, PARSED, APPLIED,
@@ -262,10 +265,8 @@ def catalog_scoring(spark, sf_dir):
     )
 
 
-def _run_scores(spark, sf_dir, mode):
-    scored = P.score_gwas(
-        X.variant_windows(spark, sf_dir), _models(spark, sf_dir), mode, P.linear_scorer(2)
-    )
+def _run_scores(spark, sf_dir, models, mode):
+    scored = P.score_gwas(X.variant_windows(spark, sf_dir), models, mode, P.linear_scorer(2))
     return scored.select("dataset_id", "rec_id", "score")
 
 
@@ -291,8 +292,9 @@ GROUP BY dataset_id
 """))
 def pair_before_after(spark, sf_dir):
     keys = ["dataset_id", "rec_id"]
+    models = _models(spark, sf_dir)
     pairs = V.pair_before_after(
-        _run_scores(spark, sf_dir, "before"), _run_scores(spark, sf_dir, "after"), keys
+        _run_scores(spark, sf_dir, models, "before"), _run_scores(spark, sf_dir, models, "after"), keys
     )
     d = SC.pair_difference("ref_score", "alt_score")
     return pairs.groupBy("dataset_id").agg(
