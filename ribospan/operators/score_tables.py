@@ -238,10 +238,19 @@ def variant_rbp_counts(df: DataFrame, by: list[str], variant: str, rbp: str) ->
 def topk_other(
     counts: DataFrame, by: list[str], name: str, value: str, k: int = 3, other: str = "Other"
 ) -> DataFrame:
-    """Keep the k largest names per group, sum the rest as ``other``; ties by name."""
+    """Keep the k largest names per group, sum the rest as ``other``; ties by name.
+
+    Only the k winners are ranked (each task keeps its own k before the shuffle); the
+    rest of a group never meets in one task.
+    """
     order = W.partitionBy(*by).orderBy(F.desc(value), name)
-    labelled = counts.withColumn("_r", F.row_number().over(order)).withColumn(
-        name, F.when(F.col("_r") <= k, F.col(name)).otherwise(F.lit(other))
+    winners = (
+        counts.withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= k)
+        .select(*by, name, F.lit(True).alias("_top"))
+    )
+    labelled = counts.join(winners, [*by, name], "left").withColumn(
+        name, F.when(F.col("_top"), F.col(name)).otherwise(F.lit(other))
     )
     return labelled.groupBy(*by, name).agg(F.sum(value).alias(value))
 

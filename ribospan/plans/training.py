@@ -18,6 +18,7 @@ from ribospan.functions import sequence as S
 from ribospan.operators.metrics import binary_metrics
 from ribospan.operators.splits import stratified_split3
 from ribospan.plans.variant_scoring import kmer_logit
+from ribospan.session import materialize
 
 MAX_VOCABULARY = 5_000_000
 BIAS = "bias"
@@ -82,7 +83,7 @@ def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "datas
 
 def train_and_validate(df: DataFrame, k: int = 2, seed: int = 42, **fit) -> tuple[DataFrame, DataFrame]:
     """Models fitted on the train part and metrics per (dataset, split) on the other two."""
-    parts = split_records(df, seed)
+    parts = materialize(split_records(df, seed))
     models = fit_kmer_models(parts.where(F.col("split") == "train"), k, **fit)
     held_out = predict(parts.where(F.col("split") != "train"), models, k)
     return models, binary_metrics(held_out, ["dataset_id", "split"])

@@ -464,7 +464,8 @@ def transfer_evaluation(spark, sf_dir):
     w = X.windows(spark, sf_dir)
     cell = F.when(F.col("cell") == "en", "K562").when(F.col("cell") == "fr", "HepG2").otherwise(F.col("cell"))
     named = w.select(F.concat_ws("_", "rbp", cell).alias("dataset_id"), "rec_id", "label", "seq")
-    models = TR.fit_kmer_models(TR.split_records(named).where(F.col("split") == "train"))
+    train = materialize(TR.split_records(named).where(F.col("split") == "train"))
+    models = materialize(TR.fit_kmer_models(train))
     return TR.transfer(named, models)
 
 

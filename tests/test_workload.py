@@ -28,6 +28,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, str(SF_DIR))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     rows = [tuple(r) for r in df.collect()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
