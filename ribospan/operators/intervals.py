@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribospan.operators.ordered import running_sums
+from ribospan.session import materialize
 
 _SITE = ["rbp", "chrom"]
 
@@ -39,8 +40,10 @@ def _points(iv: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def _axis(iv: DataFrame, cells: list[str]) -> DataFrame:
+    # Stored once: the cuts, the slice totals and the running sums each read their own
+    # columns of it, which would otherwise be three different scans of the intervals.
     columns = [f"{kind}{i}" for kind in ("s", "e") for i in range(len(cells))]
-    return running_sums(_points(iv, cells), _SITE, ["pos"], columns)
+    return running_sums(materialize(_points(iv, cells)), _SITE, ["pos"], columns)
 
 
 def _started(i: int) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
 from ribospan.operators.ordered import exact_quantiles
+from ribospan.session import materialize
 
 
 def kmer_counts(df: DataFrame, k: int, by: list[str], acgt_only: bool = True) -> DataFrame:
@@ -45,6 +46,8 @@ def records_per_dataset(df: DataFrame, by: list[str], positives_only: bool = Tru
 def complete_grid(counts: DataFrame, k: int, by: list[str]) -> DataFrame:
     """Every k-mer for each group, zero where absent; the rows of a group come from an in-row array."""
     vocab = sorted(S.vocabulary_kmers(k, S.DNA))
+    # The small count table is read twice below; the sequences are scanned once for it.
+    counts = materialize(counts)
     grid = counts.select(*by).distinct().select(
         *by, F.explode(F.array(*[F.lit(v) for v in vocab])).alias("kmer")
     )
