@@ -24,14 +24,13 @@ def attach_pvalue_last(spark, sf_dir):
 
 def _symbols(spark, sf_dir):
     c = X.table(spark, sf_dir, "customer")
-    return c.where(F.col("c_acctbal") >= 0).select(
-        F.col("c_custkey").alias("gene"), F.col("c_name").alias("gene_name")
-    )
+    # Even numbers only, so that odd genes have no symbol.
+    return c.select((F.col("c_custkey") * 2).alias("gene"), F.col("c_name").alias("gene_name"))
 
 
 @query(with_ctes(SCORES, body="""
 SELECT line_no, coalesce(c_name, '') AS gene_name
-FROM scores LEFT JOIN customer ON c_custkey = rsid AND c_acctbal >= 0
+FROM scores LEFT JOIN customer ON c_custkey * 2 = rsid
 """))
 def attach_gene_symbol(spark, sf_dir):
     s = X.score_rows(spark, sf_dir).withColumn("gene", F.col("rsid"))
@@ -325,33 +324,33 @@ def presence_pattern(spark, sf_dir):
 
 
 INVENTORY = """
-inv AS (SELECT CAST(user_id % 50 AS VARCHAR) AS rbp, event_type AS cell, count(*) AS n FROM events
-        WHERE value > 150 GROUP BY ALL),
+inv AS (SELECT user_id || '-' || (event_id % 40) AS rbp, event_type AS cell, count(*) AS n FROM events GROUP BY ALL),
 full_ AS (SELECT *, (SELECT count(DISTINCT cell) FROM inv i WHERE i.rbp = inv.rbp) AS n_cells FROM inv)
 """
 
 
 def _inventory(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").where(F.col("value") > 150)
+    e = X.table(spark, sf_dir, "events")
+    part = (F.col("event_id") % 40).cast("string")
     counts = e.groupBy(
-        (F.col("user_id") % 50).cast("string").alias("rbp"), F.col("event_type").alias("cell")
+        F.concat_ws("-", F.col("user_id").cast("string"), part).alias("rbp"), F.col("event_type").alias("cell")
     ).agg(F.count(F.lit(1)).alias("n"))
     return T.motif_inventory(counts)
 
 
 @query(with_ctes(INVENTORY, body="""
-SELECT rbp, cell, n, round(ln(n + 1), 9) AS log_n, n_cells FROM full_ WHERE n_cells >= 4
+SELECT rbp, cell, n, round(ln(n + 1), 9) AS log_n, n_cells FROM full_ WHERE n_cells >= 2
 """))
 def motif_inventory(spark, sf_dir):
-    return T.shared_rbps(_inventory(spark, sf_dir), 4).withColumn("log_n", F.round("log_n", 9))
+    return T.shared_rbps(_inventory(spark, sf_dir), 2).withColumn("log_n", F.round("log_n", 9))
 
 
 @query(with_ctes(INVENTORY, body="""
 SELECT rbp, cell, n, CAST(max(CASE WHEN cell = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY rbp) AS INTEGER) AS in_split_cell
-FROM full_ WHERE n_cells < 4
+FROM full_ WHERE n_cells < 2
 """))
 def private_inventory(spark, sf_dir):
-    return T.private_rbps(_inventory(spark, sf_dir), "click", 4).select("rbp", "cell", "n", "in_split_cell")
+    return T.private_rbps(_inventory(spark, sf_dir), "click", 2).select("rbp", "cell", "n", "in_split_cell")
 
 
 @query(with_ctes(SCORES, COUNTS, body="""
@@ -474,7 +473,7 @@ def unpivot_long(spark, sf_dir):
 last AS (SELECT rsid, arg_max(p_value, line_no) AS p_value FROM pvalues GROUP BY rsid)""", body="""
 SELECT s.line_no, coalesce(c_name, '') AS gene_name, round(alt_score - ref_score, 6) AS delta_score,
   round(abs(1 / (1 + exp(-alt_score)) - 1 / (1 + exp(-ref_score))), 9) AS abs_shift, round(p_value, 9) AS p_value
-FROM scores s LEFT JOIN customer ON c_custkey = rsid AND c_acctbal >= 0 LEFT JOIN last USING (rsid)
+FROM scores s LEFT JOIN customer ON c_custkey * 2 = rsid LEFT JOIN last USING (rsid)
 """))
 def annotate_impacts_table(spark, sf_dir):
     s = X.score_rows(spark, sf_dir)
