@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +32,26 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder that driver and executors share.
 
-    Only where none is named (tests, a laptop) a temporary folder is made and set for
-    the rest of the session.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset it is the
+    warehouse, which every executor reaches as well. No machine-local folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ribospan-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     return configured.rstrip("/")
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh path in the shared folder; it is removed when the application ends."""
+    path = f"{shared_folder(spark)}/ribospan-{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -53,6 +60,6 @@ def materialize(df: DataFrame) -> DataFrame:
     knows the table's real size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ribospan-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

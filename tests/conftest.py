@@ -9,8 +9,9 @@ from ribospan.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session(4, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    s = session(4, shuffle_partitions=4, **{"spark.checkpoint.dir": str(shared)})
     yield s
     s.stop()
 
