@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribospan.llm import packing, records
+from ribospan.llm import fingerprints, language, lines, mixing, packing, records, secrets, simhash
 from ribospan.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from ribospan.llm.tokens import default_tokenizer
 
@@ -14,6 +14,36 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+@query(secrets.oracle())
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_report(table(spark, sf_dir, "documents"))
+
+
+@query(lines.ORACLE)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query(mixing.ORACLE)
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_round_trip(table(spark, sf_dir, "documents"), default_tokenizer())
