@@ -42,7 +42,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     Sources in code point order, null last, weigh ``weights`` in turn. ``share`` times all sizes
     is dealt out by weight; a target stops at ``most`` times its source's size and the excess is
     dealt out again by weight until none is above. With the sources in order of cap by weight
-    that is one level for all that are not capped: the first at which the level is below the cap.
+    that is one level for all that are not capped. The level that each source gives, if those
+    before it are capped, rises as long as the source is above its cap and falls from then on,
+    so the largest of them is the level sought.
     """
     cycle = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("rank") % len(weights) + 1)
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -55,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
          - F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         / F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)),
     )
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    level = F.max("level").over(everything)
     return leveled.select(
         "source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target")
     )
@@ -183,7 +185,7 @@ leveled AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
                       / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
             FROM ranked),
 targets AS (SELECT source, source_size,
-                   least(cap, min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight) AS target FROM leveled),
+                   least(cap, max(level) OVER () * weight) AS target FROM leveled),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
 placed AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, floor(p.ratio) AS whole, p.ratio - floor(p.ratio) AS p,
