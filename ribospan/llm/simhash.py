@@ -47,8 +47,8 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(hashes))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *carried: str) -> DataFrame:
+    """``carried, fp`` (the 64 bits as a signed long) of every row of ``docs(text, carried)``; longs are carried."""
 
     def run(found):
         import xxhash
@@ -56,17 +56,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         one = xxhash.xxh64_intdigest
         for batch in found:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 parts = shingle_bytes(text, shingle)
                 hashes = np.fromiter((one(p, 42) for p in parts), np.uint64, len(parts))
                 out.append(majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)))
             fp = np.concatenate(out or [np.empty(0, np.uint8)]).view(">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=[*carried, "fp"])
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), *[F.col(c).cast("long").alias(c) for c in carried]
     )
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*carried, "fp")))
 
 
 def variant_keys(fp: str = "fp"):
@@ -92,21 +92,46 @@ def answers(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mine & first & (np.bitwise_count(differ) <= RADIUS)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``."""
-    rows = materialize(fingerprints(docs, shingle))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def linked_roots(rows: DataFrame) -> DataFrame:
+    """``fp, root`` of every distinct ``fp`` of ``rows``: the same root for all that links connect."""
+    distinct = materialize(rows.select("fp").distinct())
     keyed = distinct.select("fp", F.explode(variant_keys()).alias("key"))
     found = links(keyed, ["fp"], answers).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
     roots = connected_components(found).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left")
-    linked = materialize(rooted.where(F.col("root").isNotNull()))
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    components = materialize(
-        linked.join(least, "root").select("fp", "component").unionByName(
-            rooted.where(F.col("root").isNull()).select("fp", F.col("least").alias("component"))
-        )
-    )
+    return materialize(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``."""
+    rows = materialize(fingerprints(docs, shingle, "doc_id"))
+    roots = linked_roots(rows)
+    # One row a fingerprint before roots are met, so copies do not gather under one root.
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    components = materialize(roots.join(component, "root").select("fp", "component_id"))
     return rows.join(components, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; all columns kept."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    doc_id = F.col("row").getField("doc_id").cast("long")
+    rows = rows.select("row", F.xxhash64(doc_id, F.col("row").getField("text")).alias("key"))
+    marks = fingerprints(
+        rows.select("key", F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), F.col("row").getField("text").alias("text")),
+        shingle, "key", "id",
+    )
+    marks = materialize(marks)
+    roots = linked_roots(marks)
+    first = marks.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("first"))
+    copies = marks.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    chosen = materialize(chosen.join(copies, "key"))
+    kept = rows.join(chosen.hint("shuffle_hash"), "key")
+    single = kept.where("copies = 1").select("row")
+    repeated = kept.where("copies > 1").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
