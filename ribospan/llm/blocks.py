@@ -216,7 +216,7 @@ def main_text(page: str, tree: tuple | float) -> tuple[str, int, int]:
     blocks = flat_blocks(page)
     none = ("", 0, 0.0, 0, 0)
     kept = []
-    for before, here, after in zip([none, *blocks[:-1]], blocks, [*blocks[1:], none], strict=True):
+    for before, here, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
         if decide(tree, (here[1], here[2], before[1], before[2], after[1], after[2], here[3], here[4])):
             kept.append(here[0])
     return "\n".join(kept), len(blocks), len(kept)

@@ -68,6 +68,9 @@ def _walk(tree) -> tuple[Strings, Query]:
         if strings is not None and len(run) * len(strings) <= MOST_STRINGS:
             run = {a + b for a in run for b in strings}
             continue
+        once = _walk(value[2])[0] if kind in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] else None
+        if once is not None and len(run) * len(once) <= MOST_STRINGS:  # a repeat begins with one copy
+            run = {a + b for a in run for b in once}
         query, whole = _both(_both(query, _of_strings(run)), inner), False
         run = strings if strings is not None else {""}
     if whole:
