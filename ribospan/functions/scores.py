@@ -126,7 +126,8 @@ def readable_name(name: str | Column) -> Column:
 
 
 def dynamic_score(dynamic: str | Column, common: str | Column, alpha: float = 0.5) -> Column:
-    return F.log1p(col(dynamic) + F.lit(alpha) * (col(dynamic) * col(common) + 1))
+    product = col(dynamic).cast("double") * col(common)
+    return F.log1p(col(dynamic) + F.lit(alpha) * (product + 1))
 
 
 def score_gate(score: str | Column, inclusive: bool = False) -> Column:

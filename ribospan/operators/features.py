@@ -21,29 +21,24 @@ DINUCLEOTIDE_PROPERTIES = [
     "shift", "slide", "rise", "tilt", "roll", "twist", "stacking_energy",
     "enthalpy", "entropy", "free_energy", "hydrophilicity",
 ]
-DINUCLEOTIDES = """
-AA -0.08 -1.27 3.18 -0.8  7    31 -13.7 -6.6  -18.4 -0.93 0.04
-AU -0.06 -1.36 3.24  1.1  7.1  33 -15.4 -5.7  -15.5 -1.1  0.14
-AC  0.23 -1.43 3.24  0.8  4.8  32 -13.8 -10.2 -26.2 -2.24 0.14
-AG -0.04 -1.5  3.3   0.5  8.5  30 -14   -7.6  -19.2 -2.08 0.08
-UA  0.07 -1.7  3.38  1.3  9.4  32 -14.2 -13.3 -35.5 -2.35 0.1
-UU  0.23 -1.43 3.24  0.8  4.8  32 -13.8 -10.2 -26.2 -2.24 0.27
-UC  0.07 -1.39 3.22  0    6.1  35 -16.9 -14.2 -34.9 -3.42 0.26
-UG -0.01 -1.78 3.32  0.3  12.1 32 -11.1 -12.2 -29.7 -3.26 0.17
-CA  0.11 -1.46 3.09  1    9.9  31 -14.4 -10.5 -27.8 -2.11 0.21
-CU -0.04 -1.5  3.3   0.5  8.5  30 -14   -7.6  -19.2 -2.08 0.52
-CC -0.01 -1.78 3.32  0.3  8.7  32 -11.1 -12.2 -29.7 -3.26 0.49
-CG  0.3  -1.89 3.3  -0.1  12.1 27 -15.6 -8    -19.4 -2.36 0.35
-GA -0.02 -1.45 3.26 -0.2  10.7 32 -16   -8.1  -22.6 -1.33 0.21
-GU -0.08 -1.27 3.18 -0.8  7    31 -13.7 -6.6  -18.4 -0.93 0.44
-GC  0.07 -1.7  3.38  1.3  9.4  32 -14.2 -10.2 -26.2 -2.35 0.48
-GG  0.11 -1.46 3.09  1    9.9  31 -14.4 -7.6  -19.2 -2.11 0.34
-"""
-
-
-def dinucleotide_table() -> dict[str, list[float]]:
-    rows = (line.split() for line in DINUCLEOTIDES.strip().splitlines())
-    return {row[0]: [float(x) for x in row[1:]] for row in rows}
+DINUCLEOTIDES = {
+    "AA": [-0.08, -1.27, 3.18, -0.8, 7, 31, -13.7, -6.6, -18.4, -0.93, 0.04],
+    "AU": [-0.06, -1.36, 3.24, 1.1, 7.1, 33, -15.4, -5.7, -15.5, -1.1, 0.14],
+    "AC": [0.23, -1.43, 3.24, 0.8, 4.8, 32, -13.8, -10.2, -26.2, -2.24, 0.14],
+    "AG": [-0.04, -1.5, 3.3, 0.5, 8.5, 30, -14, -7.6, -19.2, -2.08, 0.08],
+    "UA": [0.07, -1.7, 3.38, 1.3, 9.4, 32, -14.2, -13.3, -35.5, -2.35, 0.1],
+    "UU": [0.23, -1.43, 3.24, 0.8, 4.8, 32, -13.8, -10.2, -26.2, -2.24, 0.27],
+    "UC": [0.07, -1.39, 3.22, 0, 6.1, 35, -16.9, -14.2, -34.9, -3.42, 0.26],
+    "UG": [-0.01, -1.78, 3.32, 0.3, 12.1, 32, -11.1, -12.2, -29.7, -3.26, 0.17],
+    "CA": [0.11, -1.46, 3.09, 1, 9.9, 31, -14.4, -10.5, -27.8, -2.11, 0.21],
+    "CU": [-0.04, -1.5, 3.3, 0.5, 8.5, 30, -14, -7.6, -19.2, -2.08, 0.52],
+    "CC": [-0.01, -1.78, 3.32, 0.3, 8.7, 32, -11.1, -12.2, -29.7, -3.26, 0.49],
+    "CG": [0.3, -1.89, 3.3, -0.1, 12.1, 27, -15.6, -8, -19.4, -2.36, 0.35],
+    "GA": [-0.02, -1.45, 3.26, -0.2, 10.7, 32, -16, -8.1, -22.6, -1.33, 0.21],
+    "GU": [-0.08, -1.27, 3.18, -0.8, 7, 31, -13.7, -6.6, -18.4, -0.93, 0.44],
+    "GC": [0.07, -1.7, 3.38, 1.3, 9.4, 32, -14.2, -10.2, -26.2, -2.35, 0.48],
+    "GG": [0.11, -1.46, 3.09, 1, 9.9, 31, -14.4, -7.6, -19.2, -2.11, 0.34],
+}
 
 
 def _lookup(table: dict[str, list[float]], key: Column) -> Column:
@@ -56,11 +51,11 @@ def _lookup(table: dict[str, list[float]], key: Column) -> Column:
 
 
 def chemistry_features(rna: str | Column, length: int = WINDOW) -> Column:
-    """Array over ``length`` positions of three channels; padding has only the last channel set."""
+    """Array of three channels over the sequence, padded to ``length`` positions; padding has only the last channel set."""
     return let(
         rna,
         lambda s: F.transform(
-            F.sequence(F.lit(1), F.lit(length)),
+            F.sequence(F.lit(1), F.greatest(F.lit(length), F.length(s))),
             lambda i: F.when(
                 i > F.length(s), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
             ).otherwise(_lookup(CHEMISTRY, char_at(s, i))),
@@ -69,13 +64,13 @@ def chemistry_features(rna: str | Column, length: int = WINDOW) -> Column:
 
 
 def dinucleotide_features(rna: str | Column, length: int = WINDOW) -> Column:
-    """Array over ``length`` positions of eleven properties / window length; zeros without a pair."""
-    scaled = {k: [v / WINDOW for v in row] for k, row in dinucleotide_table().items()}
+    """Array of eleven properties / ``length`` over the sequence, padded to ``length`` positions; zeros without a pair."""
+    scaled = {k: [v / length for v in row] for k, row in DINUCLEOTIDES.items()}
     zeros = F.array(*[F.lit(0.0)] * len(DINUCLEOTIDE_PROPERTIES))
     return let(
         rna,
         lambda s: F.transform(
-            F.sequence(F.lit(1), F.lit(length)),
+            F.sequence(F.lit(1), F.greatest(F.lit(length), F.length(s))),
             lambda i: F.when(
                 i < F.length(s), _lookup(scaled, F.substr(s, i, F.lit(2)))
             ).otherwise(zeros),

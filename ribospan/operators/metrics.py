@@ -58,9 +58,9 @@ def pr_points(df: DataFrame, by: list[str], label: str = "label", prob: str = "p
 def _area_columns() -> dict[str, Column]:
     pos, neg = F.col("pos"), F.col("neg")
     gain = F.try_divide(pos.cast("double"), F.col("pos_total"))
-    pairs = (F.col("pos_total") * F.col("neg_total")).cast("double")
+    pairs = F.col("pos_total").cast("double") * F.col("neg_total")
     return {
-        "roc_auc": F.sum(F.try_divide(neg * (F.col("pos_before") + pos / 2.0), pairs)),
+        "roc_auc": F.sum(F.try_divide(neg.cast("double") * (F.col("pos_before") + pos / 2.0), pairs)),
         "pr_auc": F.sum(gain * (F.col("precision") + F.col("precision_before")) / 2.0),
         "average_precision": F.sum(gain * F.col("precision")),
     }

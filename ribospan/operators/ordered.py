@@ -4,9 +4,10 @@ A window ``partitionBy(group)`` puts a whole group into one task. Ranks,
 cumulative counts, exact quantiles and ROC points are needed for groups that may
 hold a third of the data, so every running total here is two-level:
 
-1. a few hundred *cut points* are taken from the data (the keys with the smallest
-   hashes, so the choice depends on the data only and is the same wherever the
-   plan is evaluated again);
+1. a few hundred *cut points* are taken from the data (the keys whose hash is below
+   a threshold that follows the number of rows, so about as many rows as cuts leave
+   the scan in all, and the choice depends on the data only and is the same wherever
+   the plan is evaluated again);
 2. each row gets the slice between two cuts, and the plain window runs inside
    ``(group, slice)``;
 3. per-slice totals, at most one row per group plus one per cut, are accumulated
@@ -39,11 +40,13 @@ def with_slice(
     tier = _fanout(df)
     n_cuts = tier * tier - 1
     keys = [*group, *order]
-    # Sorting on every column keeps them all in this branch, so the shuffle below
-    # it is the same plan as in the main branch and is reused, not run twice.
+    # Hashing every column keeps them all in these branches, so the shuffle below
+    # is the same plan as in the main branch and is reused, not run again.
+    every = F.xxhash64(*df.columns).isNotNull()
+    size = df.agg(F.count(F.when(every, 1)).alias("n")).select(F.greatest("n", F.lit(1)))
+    below = F.lit(float(n_cuts) * 2**31) / size.scalar()
     cuts = (
-        df.orderBy(F.xxhash64(*keys), *df.columns)
-        .limit(n_cuts)
+        df.where(every & (F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < below))
         .agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("cuts"))
         .select(
             F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import scores as SC
 from ribospan.functions.core import string_map
-from ribospan.operators.ordered import exact_quantiles
+from ribospan.operators.ordered import exact_quantiles, running_sums
 
 # ---------------------------------------------------------------- lookups
 
@@ -19,9 +19,13 @@ def attach_pvalue(scores: DataFrame, pvalues: DataFrame, order: str) -> DataFram
     return scores.join(last, "rsid", "left")
 
 
-def attach_gene_symbol(scores: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Left lookup of ``gene_name``; missing is the empty string."""
-    return scores.join(symbols.select("gene", "gene_name"), "gene", "left").withColumn(
+def attach_gene_symbol(scores: DataFrame, symbols: DataFrame, order: str | None = None) -> DataFrame:
+    """Left lookup of ``gene_name``; missing is the empty string.
+
+    Of a gene listed twice the last by ``order`` wins, without an order the greatest name.
+    """
+    last = symbols.groupBy("gene").agg(F.max_by("gene_name", order or "gene_name").alias("gene_name"))
+    return scores.join(last, "gene", "left").withColumn(
         "gene_name", F.coalesce("gene_name", F.lit(""))
     )
 
@@ -386,14 +390,14 @@ def pivot_matrix(df: DataFrame, row: str, column: str, value: str, columns: list
     return wide.withColumn("row_total", total)
 
 
-def columns_by_total(df: DataFrame, column: str, value: str, limit: int = 1000) -> list[str]:
-    """Column names by descending total; refuses more names than a table should have."""
-    rows = (
-        df.groupBy(column).agg(F.sum(value).alias("t")).orderBy(F.desc("t"), column).limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct values in {column}: keep the table long")
-    return [r[0] for r in rows]
+def columns_by_total(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The values of ``column`` with their totals and their ``place`` by descending total.
+
+    Stays a table: a caller that wants a wide one names the columns it takes.
+    """
+    totals = df.groupBy(column).agg(F.sum(value).alias("total")).withColumn("_down", -F.col("total"))
+    ranked = running_sums(totals.withColumn("_one", F.lit(1)), [], ["_down", column], ["_one"])
+    return ranked.select(column, "total", (F.col("_one_before") + 1).alias("place"))
 
 
 def unpivot_long(df: DataFrame, ids: list[str], columns: list[str], drop_null: bool = True) -> DataFrame:

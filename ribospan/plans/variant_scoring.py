@@ -21,21 +21,13 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def kmer_logit(seq: str | Column, k: int, weights: Column, bias: Column) -> Column:
     """``bias`` plus the weight of every k-mer occurrence (``map<kmer, weight>``), no sigmoid."""
-    start = bias.cast("double")
-    if 4**k > 256:
-        return let(
-            S.kmers(seq, k),
-            lambda grams: F.aggregate(
-                grams, start, lambda acc, g: acc + F.coalesce(F.try_element_at(weights, g), F.lit(0.0))
-            ),
-        )
-    # Few distinct k-mers: go over the weights and count each one's occurrences by
-    # deleting it from the separated text, instead of searching the map per position.
+    # Go over the weights and count each k-mer's occurrences by deleting it from the separated
+    # text, instead of searching the map per position. Keys of another length are no k-mers.
     return let(
         F.array_join(S.kmers(seq, k), "|"),
         lambda joined: F.aggregate(
-            F.map_entries(weights),
-            start,
+            F.filter(F.map_entries(weights), lambda e: F.length(e["key"]) == k),
+            bias.cast("double"),
             lambda acc, e: acc
             + e["value"] * (F.length(joined) - F.length(F.replace(joined, e["key"]))) / F.lit(float(k)),
         ),

@@ -32,6 +32,11 @@ def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.size("lines") > 0)
 
 
+def _checked(ok: Column, message: Column) -> Column:
+    """A filter that fails the job on a row that is not ``ok``, whichever columns are read."""
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def read_triplet_fasta(
     spark: SparkSession, path: str, label: int | None = None, strict: bool = True
 ) -> DataFrame:
@@ -64,10 +69,8 @@ def read_triplet_fasta(
     )
     if not strict:
         return out
-    checked = F.when(F.col("bad_reason").isNull(), F.col("seq")).otherwise(
-        F.raise_error(F.concat(F.col("dataset_id"), F.lit(": "), F.col("bad_reason"), F.lit(" at "), F.col("rec_id")))
-    )
-    return out.withColumn("seq", checked).drop("bad_reason")
+    message = F.concat(F.col("dataset_id"), F.lit(": "), F.col("bad_reason"), F.lit(" at "), F.col("rec_id"))
+    return out.where(_checked(F.col("bad_reason").isNull(), message)).drop("bad_reason")
 
 
 def read_labeled_pair(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
@@ -139,12 +142,8 @@ def read_structure_profiles(
     long = rows.select("dataset_id", "rec_id", F.posexplode("rows").alias("i", "text"))
     profile = F.transform(F.split("text", r"\s+"), lambda x: x.cast("double"))
     if length is not None:
-        profile = let(
-            profile,
-            lambda p: F.when(F.size(p) == length, p).otherwise(
-                F.raise_error(F.lit(f"structure row does not have {length} values"))
-            ),
-        )
+        message = F.lit(f"structure row does not have {length} values")
+        long = long.where(_checked(F.size(F.split("text", r"\s+")) == length, message))
     return long.select(
         "dataset_id", "rec_id", F.element_at(names, F.col("i") + 1).alias("structure_type"),
         profile.alias("profile"),
@@ -224,6 +223,14 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return named.select("d.rbp", "d.cell", "chrom", "start", "end")
 
 
+def _with_one_header(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Text columns of files that all have the same header; another header is an error.
+
+    Without the check the first file's header would be taken for all of them.
+    """
+    return spark.read.csv(path, sep=sep, header=True, enforceSchema=False)
+
+
 def read_summary_stats(
     spark: SparkSession, path: str, columns: dict[str, str], p_value: str = "p_value"
 ) -> DataFrame:
@@ -231,7 +238,7 @@ def read_summary_stats(
 
     Comma decimals are accepted in the p-value; rows without one are dropped.
     """
-    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = _with_one_header(spark, path, "\t")
     missing = set(columns) - set(raw.columns)
     if missing:
         raise ValueError(f"missing required columns: {sorted(missing)}")
@@ -244,7 +251,7 @@ def read_eqtl(spark: SparkSession, path: str, rename: dict[str, str], partitions
 
     A gzip file is one task, so rows are spread out right after the read.
     """
-    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = _with_one_header(spark, path, "\t")
     missing = set(rename) - set(raw.columns)
     if missing:
         raise ValueError(f"missing required columns: {sorted(missing)}")
@@ -347,7 +354,7 @@ def read_best_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_variant_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog CSV with ``RBP_list`` and ``ClinVar_CLNDN``; adds the variant key."""
-    raw = spark.read.csv(path, header=True)
+    raw = _with_one_header(spark, path, ",")
     missing = {"CHROM", "POS", "REF", "ALT", "RBP_list", "ClinVar_CLNDN"} - set(raw.columns)
     if missing:
         raise ValueError(f"missing required columns: {sorted(missing)}")
@@ -400,12 +407,12 @@ def read_position_rows(spark: SparkSession, path: str, motifs: list[str]) -> Dat
         lines.alias("l"),
     ).withColumn(
         "l",
-        F.when(F.size("l") >= len(motifs), F.col("l")).otherwise(
-            F.raise_error(F.concat(F.lit("too few rows in "), F.col("dataset_id")))
+        F.when(F.size("l") == len(motifs), F.col("l")).otherwise(
+            F.raise_error(F.concat(F.lit("not a row for each motif in "), F.col("dataset_id")))
         ),
     )
     names = F.array(*[F.lit(m) for m in motifs])
-    rows = staged.select("dataset_id", F.posexplode(F.slice("l", 1, len(motifs))).alias("i", "text"))
+    rows = staged.select("dataset_id", F.posexplode("l").alias("i", "text"))
     return rows.select(
         "dataset_id", F.element_at(names, F.col("i") + 1).alias("motif"),
         F.explode(F.split("text", ",")).alias("d"),
@@ -430,21 +437,31 @@ def read_category_lists(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def checksum_audit(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """sha256 of each file against a ``<digest>  <name>`` manifest: ok, mismatch or missing.
+def checksum_audit(
+    spark: SparkSession, manifest: str, folder: str, most_bytes: int = (1 << 31) - 1
+) -> DataFrame:
+    """sha256 of each file against a ``<digest>  <name>`` manifest: ok, mismatch, missing or too_large.
 
-    Files go through the binary source, which limits one file to 2 GiB.
+    The binary source reads a file into one value of at most 2 GiB; a larger file is listed by
+    its size alone and reported as ``too_large``.
     """
     wanted = spark.read.text(manifest).where(F.trim("value") != "").select(
         F.element_at(F.split(F.trim("value"), r"\s+"), 1).alias("expected"),
         F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("name"),
     )
-    found = spark.read.format("binaryFile").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual")
+    files = spark.read.format("binaryFile").load(folder)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    found = files.where(F.col("length") < most_bytes).select(
+        name, F.sha2("content", 256).alias("actual"), F.lit(False).alias("large")
+    ).unionByName(
+        files.where(F.col("length") >= most_bytes).select(
+            name, F.lit(None).cast("string").alias("actual"), F.lit(True).alias("large")
+        )
     )
     return wanted.join(found, "name", "left").select(
         "name", "expected", "actual",
-        F.when(F.col("actual").isNull(), "missing")
+        F.when(F.col("large"), "too_large")
+        .when(F.col("actual").isNull(), "missing")
         .when(F.lower("expected") == F.col("actual"), "ok")
         .otherwise("mismatch")
         .alias("status"),

@@ -33,14 +33,17 @@ def append_scores(df: DataFrame, path: str, line: Column | None = None) -> None:
         df.select(line.alias("value")).write.mode("append").text(path)
 
 
-def write_motif_instances(df: DataFrame, path: str) -> None:
+def write_motif_instances(df: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
     """Instances under ``dataset_id=/motif=`` folders.
 
-    Rows are spread by (dataset, motif) and a hash of the record, so one popular motif
-    is written by several tasks.
+    Rows are spread by (dataset, motif) and a share of the motif's rows of about
+    ``file_rows``: a rare motif is one file, a popular one is written by as many tasks as it
+    has shares.
     """
-    spread = F.pmod(F.xxhash64("rec_id", "start"), F.lit(16))
-    df.repartition(F.col("dataset_id"), F.col("motif"), spread).write.mode("overwrite").partitionBy(
+    keys = ["dataset_id", "motif"]
+    shares = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_shares"))
+    shared = df.join(shares, keys).withColumn("_share", F.pmod(F.xxhash64("rec_id", "start"), F.col("_shares")))
+    shared.repartition(*keys, "_share").drop("_shares", "_share").write.mode("overwrite").partitionBy(
         "dataset_id", "motif"
     ).parquet(path)
 

@@ -18,19 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A small parquet file is one task; spread its rows before they are exploded.
-
-    Only when the scan has fewer partitions than the session has cores; a cluster-sized
-    table is left as it is scanned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, doc_id, rbp, cell, dataset_id, label, seq)."""
-    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    # Dealt out by id, so that a small file of long texts is not one task.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
     letters = F.translate(
         F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES
     )

@@ -23,18 +23,21 @@ def attach_pvalue_last(spark, sf_dir):
 
 
 def _symbols(spark, sf_dir):
-    c = X.table(spark, sf_dir, "customer")
-    # Even numbers only, so that odd genes have no symbol.
-    return c.select((F.col("c_custkey") * 2).alias("gene"), F.col("c_name").alias("gene_name"))
+    # Even numbers only, so that odd genes have no symbol; three customers share each one.
+    gene = (F.floor(F.col("c_custkey") / 3) * 2).alias("gene")
+    return X.table(spark, sf_dir, "customer").select(
+        gene, F.col("c_name").alias("gene_name"), F.col("c_custkey").alias("line_no")
+    )
 
 
-@query(with_ctes(SCORES, body="""
-SELECT line_no, coalesce(c_name, '') AS gene_name
-FROM scores LEFT JOIN customer ON c_custkey * 2 = rsid
+@query(with_ctes(SCORES, """
+symbols AS (SELECT c_custkey // 3 * 2 AS gene, arg_max(c_name, c_custkey) AS gene_name FROM customer GROUP BY 1)""", body="""
+SELECT line_no, coalesce(gene_name, '') AS gene_name
+FROM scores LEFT JOIN symbols ON gene = rsid
 """))
 def attach_gene_symbol(spark, sf_dir):
     s = X.score_rows(spark, sf_dir).withColumn("gene", F.col("rsid"))
-    return T.attach_gene_symbol(s, _symbols(spark, sf_dir)).select("line_no", "gene_name")
+    return T.attach_gene_symbol(s, _symbols(spark, sf_dir), "line_no").select("line_no", "gene_name")
 
 
 TISSUES = {"click": "1-URGENT", "view": "2-HIGH", "purchase": "3-MEDIUM", "signup": "3-MEDIUM"}

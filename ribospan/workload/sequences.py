@@ -198,7 +198,7 @@ def chemistry_totals(spark, sf_dir):
 def _property_sql() -> str:
     rows = ", ".join(
         "(" + f"'{k}', " + ", ".join(repr(float(x)) + "::DOUBLE" for x in v) + ")"
-        for k, v in FE.dinucleotide_table().items()
+        for k, v in FE.DINUCLEOTIDES.items()
     )
     names = ", ".join(FE.DINUCLEOTIDE_PROPERTIES)
     means = ", ".join(f"round(sum({p} / 101) / count(*), 9) AS {p}" for p in FE.DINUCLEOTIDE_PROPERTIES)
@@ -250,7 +250,7 @@ def _encoded_sql() -> str:
     """Totals per feature column, computed column family by column family."""
     props = ", ".join(
         "(" + f"'{k}', {j}, {float(x)!r}::DOUBLE" + ")"
-        for k, v in FE.dinucleotide_table().items()
+        for k, v in FE.DINUCLEOTIDES.items()
         for j, x in enumerate(v)
     )
     vocab = []

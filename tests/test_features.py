@@ -13,7 +13,7 @@ SEQ = "ACGUUGCAAC" * 10 + "G"
 
 def dense(seq, length=101):
     """Plain Python statement of the 99 features."""
-    table = FE.dinucleotide_table()
+    table = FE.DINUCLEOTIDES
     m = [[0.0] * 99 for _ in range(length)]
     for i in range(length):
         if i < len(seq):
@@ -100,3 +100,12 @@ def test_scale_and_winsorize(spark):
     assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in m)
     w = K.winsorize(df, "v").agg(F.min("v"), F.max("v")).collect()[0]
     assert (w[0], w[1]) == pytest.approx((1.0, 99.0), abs=1.0)
+
+
+def test_records_longer_than_the_padding_keep_all_positions(spark):
+    df = spark.createDataFrame([(1, "ACGU" * 50)], ["rec_id", "seq"])
+    last = {r["f"]: r["p"] for r in FE.encode_features(df, ["rec_id"]).groupBy((F.col("feature")).alias("f")).agg(F.max("pos").alias("p")).collect()}
+    assert {last[f] for f in range(15)} == {199}
+    short = spark.createDataFrame([(1, "AA")], ["rec_id", "seq"])
+    row = short.select(FE.dinucleotide_features("seq", 4).alias("v")).first()["v"]
+    assert len(row) == 4 and row[0][2] == pytest.approx(3.18 / 4)

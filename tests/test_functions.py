@@ -143,3 +143,9 @@ def test_score_rules(one):
     assert one(SC.comma_decimal(F.lit("0,05"))) == 0.05
     assert one(SC.volcano_class(F.lit(0.01), F.lit(-2.0))) == "Down-regulated"
     assert one(SC.maf_bucket(F.lit(0.01))) == "0.001-0.05"
+
+
+def test_dynamic_score_of_large_counts(one):
+    big = 4_000_000_000
+    got = one(SC.dynamic_score("d", "c"), d=big, c=big)
+    assert got == pytest.approx(math.log1p(big + 0.5 * (float(big) * big + 1)))

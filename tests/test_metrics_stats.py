@@ -177,3 +177,14 @@ def test_best_epoch_first_tie_and_stop(spark):
     assert (r["best_epoch"], r["best_auc"]) == (6, 0.9)
     stopped = ST.best_epoch(df, patience=2).collect()[0]
     assert (stopped["best_epoch"], stopped["last_epoch"]) == (2, 5)
+
+
+def test_areas_with_billions_of_rows(spark):
+    big = 4_000_000_000
+    # Half of the positives above all negatives, half below: the area is one half.
+    rows = [(0.9, big, 0, 0, 0, 2 * big, 2 * big), (0.5, 0, 2 * big, big, 0, 2 * big, 2 * big), (0.1, big, 0, big, 2 * big, 2 * big, 2 * big)]
+    names = ["score", "pos", "neg", "pos_before", "neg_before", "pos_total", "neg_total"]
+    curve = M._curve(spark.createDataFrame(rows, names), [])
+    areas = {k: v.alias(k) for k, v in M._area_columns().items()}
+    got = curve.agg(*areas.values()).first()
+    assert got["roc_auc"] == pytest.approx(0.5) and got["average_precision"] == pytest.approx(0.75)

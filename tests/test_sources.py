@@ -158,8 +158,10 @@ def test_position_rows(spark, tmp_path):
     path = put(tmp_path, "BUD13_K562_relative_positions.txt", "1,2,x\n-3,\n4\n")
     rows = R.read_position_rows(spark, path, ["AGGU", "UGUGU", "AGG"]).collect()
     assert sorted((r["motif"], r["distance"]) for r in rows) == [("AGG", 4.0), ("AGGU", 1.0), ("AGGU", 2.0), ("UGUGU", -3.0)]
-    with pytest.raises(Exception, match="too few rows"):
+    with pytest.raises(Exception, match="not a row for each motif"):
         R.read_position_rows(spark, put(tmp_path / "s", "a.txt", "1\n"), ["A", "B"]).collect()
+    with pytest.raises(Exception, match="not a row for each motif"):
+        R.read_position_rows(spark, path, ["A", "B"]).collect()
 
 
 def test_checksums(spark, tmp_path):
@@ -169,6 +171,34 @@ def test_checksums(spark, tmp_path):
     manifest = put(tmp_path, "m.sha256", f"{digest('one')} a.zip\n{digest('x')} b.zip\n{digest('y')} c.zip\n")
     got = {r["name"]: r["status"] for r in R.checksum_audit(spark, manifest, str(tmp_path / "f")).collect()}
     assert got == {"a.zip": "ok", "b.zip": "mismatch", "c.zip": "missing"}
+    tiny = R.checksum_audit(spark, manifest, str(tmp_path / "f"), most_bytes=3).collect()
+    assert {r["name"]: r["status"] for r in tiny} == {"a.zip": "too_large", "b.zip": "too_large", "c.zip": "missing"}
+
+
+def test_files_with_another_header_are_an_error(spark, tmp_path):
+    put(tmp_path / "g", "a.tsv", "variant_id\tp_value\nrs1\t0.5\n")
+    put(tmp_path / "g", "b.tsv", "p_value\tvariant_id\n0.1\trs2\n")
+    names = {"variant_id": "rsid", "p_value": "p_value"}
+    with pytest.raises(Exception, match="header"):
+        R.read_summary_stats(spark, str(tmp_path / "g"), names).collect()
+    with pytest.raises(Exception, match="header"):
+        R.read_eqtl(spark, str(tmp_path / "g"), {"variant_id": "rsid", "p_value": "pval_nominal"}).collect()
+    head = "CHROM,POS,REF,ALT,RBP_list,ClinVar_CLNDN\n1,5,A,G,X,d\n"
+    put(tmp_path / "h", "a.csv", head)
+    put(tmp_path / "h", "b.csv", head.replace("REF,ALT", "ALT,REF"))
+    with pytest.raises(Exception, match="header"):
+        R.read_variant_catalog(spark, str(tmp_path / "h")).collect()
+
+
+def test_strict_checks_hold_for_any_columns(spark, tmp_path):
+    path = put(tmp_path / "t", "A_K562_pos.fa", ">r1\nACGU\n1,2\n")
+    for read in (lambda d: d.count(), lambda d: d.select("rec_id", "track").collect()):
+        with pytest.raises(Exception, match="length mismatch"):
+            read(R.read_triplet_fasta(spark, path))
+    rows = "\n".join("0.1\t0.2" for _ in range(5))
+    profile = put(tmp_path / "p", "A_K562.txt", f">r1\n{rows}\n")
+    with pytest.raises(Exception, match="does not have 101 values"):
+        R.read_structure_profiles(spark, profile).select("rec_id").collect()
 
 
 def test_append_formats(spark, tmp_path):

@@ -95,3 +95,11 @@ def test_stream_equals_batch(spark, records, models, tmp_path):
     cols = ["dataset_id", "header", "model_id", "score"]
     batch = P.score_gwas(records, models, scorer=P.linear_scorer(2)).select(*cols)
     assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_kmer_logit_ignores_keys_of_another_length(spark):
+    from ribospan.plans.variant_scoring import kmer_logit
+
+    df = spark.createDataFrame([("AAAAAAAA", {"A": 1.0, "AA": 0.5, "AAAAA": 2.0})], "s string, w map<string,double>")
+    for k, want in ((1, 9.0), (2, 4.5), (4, 1.0), (5, 9.0)):
+        assert df.select(kmer_logit("s", k, F.col("w"), F.lit(1.0)).alias("x")).first()["x"] == want
