@@ -44,8 +44,8 @@ class Encoder:
         ])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.max_words = max_words
-        self.inner: dict[str, bytes] = {}  # words after a space, with it
-        self.first: dict[str, bytes] = {}  # words at the start of a line
+        # Words after a space, with it; a word that starts a line has the line feed before it.
+        self.known: dict[str, bytes] = {}
         self.feed, self.stop, self.comma = self._whole(["\n", ".", ","])
         vocabulary = self.tokenizer.get_vocab()
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
@@ -58,29 +58,34 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def _joined(self, words: list[str], mark: str, tokenizer, starts: np.ndarray, keep: int) -> list[bytes]:
-        """Ids of each word; the tokens in ``starts`` begin one. ``keep`` 0: without that token."""
-        parts = [mark + mark.join(words[i : i + 64]) for i in range(0, len(words), 64)]
+    def _joined(self, words: list[str], mark: str, tokenizer, starts: np.ndarray) -> None:
+        """Learn words that all follow ``mark``; the tokens in ``starts``, and no others, begin one."""
+        parts = ["".join([mark + w for w in words[i : i + 64]]) for i in range(0, len(words), 64)]
         found = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         ids = np.array([i for e in found for i in e.ids], self.dtype)
-        cuts, size, raw = np.append(np.flatnonzero(starts[ids]), len(ids)), self.dtype.itemsize, ids.tobytes()
-        begin, end = ((cuts[:-1] + (1 - keep)) * size).tolist(), (cuts[1:] * size).tolist()
-        return [raw[i:j] for i, j in zip(begin, end, strict=True)]
-
-    def _learn(self, inner: set[str], first: set[str]) -> None:
-        ended = [w for w in inner if w[-1] in ".," and w[:-1].isalpha()]
-        stems = {w[:-1] for w in ended} - self.inner.keys()
-        others = inner.difference(ended)
-        plain = list(stems.union(w for w in others if w.isalpha()))
-        rest = [w for w in others if not w.isalpha()]
-        for words, tokenizer in ((plain, self.letters), (rest, self.tokenizer)):
-            self.inner.update(zip(words, self._joined(words, " ", tokenizer, self.opens, 1), strict=True))
+        cuts, raw = (np.append(np.flatnonzero(starts[ids]), len(ids)) * self.dtype.itemsize).tolist(), ids.tobytes()
+        keys = words if mark == " " else [mark + w for w in words]
+        self.known.update(zip(keys, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        known, letters, others, first, ended = self.known, set(), [], [], []
+        for w in new:
+            if w.isalpha():
+                letters.add(w)
+            elif w[0] == "\n":
+                first.append(w[1:])
+            elif w[-1] in ".," and w[:-1].isalpha():
+                ended.append(w)
+                if w[:-1] not in known:
+                    letters.add(w[:-1])
+            else:
+                others.append(w)
+        self._joined(list(letters), " ", self.letters, self.opens)
+        self._joined(others, " ", self.tokenizer, self.opens)
+        self._joined([w for w in first if w], "\n", self.tokenizer, self.feeds)
+        known["\n"] = self.feed
         for w in ended:
-            self.inner[w] = self.inner[w[:-1]] + (self.stop if w[-1] == "." else self.comma)
-        first.discard("")
-        words = list(first)
-        self.first[""] = b""
-        self.first.update(zip(words, self._joined(words, "\n", self.tokenizer, self.feeds, 0), strict=True))
+            known[w] = known[w[:-1]] + (self.stop if w[-1] == "." else self.comma)
 
     @staticmethod
     def _in_one_piece(text: str) -> bool:
@@ -92,23 +97,31 @@ class Encoder:
             or "\n\n" in text
             or text[:1] == " "
             or text[-1:] == " "
-            or _OTHER_SPACE.search(text) is not None
+            or (not text.replace("\n", " ").isprintable() and _OTHER_SPACE.search(text) is not None)
         )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines = [None if self._in_one_piece(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        whole = iter(self._whole([t for t, x in zip(texts, lines, strict=True) if x is None]))
-        heads = {w[0] for x in lines if x for w in x}
-        used = set().union(*(w[1:] for x in lines if x for w in x))
-        if len(self.inner) + len(self.first) + len(used) > self.max_words:
-            self.inner.clear()
-            self.first.clear()
-        self._learn(used - self.inner.keys(), heads - self.first.keys())
-        inner, first = self.inner.__getitem__, self.first
-        return [
-            next(whole) if x is None else self.feed.join([first[w[0]] + b"".join(map(inner, w[1:])) for w in x])
-            for x in lines
-        ]
+        whole = [self._in_one_piece(t) for t in texts]
+        words, ends = [], []
+        for text, w in zip(texts, whole, strict=True):
+            if not w:  # as if a line feed came before; its token is cut off again below
+                words += ("\n" + text.replace("\n", " \n")).split(" ")
+            ends.append(len(words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            open_at, k = [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                open_at.append(k)
+            new = {words[k] for k in open_at}
+            if len(self.known) + len(new) > self.max_words:
+                self.known.clear()
+            self._learn(new)
+            for k in open_at:
+                ids[k] = self.known[words[k]]
+        rest, cut = iter(self._whole([t for t, w in zip(texts, whole, strict=True) if w])), len(self.feed)
+        starts = [0, *ends[:-1]]
+        return [next(rest) if w else b"".join(ids[i:j])[cut:] for w, i, j in zip(whole, starts, ends, strict=True)]
 
 
 def encoder(path: str, **options) -> Encoder:
