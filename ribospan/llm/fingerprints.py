@@ -1,7 +1,9 @@
 """Document fingerprints: SimHash over weighted terms, searched through permuted block tables.
 
 Terms are shingles of five words, weighted by how often they occur; each votes with its 128-bit
-hash on every bit, and a bit is set where the votes for it win. The likeness of two fingerprints
+hash on every bit, and a bit is set where the votes for it win. Short texts have few shingles, so
+there the votes are shared with character 4-grams: all of them at no words, none from
+``SHORT_WORDS`` = 40 words on. The likeness of two fingerprints
 is the cosine of their term vectors as the differing bits estimate it, ``cos(pi * d / 128)``, and
 0 beyond a right angle.
 
@@ -26,21 +28,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribospan.llm.hamming import links
-from ribospan.llm.simhash import majority, shingle_bytes
+from ribospan.llm.simhash import shingle_bytes
 from ribospan.session import materialize
 
 BITS = 128
 RADIUS = 3
 TERM_WORDS = 5
+SHORT_WORDS = 40
 
 
-def fingerprint(text: bytes) -> bytes:
-    """The 16 bytes of a text's fingerprint."""
+def _share(parts: list[bytes]) -> np.ndarray:
+    """Share of the terms' votes for each bit."""
     import xxhash
 
-    parts = shingle_bytes(text, TERM_WORDS)
     raw = b"".join([xxhash.xxh3_128_digest(p) for p in parts])
-    return majority(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)).tobytes()
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8), axis=1).mean(axis=0)
+
+
+def fingerprint(text: bytes) -> bytes:
+    """The 16 bytes of a text's fingerprint."""
+    parts = shingle_bytes(text, TERM_WORDS)
+    if not parts:
+        return bytes(BITS // 8)
+    votes, n = _share(parts), len(parts) + TERM_WORDS - 1
+    if n < SHORT_WORDS:
+        line = b" ".join(text.lower().split())
+        grams = [line[i : i + 4] for i in range(max(1, len(line) - 3))]
+        votes = (n * votes + (SHORT_WORDS - n) * _share(grams)) / SHORT_WORDS
+    return np.packbits(votes > 0.5).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
