@@ -1,41 +1,70 @@
 """Train, validate and transfer one linear k-mer model per dataset, all in one fit.
 
-Every feature is crossed with its dataset (``<dataset>|<kmer>`` tokens), so one logistic
-regression over sparse token counts fits the per-dataset models side by side; the
-rows are never grouped by dataset.
+Models are rows of a table ``(dataset_id, w array, b)``. A step of the fit is one pass over the
+records: each one meets its dataset's row, and the gradient is a sum by dataset, formed in the
+tasks before it moves. Neither names nor coefficients pass through the driver, and the number of
+datasets has no bound.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
+from ribospan.functions.core import let
 from ribospan.operators.metrics import binary_metrics
 from ribospan.operators.splits import stratified_split3
 from ribospan.plans.variant_scoring import kmer_logit
 from ribospan.session import materialize
 
-MAX_VOCABULARY = 5_000_000
-BIAS = "bias"
 
+def kmer_counts(seq: str | Column, k: int) -> Column:
+    """Occurrences of every k-mer, in the order of :func:`vocabulary_kmers`."""
+    names = F.array(*[F.lit(g) for g in S.vocabulary_kmers(k)])
+    return let(
+        F.array_join(S.kmers(S.normalize_rna(seq), k), "|"),
+        lambda joined: F.transform(
+            names, lambda g: (F.length(joined) - F.length(F.replace(joined, g))) / F.lit(float(k))
+        ),
+    )
 
-def _tokens(k: int, dataset: str = "dataset_id"):
-    grams = F.concat(S.kmers(S.normalize_rna("seq"), k), F.array(F.lit(BIAS)))
-    return F.transform(grams, lambda g: F.concat(F.col(dataset), F.lit("|"), g))
 
+def standardised(train: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Records ``(dataset_id, label, x)`` with counts as deviations, and each dataset's means and deviations."""
+    raw = train.select("dataset_id", F.col("label").cast("double").alias("label"), kmer_counts("seq", k).alias("c"))
+    raw = materialize(raw.where(F.col("label").isNotNull() & F.col("dataset_id").isNotNull()))
+    cells = range(4**k)
+    each = lambda f: F.array(*[f(F.col("c")[i]) for i in cells])
+    scales = raw.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), each(F.avg).alias("mean"), each(F.stddev_pop).alias("raw_sd")
+    )
+    # A k-mer that never varies says nothing: its deviation counts as 1 and its x is 0.
+    sd = F.transform("raw_sd", lambda d: F.when(d > 1e-9, d).otherwise(F.lit(1.0)))
+    scales = materialize(scales.select("dataset_id", "n", "mean", sd.alias("sd")))
+    centred = F.zip_with("c", "mean", lambda x, m: x - m)
+    x = F.zip_with(centred, "sd", lambda d, sd: d / sd)
+    return materialize(raw.join(scales, "dataset_id").select("dataset_id", "label", x.alias("x"))), scales
 
-def dataset_ids(df: DataFrame, k: int) -> list[str]:
-    """Dataset names; the crossed vocabulary must stay within its bound."""
-    limit = MAX_VOCABULARY // (4**k + 1)
-    rows = df.select("dataset_id").distinct().orderBy("dataset_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} datasets: fit them in several runs")
-    return [r[0] for r in rows]
+
+def gradient_step(
+    rows: DataFrame, models: DataFrame, k: int, positive_weight: float, rate: float, reg: float
+) -> DataFrame:
+    """``models(dataset_id, w, b)`` after one step down the weighted mean log loss plus ``reg / 2 |w|^2``."""
+    dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.col("b"), lambda acc, v: acc + v)
+    share = F.when(F.col("label") == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))
+    off = rows.join(models, "dataset_id").select(
+        "dataset_id", "x", share.alias("s"), (share * (1 / (1 + F.exp(-dot)) - F.col("label"))).alias("off")
+    )
+    slope = off.groupBy("dataset_id").agg(
+        F.array(*[F.sum(F.col("off") * F.col("x")[i]) for i in range(4**k)]).alias("g"),
+        F.sum("off").alias("g_b"), F.sum("s").alias("total"),
+    )
+    move = lambda w, g: w - F.lit(rate) * (g / F.col("total") + F.lit(reg) * w)
+    return models.join(slope, "dataset_id").select(
+        "dataset_id", F.zip_with("w", "g", move).alias("w"), (F.col("b") - F.lit(rate) * F.col("g_b") / F.col("total")).alias("b")
+    )
 
 
 def split_records(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -44,32 +73,21 @@ def split_records(df: DataFrame, seed: int = 42) -> DataFrame:
 
 def fit_kmer_models(
     train: DataFrame, k: int = 2, positive_weight: float = 2.0, max_iter: int = 20,
-    reg: float = 1e-4,
+    reg: float = 1e-4, rate: float = 1.0,
 ) -> DataFrame:
-    """Model table ``(model_id, bias, weights)`` with one row per dataset."""
-    datasets = dataset_ids(train, k)
-    vocabulary = [f"{d}|{g}" for d in datasets for g in [*S.vocabulary_kmers(k), BIAS]]
-    counter = CountVectorizerModel.from_vocabulary(
-        vocabulary, inputCol="tokens", outputCol="features", minTF=1.0
-    )
-    rows = train.select(
-        F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)).alias("w"),
-        _tokens(k).alias("tokens"),
+    """Model table ``(model_id, bias, weights)`` with one row per dataset, after ``max_iter`` steps from zero."""
+    rows, scales = standardised(train, k)
+    zeros = F.array_repeat(F.lit(0.0), 4**k)
+    models = scales.select("dataset_id", zeros.alias("w"), F.lit(0.0).alias("b"))
+    for _ in range(max_iter):
+        models = materialize(gradient_step(rows, models, k, positive_weight, rate, reg))
+    # Back to weights of plain counts.
+    plain = models.join(scales, "dataset_id").withColumn("v", F.zip_with("w", "sd", lambda w, d: w / d))
+    shift = F.aggregate(F.zip_with("v", "mean", lambda v, m: v * m), F.lit(0.0), lambda a, x: a + x)
+    names = F.array(*[F.lit(g) for g in S.vocabulary_kmers(k)])
+    return plain.select(
+        F.col("dataset_id").alias("model_id"), (F.col("b") - shift).alias("bias"), F.map_from_arrays(names, "v").alias("weights")
     )
-    fitted: LogisticRegressionModel = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter,
-        regParam=reg, fitIntercept=False, standardization=False,
-    ).fit(counter.transform(rows))
-    # The coefficients are the model: bounded by MAX_VOCABULARY, already on the driver.
-    width = 4**k + 1
-    spark = train.sparkSession
-    names = S.vocabulary_kmers(k)
-    values = fitted.coefficients.toArray().reshape(len(datasets), width)
-    models = [
-        (d, float(v[-1]), {g: float(x) for g, x in zip(names, v[:-1])}) for d, v in zip(datasets, values)
-    ]
-    return spark.createDataFrame(models, "model_id string, bias double, weights map<string,double>")
 
 
 def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "dataset_id") -> DataFrame:

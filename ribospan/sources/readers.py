@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ribospan.functions import headers as H
 from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
-from ribospan.functions.core import let
 
 FASTA_BREAK = "\n>"
 
@@ -21,15 +20,27 @@ def _file_stem(suffix: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), suffix, "")
 
 
-def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: ``file_name`` and its non-blank, trimmed lines; line 1 is the header."""
-    raw = spark.read.option("lineSep", FASTA_BREAK).text(path)
+def _text(spark: SparkSession, path: str, **options) -> DataFrame:
+    """``file_name, value``: what the ``parse_*`` functions take."""
+    raw = spark.read.text(path, **options)
+    return raw.select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+
+def _fasta_text(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record."""
+    return _text(spark, path, lineSep=FASTA_BREAK)
+
+
+def _with_lines(rows: DataFrame) -> DataFrame:
+    """Records with their non-blank, trimmed lines; line 1 is the header."""
     lines = F.filter(
         F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""
     )
-    return raw.select(
-        F.col("_metadata.file_name").alias("file_name"), "value", lines.alias("lines")
-    ).where(F.size("lines") > 0)
+    return rows.select("file_name", "value", lines.alias("lines")).where(F.size("lines") > 0)
+
+
+def _stem(suffix: str) -> Column:
+    return F.regexp_replace("file_name", suffix, "")
 
 
 def _checked(ok: Column, message: Column) -> Column:
@@ -45,7 +56,12 @@ def read_triplet_fasta(
     Strict reading fails on a malformed record; otherwise it is kept with a
     ``bad_reason``. Without ``label`` the file name must end in ``_pos.fa`` or ``_neg.fa``.
     """
-    r = _fasta_records(spark, path).withColumn("_parts", F.col("lines"))
+    return parse_triplet_fasta(_fasta_text(spark, path), label, strict)
+
+
+def parse_triplet_fasta(rows: DataFrame, label: int | None = None, strict: bool = True) -> DataFrame:
+    """:func:`read_triplet_fasta` on record texts."""
+    r = _with_lines(rows)
     header = F.regexp_replace(F.element_at("lines", 1), "^>", "")
     seq = F.try_element_at("lines", F.lit(2))
     track_text = F.try_element_at("lines", F.lit(3))
@@ -80,8 +96,11 @@ def read_labeled_pair(spark: SparkSession, folder: str, strict: bool = True) ->
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Wrapped FASTA: ``dataset_id``, ``header`` (with its '>'), joined upper-case ``seq``."""
-    r = _fasta_records(spark, path)
-    return r.select(
+    return parse_fasta(_fasta_text(spark, path))
+
+
+def parse_fasta(rows: DataFrame) -> DataFrame:
+    return _with_lines(rows).select(
         F.regexp_replace("file_name", r"\.(fa|fasta)$", "").alias("dataset_id"),
         F.concat(F.lit(">"), F.regexp_replace(F.element_at("lines", 1), "^>", "")).alias("header"),
         F.upper(F.array_join(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), "")).alias("seq"),
@@ -97,19 +116,21 @@ def read_kmer_tsv(
     an integer or missing (then 0) and takes the raw text, upper-cased and cut.
     """
     if lenient:
-        raw = spark.read.text(path).where(F.trim("value") != "")
-        parts = raw.select(F.split("value", "\t").alias("p"))
-        label = F.try_element_at("p", F.lit(2))
-        rows = parts.where(label.isNull() | label.rlike(r"^-*\d+$"))
-        text = F.upper(F.element_at("p", 1))
-        return rows.select(
-            (F.substr(text, F.lit(1), F.lit(max_len)) if max_len else text).alias("seq"),
-            F.coalesce(label.try_cast("int"), F.lit(0)).alias("label"),
-        )
+        return parse_lenient_kmers(_text(spark, path), max_len)
     rows = spark.read.csv(path, sep="\t", header=True, schema="kmers string, label int")
     return rows.select("kmers", S.kmers_to_seq(F.split("kmers", " ")).alias("seq"), "label")
 
 
+def parse_lenient_kmers(rows: DataFrame, max_len: int | None = None) -> DataFrame:
+    parts = rows.where(F.trim("value") != "").select(F.split("value", "\t").alias("p"))
+    label = F.try_element_at("p", F.lit(2))
+    text = F.upper(F.element_at("p", 1))
+    return parts.where(label.isNull() | label.rlike(r"^-*\d+$")).select(
+        (F.substr(text, F.lit(1), F.lit(max_len)) if max_len else text).alias("seq"),
+        F.coalesce(label.try_cast("int"), F.lit(0)).alias("label"),
+    )
+
+
 def read_site_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless site table; repeated header rows are removed."""
     schema = "type string, loc string, seq string, str string, score string, label string"
@@ -130,7 +151,11 @@ def read_structure_profiles(
 
     With ``length`` every row must have exactly that many values.
     """
-    r = _fasta_records(spark, path)
+    return parse_structure_profiles(_fasta_text(spark, path), length)
+
+
+def parse_structure_profiles(rows: DataFrame, length: int | None = 101) -> DataFrame:
+    r = _with_lines(rows)
     names = F.array(*[F.lit(n) for n in STRUCTURE_ROWS])
     rows = r.select(
         F.regexp_replace("file_name", r"\.[^.]+$", "").alias("dataset_id"),
@@ -158,10 +183,12 @@ def _matrix_rows(rows: Column) -> Column:
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:
     """MEME text motifs as ``(dataset_id, motif, pos, symbol, p)``."""
-    raw = spark.read.option("lineSep", "MOTIF ").text(path).select(
-        F.col("_metadata.file_name").alias("file_name"), "value"
-    )
-    motifs = raw.where(F.contains("value", F.lit("letter-probability matrix")))
+    return parse_meme(_text(spark, path, lineSep="MOTIF "))
+
+
+def parse_meme(rows: DataFrame) -> DataFrame:
+    """:func:`read_meme` on texts that each begin after the word MOTIF."""
+    motifs = rows.where(F.contains("value", F.lit("letter-probability matrix")))
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     parsed = motifs.select(
         F.regexp_replace("file_name", r"\.meme$", "").alias("dataset_id"),
@@ -218,9 +245,18 @@ def read_pfm(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """Intervals of ``<RBP>_<CELL>.bed`` files; more BED columns are ignored."""
-    rows = spark.read.csv(path, sep="\t", schema="chrom string, start bigint, end bigint", comment="#")
-    named = rows.select("*", H.split_dataset(_file_stem(r"\.bed$")).alias("d"))
-    return named.select("d.rbp", "d.cell", "chrom", "start", "end")
+    return parse_bed(_text(spark, path))
+
+
+def parse_bed(rows: DataFrame) -> DataFrame:
+    cells = F.split(F.trim("value"), "\t")
+    named = rows.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#"))).select(
+        cells.alias("c"), H.split_dataset(_stem(r"\.bed$")).alias("d")
+    )
+    return named.select(
+        "d.rbp", "d.cell", F.element_at("c", 1).alias("chrom"),
+        F.element_at("c", 2).cast("bigint").alias("start"), F.element_at("c", 3).cast("bigint").alias("end"),
+    )
 
 
 def _with_one_header(spark: SparkSession, path: str, sep: str) -> DataFrame:
@@ -283,10 +319,13 @@ def read_metric_table(spark: SparkSession, path: str, columns: list[str]) -> Dat
 
 def read_score_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Scored variant lines of ``<RBP>_<CELL>_{before,after}_mut.txt`` files."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    parsed = raw.select(
-        H.split_dataset(_file_stem(r"_(before|after)_mut\.txt$")).alias("d"),
-        F.regexp_extract("_metadata.file_name", r"_(before|after)_mut\.txt$", 1).alias("mode"),
+    return parse_score_lines(_text(spark, path), strict)
+
+
+def parse_score_lines(rows: DataFrame, strict: bool = True) -> DataFrame:
+    parsed = rows.where(F.trim("value") != "").select(
+        H.split_dataset(_stem(r"_(before|after)_mut\.txt$")).alias("d"),
+        F.regexp_extract("file_name", r"_(before|after)_mut\.txt$", 1).alias("mode"),
         H.parse_score_line("value", strict).alias("s"),
     ).where(F.col("s").isNotNull())
     return parsed.select("d.rbp", "d.cell", "mode", "s.*")
@@ -298,8 +337,12 @@ def read_ribosnitch_scores(spark: SparkSession, path: str) -> DataFrame:
     Text has no stable line order once it is split, so rules about the "first" line need
     an order written with the data: an eighth column, read as ``line_no``.
     """
+    return parse_ribosnitch_scores(_text(spark, path))
+
+
+def parse_ribosnitch_scores(rows: DataFrame) -> DataFrame:
     names = ["variant", "chr_loc", "variant_loc", "cell1", "cell2", "rbp_cell"]
-    parts = spark.read.text(path).where(F.trim("value") != "").select(
+    parts = rows.where(F.trim("value") != "").select(
         F.split(F.trim("value"), r"\s+").alias("c"), F.col("value").alias("line")
     )
     rbp_cell = F.element_at("c", 6)
@@ -318,8 +361,11 @@ EVAL_LINE = r"(?i)(\S+_\S+)\s+auc:\s*([-+0-9.eE]+)"
 
 def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
     """``<RBP>_<CELL> auc: x`` lines."""
-    rows = spark.read.text(path).where(F.col("value").rlike(EVAL_LINE))
-    return rows.select(
+    return parse_eval_log(_text(spark, path))
+
+
+def parse_eval_log(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("value").rlike(EVAL_LINE)).select(
         F.regexp_extract("value", EVAL_LINE, 1).alias("dataset_id"),
         F.regexp_extract("value", EVAL_LINE, 2).try_cast("double").alias("auc"),
     )
@@ -333,10 +379,14 @@ EPOCH_LINE = (
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """Validation lines of training logs: run (file stem), dataset, epoch and metrics."""
-    rows = spark.read.text(path).where(F.col("value").rlike(EPOCH_LINE))
+    return parse_training_log(_text(spark, path))
+
+
+def parse_training_log(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("value").rlike(EPOCH_LINE))
     group = lambda i: F.regexp_extract("value", EPOCH_LINE, i)
     return rows.select(
-        _file_stem(r"\.log$").alias("run"), group(1).alias("dataset_id"),
+        _stem(r"\.log$").alias("run"), group(1).alias("dataset_id"),
         group(2).cast("int").alias("epoch"), group(3).cast("double").alias("loss"),
         group(4).cast("double").alias("acc"), group(5).cast("double").alias("auc"),
         group(7).cast("double").alias("prc"), group(8).cast("double").alias("mcc"),
@@ -400,10 +450,13 @@ def read_position_rows(spark: SparkSession, path: str, motifs: list[str]) -> Dat
 
     A file is one record here: it has a handful of lines, and their order names the motif.
     """
-    raw = spark.read.text(path, wholetext=True)
+    return parse_position_rows(_text(spark, path, wholetext=True), motifs)
+
+
+def parse_position_rows(rows: DataFrame, motifs: list[str]) -> DataFrame:
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    staged = raw.select(
-        F.regexp_replace("_metadata.file_name", r"_relative_positions\.txt$", "").alias("dataset_id"),
+    staged = rows.select(
+        _stem(r"_relative_positions\.txt$").alias("dataset_id"),
         lines.alias("l"),
     ).withColumn(
         "l",

@@ -459,6 +459,47 @@ def train_and_validate(spark, sf_dir):
     return metrics
 
 
+TRAIN_STEPS = 2
+_STEP = """
+off_{i} AS (
+  SELECT x.dataset_id, x.kmer, x.x, x.rec_id, s.share * (1 / (1 + exp(-s.z)) - s.label) AS off, s.share
+  FROM xs x JOIN (
+    SELECT x.dataset_id, x.rec_id, any_value(x.label) AS label, CASE WHEN any_value(x.label) = 1 THEN 2.0 ELSE 1.0 END AS share,
+           any_value(m.b) + sum(x.x * m.w) AS z
+    FROM xs x JOIN m_{h} m ON m.dataset_id = x.dataset_id AND m.kmer = x.kmer GROUP BY x.dataset_id, x.rec_id) s
+  ON s.dataset_id = x.dataset_id AND s.rec_id = x.rec_id),
+m_{i} AS (
+  SELECT m.dataset_id, m.kmer, m.w - (sum(o.off * o.x) / sum(o.share) + 1e-4 * m.w) AS w, m.b - sum(o.off) / sum(o.share) AS b
+  FROM m_{h} m JOIN off_{i} o ON o.dataset_id = m.dataset_id AND o.kmer = m.kmer GROUP BY m.dataset_id, m.kmer, m.w, m.b)"""
+
+
+@query(with_ctes(WINDOWS, """
+kmers_ AS (SELECT a || b AS kmer FROM (VALUES ('A'), ('C'), ('G'), ('U')) AS p(a), (VALUES ('A'), ('C'), ('G'), ('U')) AS q(b))""", """
+found AS (
+  SELECT rec_id, replace(substr(seq, i, 2), 'T', 'U') AS kmer, count(*) AS c
+  FROM windows, range(1, 101) AS r(i) WHERE i < length(seq) GROUP BY ALL)""", """
+counts AS (
+  SELECT w.dataset_id, w.rec_id, w.label, k.kmer, coalesce(f.c, 0)::DOUBLE AS c
+  FROM (SELECT cell AS dataset_id, rec_id, label FROM windows) w CROSS JOIN kmers_ k
+  LEFT JOIN found f ON f.rec_id = w.rec_id AND f.kmer = k.kmer)""", """
+scales AS (SELECT dataset_id, kmer, avg(c) AS mean, CASE WHEN stddev_pop(c) > 1e-9 THEN stddev_pop(c) ELSE 1.0 END AS sd
+           FROM counts GROUP BY ALL)""", """
+xs AS (SELECT c.dataset_id, c.rec_id, c.label, c.kmer, (c.c - s.mean) / s.sd AS x FROM counts c JOIN scales s USING (dataset_id, kmer))""", """
+m_0 AS (SELECT dataset_id, kmer, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM scales)""",
+*[_STEP.format(i=i, h=i - 1) for i in range(1, TRAIN_STEPS + 1)], body=f"""
+SELECT m.dataset_id AS model_id, m.kmer, round(m.w / s.sd, 6) AS weight,
+       round(m.b - sum(m.w / s.sd * s.mean) OVER (PARTITION BY m.dataset_id), 6) AS bias
+FROM m_{TRAIN_STEPS} m JOIN scales s USING (dataset_id, kmer)
+"""))
+def training_steps(spark, sf_dir):
+    """A stated number of steps of the fit, from zero, for every dataset at once."""
+    w = X.windows(spark, sf_dir).select(F.col("cell").alias("dataset_id"), "label", "seq")
+    models = TR.fit_kmer_models(w, k=2, max_iter=TRAIN_STEPS)
+    return models.select("model_id", F.explode("weights").alias("kmer", "weight"), "bias").select(
+        "model_id", "kmer", F.round("weight", 6).alias("weight"), F.round("bias", 6).alias("bias")
+    )
+
+
 @query()
 def transfer_evaluation(spark, sf_dir):
     w = X.windows(spark, sf_dir)
