@@ -6,8 +6,11 @@ its own string: no shuffle happens until a caller aggregates the long rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, col, let, positions
@@ -88,44 +91,50 @@ def _ties_rounded_up(length: int) -> list[tuple[int, int]]:
     ]
 
 
-def running_share(count: Column, pos: Column, length: int = WINDOW) -> Column:
-    """``count / pos`` to three places, rounded as the correctly rounded double is."""
-    down = F.floor(F.lit(1000) * count / pos).cast("bigint")
-    twice = (F.lit(2000) * count) % (F.lit(2) * pos)
-    ups = F.array(*[F.lit(c * 1000 + i) for c, i in _ties_rounded_up(length)])
-    up = (twice > pos) | ((twice == pos) & F.array_contains(ups, (count * 1000 + pos).cast("int")))
-    return (down + up.cast("int")) / F.lit(1000.0)
+def running_shares(text: str) -> np.ndarray:
+    """Share of the letter found at each position among the letters up to it, to three places.
+
+    Rounded as the correctly rounded double is: only exact decimal ties depend on the binary
+    value, and those are looked at one by one.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], codes[order][1:] != codes[order][:-1]]))
+    count = np.empty(len(codes), np.int64)
+    count[order] = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) + 1
+    pos = np.arange(1, len(codes) + 1)
+    down, rest = np.divmod(1000 * count, pos)
+    share = (down + (2 * rest > pos)) / 1000.0
+    for k in np.flatnonzero(2 * rest == pos).tolist():
+        share[k] = round(int(count[k]) / (k + 1), 3)
+    return share
 
 
-def nucleotide_density(rna: str | Column, length: int = WINDOW) -> Column:
-    """Running share of the base found at each position of the sequence."""
-    def density(s: Column) -> Column:
-        def at(i: Column) -> Column:
-            head = F.substr(s, F.lit(1), i)
-            same = F.length(head) - F.length(F.replace(head, char_at(s, i)))
-            return let(same, lambda c: running_share(c, i, length))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _running_shares(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else running_shares(t) if t else np.empty(0))
 
-        return F.transform(positions(F.length(s)), at)
 
-    return let(rna, density)
+def nucleotide_density(rna: str | Column) -> Column:
+    """Running share of the base found at each position of the sequence, in one pass over it."""
+    return _running_shares(col(rna))
 
 
 def kmer_position_features(rna: str | Column, k: int) -> Column:
     """Structs ``(pos, kmer, value)``: occurrences of the k-mer in its sequence / 100."""
+    def counted(grams: Column, joined: Column) -> Column:
+        # A k-mer cannot straddle the separator, so deleting it from the joined text counts
+        # its (overlapping) occurrences: once for each distinct k-mer.
+        count = lambda g: (F.length(joined) - F.length(F.replace(joined, g))) / F.lit(float(k)) / 100
+        return let(F.array_distinct(grams), lambda d: F.map_from_arrays(d, F.transform(d, count)))
+
     def build(grams: Column) -> Column:
-        # A k-mer cannot straddle the separator, so deleting it from the joined
-        # text counts its (overlapping) occurrences.
+        counts = let(F.concat_ws("|", grams), lambda joined: counted(grams, joined))
         return let(
-            F.concat_ws("|", grams),
-            lambda joined: F.transform(
+            counts,
+            lambda m: F.transform(
                 grams,
-                lambda g, i: F.struct(
-                    i.alias("pos"),
-                    g.alias("kmer"),
-                    (
-                        (F.length(joined) - F.length(F.replace(joined, g))) / F.lit(float(k)) / 100
-                    ).alias("value"),
-                ),
+                lambda g, i: F.struct(i.alias("pos"), g.alias("kmer"), F.element_at(m, g).alias("value")),
             ),
         )
 
@@ -166,7 +175,7 @@ def encode_features(df: DataFrame, keys: list[str], length: int = WINDOW) -> Dat
     blocks = [
         dense(chemistry_features("_rna", length), 0),
         F.transform(
-            nucleotide_density("_rna", length),
+            nucleotide_density("_rna"),
             lambda v, i: F.struct(i.alias("pos"), F.lit(3).alias("feature"), v.alias("value")),
         ),
         dense(dinucleotide_features("_rna", length), 4),
