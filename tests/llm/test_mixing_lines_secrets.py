@@ -206,4 +206,4 @@ def test_trigram_queries():
     assert trigram_query("abc|abd") == [frozenset({"abc"}), frozenset({"abd"})]
     assert trigram_query("a[bc]de+f") == [frozenset({"abd", "bde"}), frozenset({"acd", "cde"})]
     assert trigram_query("x*") is None and trigram_query("(abcd)?") is None and trigram_query("ab") is None
-    assert trigram_query("(?:foo|x)bar") == [frozenset({"bar", "foo", "oba", "oob"}), frozenset({"bar", "xba"})]
+    assert set(trigram_query("(?:foo|x)bar")) == {frozenset({"bar", "foo", "oba", "oob"}), frozenset({"bar", "xba"})}
