@@ -112,20 +112,26 @@ def multilabel_metrics(spark, sf_dir):
     return rounded(M.multilabel_metrics(X.prediction_rows(spark, sf_dir), BY, "batch"))
 
 
-# Class of an embedding: its label; prediction: its first ten components.
+# Class of an embedding: its label; score of a class: the sum of every tenth component from it on.
 @query(with_ctes("""
-cells AS (SELECT vec_id, c AS class, CASE WHEN label = c THEN 1 ELSE 0 END AS label, CAST(embedding[c + 1] AS DOUBLE) AS prob
+cells AS (SELECT vec_id, c AS class, CASE WHEN label = c THEN 1 ELSE 0 END AS label,
+                 list_sum([x::DOUBLE for x, i in embedding if (i - 1) % 10 = c]) AS prob
           FROM embeddings, (SELECT unnest(range(0, 10)) AS c)),
 predictions AS (SELECT CAST(class AS INTEGER) AS class, label, prob FROM cells),
-acc_ AS (SELECT avg(CASE WHEN label = best THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM (
-  SELECT label, list_position(CAST(embedding[1:10] AS DOUBLE[]), list_max(CAST(embedding[1:10] AS DOUBLE[]))) - 1 AS best FROM embeddings))
+acc_ AS (SELECT avg(CASE WHEN hit = 1 THEN 1.0::DOUBLE ELSE 0 END) AS acc
+         FROM (SELECT vec_id, arg_max(label, prob) AS hit FROM cells GROUP BY vec_id))
 """, curve_sql("class"), body="""
 SELECT class, round(auc, 6) AS auc, round(prc, 6) AS prc, round(acc_.acc, 6) AS acc FROM areas, acc_
 """))
 def categorical_metrics(spark, sf_dir):
     e = X.table(spark, sf_dir, "embeddings").select(
         F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: (F.col("label") == c).cast("int")).alias("label"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("pred"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(9)),
+            lambda c: F.aggregate(
+                F.filter("embedding", lambda _x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x.cast("double")
+            ),
+        ).alias("pred"),
     )
     return rounded(M.categorical_metrics(e, []))
 
@@ -223,6 +229,11 @@ def _p_rows(spark, sf_dir):
     )
 
 
+def _small_p(p):
+    """Some p-values small enough for a corrected threshold."""
+    return p * p * p * p + 1e-12
+
+
 @query(with_ctes(PVALUES, P_ROWS, body="""
 , r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p) AS i, count(*) OVER (PARTITION BY grp) AS m FROM prow),
 a AS (SELECT *, min(p * m / i) OVER (PARTITION BY grp ORDER BY p DESC, i DESC ROWS UNBOUNDED PRECEDING) AS adj FROM r)
@@ -234,17 +245,17 @@ def bh_adjust(spark, sf_dir):
 
 
 @query(with_ctes(PVALUES, P_ROWS, body="""
-, t AS (SELECT *, log2(p + 1e-6::DOUBLE) AS l2, count(*) OVER (PARTITION BY grp) AS n,
-               row_number() OVER (PARTITION BY grp ORDER BY line_no) AS rank FROM prow)
-SELECT grp, line_no, round(l2, 6) AS log2_p FROM t WHERE l2 < log2(0.01::DOUBLE / n) * 0.5::DOUBLE AND rank <= 2000
-""".replace("log2(0.01::DOUBLE / n) * 0.5::DOUBLE", "log2(10.0::DOUBLE / n)")))
+, t AS (SELECT *, log2(p * p * p * p + 1e-12::DOUBLE) AS l2, count(*) OVER (PARTITION BY grp) AS n,
+               row_number() OVER (PARTITION BY grp ORDER BY p, line_no) AS rank FROM prow)
+SELECT grp, line_no, round(l2, 6) AS log2_p FROM t WHERE l2 < log2(0.01::DOUBLE / n) AND rank <= 90
+"""))
 def bonferroni_keep(spark, sf_dir):
-    rows = _p_rows(spark, sf_dir).withColumn("text", (F.col("p") + 1e-6).cast("string"))
+    rows = _p_rows(spark, sf_dir).withColumn("text", _small_p(F.col("p")).cast("string"))
     ranked = SP.running_sums(
-        rows.select("grp", "line_no", "text").withColumn("_one", F.lit(1)), ["grp"], ["line_no"], ["_one"]
+        rows.select("grp", "line_no", "p", "text").withColumn("_one", F.lit(1)), ["grp"], ["p", "line_no"], ["_one"]
     ).withColumn("rank", F.col("_one_before") + 1)
     scored = ranked.withColumn("log2_p", ST.log2_scientific("text"))
-    kept = ST.bonferroni_keep(scored, ["grp"], "log2_p", "rank", 2000, alpha=10.0)
+    kept = ST.bonferroni_keep(scored, ["grp"], "log2_p", "rank", 90)
     return kept.select("grp", "line_no", F.round("log2_p", 6).alias("log2_p"))
 
 
@@ -289,12 +300,12 @@ def pearson_group(spark, sf_dir):
 
 
 @query(with_ctes(PVALUES, """
-r AS (SELECT p_value AS p, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM pvalues WHERE p_value > 0)""", body="""
+r AS (SELECT p_value + 1e-6::DOUBLE AS p, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS n FROM pvalues)""", body="""
 SELECT i, round(-log10(p), 6) AS observed, round(-log10((i - a) / (n + 1 - 2 * a)), 6) AS expected
 FROM (SELECT *, CASE WHEN n <= 10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END AS a FROM r)
 """))
 def qq_points(spark, sf_dir):
-    rows = X.pvalue_rows(spark, sf_dir).select(F.col("p_value").alias("p")).where(F.col("p") > 0)
+    rows = X.pvalue_rows(spark, sf_dir).select((F.col("p_value") + 1e-6).alias("p"))
     return rounded(ST.qq_points(rows, []).select("i", "observed", "expected"))
 
 
