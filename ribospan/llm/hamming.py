@@ -2,7 +2,7 @@
 
 Rows are ``(key, words)`` with distinct fingerprints in a key. They are dealt out and sorted by
 key; a task walks through its keys and compares the fingerprints of each inside the task. Keys
-with more than ``BLOCK`` fingerprints are not compared there: they come out as they are and are
+with more than ``block`` fingerprints are not compared there: they come out as they are and are
 cut into blocks, and a task compares one pair of blocks, so no task ever holds more than two
 blocks of a key.
 """
@@ -70,7 +70,7 @@ def _emit(columns: list[str], a: np.ndarray, b: np.ndarray, key: np.ndarray | No
     return pa.RecordBatch.from_arrays(arrays, names=[f"a_{c}" for c in columns] + [f"b_{c}" for c in columns] + ["key"])
 
 
-def links(keyed: DataFrame, columns: list[str], test: PairTest) -> DataFrame:
+def links(keyed: DataFrame, columns: list[str], test: PairTest, block: int = BLOCK) -> DataFrame:
     """Links between fingerprints that share a key: ``a_<c>, b_<c>`` for the columns of a fingerprint.
 
     In small groups these are the linked pairs; in larger ones enough of them to connect what
@@ -88,7 +88,7 @@ def links(keyed: DataFrame, columns: list[str], test: PairTest) -> DataFrame:
                 key = np.concatenate([rest_key, batch.column("key").to_numpy()])
                 words = np.concatenate([rest, _matrix(batch, columns)])
                 complete = int(np.searchsorted(key, key[-1])) if len(key) else 0
-                if len(key) - complete > BLOCK:  # a key that is still open and too large already
+                if len(key) - complete > block:  # a key that is still open and too large already
                     large, complete = key[-1], len(key)
             if not complete:
                 rest_key, rest = key, words
@@ -97,9 +97,9 @@ def links(keyed: DataFrame, columns: list[str], test: PairTest) -> DataFrame:
             rest_key, rest = key[complete:], words[complete:]
             starts = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))
             sizes = np.diff(np.append(starts, len(now)))
-            hot = (sizes > BLOCK) | (now[starts] == large if large is not None else False)
+            hot = (sizes > block) | (now[starts] == large if large is not None else False)
             run = np.repeat(sizes, sizes)
-            small = (run <= SMALL) & ~np.repeat(hot, sizes)
+            small = (run <= min(SMALL, block)) & ~np.repeat(hot, sizes)
             i, j = small_run_pairs(now[small], fp[small], test)
             if len(i):
                 yield _emit(columns, fp[small][i], fp[small][j])
@@ -116,7 +116,7 @@ def links(keyed: DataFrame, columns: list[str], test: PairTest) -> DataFrame:
     )
     direct = found.where(F.col("key").isNull()).select(*ends)
     large = found.where(F.col("key").isNotNull()).select("key", *[F.col(f"a_{c}").alias(c) for c in columns])
-    counts = materialize(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    counts = materialize(large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
     if not counts.head(1):
         return direct
     rows = large.join(counts, "key").withColumn("block", F.pmod(F.xxhash64(*columns), F.col("blocks")))
