@@ -16,7 +16,7 @@ from ribospan.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language holds at least half; the others are rejected."""
+    """Documents with a leading language; those without letters or without one are rejected."""
     return language.keep_identified(docs)
 
 

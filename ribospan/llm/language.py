@@ -6,9 +6,9 @@ estimates the proportions from the words' likelihoods. Sets of languages are com
 penalised likelihood (half the logarithm of the number of words for each further language), and
 the largest share in the chosen set is the prediction.
 
-The score is that share times ``1 - exp(-gain)``, where the gain is by how much the document is
-more likely in the predicted language alone than in the next one (in nats): near the share for
-texts of any length, lower for a few words that could be either.
+The score is the share that EM gives the predicted language among all languages: near 1 for a
+text in one language, the language's part in a mixed one, lower for a few words that could be
+written in several.
 
 Edge cases: a null text and one without letters are ``und`` with score 0; ties go to the language
 that sorts first; null ids and extra columns are allowed, repeated rows keep a row each; without
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribospan.llm.tokens import batches
@@ -54,22 +54,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, held_out: Column, per_language: int, seed: int = 5) -> DataFrame:
-    """``text, lang`` of the sample: of each language the ``per_language`` rows with smallest hash.
+    """``text, lang`` of the sample: about ``per_language`` rows of each language, by a hash of the row.
 
-    The bound is found on hashes alone, so no text moves.
+    Rows are counted by language first (a number a language reaches the driver, as the model
+    does); then each task decides on its own rows, and no row moves.
     """
     rows = docs.select(
         "text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.octet_length("text")).alias("h")
     ).where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = rows.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("k"))
-    last = ranked.where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    return rows.join(last, "lang").where(F.col("h") <= F.col("last")).select("text", "lang")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return rows.select("text", "lang").limit(0)
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 31)))])
+    return rows.where(F.pmod("h", F.lit(1 << 31)) < F.element_at(bound, F.col("lang"))).select("text", "lang")
 
 
 def train(docs: DataFrame, held_out: Column, *, per_language: int = 3000, smoothing: float = 0.2) -> dict:
     """Log likelihoods of trigram cells, a row a language: ``{"languages": [...], "cells": array}``.
 
-    Fitted on at most ``per_language`` labelled rows of each language. Counting is spread over
+    Fitted on a sample of about ``per_language`` labelled rows of each language. Counting is spread over
     the tasks; what reaches the driver has at most one row a language and cell.
     """
 
@@ -143,11 +146,8 @@ def infer(texts: list[str], model: dict, *, most: int = 3, steps: int = 8) -> tu
         chosen[better], value[better] = found[better], like[better]
     pick = np.argmax(chosen, axis=1)
     rows = np.arange(len(which))
-    own = alone[rows, pick]
-    alone[rows, pick] = -np.inf
-    gain = np.maximum(0.0, own - alone.max(axis=1)) if languages > 1 else np.full(len(which), np.inf)
     lang[which] = pick
-    score[which] = chosen[rows, pick] * (1.0 - np.exp(-gain))
+    score[which] = np.minimum(1.0, share[rows, pick])
     return lang, score
 
 
@@ -186,8 +186,8 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out_key().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, least_score: float = 0.5, **options) -> DataFrame:
-    """Rows of ``docs`` with a language that holds at least half of the text; all columns kept.
+def keep_identified(docs: DataFrame, *, least_score: float = 0.3, **options) -> DataFrame:
+    """Rows of ``docs`` with a language that holds ``least_score`` of the text or more; all columns kept.
 
     Undetermined documents and those without a leading language are rejected.
     """
