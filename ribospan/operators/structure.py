@@ -9,8 +9,8 @@ from ribospan.functions.core import col, let
 from ribospan.functions.special import dot_bracket_states
 
 
-def annotate_structure(df: DataFrame, key: str = "rec_id", structure: str = "structure") -> DataFrame:
-    """Seven-state string (L R H B T M E) of a balanced dot-bracket string, as ``(key, states)``.
+def annotate_structure(df: DataFrame, structure: str = "structure") -> DataFrame:
+    """Add ``states``, the seven-state string (L R H B T M E) of a balanced dot-bracket string.
 
     * no bracket on one side, or unpaired outside all pairs: E
     * ``( . )``: H;  ``) . (`` inside a pair: M
@@ -21,7 +21,7 @@ def annotate_structure(df: DataFrame, key: str = "rec_id", structure: str = "str
     A record needs nothing but its own string, so no row leaves its partition: one row per
     character and windows over records would shuffle some fifty bytes for every letter.
     """
-    return df.select(key, dot_bracket_states(structure).alias("states"))
+    return df.withColumn("states", dot_bracket_states(structure))
 
 
 def paired_probability(

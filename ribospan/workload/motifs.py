@@ -360,10 +360,7 @@ def annotate_structure(spark, sf_dir):
 
 def _stated(spark, sf_dir):
     """Windows in RNA letters with the first states of their structure, one per base."""
-    f = folded(spark, sf_dir)
-    states = ST.annotate_structure(f)
-    joined = f.join(states, "rec_id")
-    return joined.select(
+    return ST.annotate_structure(folded(spark, sf_dir)).select(
         "dataset_id", "rec_id", S.normalize_rna("seq").alias("seq"),
         F.substr("states", F.lit(3), F.length("seq")).alias("states"),
     )
