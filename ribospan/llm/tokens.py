@@ -31,7 +31,7 @@ class Encoder:
     ``max_words`` bounds the memory of the look-up: it is emptied when full.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, max_words: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
