@@ -12,8 +12,9 @@ that is one of them whole. So in a key's group the earliest line of each missing
 the earliest of all for the whole line, decide; they come from aggregates, and no pair of a group
 is formed. The earliest candidate of each line is then verified on the words themselves.
 
-Lines that cannot have a partner emit nothing: within one edit either the first or the second
-half of the words is equal, so only lines that share the hash of a half with another one go on.
+Variants that cannot have a partner are not emitted: within one edit either the first or the
+second half of the words is equal, so only lines that share the hash of a half with another one
+go on, with the variants that lack a word of the other half.
 
 Edge cases: a null text and one without lines have none and stay as they are; blank lines are
 never dropped; null ids come last; rows that share an id share its place (of equal lines at the
@@ -31,9 +32,18 @@ from ribospan.session import materialize
 LAST = (1 << 63) - 1
 
 
-def normal(line: Column) -> Column:
-    """The line's words, lower-cased and with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+ODD_SPACE = r"\x20\x20|[\x09\x0B-\x0D]"
+
+
+def normal(low: Column) -> Column:
+    """The words of a lower-cased line with one space between them."""
+    return F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))
+
+
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, each :func:`normal`; most texts have single spaces only and need a trim."""
+    low = F.split(F.lower(text), "\n", -1)
+    return F.when(text.rlike(ODD_SPACE), F.transform(low, normal)).otherwise(F.transform(low, F.trim))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -44,9 +54,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """``key, at, line_no, h, line`` of ``docs(key, at, text)``: one row a line that is not blank."""
-    lines = docs.select("key", "at", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("key", "at", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return lines.select("key", "at", "line_no", F.xxhash64("line").alias("h"), "line")
+    lines = docs.select("key", "at", F.posexplode(normal_lines(F.col("text"))).alias("line_no", "line"))
+    return lines.where("line <> ''").select("key", "at", "line_no", F.xxhash64("line").alias("h"), "line")
 
 
 def half_keys(line: Column, n: Column) -> list[Column]:
@@ -54,53 +63,84 @@ def half_keys(line: Column, n: Column) -> list[Column]:
     keys = []
     for m in (n, n - 1):
         head = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), m, F.call_function("substring_index", line, F.lit(" "), head)))
-        keys.append(F.xxhash64(F.lit("tail"), m, F.call_function("substring_index", line, F.lit(" "), head - m)))
+        keys.append(F.xxhash64(F.lit("head"), m, first_words(line, head)))
+        keys.append(F.xxhash64(F.lit("tail"), m, first_words(line, head - m)))
     return keys
 
 
-def without(words: Column, k: Column) -> Column:
-    """The line without its word ``k`` (from 1; 0: whole)."""
-    n = F.size(words)
-    return F.when(k == 0, F.concat_ws(" ", words)).otherwise(
-        F.concat_ws(" ", F.slice(words, F.lit(1), k - 1), F.slice(words, k + 1, F.greatest(n - k, F.lit(0))))
-    )
+def n_words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
+
+
+def first_words(line: Column, n: Column) -> Column:
+    """The first ``n`` words, or the last ``-n``; empty for 0."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
+def without(line: Column, n: Column, k: Column) -> Column:
+    """The line of ``n`` words without its word ``k`` (from 1; 0: whole)."""
+    head, tail = first_words(line, k - 1), first_words(line, k - n)
+    return F.when(k == 0, line).otherwise(F.concat_ws(" ", F.nullif(head, F.lit("")), F.nullif(tail, F.lit(""))))
+
+
+def line_marks(lines: DataFrame) -> DataFrame:
+    """Place, hash, number of words and half keys of each line; no text."""
+    n = n_words(F.col("line"))
+    halves = half_keys(F.col("line"), n)
+    return lines.select("key", "at", "line_no", "h", n.alias("n"), *[k.alias(f"k{i}") for i, k in enumerate(halves)])
 
 
-def deciding_lines(lines: DataFrame, least_words: int) -> DataFrame:
+def deciding_lines(docs: DataFrame, marks: DataFrame, least_words: int, small: int = 500_000) -> DataFrame:
     """``h, stays``: each line that goes somewhere, and the one place where it stays.
 
-    The place is null for a line that goes everywhere, as an earlier one is an edit away.
+    The place is null for a line that goes everywhere, as an earlier one is an edit away. The
+    list of lines whose words are fetched is broadcast up to ``small`` rows (of three numbers),
+    beyond that lines are dealt out by hash.
     """
     place = F.struct("at", "line_no")
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    halves = half_keys(F.col("line"), n)
-    # One row a distinct line. No text moves here.
+    half_names = [c for c in marks.columns if c.startswith("k") and c != "key"]
     distinct = materialize(
-        lines.select("h", "at", "line_no", n.alias("n"), *[k.alias(f"k{i}") for i, k in enumerate(halves)])
-        .groupBy("h")
-        .agg(
+        marks.groupBy("h").agg(
             F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n"),
-            *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(halves))],
+            *[F.max(c).alias(c) for c in half_names],
         )
     )
     half = distinct.where(F.col("n") >= least_words - 1).select(
-        "h", F.explode(F.array(*[f"k{i}" for i in range(len(halves))])).alias("half")
+        "h", F.posexplode(F.array(*half_names)).alias("which", "half")
     )
     shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    in_play = half.join(shared, "half", "left_semi").select("h").distinct()
-    in_play = materialize(distinct.join(in_play, "h").select("h", F.col("first.at").alias("at"), F.col("first.line_no").alias("line_no")))
-    spelled = materialize(
-        lines.join(in_play.hint("shuffle_hash"), ["h", "at", "line_no"])
-        .select("h", place.alias("first"), F.split("line", " ").alias("words"))
+    # A shared first half (even keys) leaves edits in the second one, and the other way round.
+    in_play = half.join(shared, "half", "left_semi").groupBy("h").agg(
+        F.max(F.col("which") % 2 == 0).alias("head"), F.max(F.col("which") % 2 == 1).alias("tail")
+    )
+    in_play = materialize(
+        distinct.join(in_play, "h").select(
+            "h", F.col("first.at").alias("at"), F.col("first.line_no").alias("line_no"), "head", "tail"
+        )
+    )
+    way = "broadcast" if in_play.count() <= small else "shuffle_hash"
+    # Places meet the raw lines first; only the lines found are normalised and checked by hash.
+    raw = docs.select("at", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    spelled = (
+        raw.join(in_play.hint(way), ["at", "line_no"])
+        .select("h", place.alias("first"), "head", "tail", normal(F.lower("raw")).alias("line"))
+        .where(F.xxhash64("line") == F.col("h"))
         .dropDuplicates(["h"])
     )
-    missing = F.explode(F.sequence(F.lit(0), F.size("words"))).alias("missing")
-    variants = spelled.select("h", "first", "words", missing)
-    variants = variants.select(
-        "h", "first", "missing", F.size("words").alias("n"),
-        F.xxhash64(without(F.col("words"), F.col("missing"))).alias("variant"),
-    )
+    spelled = materialize(spelled.withColumn("n", n_words(F.col("line"))))
+    # Dealt out by hash, so that long lines do not all stay with the task that read them.
+    places = F.filter(
+        F.sequence(F.lit(0), F.col("n")),
+        lambda k: (k == 0)
+        | (F.col("head") & (k > F.floor((F.col("n") - 1) / 2)))
+        | (F.col("tail") & (k <= F.floor((F.col("n") + 1) / 2))),
+    )
+    missing = F.explode(places).alias("missing")
+    every = spelled.repartition("h").select("h", "first", "line", "n", missing)
+    variant = F.xxhash64(without(F.col("line"), F.col("n"), F.col("missing"))).alias("variant")
+    every = materialize(every.select("h", "first", "missing", "n", variant))
+    met = every.groupBy("variant").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("variant")
+    variants = materialize(every.join(met, "variant", "left_semi"))
     # The earliest line that lacks the same word, or is whole; for a whole line the earliest of all.
     by_place = variants.groupBy("variant", "missing").agg(F.min(F.struct("first", "h", "missing")).alias("best"))
     tops = by_place.groupBy("variant").agg(
@@ -118,9 +158,11 @@ def deciding_lines(lines: DataFrame, least_words: int) -> DataFrame:
         .agg(F.min(F.struct("partner", "missing")).alias("c"))
         .select("h", "c.missing", F.col("c.partner.h").alias("p"), F.col("c.partner.missing").alias("p_missing"))
     )
-    own = spelled.select("h", F.col("words").alias("own"))
-    theirs = spelled.select(F.col("h").alias("p"), F.col("words").alias("theirs"))
-    same = without(F.col("own"), F.col("missing")) == without(F.col("theirs"), F.col("p_missing"))
+    own = spelled.select("h", F.col("line").alias("own"), "n")
+    theirs = spelled.select(F.col("h").alias("p"), F.col("line").alias("theirs"), F.col("n").alias("p_n"))
+    same = without(F.col("own"), F.col("n"), F.col("missing")) == without(
+        F.col("theirs"), F.col("p_n"), F.col("p_missing")
+    )
     one_edit = (F.col("missing") == F.col("p_missing")) | (F.col("missing") == 0) | (F.col("p_missing") == 0)
     edited = candidates.join(own, "h").join(theirs, "p").where(same & one_edit)
     edited = edited.select("h", F.lit(True).alias("edited"))
@@ -133,9 +175,10 @@ def deciding_lines(lines: DataFrame, least_words: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """``key, gone``: numbers (from 0) of the lines that go, for each document of ``docs(key, at, text)`` that has any."""
     lines = numbered_lines(docs)
-    decided = materialize(deciding_lines(lines, least_words))
+    marks = materialize(line_marks(lines))
+    decided = materialize(deciding_lines(docs, marks, least_words))
     place = F.struct("at", "line_no")
-    gone = lines.select("key", "at", "line_no", "h").join(decided, "h").where(
+    gone = marks.select("key", "at", "line_no", "h").join(decided, "h").where(
         F.col("stays").isNull() | (F.col("stays") != place)
     )
     return gone.groupBy("key").agg(F.collect_set("line_no").alias("gone"))
@@ -176,7 +219,8 @@ def dedup_documents(docs: DataFrame, least_words: int = 5) -> DataFrame:
 ORACLE = r"""
 WITH docs AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS id, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (
-  SELECT id, text, i AS line_no, trim(regexp_replace(lower(parts[i]), '[ 	-]+', ' ', 'g'), ' ') AS line
+  SELECT id, text, i AS line_no, trim(regexp_replace(lower(parts[i]), '[ 	-
+]+', ' ', 'g'), ' ') AS line
   FROM docs, unnest(range(1, len(parts) + 1)) AS u(i)),
 firsts AS (
   SELECT line, min({'id': id, 'no': line_no}) AS first, string_split(line, ' ') AS words
