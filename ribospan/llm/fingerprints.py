@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ribospan.llm.hamming import links
+from ribospan.llm.hamming import BLOCK, counts_of_links, links
 from ribospan.llm.simhash import shingle_bytes
 from ribospan.session import materialize
 
@@ -96,13 +96,17 @@ def meets_first(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def within_radius(fps: DataFrame) -> DataFrame:
-    """Links between the distinct fingerprints of ``fps(high, low)`` within the radius.
+    """``a_high, a_low, b_high, b_low``: all pairs of distinct fingerprints of ``fps(high, low)`` within the radius."""
+    return links(_keyed(fps), ["high", "low"], meets_first, every=True)
+
+
+def count_within_radius(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``high, low, n``: how many other distinct fingerprints of ``fps(high, low)`` lie within the radius, where any do."""
+    return counts_of_links(_keyed(fps), ["high", "low"], meets_first, block)
 
-    Returns ``a_high, a_low, b_high, b_low``: in groups of up to 64 fingerprints that share a
-    block all linked pairs, in larger ones enough of them to connect what is connected.
-    """
-    distinct = fps.select("high", "low").distinct()
-    return links(distinct.select("high", "low", F.explode(block_keys()).alias("key")), ["high", "low"], meets_first)
+
+def _keyed(fps: DataFrame) -> DataFrame:
+    return fps.select("high", "low").distinct().select("high", "low", F.explode(block_keys()).alias("key"))
 
 
 def compare_with_next(docs: DataFrame, part_bytes: int = 24 << 20) -> DataFrame:
@@ -193,14 +197,10 @@ def _compared(doc_id: int | None, text: str, mark: bytes, follows: str, follows_
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """``compare_with_next`` with ``n_close``: the linked fingerprints that the block tables found."""
+    """``compare_with_next`` with ``n_links``: the number of other fingerprints within the radius."""
     compared = materialize(compare_with_next(docs))
     half = [F.conv(F.substring("fingerprint", i, 16), 16, -10).cast("long").alias(c) for i, c in ((1, "high"), (17, "low"))]
-    found = within_radius(compared.select(*half))
-    ends = found.select(F.col("a_high").alias("high"), F.col("a_low").alias("low")).unionByName(
-        found.select(F.col("b_high").alias("high"), F.col("b_low").alias("low"))
-    )
-    counts = ends.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"))
+    counts = count_within_radius(compared.select(*half))
     mark = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     counts = counts.select(mark.alias("fingerprint"), "n")
     return compared.join(counts, "fingerprint", "left").select(

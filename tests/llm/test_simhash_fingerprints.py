@@ -136,3 +136,27 @@ def test_block_tables_find_all_within_the_radius(spark):
     got = {frozenset([(r.a_high, r.a_low), (r.b_high, r.b_low)]) for r in found}
     want = {frozenset([halves[i], halves[j]]) for i in range(120) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 3}
     assert got == want and len(found) == len(got)
+
+
+def test_links_are_counted_exactly_in_large_groups(spark):
+    rng = np.random.default_rng(9)
+    for size in (100, 5000):  # one key of each size: in place, and cut into pairs of blocks
+        center, marks = rng.integers(0, 1 << 32, 4, np.uint64), set()
+        while len(marks) < size:
+            parts = center.copy()
+            for b in rng.choice(96, 2, replace=False):
+                parts[1 + b // 32] ^= np.uint64(1 << int(b % 32))
+            parts[3] ^= np.uint64(rng.integers(0, 4))
+            marks.add(tuple(int(p) for p in parts))
+        high = np.array([(a << 32) | b for a, b, _, _ in marks], np.uint64)
+        low = np.array([(c << 32) | d for _, _, c, d in marks], np.uint64)
+        want = {}
+        for h, l in zip(high, low, strict=True):
+            near = np.bitwise_count(high ^ h) + np.bitwise_count(low ^ l) <= 3
+            want[int(h.view(np.int64)), int(l.view(np.int64))] = int(near.sum()) - 1
+        df = spark.createDataFrame(list(want), "high long, low long")
+        got = {(r.high, r.low): r.n for r in fingerprints.count_within_radius(df.unionByName(df)).collect()}
+        assert got == {k: n for k, n in want.items() if n} and sum(got.values()) > 2 * size  # more than a forest
+        if size == 100:
+            pairs = fingerprints.within_radius(df).collect()
+            assert len(pairs) == len({frozenset([(r.a_high, r.a_low), (r.b_high, r.b_low)]) for r in pairs}) == sum(want.values()) / 2
