@@ -113,8 +113,10 @@ def _emit_counts(columns: list[str], words: np.ndarray, n: np.ndarray, key: np.n
 
 def _runs(found, columns: list[str], block: int):
     """``key, words, starts, sizes, hot`` of whole runs of equal keys; a hot run has rows for the blocks."""
-    rest_key, rest, large = np.empty(0, np.int64), np.empty((0, len(columns)), np.uint64), None
+    rest_key, rest = np.empty(0, np.int64), np.empty((0, len(columns)), np.uint64)
+    begun = None  # the key whose first rows are left for the blocks already, so its last ones are too
     for batch in _then_none(found):
+        large = False
         if batch is None:
             key, words, complete = rest_key, rest, len(rest_key)
         else:
@@ -122,7 +124,7 @@ def _runs(found, columns: list[str], block: int):
             words = np.concatenate([rest, _matrix(batch, columns)])
             complete = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if len(key) - complete > block:  # a key that is still open and too large already
-                large, complete = key[-1], len(key)
+                large, complete = True, len(key)
         if not complete:
             rest_key, rest = key, words
             continue
@@ -130,7 +132,9 @@ def _runs(found, columns: list[str], block: int):
         rest_key, rest = key[complete:], words[complete:]
         starts = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]]))
         sizes = np.diff(np.append(starts, len(now)))
-        yield now, fp, starts, sizes, (sizes > block) | (now[starts] == large if large is not None else False)
+        yield now, fp, starts, sizes, (sizes > block) | (now[starts] == begun if begun is not None else False)
+        if large:
+            begun = key[-1]
 
 
 def _sorted_by_key(keyed: DataFrame, columns: list[str]) -> DataFrame:

@@ -160,3 +160,24 @@ def test_links_are_counted_exactly_in_large_groups(spark):
         if size == 100:
             pairs = fingerprints.within_radius(df).collect()
             assert len(pairs) == len({frozenset([(r.a_high, r.a_low), (r.b_high, r.b_low)]) for r in pairs}) == sum(want.values()) / 2
+
+
+def test_two_large_keys_that_follow_each_other_keep_their_links(spark):
+    def in_a_row(key, a, b):
+        return np.maximum(a, b)[:, 0] - np.minimum(a, b)[:, 0] == 1
+
+    # 100 rows of each key, in batches of 90: the second batch ends key 1 and has over 40 rows of key 2, still open.
+    keyed = spark.createDataFrame([(key, 1000 * key + k) for key in (1, 2) for k in range(100)], "key long, fp long")
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "90", "spark.sql.shuffle.partitions": "1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = hamming.links(keyed, ["fp"], in_a_row, 40).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+        pairs = [(r.a, r.b) for r in found.collect()]
+        counts = {r.fp: r.n for r in hamming.counts_of_links(keyed, ["fp"], in_a_row, 40).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {tuple(sorted(p)) for p in pairs} == {(1000 * key + k, 1000 * key + k + 1) for key in (1, 2) for k in range(99)}
+    assert counts == {1000 * key + k: 1 if k in (0, 99) else 2 for key in (1, 2) for k in range(100)}
