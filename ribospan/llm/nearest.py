@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner product becomes smallest distance: vectors are divided by the largest norm M and
-get one more coordinate, ``sqrt(1 - |x|^2 / M^2)``; queries are divided by their own norm and get a
-0. A table hashes a point by ``floor((a . x + b) / w)`` for a few random Gaussian directions
+Largest inner product becomes smallest distance: vectors are divided by a norm M and get one more
+coordinate, ``sqrt(1 - |x|^2 / M^2)``; queries are divided by their own norm and get a 0. There is
+an index for each range of norms, M halving from one to the next, so that a few very long vectors
+do not move all others to one place; a query visits the same cells in each. A table hashes a point by ``floor((a . x + b) / w)`` for a few random Gaussian directions
 ``a``. A query visits, in each table, its own bucket and the buckets next to it in order of
 estimated success: by the sum of squared distances to the cell walls that lie between.
 
 A first visit to the home buckets gives every query a bound (the score of its last wanted
-neighbour so far); the other buckets return only what reaches it. Candidates of all tables are
+neighbour so far); the other buckets return only what reaches it. A query that has fewer than
+``k`` others after that is compared with all points, in blocks. Candidates of all tables are
 merged and ranked by their inner product in double precision on the original vectors.
 
 Equal vectors are one point of the index with its smallest ids, as many as an answer can hold.
@@ -15,7 +17,7 @@ Buckets larger than ``block`` points or queries are cut into blocks, and each pa
 one task's work; nothing is left out.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, as
-rows or as queries, and so do null ids; fewer candidates than wanted are all returned if visited;
+rows or as queries, and so do null ids; fewer candidates than wanted are all returned;
 ties go to the smaller id; rows equal in id and vector count once; an empty table gives an empty
 result; extra columns are left out.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from ribospan.session import materialize
 
 FOUND = "query long, point long, score double"
+RANGE_BITS, MAX_RANGE = 52, 2047
 MOVES = np.array(list(product(range(-3, 4), repeat=3)))
 
 
@@ -64,6 +67,15 @@ class Tables:
         return self.bucket(table, home[:, None, :] + MOVES[best])
 
 
+def norm_range(x: np.ndarray, largest: float) -> np.ndarray:
+    """How often the largest norm can be halved and still be no less than each row's."""
+    top = np.abs(x).max(axis=1)
+    with np.errstate(all="ignore"):
+        norm = top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+        halvings = np.floor(np.log2(largest) - np.log2(norm))
+    return np.clip(np.nan_to_num(halvings, nan=0.0, posinf=MAX_RANGE), 0, MAX_RANGE).astype(np.int64)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     vec = F.col(vector_col).cast("array<double>")
     ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
@@ -149,10 +161,12 @@ def nearest(
         for batch in found:
             if not batch.num_rows:
                 continue
-            x = _dense(batch.column("vec")) / largest
+            x = _dense(batch.column("vec"))
+            span = norm_range(x, largest)
+            x = x / np.ldexp(largest, -span)[:, None]
             x = np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))])
             for t in range(tables):
-                bucket = lsh.bucket(t, np.floor(lsh.cells(x, t)))
+                bucket = lsh.bucket(t, np.floor(lsh.cells(x, t))) + (span << RANGE_BITS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket), batch.column("point"), batch.column("vec")], names=["bucket", "point", "vec"]
                 )
@@ -162,9 +176,10 @@ def nearest(
             if not batch.num_rows:
                 continue
             x = _dense(batch.column("vec"))
+            x = x / np.abs(x).max(axis=1, keepdims=True)
             x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
-            for t in range(tables):
-                bucket = lsh.visits(x, t)
+            for t, span in product(range(tables), spans):
+                bucket = lsh.visits(x, t) + (span << RANGE_BITS)
                 n = bucket.shape[1]
                 at = np.repeat(np.arange(len(x)), n)
                 yield pa.RecordBatch.from_arrays(
@@ -173,6 +188,7 @@ def nearest(
                 )
 
     stored = materialize(points.select("point", "vec").mapInArrow(store, "bucket long, point long, vec array<double>"))
+    spans = [r[0] for r in stored.select(F.shiftrightunsigned("bucket", RANGE_BITS)).distinct().collect()]
     visits = materialize(asked.mapInArrow(probe, "bucket long, visit int, query long"))
     home = visits.where("visit = 0").join(asked, "query").withColumn("bound", F.lit(float("-inf")))
     first = materialize(_best(_visit(stored, home.drop("visit"), spare, block), spare))
@@ -180,7 +196,16 @@ def nearest(
     others = asked.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     others = visits.where("visit > 0").join(others, "query").drop("visit")
     found = first.drop("k").unionByName(_visit(stored, others, spare, block))
-    best = materialize(_best(found, spare).select("query", "point"))
+    best = materialize(_best(found, spare).drop("k"))
+    # What has fewer others than wanted meets all points.
+    held = best.join(points.select("point", F.size("ids").alias("n")), "point").groupBy("query").agg(F.sum("n").alias("n"))
+    short = materialize(asked.join(held, "query", "left").where(F.coalesce("n", F.lit(0)) <= k).select("query", "vec"))
+    if short.head(1):
+        whole = F.lit(0).cast("long").alias("bucket")
+        everything = points.select(whole, "point", "vec")
+        rest = _visit(everything, short.select(whole, "query", "vec", F.lit(float("-inf")).alias("bound")), spare, block)
+        best = materialize(_best(best.unionByName(rest), spare))
+    best = best.select("query", "point")
     # Exact measure, one order of summation for every pair; then each query without itself.
     dot = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = best.join(points, "point").join(asked.withColumnRenamed("vec", "q_vec"), "query")

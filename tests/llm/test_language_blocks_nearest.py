@@ -178,3 +178,17 @@ def test_copies_ties_and_unusable_vectors(spark):
     few = nearest.search(spark.createDataFrame(rows[:3], df.select("vec_id", "embedding").schema)).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
     assert nearest.search(df.limit(0)).count() == 0
+
+
+def test_outlier_norms_and_scattered_tables_give_all_wanted(spark):
+    rng = np.random.default_rng(5)
+    far = vectors(2000)
+    far[7] *= 1e6
+    far[1000:] *= 1e-3
+    for x, k in ((far, 20), (rng.normal(size=(60, 40)), 20), (rng.normal(size=(9, 40)), 8)):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        want, got = by_force(rows, 20, 20), {}
+        for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=512).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert set(got) == set(want) and all(len(got[q]) == k for q in want)
+        assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * k * len(want)
