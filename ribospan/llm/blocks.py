@@ -3,7 +3,8 @@
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its
 link density (share of its words inside links), those of its neighbours, and two facts of its
 place: inside an article-like element, and inside an element that its tag, class, id or role
-names as navigation, notice, advert, form or comments. A decision tree, trained here on
+names as navigation, notice, advert, form or comments. An article or main element inside such an
+element is not beside the article, unless its own class says so. A decision tree, trained here on
 ``LABELLED``, says which blocks are main text.
 
 Scripts, styles and other elements without running text are never blocks. Character references
@@ -48,6 +49,8 @@ ASIDE_NAMES = frozenset(
     "recommendations comment comments reply replies respond discussion disqus form search pagination pager tags copyright disclaimer "
     "legal skip".split()
 )
+#: Words that make a class say how the page is laid out, not what its element is (``has-sidebar``).
+STATES = frozenset("has have no with without is not enabled disabled open opened closed active on off layout enable disable show hide".split())
 MAIN_NAMES = frozenset("article articlebody content main post entry story body text".split())
 LINK = "a"
 
@@ -79,6 +82,8 @@ LABELLED = [
     ((28, 0.0, 15, 0.0, 4, 0.0, 0, 1), 0), ((14, 0.0, 1, 1.0, 14, 0.0, 0, 1), 0), ((75, 0.05, 60, 0.0, 0, 0.0, 0, 1), 0),
     ((10, 0.0, 1, 1.0, 1, 0.0, 0, 1), 0), ((11, 0.0, 1, 1.0, 120, 0.0, 0, 1), 0), ((9, 0.0, 200, 0.0, 0, 0.0, 0, 1), 0),
     ((6, 0.0, 3, 0.0, 0, 0.0, 0, 1), 0), ((2, 0.0, 9, 0.0, 6, 0.0, 0, 1), 0), ((4, 0.0, 60, 0.0, 2, 0.5, 0, 1), 0),
+    ((150, 0.0, 120, 0.0, 130, 0.0, 0, 1), 1), ((140, 0.02, 160, 0.0, 120, 0.0, 0, 1), 1), ((260, 0.0, 140, 0.0, 180, 0.0, 0, 1), 1),
+    ((180, 0.0, 110, 0.0, 150, 0.0, 1, 1), 1), ((130, 0.0, 200, 0.0, 240, 0.0, 1, 1), 1), ((320, 0.01, 300, 0.0, 280, 0.0, 0, 1), 1),
     ((1, 1.0, 1, 1.0, 2, 1.0, 0, 0), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 0, 0), 0), ((4, 0.8, 3, 1.0, 6, 0.0, 0, 0), 0),
     ((3, 0.0, 0, 0.0, 2, 1.0, 0, 0), 0), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0), 0), ((6, 0.2, 60, 0.0, 0, 0.0, 0, 0), 0),
     ((5, 0.0, 3, 1.0, 5, 0.3, 0, 0), 0), ((7, 0.4, 6, 0.0, 1, 1.0, 0, 0), 0), ((2, 0.0, 1, 1.0, 0, 0.0, 0, 0), 0),
@@ -119,24 +124,31 @@ def decide(tree: tuple | float, features: tuple) -> bool:
     return tree >= 0.5
 
 
-def _place(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is article-like, and whether it is beside the article."""
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool | None]:
+    """Whether an element is article-like, and whether it is beside the article; None if what it is in says so."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
         return False, True
-    if tag in ("article", "main"):
-        return True, False
-    if tag in ("html", "body") or not attributes:
+    if tag in ("html", "body"):
         return False, False
-    named = set()
+    named, whole, beside = set(), set(), False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "itemprop", "role", "aria-label") or key.startswith("data-ad"):
-            named |= {w for w in re.split(r"[^a-z]+", value) if w} | set(value.split())
-        if key == "role" and value in ASIDE_ROLES:
+        if key == "role" and value in ASIDE_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
+            return False, True
+        if key == "class" and "hidden" in value.split() or key == "aria-label" and value.strip() in ASIDE_NAMES:
             return False, True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes):
+        if key in ("class", "id", "itemprop", "role") or key.startswith("data-ad"):
+            for token in value.split():
+                words = {w for w in re.split(r"[^a-z]+", token) if w}
+                named |= words
+                whole.add(token)
+                beside |= bool(words & ASIDE_NAMES) and not words & STATES
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
         return False, True
-    if named & ASIDE_NAMES:
+    if tag in ("article", "main"):
+        # A whole class ("comment") puts it beside; a word of one ("ad-free") only keeps the mark it is in.
+        return (False, True) if whole & ASIDE_NAMES and not whole & MAIN_NAMES else (True, None if beside else False)
+    if beside:
         return False, True
     return bool(named & MAIN_NAMES), False
 
@@ -202,7 +214,9 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                 open_tags.pop()
             article, aside = open_tags[-1][1:] if open_tags else (False, False)
             begins, beside = _place(tag, m[3], article)
-            open_tags.append((tag, article or begins, aside or beside))
+            if tag in ("article", "main") and beside is False and not article:
+                aside = False
+            open_tags.append((tag, article or begins, aside or bool(beside)))
     if not silent and at < len(page):
         parts.append(page[at:])
         if links:

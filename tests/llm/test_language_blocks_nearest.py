@@ -125,6 +125,25 @@ def test_the_tree_learns_its_table():
     assert len(blocks.LABELLED) <= 200
 
 
+@pytest.mark.parametrize("begin", [
+    '<div class="layout has-sidebar"><article>', '<div id="page" class="no-sidebar with-comments"><article>',
+    '<section class="content share-enabled">', '<div class="page sidebar"><main>', '<form id=f><article title="the hidden city">',
+    '<div class="content" title="the hidden city">',
+])
+def test_words_of_the_layout_do_not_lose_the_article(begin):
+    body = "<p>" + "word " * 40 + "<p>A short one.<p>" + "more " * 30
+    text = blocks.main_text(begin + body, blocks.train())[0]
+    assert text == "\n".join([("word " * 40).strip(), "A short one.", ("more " * 30).strip()])
+
+
+def test_marked_elements_are_judged_by_their_words_too():
+    long = "word " * 140
+    page = f'<div class="widget"><p>{long}<p>{long}<p>{long}</div><div hidden><p>some words that nobody sees on this page at all</div>'
+    assert long.strip() in blocks.main_text(page, blocks.train())[0] and "nobody" not in blocks.main_text(page, blocks.train())[0]
+    comments = '<section class="comment-list"><article class="comment"><p>I think that this is a very good article that all should read</article></section>'
+    assert blocks.main_text(comments, blocks.train())[0] == ""
+
+
 # ---------------------------------------------------------------- nearest
 
 def vectors(n, seed=3):
