@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, packing, records, secrets, simhash
+from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, ngram_join, packing, records, secrets, simhash
 from ribospan.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from ribospan.llm.tokens import default_tokenizer
 
@@ -57,3 +57,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_round_trip(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query(ngram_join.ORACLE)
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_by_ngrams(table(spark, sf_dir, "documents"))
