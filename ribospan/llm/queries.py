@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, ngram_join, packing, records, secrets, simhash
+from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, ngram_join, packing, prefix_trie, records, secrets, simhash
 from ribospan.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from ribospan.llm.tokens import default_tokenizer
 
@@ -62,3 +62,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ngram_join.ORACLE)
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_by_ngrams(table(spark, sf_dir, "documents"))
+
+
+@query(prefix_trie.ORACLE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
