@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, ngram_join, packing, prefix_trie, records, secrets, simhash
+from ribospan.llm import blocks, fingerprints, language, lines, mixing, nearest, ngram_join, packing, prefix_trie, records, secrets, simhash, turn_repair
 from ribospan.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from ribospan.llm.tokens import default_tokenizer
 
@@ -67,3 +67,8 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(prefix_trie.ORACLE)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(turn_repair.ORACLE)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
