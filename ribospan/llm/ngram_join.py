@@ -14,11 +14,12 @@ The boundary is the size at which the subsets of all smaller sets and the lists
 cost least together: rows that are emitted, plus the comparisons that the lists will need. List
 lengths are estimated for each class of sizes from a second table of counts over all documents.
 
-Sets that share a key are compared by parity bitmaps first: the bits in which they differ are no
-more than the shingles in which they differ, so nothing is lost. What passes is verified on
-the shingles themselves. Each list gives links that connect it, not all its pairs; later rounds
-look only at pairs of different components, the last one at every such pair, so no link between
-different components is left. Lists above ``block`` sets are cut into pairs of blocks.
+Sets that share a key are compared by parity bitmaps, of a size that grows with the set: the bits in
+which two differ are no more than the shingles in which they differ, so nothing is lost. A list gives
+links that connect what may link, not all its pairs. The components of these links hold every link;
+each gets its sets once, and the links among them are verified on the shingles themselves, again only
+as many as connect it. Lists above ``block`` sets, and components above ``block_shingles`` shingles,
+are cut into blocks whose pairs are a task's work.
 
 Equal sets are one row from the start. Edge cases: a null text and one without words have an
 empty set, which links with nothing; with fewer words than a shingle has, the whole sequence is
@@ -33,7 +34,6 @@ from __future__ import annotations
 import re
 from itertools import combinations
 from math import comb
-from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,64 +41,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribospan.llm.components import connected_components
-from ribospan.llm.hamming import _block_pair, _block_pairs, _runs, every_link, spanning_links
+from ribospan.llm.hamming import _block_pairs, spanning_links
 from ribospan.session import materialize
 
 WORDS = 4
 LEAST, OF = 85, 100
 CELL_BITS = 15
 LOW_MASK = np.uint64((1 << (64 - CELL_BITS)) - 1)
+CELL_SHIFT = np.uint64(64 - CELL_BITS)
 SMALL_SKETCH = 1 << 11
-PARITY = 8  # longs
+LEAST_PARITY, EXACT_PARITY = 256, 4096  # bits
 FIRST_LINKING = 6  # below, no two different sets reach the threshold
 SHORT_LIST = 64
 BLOCK = 1 << 16
-PIECE = 1 << 22
+BLOCK_SHINGLES = 1 << 21
+PIECE = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-class _WordHashes(dict):
-    """Hashes of words seen before; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_M1, _M2, _33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+#: A random number for each byte, none for white space, A-Z as a-z; and the base of the word polynomials.
+_BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_BYTES[_IS_SPACE] = 0
+_BASE = 0x9E3779B97F4A7C15 | 5
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, PIECE + 1)
+        _POWERS[:] = [
+            np.cumprod(np.where(np.arange(size) > 0, np.uint64(base), np.uint64(1)), dtype=np.uint64)
+            for base in (_BASE, pow(_BASE, -1, 1 << 64))
+        ]
+    return _POWERS
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = (x ^ (x >> _33)) * _M1
+    x = (x ^ (x >> _33)) * _M2
+    return x ^ (x >> _33)
 
 
-def word_hashes(text: bytes, known: dict) -> np.ndarray:
-    """Hashes of the words of a text, A-Z lower-cased, piece by piece."""
+def piece_words(piece: bytes) -> np.ndarray:
+    """Hashes of the words of a piece of text, A-Z as a-z: a polynomial of each word's bytes, from running sums."""
+    raw = np.frombuffer(piece, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64)
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[raw], [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, piece by piece."""
+    if len(text) <= PIECE:
+        return piece_words(text)
     parts, start = [], 0
     while start < len(text):
         cut = _SPACE.search(text, start + PIECE) if len(text) - start > PIECE else None
         end = cut.start() if cut else len(text)
-        words = text[start:end].lower().split()
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        parts.append(piece_words(text[start:end]))
         start = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return np.concatenate(parts)
 
 
-def shingle_set(text: bytes, known: dict, size: int = WORDS) -> np.ndarray:
+def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = word_hashes(text, known)
+    words = word_hashes(text)
     if not len(words):
         return words
     width = min(size, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
-        total += words[k : len(words) - width + 1 + k] * _MULTIPLIERS[k % 4] * np.uint64(2 * (k // 4) + 1)
-    return np.unique(mixed(total))
+        total += words[k : len(words) - width + 1 + k] * (_MULTIPLIERS[k % 4] + np.uint64(2 * (k // 4)))
+    found = np.sort(mixed(total))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def least_common(n: int) -> int:
@@ -115,9 +139,18 @@ def most_different(total: np.ndarray) -> np.ndarray:
     return total - 2 * -(-LEAST * total // (LEAST + OF))
 
 
-def parity(shingles: np.ndarray) -> bytes:
+def parity_bits(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` shingles."""
+    bits = LEAST_PARITY
+    while 2 * bits < 3 * n:
+        bits *= 2
+    return bits
+
+
+def parity(shingles: np.ndarray, bits: int | None = None) -> bytes:
     """Bits that an odd number of shingles fall on."""
-    hits = np.bincount((shingles & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64)
+    bits = bits or parity_bits(len(shingles))
+    hits = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((hits & 1).astype(np.uint8)).tobytes()
 
 
@@ -134,8 +167,8 @@ def size_class(n: int) -> int:
 
 def in_order(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Shingles renumbered so that the frequent cells come last, sorted."""
-    high = ranks[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    return np.sort((high << np.uint64(64 - CELL_BITS)) | (shingles & LOW_MASK))
+    high = ranks[(shingles >> CELL_SHIFT).astype(np.int64)]
+    return np.sort((high << CELL_SHIFT) | (shingles & LOW_MASK))
 
 
 def _texts(docs: DataFrame, *carried) -> DataFrame:
@@ -160,21 +193,21 @@ def measured(docs: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "tid", "n", "sid", "bits", "cell", "hits"]
 
     def run(found):
-        known, hits = _WordHashes(), np.zeros(1 << CELL_BITS, np.int64)
+        hits = np.zeros(1 << CELL_BITS, np.int64)
         for batch in found:
             n, sid, bits, held, held_size = [], [], [], [], 0
             for text in batch.column("bytes").to_pylist():
-                one = shingle_set(text, known, size)
+                one = shingle_set(text, size)
                 n.append(len(one))
                 sid.append(set_id(one))
                 bits.append(parity(one))
                 held.append(one)
                 held_size += len(one)
                 if held_size > 1 << 20:
-                    hits += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(hits))
+                    hits += np.bincount((np.concatenate(held) >> CELL_SHIFT).astype(np.int64), minlength=len(hits))
                     held, held_size = [], 0
             if held:
-                hits += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(hits))
+                hits += np.bincount((np.concatenate(held) >> CELL_SHIFT).astype(np.int64), minlength=len(hits))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tid"), pa.array(n, pa.int64()), _signed(sid), pa.array(bits, pa.binary()),
@@ -204,10 +237,10 @@ def class_counts(docs: DataFrame, ranks: np.ndarray, size: int) -> dict[int, tup
     """For each class of sizes the number of sets and a table of counts of their prefix shingles."""
 
     def run(found):
-        known, tables = _WordHashes(), {}
+        tables = {}
         for batch in found:
             for text in batch.column(0).to_pylist():
-                one = shingle_set(text, known, size)
+                one = shingle_set(text, size)
                 if len(one) < FIRST_LINKING:
                     continue
                 table = tables.setdefault(size_class(len(one)), np.zeros(SMALL_SKETCH + 1, np.int64))
@@ -274,11 +307,11 @@ def keyed_sets(docs: DataFrame, ranks: np.ndarray, light: int, size: int, subset
     """``key, sid`` of all sets; a task emits equal sets once."""
 
     def run(found):
-        known, seen, picks = _WordHashes(), set(), {}
+        seen, picks = set(), {}
         for batch in found:
             keys, sids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for text in batch.column(0).to_pylist():
-                one = shingle_set(text, known, size)
+                one = shingle_set(text, size)
                 if len(one) < FIRST_LINKING:
                     continue
                 sid = set_id(one)
@@ -357,90 +390,123 @@ def _rank(key: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of ``sid, n, component, bits`` can link: sizes fit, bitmaps differ little, components differ."""
-    n, m = a[:, 1].astype(np.int64), b[:, 1].astype(np.int64)
-    fits = OF * np.minimum(n, m) >= LEAST * np.maximum(n, m)
-    differ = np.bitwise_count(a[:, 3:] ^ b[:, 3:]).sum(axis=1, dtype=np.int64)
-    return fits & (differ <= most_different(n + m)) & (a[:, 2] != b[:, 2])
+def may_link(key, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of ``n, native, bitmap`` can link: sizes fit, bitmaps differ little, not both bitmaps are folded."""
+    n, m = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
+    fits = (OF * np.minimum(n, m) >= LEAST * np.maximum(n, m)) & ((a[:, 1] | b[:, 1]) > 0)
+    differ = np.bitwise_count(a[:, 2:] ^ b[:, 2:]).sum(axis=1, dtype=np.int64)
+    return fits & (differ <= most_different(n + m))
 
 
-def _test(key, a, b):
-    return may_link(a, b)
+def at_levels(shared: DataFrame, marks: DataFrame) -> DataFrame:
+    """``key, sid, n, native, bits``: lists of sets whose bitmaps have one size.
 
+    A set is in the list of its own size, and with its bitmap folded once in that of half the
+    size, if a partner can have that: sizes of partners differ too little to be further apart.
+    """
+    bits = F.octet_length("bits") * 8
+    lower = F.floor(bits / 3)  # the largest set whose bitmap has half the bits
+    levels = F.when(
+        (bits > LEAST_PARITY) & (OF * lower >= LEAST * F.col("n")), F.array(F.struct(bits.alias("level"), F.lit(True).alias("native")), F.struct((bits / 2).cast("int").alias("level"), F.lit(False).alias("native")))
+    ).otherwise(F.array(F.struct(bits.alias("level"), F.lit(True).alias("native"))))
+    rows = shared.join(marks, "sid").select("key", "sid", "n", "bits", F.inline(levels))
+    return rows.select(F.xxhash64("key", "level").alias("key"), "sid", "n", F.col("native").cast("long").alias("native"), "bits")
 
-COLUMNS = ["sid", "n", "component", *[f"b{k}" for k in range(PARITY)]]
 
+def _comparable(rows: pa.Table) -> np.ndarray:
+    """``n, native, bitmap`` of rows of one list."""
+    native = rows.column("native").to_numpy()
+    words = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
+    words = [w if own else w[: len(w) // 2] ^ w[len(w) // 2 :] for w, own in zip(words, native.tolist(), strict=True)]
+    return np.column_stack([rows.column("n").to_numpy().astype(np.uint64), native.astype(np.uint64), np.stack(words)])
 
-def candidates(entries: DataFrame, every: bool, block: int) -> DataFrame:
-    """``a, b`` of sets in a list that may link: enough to connect each list, or with ``every`` all."""
 
-    def linked(key, words, side=None):
-        if every:
-            yield from every_link(key, words, _test, side)
-        else:
-            yield spanning_links(key, words, _test)
+def _whole_runs(found, names: list[str], most: int):
+    """Tables of rows that are equal in ``names``, from batches sorted by them, without repeated ``sid``.
 
-    def pairs(words, i, j):
-        return pa.RecordBatch.from_arrays(
-            [_signed(words[i, 0]), _signed(words[j, 0]), pa.nulls(len(i), pa.int64()), *[pa.nulls(len(i), pa.int64())] * (len(COLUMNS) - 1)],
-            names=["a", "b", "key", *COLUMNS[1:]],
-        )
+    A run of more than ``most`` rows comes in pieces, each marked as one.
+    """
+    held, open_run, cut = [], None, False
 
-    def left(words, key):
-        none = pa.nulls(len(key), pa.int64())
-        columns = [_signed(words[:, k]) for k in range(1, len(COLUMNS))]
-        return pa.RecordBatch.from_arrays([_signed(words[:, 0]), none, pa.array(key), *columns], names=["a", "b", "key", *COLUMNS[1:]])
+    def run():
+        table = pa.Table.from_batches(held).combine_chunks()
+        sid = table.column("sid").to_numpy()
+        fresh = np.concatenate([[True], sid[1:] != sid[:-1]])
+        return table if fresh.all() else table.filter(pa.array(fresh))
+
+    for batch in found:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(keys[:, start].tolist())
+            if key != open_run:
+                if held:
+                    yield run(), cut
+                held, open_run, cut = [], key, False
+            held.append(batch.slice(start, end - start))
+            if sum(b.num_rows for b in held) > most:
+                cut = True
+                yield run(), True
+                held = []
+    if held:
+        yield run(), cut
+
+
+def candidates(entries: DataFrame, block: int) -> DataFrame:
+    """``a, b``: links that connect all sets of a list that may link."""
+    columns = ["sid", "n", "native", "bits"]
+    schema = "a long, b long, key long, n long, native long, bits binary"
+    names = ["a", "b", "key", "n", "native", "bits"]
+
+    def pairs(a, b):
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, pa.nulls(len(a), pa.binary())], names=names)
 
     def walk(found):
-        for now, rows, starts, sizes, hot in _runs(_once(found), COLUMNS, block):
-            two = starts[(sizes == 2) & ~hot]
-            hit = may_link(rows[two], rows[two + 1])
-            out_i, out_j = [two[hit]], [two[hit] + 1]
-            more = (sizes > 2) & ~hot
-            for s, n in zip(starts[more].tolist(), sizes[more].tolist(), strict=True):
-                words = rows[s : s + n]
-                if (words[:, 2] == words[0, 2]).all():
-                    continue
-                for i, j in linked(0, words):
-                    out_i.append(s + i)
-                    out_j.append(s + j)
-            i, j = np.concatenate(out_i), np.concatenate(out_j)
-            if len(i):
-                both = np.unique(np.stack([rows[i, 0], rows[j, 0]]), axis=1, return_index=True)[1]
-                yield pairs(rows, i[both], j[both])
-            rest = np.repeat(hot, sizes)
-            if rest.any():
-                yield left(rows[rest], now[rest])
-
-    schema = "a long, b long, key long, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
-    sorted_rows = entries.select("key", *COLUMNS).repartition("key").sortWithinPartitions("key", "sid")
-    found = materialize(sorted_rows.mapInArrow(walk, schema))
+        seen, out_a, out_b = set(), [], []
+        for rows, cut in _whole_runs(found, ["key"], block):
+            if cut:
+                none = pa.nulls(rows.num_rows, pa.int64())
+                left = [rows.column("sid"), none, *(rows.column(c) for c in ("key", "n", "native", "bits"))]
+                yield from pa.Table.from_arrays(left, names=names).to_batches()
+                continue
+            if rows.num_rows < 2:
+                continue
+            i, j = spanning_links(0, _comparable(rows), may_link)
+            sid = rows.column("sid").to_numpy()
+            for a, b in zip(sid[i].tolist(), sid[j].tolist(), strict=True):
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    out_a.append(a)
+                    out_b.append(b)
+            if len(seen) > 500_000:
+                seen.clear()
+            if len(out_a) > 10_000:
+                yield pairs(out_a, out_b)
+                out_a, out_b = [], []
+        yield pairs(out_a, out_b)
+
+    found = materialize(entries.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(walk, schema))
     direct = found.where(F.col("key").isNull()).select("a", "b")
-    large = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("sid"), *COLUMNS[1:])
-    blocks = _block_pairs(large, COLUMNS, block)
+    large = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("sid"), "n", "native", "bits").dropDuplicates(["key", "sid"])
+    blocks = _block_pairs(large, columns, block)
     if blocks is None:
-        return direct
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words, side = _block_pair(pa.Table.from_batches(batches), COLUMNS)
-        for i, j in linked(key, words, side):
-            yield pairs(words, i, j).select(["a", "b"])
+        return direct.distinct()
+
+    def compare(group: pa.Table) -> pa.Table:
+        words, sid = _comparable(group), group.column("sid").to_numpy()
+        if group.column("block_a")[0].as_py() < group.column("block_b")[0].as_py():
+            side = group.column("block").to_numpy() == group.column("block_b")[0].as_py()
+            words = np.column_stack([words, side.astype(np.uint64)])
+            i, j = spanning_links(0, words, lambda key, a, b: (a[:, -1] != b[:, -1]) & may_link(key, a[:, :-1], b[:, :-1]))
+        else:
+            i, j = spanning_links(0, words, may_link)
+        return pa.table({"a": sid[i], "b": sid[j]})
 
     met = blocks.groupBy("key", "block_a", "block_b").applyInArrow(compare, "a long, b long")
-    return direct.unionByName(met)
-
-
-def _once(found):
-    """Batches sorted by key and set without repeated rows."""
-    last = None
-    for batch in found:
-        key, sid = batch.column("key").to_numpy(), batch.column("sid").to_numpy()
-        if not len(key):
-            continue
-        fresh = np.concatenate([[last != (key[0], sid[0])], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-        last = (key[-1], sid[-1])
-        yield batch.filter(pa.array(fresh))
+    return direct.unionByName(met).distinct()
 
 
 def fetched_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -448,59 +514,68 @@ def fetched_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int)
     one_text = rows.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).select("tid")
 
     def run(found):
-        known, seen = _WordHashes(), set()
+        seen = set()
         for batch in found:
             sids, sets = [], []
             for text in batch.column(0).to_pylist():
-                one = shingle_set(text, known, size)
+                one = shingle_set(text, size)
                 sid = set_id(one)
                 if sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
-                    sets.append(one.view(np.int64))
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(sids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["sid", "shingles"])
+                    sets.append(one.tobytes())
+            yield pa.RecordBatch.from_arrays([_signed(sids), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
     texts = _texts(docs, F.xxhash64("text").alias("tid")).join(one_text, "tid").select("bytes")
-    found = texts.mapInArrow(run, "sid long, shingles array<long>")
-    return materialize(found.groupBy("sid").agg(F.first("shingles").alias("shingles")))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a, b`` of ``pairs`` that reach the threshold."""
-    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("right"))
-    met = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - common
-    return met.where(OF * common >= LEAST * union).select("a", "b")
-
-
-def linked_sets(docs: DataFrame, rows: DataFrame, entries: DataFrame, size: int, block: int) -> DataFrame:
-    """``node, root`` of every linked set: connected components of all links between different sets."""
-    # First each set with the smallest one that it may link with, then what connects components, then every pair of two.
-    alone = entries.withColumn("component", F.col("sid"))
-    found = materialize(candidates(alone, False, block).distinct())
-    ends = found.select(F.col("a").alias("sid")).union(found.select(F.col("b").alias("sid"))).distinct()
-    sets = fetched_sets(docs, rows, ends, size)
-    tested = materialize(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = materialize(verified(tested, sets))
-    roots = connected_components(links)
-    for every in (False, True):
-        placed = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-        placed = placed.withColumn("component", F.coalesce("root", "sid")).drop("root")
-        fresh = candidates(placed, every, block).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh)
-        if not fresh.head(1):
-            break
-        tested = tested.unionByName(fresh)
-        links = materialize(links.unionByName(verified(fresh, sets)))
-        roots = connected_components(links)
-    return roots
-
-
-def join_by_ngrams(docs: DataFrame, *, size: int = WORDS, subset: int = 2, light: int | None = None, block: int = BLOCK) -> DataFrame:
+    found = texts.mapInArrow(run, "sid long, shingles binary")
+    return found.groupBy("sid").agg(F.first("shingles").alias("shingles"))
+
+
+def exact_links(sets: list[np.ndarray], side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as row numbers) that connect all linked sets, or those on two sides, verified on the shingles."""
+    n = np.fromiter(map(len, sets), np.uint64, len(sets))
+    bits = np.stack([np.frombuffer(parity(x, EXACT_PARITY), np.uint64) for x in sets])
+    own = np.zeros(len(sets), np.uint64) if side is None else side.astype(np.uint64)
+    words = np.column_stack([n, np.ones(len(sets), np.uint64), bits, own, np.arange(len(sets), dtype=np.uint64)])
+
+    def test(key, a, b):
+        hit = may_link(key, a[:, :-2], b[:, :-2])
+        if side is not None:
+            hit &= a[:, -2] != b[:, -2]
+        for k in np.flatnonzero(hit):
+            one, other = sets[int(a[k, -1])], sets[int(b[k, -1])]
+            common = len(np.intersect1d(one, other, assume_unique=True))
+            hit[k] = OF * common >= LEAST * (len(one) + len(other) - common)
+        return hit
+
+    return spanning_links(0, words, test)
+
+
+def verified_links(sets: DataFrame, roots: DataFrame, rows: DataFrame, block_shingles: int) -> DataFrame:
+    """``a, b``: links between ``sets(sid, shingles)`` that connect what is linked in each of the components ``roots(node, root)``."""
+    sizes = rows.groupBy("sid").agg(F.first("n").alias("n")).join(roots.withColumnRenamed("node", "sid"), "sid")
+    blocks = materialize(sizes.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks")))
+    placed = materialize(roots.withColumnRenamed("node", "sid").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+    members = placed.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["root", "block_a", "block_b"]
+    members = members.select("root", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "sid", "shingles")
+
+    def walk(found):
+        for group, _ in _whole_runs(found, keys, 1 << 62):
+            if group.num_rows < 2:
+                continue
+            sid, block = group.column("sid").to_numpy(), group.column("block").to_numpy()
+            two = group.column("block_a")[0].as_py() < group.column("block_b")[0].as_py()
+            shingles = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            i, j = exact_links(shingles, block == group.column("block_b")[0].as_py() if two else None)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], names=["a", "b"])
+
+    return members.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(walk, "a long, b long")
+
+
+def join_by_ngrams(
+    docs: DataFrame, *, size: int = WORDS, subset: int = 2, light: int | None = None, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
     ``light`` overrides the boundary that the costs choose.
@@ -511,12 +586,10 @@ def join_by_ngrams(docs: DataFrame, *, size: int = WORDS, subset: int = 2, light
     if light is None:
         light = boundary(class_counts(docs, ranks, size), subset)
     shared = materialize(shared_keys(keyed_sets(docs, ranks, light, size, subset)))
-    words = [
-        F.conv(F.hex(F.substring("bits", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)
-    ]
     marks = rows.where(F.col("n") >= FIRST_LINKING).groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    entries = materialize(shared.join(marks, "sid").select("key", "sid", "n", *words))
-    roots = linked_sets(docs, rows, entries, size, block)
+    near = connected_components(candidates(at_levels(shared, marks), block))
+    sets = fetched_sets(docs, rows, near.select(F.col("node").alias("sid")), size)
+    roots = connected_components(verified_links(sets, near, rows, block_shingles))
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = materialize(least)

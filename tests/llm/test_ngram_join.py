@@ -58,7 +58,7 @@ def rows_near_the_threshold():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"light": 0}, {"light": 20}, {"light": 100, "subset": 3}, {"light": 20, "block": 3}])
+@pytest.mark.parametrize("options", [{}, {"light": 0}, {"light": 20}, {"light": 100, "subset": 3}, {"light": 20, "block": 3, "block_shingles": 300}])
 def test_components_against_brute_force(spark, options):
     rows = rows_near_the_threshold()
     df = spark.createDataFrame(rows, DOCS).withColumn("sid", F.lit("clash")).withColumn("n", F.lit(1)).repartition(3)
@@ -92,7 +92,10 @@ def test_bitmaps_never_part_what_links():
         one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         other = np.concatenate([one[int(n * 0.15 / 2) :], rng.integers(0, 1 << 63, int(n * 0.15 / 2) // 2, dtype=np.uint64)])
         common, union = len(np.intersect1d(one, other)), len(np.union1d(one, other))
-        differ = sum((x ^ y).bit_count() for x, y in zip(ngram_join.parity(one), ngram_join.parity(other), strict=True))
+        bits = min(ngram_join.parity_bits(len(one)), ngram_join.parity_bits(len(other)))
+        differ = sum((x ^ y).bit_count() for x, y in zip(ngram_join.parity(one, bits), ngram_join.parity(other, bits), strict=True))
+        wide = np.frombuffer(ngram_join.parity(one, 2 * bits), np.uint64)
+        assert ((wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]) == np.frombuffer(ngram_join.parity(one, bits), np.uint64)).all()
         assert 100 * common >= 85 * union
         assert differ <= ngram_join.most_different(np.array([len(one) + len(other)]))[0]
 
@@ -106,8 +109,15 @@ def test_boundary_follows_the_costs():
     assert few < many  # long lists make subsets worth more
 
 
+def test_hashes_tell_words_apart_as_text_does():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "ab", "ba", "b", "A", "aB", "é", "É"]) + rng.choice(["", "\t", "\n "]) for _ in range(6)) for _ in range(3000)]
+    of = lambda t: ngram_join.set_id(ngram_join.shingle_set(t.encode()))
+    assert len({of(t) for t in texts}) == len({frozenset(set_by_force(t)) for t in texts})
+
+
 def test_long_text_is_hashed_in_pieces(monkeypatch):
     text = b"some words of a longer text\tthat is\ncut " * 50
-    whole = ngram_join.shingle_set(text, ngram_join._WordHashes())
+    whole = ngram_join.shingle_set(text)
     monkeypatch.setattr(ngram_join, "PIECE", 17)
-    assert (ngram_join.shingle_set(text, ngram_join._WordHashes()) == whole).all()
+    assert (ngram_join.shingle_set(text) == whole).all()
