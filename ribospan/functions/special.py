@@ -1,7 +1,7 @@
 """Arrow-batched helpers for what Column expressions cannot do, or only position by position.
 
-The tail probabilities run on already aggregated rows (one per motif or group). The PWM
-scan and the structure states run on records, a whole batch per array operation.
+The tail probabilities run on already aggregated rows (one per motif or group). The structure
+states run on records, a whole batch per array operation.
 """
 
 from __future__ import annotations
@@ -144,38 +144,6 @@ def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([p_value(a, b) for a, b in zip(t, dof)], dtype=float)
 
 
-@F.pandas_udf(DoubleType())
-def pwm_top_windows(
-    seq: pd.Series, motif: pd.Series, cols: pd.Series, alphabet: pd.Series, top_n: pd.Series
-) -> pd.Series:
-    """Sum of the ``top_n`` best products of a PWM along each sequence.
-
-    The rows of a batch that share a PWM (named by ``motif``) are laid end to end with
-    gaps, so a window score is one array product per PWM position.
-    """
-    out = np.zeros(len(seq))
-    for rows in motif.reset_index(drop=True).groupby(motif.to_numpy()).indices.values():
-        matrix = np.stack(cols.iloc[rows[0]]).astype(float)
-        width, n = len(matrix), int(top_n.iloc[rows[0]])
-        table = np.full(256, matrix.shape[1])
-        for j, letter in enumerate(alphabet.iloc[rows[0]].encode()):
-            table[letter] = j
-        padded = np.hstack([matrix, np.zeros((width, 1))])
-        texts = [s.encode() for s in seq.iloc[rows]]
-        codes = table[np.frombuffer((b"\0" * width).join(texts) + b"\0" * width, dtype=np.uint8)]
-        score = padded[0][codes[: len(codes) - width + 1]]
-        for j in range(1, width):
-            score = score * padded[j][codes[j : len(codes) - width + 1 + j]]
-        start = 0
-        for row, text in zip(rows, texts):
-            windows = len(text) - width + 1
-            if len(text) >= width + n - 1:
-                mine = score[start : start + windows]
-                out[row] = mine.max() if n == 1 else np.sort(mine)[-n:].sum()
-            start += len(text) + width
-    return pd.Series(out)
-
-
 @F.pandas_udf(StringType())
 def dot_bracket_states(structure: pd.Series) -> pd.Series:
     """Seven-state strings of balanced dot-bracket strings, all records of a batch at once."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
-from ribospan.functions.core import char_at, col, let, positions
-from ribospan.functions.special import pwm_top_windows
+from ribospan.functions.core import char_at, let, positions
+from ribospan.functions.scans import Automaton, stacked_top_sums
 from ribospan.session import materialize
 
 # ---------------------------------------------------------------- regions
@@ -97,75 +100,58 @@ def extract_windows(instances: DataFrame, width: int = 24) -> DataFrame:
 # ------------------------------------------------------------ containment
 
 
-def seed_lengths(lengths: Column) -> Column:
-    """Seed sizes for a sorted array of motif lengths: the shortest, then each at least twice the last."""
-    return F.aggregate(
-        lengths,
-        F.array().cast("array<int>"),
-        lambda acc, n: F.when(
-            (F.size(acc) == 0) | (n >= 2 * F.try_element_at(acc, F.lit(-1))),
-            F.concat(acc, F.array(n)),
-        ).otherwise(acc),
-    )
+def dealt_groups(
+    records: DataFrame, small: DataFrame, on: list[str], weight: Column, part_weight: int, group_rows: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with ``_part`` and ``_salt``, and the keys under which they meet.
+
+    The rows of ``small`` of a group are cut into parts of about ``part_weight``, its records into
+    ``group_rows``; every part meets all salts. However many rows a group has, one task's work is bounded.
+    """
+    parts = small.groupBy(*on).agg(F.ceil(F.sum(weight) / part_weight).alias("_parts"))
+    salts = records.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("_salts"))
+    plan = parts.join(salts, on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    plan = materialize(plan.withColumn("_parts", F.greatest("_parts", F.lit(1))))  # a row a group
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    share = lambda df, n: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col(n))
+    left = records.withColumn("_share", F.xxhash64(*[F.col(f"`{c}`") for c in records.columns])).join(plan, on)
+    left = left.withColumn("_salt", F.pmod("_share", "_salts")).withColumn("_part", every("_parts")).drop("_share", "_parts", "_salts")
+    right = small.join(plan, on).withColumn("_part", share(small, "_parts")).withColumn("_salt", every("_salts"))
+    return left, right.drop("_parts", "_salts"), [*on, "_part", "_salt"]
 
 
 def motif_containment(
-    records: DataFrame, motifs: DataFrame, by: list[str], lengths: list[int] | None = None,
-    allow_multi: bool = False,
+    records: DataFrame, motifs: DataFrame, by: list[str], allow_multi: bool = False,
+    part_chars: int = 2_000_000, group_rows: int = 100_000,
 ) -> DataFrame:
-    """``n_with`` and ``n_pos_with``: records (or hits) containing each motif, zero included.
+    """``n_with`` and ``n_pos_with``: records (or places) containing each motif, zero included.
 
-    Motifs are looked up by a leading seed. A few seed sizes, each at least twice the one
-    before, cover all motif lengths, so a record is exploded once per position and seed
-    size, not once per position and length, and a seed is shared by few motifs. A candidate counts at the motif's first occurrence in the record only,
-    so no distinct is needed. ``motifs`` has ``by`` and ``motif``.
+    The motifs of a group become one automaton, and its records go through it once, many at a
+    time: nothing leaves the scan per position, and only counts leave the task. ``motifs`` has
+    ``by`` and ``motif``; a group with more than ``part_chars`` letters of motifs has several
+    automata, one with more than ``group_rows`` records several tasks.
     """
-    if lengths is None:
-        known = motifs.agg(F.sort_array(F.collect_set(F.length("motif"))).alias("l"))
-        seeds = known.select(seed_lengths(F.col("l"))).scalar()
-    else:
-        seeds = seed_lengths(F.array(*[F.lit(n) for n in sorted(lengths)]))
-    wanted = motifs.select(*by, "motif").distinct()
-    fitting = F.array_max(F.filter(F.col("_seeds"), lambda n: n <= F.length("motif")))
-    seeded = wanted.withColumn("_seeds", seeds).select(
-        *by, "motif", F.substr("motif", F.lit(1), fitting).alias("seed")
-    )
-    grams = F.flatten(
-        F.transform(
-            F.col("_seeds"),
-            lambda n: F.transform(
-                positions(F.length("seq") - n + 1),
-                lambda i: F.struct(i.alias("at"), F.substr("seq", i, n).alias("seed")),
-            ),
-        )
-    )
-    cells = (
-        records.select(*by, "label", "seq", seeds.alias("_seeds"))
-        .select(*by, "label", "seq", F.inline(grams))
-        .alias("c")
-    )
-    here = (
-        F.substr("seq", F.col("at"), F.length("motif")) == F.col("motif")
-        if allow_multi
-        else F.call_function("locate", F.col("motif"), F.col("seq")) == F.col("at")
-    )
-    same = F.col("c.seed") == F.col("m.seed")
-    for k in by:
-        same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
-    # Popular motifs collapse in the partial aggregate before the shuffle.
-    counts = (
-        cells.join(seeded.alias("m"), same & here)
-        .groupBy(*[F.col(f"m.{k}").alias(k) for k in by], "motif")
-        .agg(
-            F.count(F.lit(1)).alias("n_with"),
-            F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
-        )
-    )
-    return wanted.join(counts, [*by, "motif"], "left").select(
-        *by, "motif",
-        F.coalesce("n_with", F.lit(0)).alias("n_with"),
-        F.coalesce("n_pos_with", F.lit(0)).alias("n_pos_with"),
-    )
+    wanted = motifs.where(F.length("motif") > 0).select(*by, "motif").distinct()
+    rows = records.select(*by, F.coalesce(F.col("label") == 1, F.lit(False)).alias("marked"), F.encode("seq", "UTF-8").alias("text"))
+    left, right, keys = dealt_groups(rows, wanted, by, F.octet_length("motif"), part_chars, group_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*by, "motif"]) + ", n_with long, n_pos_with long"
+
+    def count(texts: pa.Table, words: pa.Table) -> pa.Table:
+        names = words.column("motif").to_pylist()
+        n = np.zeros((2, len(names)), np.int64)
+        if names and texts.num_rows:
+            known = texts.filter(pc.is_valid(texts.column("text")))
+            marked = known.column("marked").to_numpy()
+            n = np.stack(Automaton([w.encode() for w in names]).counts(known.column("text").to_pylist(), marked, allow_multi))
+        first = words.num_rows > 0 and words.column("_salt")[0].as_py() == 0
+        keep = pa.array((n[0] > 0) | first)
+        out = words.select([*by, "motif"]).append_column("n_with", pa.array(n[0])).append_column("n_pos_with", pa.array(n[1]))
+        return out.filter(keep)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(count, schema)
+    counts = found.groupBy(*by, "motif").agg(F.sum("n_with").alias("n_with"), F.sum("n_pos_with").alias("n_pos_with"))
+    return counts.select(*by, "motif", "n_with", "n_pos_with")
 
 
 def with_population(counts: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
@@ -266,19 +252,30 @@ def pwm_rows(pwm: DataFrame, by: list[str], alphabet: str = S.RNA) -> DataFrame:
 
 def pfm_scan(
     records: DataFrame, pwms: DataFrame, keys: list[str], on: list[str], motif: str = "motif",
-    top_n: int = 1, seq: str = "seq", alphabet: str = S.RNA,
+    top_n: int = 1, seq: str = "seq", alphabet: str = S.RNA, part_columns: int = 20_000, group_rows: int = 20_000,
 ) -> DataFrame:
     """Sum of the ``top_n`` best window scores of each record for each motif of its group.
 
     A window score is the product of the motif's probabilities along it; a record
     shorter than width + top_n - 1 scores 0. ``pwms`` comes from :func:`pwm_rows` over the
-    same alphabet. The join decides which record meets which motif; the products are
-    taken by an Arrow-batched helper, as nested lambdas evaluate one factor at a time.
+    same alphabet. The PWMs of a group are stacked and a record meets all of them at once, so it enters
+    Python once for each ``part_columns`` columns of PWMs.
     """
-    joined = records.join(pwms, on)
-    name = F.to_json(F.struct(*on, motif))
-    score = pwm_top_windows(F.col(seq), name, F.col("cols"), F.lit(alphabet), F.lit(top_n))
-    return joined.select(*on, *keys, motif, score.alias("score"))
+    rows = records.select(*on, *keys, F.encode(F.col(seq), "UTF-8").alias("_text"))
+    left, right, met = dealt_groups(rows, pwms.select(*on, motif, "cols"), on, F.size("cols"), part_columns, group_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *pwms.schema.fields]}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*on, *keys, motif]) + ", score double"
+
+    def scan(texts: pa.Table, stacked: pa.Table) -> pa.Table:
+        texts = texts.filter(pc.is_valid(texts.column("_text")))
+        n, m = texts.num_rows, stacked.num_rows
+        scores = stacked_top_sums(texts.column("_text").to_pylist(), stacked.column("cols").to_pylist(), alphabet, top_n) if n and m else np.zeros((n, m))
+        each = pa.array(np.repeat(np.arange(n), m))
+        out = texts.select([*on, *keys]).take(each)
+        names = stacked.column(motif).take(pa.array(np.tile(np.arange(m), n)))
+        return out.append_column(motif, names).append_column("score", pa.array(scores.ravel()))
+
+    return left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(scan, schema)
 
 
 # ------------------------------------------------------------ similarity

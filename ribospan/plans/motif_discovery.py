@@ -20,12 +20,12 @@ def motif_table(instances: DataFrame) -> DataFrame:
 
 
 def enriched_motifs(
-    records: DataFrame, motifs: DataFrame, lengths: list[int] | None = None, p_cutoff: float = 5e-3
+    records: DataFrame, motifs: DataFrame, p_cutoff: float = 5e-3
 ) -> DataFrame:
     """Motifs whose adjusted hypergeometric p is below the cutoff (strictly)."""
     # Everything after the scan of the records works on this table, one row per motif.
     counts = materialize(
-        M.with_population(M.motif_containment(records, motifs, BY, lengths), records, BY)
+        M.with_population(M.motif_containment(records, motifs, BY), records, BY)
     )
     tested = bh_adjust(hypergeom_enrichment(counts), BY)
     return tested.where(F.col("p_adj") < p_cutoff)

@@ -129,6 +129,20 @@ def motif_containment(spark, sf_dir):
     return M.motif_containment(language_windows(spark, sf_dir), motifs, BY)
 
 
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, """
+lens AS (SELECT DISTINCT length(motif) AS l FROM motifs),
+subs AS (
+  SELECT dataset_id, rec_id, label, substr(seq, i, CAST(l AS INTEGER)) AS motif FROM (
+    SELECT dataset_id, rec_id, label, seq, l, unnest(range(1, length(seq) - l + 2)) AS i FROM lang, lens))""", body="""
+SELECT m.dataset_id, m.motif, count(*) AS n_with, CAST(sum(label) AS BIGINT) AS n_pos_with
+FROM motifs m JOIN subs USING (dataset_id, motif) GROUP BY ALL
+"""))
+def motif_places(spark, sf_dir):
+    """Every place of a motif counts, overlapping ones too."""
+    motifs = materialize(MD.motif_table(_instances(spark, sf_dir)))
+    return M.motif_containment(language_windows(spark, sf_dir), motifs, BY, allow_multi=True)
+
+
 @query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, CONTAINMENT, """
 size_ AS (SELECT dataset_id, count(*) AS total, CAST(sum(label) AS BIGINT) AS positives FROM lang GROUP BY 1),
 terms AS (
@@ -161,23 +175,24 @@ def motif_discovery(spark, sf_dir):
 # --------------------------------------------------------------------- PWM
 
 PWM = """
-anchors AS (SELECT substr(motif, 1, 3) AS motif, substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances
-            WHERE s + 8 <= length(seq)),
+anchors AS (SELECT substr(motif, 1, 5) AS motif, substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances),
 cell_counts AS (SELECT motif, i - 1 AS pos, replace(substr(w, i, 1), 'T', 'U') AS symbol, count(*) AS c
-                FROM (SELECT *, unnest(range(1, 9)) AS i FROM anchors) GROUP BY ALL),
-totals AS (SELECT motif, count(*) AS n FROM anchors GROUP BY motif),
+                FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM anchors) GROUP BY ALL),
+totals AS (SELECT motif, count(*) AS n, max(length(w)) AS width FROM anchors GROUP BY motif),
 pwm AS (
   SELECT t.motif, p.pos, s.symbol, coalesce(c, 0) / n AS p
-  FROM totals t, (SELECT unnest(range(0, 8)) AS pos) p, (SELECT unnest(['A','C','G','U']) AS symbol) s
+  FROM totals t JOIN (SELECT unnest(range(0, 8)) AS pos) p ON p.pos < t.width, (SELECT unnest(['A','C','G','U']) AS symbol) s
   LEFT JOIN cell_counts c ON c.motif = t.motif AND c.pos = p.pos AND c.symbol = s.symbol)
 """
 
 
 def _anchored(spark, sf_dir):
-    """Eight bases from the start of each region, grouped by the region's first three."""
-    hits = _instances(spark, sf_dir).where(F.col("start") + 8 <= F.length("seq"))
-    return hits.select(
-        "dataset_id", F.substr("motif", F.lit(1), F.lit(3)).alias("motif"),
+    """Eight bases from the start of each region (fewer at the end of its window), grouped by the region's first five.
+
+    Five bases are the shortest region, so every region has its motif.
+    """
+    return _instances(spark, sf_dir).select(
+        "dataset_id", F.substr("motif", F.lit(1), F.lit(5)).alias("motif"),
         F.substr("seq", F.col("start") + 1, F.lit(8)).alias("seq"),
     )
 
@@ -219,52 +234,51 @@ def structure_power(spark, sf_dir):
     return rounded(M.structure_power(_pwm(spark, sf_dir), ["motif"], 2.0))
 
 
-def _strongest(spark, sf_dir, by, n):
-    """PWMs of the n lowest-entropy anchors of each group, as arrays of columns."""
-    p = materialize(M.pwm_from_instances(_anchored(spark, sf_dir).withColumn("grp", F.substr("motif", F.lit(1), F.lit(1))), [by, "motif"]))
-    order = W.partitionBy(by).orderBy(F.round("entropy", 9), "motif")
-    ranked = M.pwm_entropy(p, [by, "motif"]).withColumn("r", F.row_number().over(order))
-    best = ranked.where(F.col("r") <= n).select(by, "motif")
-    return p, materialize(M.pwm_rows(p.join(best, [by, "motif"], "left_semi"), [by, "motif"]))
+def _group_pwms(spark, sf_dir, by):
+    """The PWMs of all anchors of each group, long and as arrays of columns."""
+    p = materialize(M.pwm_from_instances(_anchored(spark, sf_dir).withColumn("grp", F.substr("motif", F.lit(1), F.lit(2))), [by, "motif"]))
+    return p, materialize(M.pwm_rows(p, [by, "motif"]))
 
 
 def _pwm_sql(by: str) -> str:
-    """The PWM per (group, motif) and the ``n`` strongest of each group."""
+    """The PWM of each (group, motif)."""
     return f"""
-anchors AS (SELECT dataset_id, substr(motif, 1, 3) AS motif, substr(motif, 1, 1) AS grp,
-                   substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances WHERE s + 8 <= length(seq)),
+anchors AS (SELECT dataset_id, substr(motif, 1, 5) AS motif, substr(motif, 1, 2) AS grp, substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances),
 cell_counts AS (SELECT {by}, motif, i - 1 AS pos, replace(substr(w, i, 1), 'T', 'U') AS symbol, count(*) AS c
-                FROM (SELECT *, unnest(range(1, 9)) AS i FROM anchors) GROUP BY ALL),
-totals AS (SELECT {by}, motif, count(*) AS n FROM anchors GROUP BY ALL),
+                FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM anchors) GROUP BY ALL),
+totals AS (SELECT {by}, motif, count(*) AS n, max(length(w)) AS width FROM anchors GROUP BY ALL),
 pwm AS (
   SELECT t.{by}, t.motif, p.pos, s.symbol, coalesce(c, 0) / n AS p
-  FROM totals t, (SELECT unnest(range(0, 8)) AS pos) p, (SELECT unnest(['A','C','G','U']) AS symbol) s
-  LEFT JOIN cell_counts c ON c.{by} = t.{by} AND c.motif = t.motif AND c.pos = p.pos AND c.symbol = s.symbol),
-ent AS (SELECT {by}, motif, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 9) AS e FROM pwm GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY e, motif) AS r FROM ent)
+  FROM totals t JOIN (SELECT unnest(range(0, 8)) AS pos) p ON p.pos < t.width, (SELECT unnest(['A','C','G','U']) AS symbol) s
+  LEFT JOIN cell_counts c ON c.{by} = t.{by} AND c.motif = t.motif AND c.pos = p.pos AND c.symbol = s.symbol)
 """
 
 
 @query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("dataset_id"), """
-mine AS (SELECT pwm.* FROM pwm JOIN ranked USING (dataset_id, motif) WHERE r <= 3),
-offs AS (SELECT rec_id, dataset_id, seq, unnest(range(0, length(seq) - 7)) AS o FROM lang WHERE length(seq) >= 8),
+cols AS (SELECT dataset_id, motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
+mats AS (SELECT dataset_id, motif, list(c ORDER BY pos) AS m, count(*) AS width FROM cols GROUP BY ALL),
+widths AS (SELECT DISTINCT dataset_id, width FROM mats),
+offs AS (SELECT rec_id, lang.dataset_id, width, substr(replace(seq, 'T', 'U'), o, CAST(width AS INTEGER)) AS w
+         FROM lang JOIN widths USING (dataset_id), range(1, 102) AS r(o) WHERE o + width - 1 <= length(seq)),
+words AS (SELECT DISTINCT dataset_id, width, w FROM offs),
 prod AS (
-  SELECT rec_id, offs.dataset_id, motif, o, product(p) AS s FROM offs JOIN mine
-  ON mine.dataset_id = offs.dataset_id AND symbol = replace(substr(seq, CAST(o + pos AS INTEGER) + 1, 1), 'T', 'U') GROUP BY ALL),
-top_ AS (SELECT *, row_number() OVER (PARTITION BY rec_id, motif ORDER BY s DESC) AS r FROM prod),
-sc AS (SELECT dataset_id, motif, rec_id, sum(s) AS score FROM top_ WHERE r <= 2 GROUP BY ALL),
-all_ AS (SELECT w.dataset_id, b.motif, CASE WHEN length(seq) < 9 THEN 0 ELSE coalesce(score, 0) END AS score
-         FROM lang w JOIN ranked b ON b.dataset_id = w.dataset_id AND b.r <= 3
-         LEFT JOIN sc ON sc.rec_id = w.rec_id AND sc.motif = b.motif)""", body="""
+  SELECT d.dataset_id, d.w, m.motif, list_product([m.m[i][strpos('ACGU', d.w[i])] for i in range(1, m.width + 1)]) AS s
+  FROM words d JOIN mats m ON m.dataset_id = d.dataset_id AND m.width = d.width),
+hits AS (
+  SELECT o.dataset_id, p.motif, o.rec_id, max(p.s, 2) AS best, count(*) AS n
+  FROM offs o JOIN prod p ON p.dataset_id = o.dataset_id AND p.w = o.w GROUP BY ALL),
+all_ AS (SELECT w.dataset_id, m.motif, CASE WHEN h.n >= 2 THEN h.best[1] + h.best[2] ELSE 0 END AS score
+         FROM lang w JOIN mats m ON m.dataset_id = w.dataset_id
+         LEFT JOIN hits h ON h.rec_id = w.rec_id AND h.motif = m.motif)""", body="""
 SELECT dataset_id, motif, count(*) AS n, round(avg(score), 9) AS mean_score, round(max(score), 9) AS best_score
 FROM all_ GROUP BY ALL
 """))
 def pfm_scan(spark, sf_dir):
-    _, strongest = _strongest(spark, sf_dir, "dataset_id", 3)
+    _, pwms = _group_pwms(spark, sf_dir, "dataset_id")
     records = language_windows(spark, sf_dir).select(
         "dataset_id", "rec_id", S.normalize_rna("seq").alias("seq")
     )
-    scores = M.pfm_scan(records, strongest, ["rec_id"], BY, top_n=2)
+    scores = M.pfm_scan(records, pwms, ["rec_id"], BY, top_n=2)
     return rounded(
         scores.groupBy("dataset_id", "motif").agg(
             F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("best_score")
@@ -275,10 +289,9 @@ def pfm_scan(spark, sf_dir):
 
 @query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("grp"), """
 cols AS (SELECT grp, motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
-q AS (SELECT cols.* FROM cols JOIN ranked USING (grp, motif) WHERE r <= 3),
 pair AS (
   SELECT q.motif, t.motif AS target, q.pos - t.pos AS o, q.c AS a, t.c AS b
-  FROM q JOIN cols t ON q.grp = t.grp AND q.motif <> t.motif),
+  FROM cols q JOIN cols t ON q.grp = t.grp AND q.motif <> t.motif),
 cor AS (
   SELECT *, a[1]*b[1]+a[2]*b[2]+a[3]*b[3]+a[4]*b[4] - ma*mb*4 AS cross_,
     a[1]*a[1]+a[2]*a[2]+a[3]*a[3]+a[4]*a[4] - ma*ma*4 AS sa, b[1]*b[1]+b[2]*b[2]+b[3]*b[3]+b[4]*b[4] - mb*mb*4 AS sb
@@ -287,16 +300,14 @@ sim AS (
   SELECT motif, target, o, count(*) AS overlap,
     avg(CASE WHEN sa > 1e-12 AND sb > 1e-12 THEN cross_ / sqrt(sa * sb) ELSE 0 END) AS s
   FROM cor GROUP BY ALL HAVING count(*) >= 5),
-bo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY motif, target ORDER BY s DESC, o) AS r FROM sim) WHERE r = 1)""", body="""
+bo AS (SELECT motif, target, max(round(s, 9)) AS s FROM sim GROUP BY ALL)""", body="""
 SELECT motif, target, round(s, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY motif ORDER BY round(s, 9) DESC, target) AS k FROM bo) WHERE k = 1
+  SELECT *, row_number() OVER (PARTITION BY motif ORDER BY s DESC, target) AS k FROM bo) WHERE k = 1
 """))
 def motif_similarity(spark, sf_dir):
-    every, queries = _strongest(spark, sf_dir, "grp", 3)
-    db = M.pwm_rows(every, ["grp", "motif"]).select(
-        "grp", F.col("motif").alias("target"), F.col("cols").alias("target_cols")
-    )
-    sims = M.motif_similarity(queries, db, ["grp"], 5).where(F.col("motif") != F.col("target"))
+    _, pwms = _group_pwms(spark, sf_dir, "grp")
+    db = pwms.select("grp", F.col("motif").alias("target"), F.col("cols").alias("target_cols"))
+    sims = M.motif_similarity(pwms, db, ["grp"], 5).where(F.col("motif") != F.col("target"))
     best = M.best_match(sims.withColumn("similarity", F.round("similarity", 9)), ["motif"])
     return rounded(best.select("motif", "target", "similarity"))
 

@@ -30,8 +30,12 @@ def _symbols(spark, sf_dir):
     )
 
 
-@query(with_ctes(SCORES, """
-symbols AS (SELECT c_custkey // 3 * 2 AS gene, arg_max(c_name, c_custkey) AS gene_name FROM customer GROUP BY 1)""", body="""
+SYMBOLS = """
+symbols AS (SELECT c_custkey // 3 * 2 AS gene, arg_max(c_name, c_custkey) AS gene_name FROM customer GROUP BY 1)
+"""
+
+
+@query(with_ctes(SCORES, SYMBOLS, body="""
 SELECT line_no, coalesce(gene_name, '') AS gene_name
 FROM scores LEFT JOIN symbols ON gene = rsid
 """))
@@ -472,11 +476,11 @@ def unpivot_long(spark, sf_dir):
     )
 
 
-@query(with_ctes(SCORES, PVALUES, """
+@query(with_ctes(SCORES, PVALUES, SYMBOLS, """
 last AS (SELECT rsid, arg_max(p_value, line_no) AS p_value FROM pvalues GROUP BY rsid)""", body="""
-SELECT s.line_no, coalesce(c_name, '') AS gene_name, round(alt_score - ref_score, 6) AS delta_score,
+SELECT s.line_no, coalesce(gene_name, '') AS gene_name, round(alt_score - ref_score, 6) AS delta_score,
   round(abs(1 / (1 + exp(-alt_score)) - 1 / (1 + exp(-ref_score))), 9) AS abs_shift, round(p_value, 9) AS p_value
-FROM scores s LEFT JOIN customer ON c_custkey * 2 = rsid LEFT JOIN last USING (rsid)
+FROM scores s LEFT JOIN symbols ON gene = rsid LEFT JOIN last USING (rsid)
 """))
 def annotate_impacts_table(spark, sf_dir):
     s = X.score_rows(spark, sf_dir)
@@ -484,7 +488,7 @@ def annotate_impacts_table(spark, sf_dir):
     before = s.select(*keys, F.col("ref_score").alias("score"))
     after = s.select(*keys, F.col("rsid").alias("gene"), F.col("alt_score").alias("score"))
     out = annotate_impacts(
-        before, after, keys, _symbols(spark, sf_dir), X.pvalue_rows(spark, sf_dir), "line_no"
+        before, after, keys, _symbols(spark, sf_dir), X.pvalue_rows(spark, sf_dir), "line_no", "line_no"
     )
     return out.select(
         "line_no", "gene_name", F.round("delta_score", 6).alias("delta_score"),
