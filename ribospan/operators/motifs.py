@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -378,9 +380,57 @@ def merge_threshold(a: Column, b: Column, min_len: int, fixed: float | None = No
     return F.greatest(F.lit(min_len - 1.0), F.lit(0.5) * F.least(F.length(a), F.length(b)))
 
 
+def shared_run(length: int, min_len: int, fixed: float | None) -> int:
+    """Letters in a row that a motif of ``length`` shares with any similar one that is no shorter.
+
+    With ``m`` matches and the rest of the overlap mismatched, some run has ``m / (mismatches + 1)`` matches.
+    """
+    matches = math.ceil(fixed if fixed is not None else max(min_len - 1, 0.5 * length))
+    return max(1, -(-matches // (length - matches + 1))) if matches <= length else length
+
+
+def similar_pairs(
+    rows: DataFrame, earlier: DataFrame, by: list[str], length: int, min_len: int, fixed: float | None
+) -> DataFrame:
+    """``by, rank, kept, score, shift``: motifs of ``rows(by, rank)`` with the similar ones of ``earlier(by, rank)`` before them.
+
+    All of ``earlier`` have ``length`` letters, those of ``rows`` as many or more. Only motifs that share a
+    run as long as similar ones must have meet; any motifs of a group do where that is one letter.
+    """
+    q = shared_run(length, min_len, fixed)
+    runs = lambda m: F.array_distinct(S.kmers(m, q)) if q > 1 else F.array(F.lit(""))
+    left = rows.select(*by, "rank", F.explode(runs(F.col("rank.m"))).alias("_run"))
+    right = earlier.select(*by, F.col("rank").alias("kept"), F.explode(runs(F.col("rank.m"))).alias("_run"))
+    met = left.join(right, [*by, "_run"]).where(F.col("kept") < F.col("rank"))
+    met = (met.select(*by, "rank", "kept").distinct() if q > 1 else met.select(*by, "rank", "kept")).withColumn(
+        "_al", alignment(F.col("rank.m"), F.col("kept.m"))
+    )
+    enough = F.col("_al.score") >= merge_threshold(F.col("rank.m"), F.col("kept.m"), min_len, fixed)
+    return met.where(enough).select(*by, "rank", "kept", F.col("_al.score").alias("score"), F.col("_al.offset").alias("shift"))
+
+
+def first_independent(rows: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """The motifs of ``rows(by, rank)`` that a walk in rank order keeps, each dropping its later neighbours in ``edges``.
+
+    Rounds over the graph: what has no undecided earlier neighbour is kept, what has a kept one goes.
+    A round decides all motifs at once that do not wait for another.
+    """
+    keys, kept, open_rows = [*by, "rank"], None, rows
+    while True:
+        waiting = edges.join(open_rows, keys, "left_semi").join(
+            open_rows.withColumnRenamed("rank", "kept"), [*by, "kept"], "left_semi"
+        )
+        free = materialize(open_rows.join(waiting.select(*keys).distinct(), keys, "left_anti"))
+        kept = free if kept is None else kept.unionByName(free)
+        dropped = edges.join(free.withColumnRenamed("rank", "kept"), [*by, "kept"], "left_semi").select(*keys).distinct()
+        rest = open_rows.join(free, keys, "left_anti").join(dropped, keys, "left_anti")
+        open_rows = materialize(rest)
+        if not open_rows.head(1):
+            return kept
+
+
 def merge_similar_motifs(
-    motifs: DataFrame, by: list[str], min_len: int = 5, all_ties: bool = True,
-    score_threshold: float | None = None, batch: int = 64,
+    motifs: DataFrame, by: list[str], min_len: int = 5, all_ties: bool = True, score_threshold: float | None = None,
 ) -> DataFrame:
     """Greedy merge, shortest motif first: ``(by, motif, target, shift)``.
 
@@ -389,75 +439,40 @@ def merge_similar_motifs(
     ``shift = 0``); otherwise it maps to its best kept motif (all ties by default),
     whose start lies ``shift`` after the motif's own.
 
-    The greedy order is kept exactly but not walked one motif at a time: each round
-    decides the next ``batch`` undecided motifs of every group among themselves and
-    removes everything similar to those kept. A round sees at most ``batch`` motifs of
-    a group in one place, and the rounds end with the kept set, not the input.
+    The greedy order is kept exactly but not walked one motif at a time. Motifs are taken length by
+    length. Those of a length that are similar to no kept shorter one form a graph, and
+    :func:`first_independent` decides them in a few rounds. Those kept meet all later motifs once, which gives
+    both the candidates for their targets and what is still open, so work is motifs times kept motifs.
     """
-    similar = lambda a, b: alignment(a, b)["score"] >= merge_threshold(a, b, min_len, score_threshold)
     rank = F.struct(F.length("motif").alias("len"), F.col("first_seen"), F.col("motif").alias("m"))
-    undecided = materialize(motifs.select(*by, rank.alias("rank")))
-    kept_rounds: list[DataFrame] = []
-    order = W.partitionBy(*by).orderBy("rank")
-    while not undecided.isEmpty():
-        next_up = undecided.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= batch)
-        empty = F.array().cast("array<" + undecided.schema["rank"].dataType.simpleString() + ">")
-        decided = next_up.groupBy(*by).agg(
-            F.aggregate(
-                F.sort_array(F.collect_list("rank")),
-                empty,
-                lambda acc, x: F.when(
-                    F.exists(acc, lambda k: similar(x["m"], k["m"])), acc
-                ).otherwise(F.concat(acc, F.array(x))),
-            ).alias("kept")
-        )
-        kept = materialize(decided)
-        kept_rounds.append(kept)
-        undecided = materialize(
-            undecided.join(kept, by)
-            .where(~F.exists("kept", lambda k: similar(F.col("rank.m"), k["m"])))
-            .select(*by, "rank")
-        )
-    if not kept_rounds:
+    ranked = materialize(motifs.select(*by, rank.alias("rank")))
+    lengths = [r[0] for r in ranked.select("rank.len").distinct().orderBy("len").collect()]  # as many as a record has letters at most
+    keys = [*by, "rank"]
+    open_rows, kept, hits = ranked, [], []
+    for length in lengths:
+        level = open_rows.where(F.col("rank.len") == length)
+        if not level.head(1):
+            continue
+        edges = materialize(similar_pairs(level, level, by, length, min_len, score_threshold).select(*keys, "kept"))
+        chosen = materialize(first_independent(level, edges, by))
+        kept.append(chosen)
+        later = ranked.where(F.col("rank.len") >= length)
+        hits.append(materialize(similar_pairs(later, chosen, by, length, min_len, score_threshold)))
+        gone = hits[-1].select(*keys).distinct()
+        open_rows = materialize(open_rows.where(F.col("rank.len") > length).join(gone, keys, "left_anti"))
+    if not kept:
         return motifs.select(*by, "motif", F.col("motif").alias("target"), F.lit(0).alias("shift"))
-
-    blocks = kept_rounds[0]
-    for part in kept_rounds[1:]:
-        blocks = blocks.unionByName(part)
-    kept_rows = blocks.select(*by, F.explode("kept").alias("rank"))
-    rest = motifs.select(*by, "motif", rank.alias("rank")).join(
-        kept_rows.select(*by, F.col("rank.m").alias("motif")), [*by, "motif"], "left_anti"
-    )
-
-    def hits(row: Column) -> Column:
-        scored = F.transform(
-            row["kept"],
-            lambda k: let(
-                alignment(row["rank"]["m"], k["m"]),
-                lambda al: F.struct(
-                    al["score"].alias("score"), k.alias("k"), al["offset"].alias("shift")
-                ),
-            ),
-        )
-        return F.filter(
-            scored,
-            lambda h: (h["k"] < row["rank"])
-            & (h["score"] >= merge_threshold(row["rank"]["m"], h["k"]["m"], min_len, score_threshold)),
-        )
-
-    candidates = rest.join(blocks, by).select(
-        *by, "motif", F.inline(let(F.struct("rank", "kept"), hits))
-    )
-    top = candidates.groupBy(*by, "motif").agg(F.max("score").alias("_top"))
-    best = candidates.join(top, [*by, "motif"]).where(F.col("score") == F.col("_top"))
+    candidates, own = hits[0], kept[0]
+    for more_hits, more_kept in zip(hits[1:], kept[1:], strict=True):
+        candidates, own = candidates.unionByName(more_hits), own.unionByName(more_kept)
+    candidates = candidates.join(own, keys, "left_anti")
+    top = candidates.groupBy(*keys).agg(F.max("score").alias("_top"))
+    best = candidates.join(top, keys).where(F.col("score") == F.col("_top"))
     if not all_ties:
-        first = W.partitionBy(*by, "motif").orderBy("k")
-        best = best.withColumn("_f", F.row_number().over(first)).where("_f = 1")
-    merged = best.select(*by, "motif", F.col("k.m").alias("target"), "shift")
-    own = kept_rows.select(
-        *by, F.col("rank.m").alias("motif"), F.col("rank.m").alias("target"), F.lit(0).alias("shift")
-    )
-    return own.unionByName(merged)
+        first = best.groupBy(*keys).agg(F.min("kept").alias("kept"))
+        best = best.join(first, [*keys, "kept"], "left_semi")
+    merged = best.select(*by, F.col("rank.m").alias("motif"), F.col("kept.m").alias("target"), "shift")
+    return own.select(*by, F.col("rank.m").alias("motif"), F.col("rank.m").alias("target"), F.lit(0).alias("shift")).unionByName(merged)
 
 
 # ------------------------------------------------------------- structure

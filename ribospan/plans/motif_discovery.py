@@ -34,7 +34,7 @@ def enriched_motifs(
 def discover_motifs(
     records: DataFrame, min_len: int = 4, width: int = 24, p_cutoff: float = 5e-3,
     min_instances: int = 3, all_ties: bool = True, condition=None, offset: int = 0,
-    score_threshold: float | None = None, batch: int = 64,
+    score_threshold: float | None = None,
 ) -> DataFrame:
     """Motif instances ``(dataset_id, motif, rec_id, start, end, window)``.
 
@@ -54,7 +54,7 @@ def discover_motifs(
     )
     seen = candidates.join(kept.select(*BY, "motif"), [*BY, "motif"], "left_semi")
     mapping = M.merge_similar_motifs(
-        seen, BY, min_len=min_len, all_ties=all_ties, score_threshold=score_threshold, batch=batch
+        seen, BY, min_len=min_len, all_ties=all_ties, score_threshold=score_threshold
     )
     moved = instances.join(mapping, [*BY, "motif"])
     start = F.col("start") + F.col("shift")

@@ -1,13 +1,16 @@
 """Train, validate and transfer one linear k-mer model per dataset, all in one fit.
 
 Models are rows of a table ``(dataset_id, w array, b)``. A step of the fit is one pass over the
-records: each one meets its dataset's row, and the gradient is a sum by dataset, formed in the
-tasks before it moves. Neither names nor coefficients pass through the driver, and the number of
-datasets has no bound.
+records: each one meets its dataset's row; loss, gradient and curvature are sums by dataset, formed in
+the tasks before they move. Neither names nor coefficients pass through the driver, and the number of
+datasets has no bound. Newton steps, halved while they do not lower the loss, go on until every
+dataset's gradient is small enough.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,26 +70,127 @@ def gradient_step(
     )
 
 
+def newton_sums(rows: DataFrame, models: DataFrame, k: int, positive_weight: float, most_held: int = 500) -> DataFrame:
+    """``dataset_id, cell, value``: the sums that a Newton step needs, at each dataset's weights.
+
+    With d weights, the bias last, cells from 0 are the d x d curvature, then d of the gradient, the
+    loss and the total weight. Tasks add up their records of up to ``most_held`` datasets before they pass sums on.
+    """
+    d = 4**k + 1
+    joined = rows.join(models.select("dataset_id", F.concat("w", F.array("b")).alias("w")), "dataset_id")
+
+    def flush(held: dict) -> pa.RecordBatch:
+        names = [n for n in held for _ in range(d * d + d + 2)]
+        cells = np.tile(np.arange(d * d + d + 2, dtype=np.int32), len(held))
+        values = np.concatenate([np.concatenate([h.ravel(), g, [loss, total]]) for h, g, loss, total in held.values()] or [np.empty(0)])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cells), pa.array(values)], names=["dataset_id", "cell", "value"])
+
+    def run(found):
+        held: dict = {}
+        for batch in found:
+            names, which = np.unique(np.array(batch.column("dataset_id").to_pylist(), dtype=object), return_inverse=True)
+            if not len(names):
+                continue
+            label = batch.column("label").to_numpy()
+            x = np.column_stack([batch.column("x").flatten().to_numpy().reshape(len(label), -1), np.ones(len(label))])
+            w = batch.column("w").flatten().to_numpy().reshape(len(label), -1)
+            z = (x * w).sum(axis=1)
+            share = np.where(label == 1, positive_weight, 1.0)
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            loss = share * (np.logaddexp(0.0, z) - label * z)
+            for i, name in enumerate(names):
+                mine = which == i
+                xs, s = x[mine], share[mine]
+                sums = ((xs * (s * p[mine] * (1 - p[mine]))[:, None]).T @ xs, xs.T @ (s * (p[mine] - label[mine])), loss[mine].sum(), s.sum())
+                held[name] = tuple(a + b for a, b in zip(held[name], sums, strict=True)) if name in held else sums
+            if len(held) > most_held:
+                yield flush(held)
+                held = {}
+        yield flush(held)
+
+    sums = joined.select("dataset_id", "label", "x", "w").mapInArrow(run, "dataset_id string, cell int, value double")
+    return sums.groupBy("dataset_id", "cell").agg(F.sum("value").alias("value"))
+
+
+MODEL = "dataset_id string, w array<double>, b double, base array<double>, step array<double>, rate double, loss double, gradient_norm double, done boolean"
+_ARRAYS, _NUMBERS = ("w", "base", "step"), ("b", "rate", "loss", "gradient_norm")
+
+
+def newton_step(models: DataFrame, sums: DataFrame, k: int, reg: float, tolerance: float) -> DataFrame:
+    """``models`` moved by one step; ``sums`` comes from :func:`newton_sums` at their weights.
+
+    A model whose loss rose goes half the way back to where it came from. ``gradient_norm``
+    is the largest slope at the weights the model came with; below ``tolerance`` it is done and stays.
+    """
+    d = 4**k + 1
+    kinds = {"dataset_id": pa.string(), "done": pa.bool_()} | {c: pa.list_(pa.float64()) for c in _ARRAYS} | {c: pa.float64() for c in _NUMBERS}
+
+    def move(model: pa.Table, cells: pa.Table) -> pa.Table:
+        schema = pa.schema([(c, kinds[c]) for c in model.column_names])
+        if not model.num_rows or not cells.num_rows:
+            return pa.Table.from_pylist(model.to_pylist(), schema=schema)
+        row = model.to_pylist()[0]
+        v = np.zeros(d * d + d + 2)
+        v[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
+        total = v[-1]
+        w = np.array([*row["w"], row["b"]])
+        ridge = np.full(d, reg)
+        ridge[-1] = 0.0
+        loss = v[-2] / total + (ridge * w * w).sum() / 2
+        slope = v[d * d : d * d + d] / total + ridge * w
+        row["gradient_norm"] = float(np.abs(slope).max())
+        if row["gradient_norm"] < tolerance:
+            row["done"] = True
+        elif row["loss"] is not None and loss > row["loss"] and row["rate"] > 1e-6:
+            row["rate"] /= 2
+            w = np.array(row["base"]) + row["rate"] * np.array(row["step"])
+        else:
+            curvature = v[: d * d].reshape(d, d) / total + np.diag(ridge + 1e-12)
+            step = -np.linalg.solve(curvature, slope)
+            row |= {"base": w.tolist(), "step": step.tolist(), "rate": 1.0, "loss": float(loss)}
+            w = w + step
+        row |= {"w": w[:-1].tolist(), "b": float(w[-1])}
+        return pa.Table.from_pylist([row], schema=schema)
+
+    moved = models.groupBy("dataset_id").cogroup(sums.groupBy("dataset_id")).applyInArrow(move, MODEL)
+    return moved
+
+
 def split_records(df: DataFrame, seed: int = 42) -> DataFrame:
     return stratified_split3(df, ["dataset_id", "label"], "rec_id", seed)
 
 
 def fit_kmer_models(
-    train: DataFrame, k: int = 2, positive_weight: float = 2.0, max_iter: int = 20,
-    reg: float = 1e-4, rate: float = 1.0,
+    train: DataFrame, k: int = 2, positive_weight: float = 2.0, max_iter: int = 50,
+    reg: float = 1e-4, rate: float = 1.0, method: str = "newton", tolerance: float = 1e-8,
 ) -> DataFrame:
-    """Model table ``(model_id, bias, weights)`` with one row per dataset, after ``max_iter`` steps from zero."""
+    """Model table ``(model_id, bias, weights, gradient_norm)`` with one row per dataset, fitted from zero.
+
+    ``newton`` steps until every dataset's largest slope (of the loss in standardised counts) is below
+    ``tolerance``, ``max_iter`` steps at most; ``gradient`` takes ``max_iter`` steps of ``rate`` down the
+    slope and leaves ``gradient_norm`` null.
+    """
     rows, scales = standardised(train, k)
     zeros = F.array_repeat(F.lit(0.0), 4**k)
     models = scales.select("dataset_id", zeros.alias("w"), F.lit(0.0).alias("b"))
-    for _ in range(max_iter):
-        models = materialize(gradient_step(rows, models, k, positive_weight, rate, reg))
+    if method == "newton":
+        extra = {"base": "array<double>", "step": "array<double>", "rate": "double", "loss": "double", "gradient_norm": "double"}
+        models = models.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()], F.lit(False).alias("done"))
+        for _ in range(max_iter):
+            still = models.where(~F.col("done"))
+            if not still.head(1):
+                break
+            models = materialize(newton_step(models, newton_sums(rows, still, k, positive_weight), k, reg, tolerance))
+    else:
+        for _ in range(max_iter):
+            models = materialize(gradient_step(rows, models, k, positive_weight, rate, reg))
+        models = models.withColumn("gradient_norm", F.lit(None).cast("double"))
     # Back to weights of plain counts.
     plain = models.join(scales, "dataset_id").withColumn("v", F.zip_with("w", "sd", lambda w, d: w / d))
     shift = F.aggregate(F.zip_with("v", "mean", lambda v, m: v * m), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*[F.lit(g) for g in S.vocabulary_kmers(k)])
     return plain.select(
-        F.col("dataset_id").alias("model_id"), (F.col("b") - shift).alias("bias"), F.map_from_arrays(names, "v").alias("weights")
+        F.col("dataset_id").alias("model_id"), (F.col("b") - shift).alias("bias"), F.map_from_arrays(names, "v").alias("weights"), "gradient_norm"
     )
 
 
@@ -96,7 +200,7 @@ def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "datas
     logit = kmer_logit(S.normalize_rna("seq"), k, F.col("weights"), F.col("bias"))
     return scored.withColumn("logit", logit).withColumn(
         "prob", 1 / (1 + F.exp(-F.col("logit")))
-    ).drop("weights", "bias")
+    ).drop("weights", "bias", "gradient_norm")
 
 
 def train_and_validate(df: DataFrame, k: int = 2, seed: int = 42, **fit) -> tuple[DataFrame, DataFrame]:

@@ -164,6 +164,33 @@ def enriched_motifs(spark, sf_dir):
     return kept.where(F.col("p_adj") < 0.2)
 
 
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, """
+places AS (SELECT dataset_id, motif, min({'r': rec_id, 's': s}) AS seen FROM instances GROUP BY ALL),
+ranked AS (SELECT dataset_id, motif, row_number() OVER (PARTITION BY dataset_id ORDER BY length(motif), seen, motif) AS r FROM places),
+walk AS (
+  SELECT DISTINCT dataset_id, 0::BIGINT AS r, []::VARCHAR[] AS kept FROM ranked
+  UNION ALL
+  SELECT o.dataset_id, o.r, CASE WHEN len([k for k in w.kept if list_max([
+      len([i for i in range(greatest(1, x + 1), least(length(o.motif), length(k) + x) + 1) if o.motif[i] = k[i - x]])
+      for x in range(1 - length(k), length(o.motif))]) >= greatest(4, 0.5 * least(length(o.motif), length(k)))]) > 0
+    THEN w.kept ELSE list_append(w.kept, o.motif) END
+  FROM walk w JOIN ranked o ON o.dataset_id = w.dataset_id AND o.r = w.r + 1),
+ends AS (SELECT dataset_id, unnest(arg_max(kept, r)) AS target FROM walk GROUP BY 1),
+aligned AS (
+  SELECT m.dataset_id, m.motif, e.target, list_max([{'n': len([i for i in range(greatest(1, x + 1), least(length(m.motif), length(e.target) + x) + 1)
+      if m.motif[i] = e.target[i - x]]), 'x': -x} for x in range(1 - length(e.target), length(m.motif))]) AS al
+  FROM ranked m JOIN ends e ON e.dataset_id = m.dataset_id JOIN ranked k ON k.dataset_id = e.dataset_id AND k.motif = e.target AND k.r < m.r
+  WHERE NOT EXISTS (SELECT 1 FROM ends o WHERE o.dataset_id = m.dataset_id AND o.target = m.motif)),
+fit AS (SELECT *, max(al.n) OVER (PARTITION BY dataset_id, motif) AS top FROM aligned WHERE al.n >= greatest(4, 0.5 * least(length(motif), length(target))))""", body="""
+SELECT dataset_id, target AS motif, target, 0 AS shift FROM ends
+UNION ALL SELECT dataset_id, motif, target, (-al.x)::INTEGER FROM fit WHERE al.n = top
+""").replace("WITH", "WITH RECURSIVE", 1))
+def merge_motifs(spark, sf_dir):
+    """All region motifs of each dataset, merged greedily."""
+    table = materialize(MD.motif_table(_instances(spark, sf_dir)))
+    return M.merge_similar_motifs(table, BY, min_len=5)
+
+
 @query()
 def motif_discovery(spark, sf_dir):
     found = MD.discover_motifs(
@@ -502,12 +529,42 @@ FROM m_{TRAIN_STEPS} m JOIN scales s USING (dataset_id, kmer)
 def training_steps(spark, sf_dir):
     """A stated number of steps of the fit, from zero, for every dataset at once."""
     w = X.windows(spark, sf_dir).select(F.col("cell").alias("dataset_id"), "label", "seq")
-    models = TR.fit_kmer_models(w, k=2, max_iter=TRAIN_STEPS)
+    models = TR.fit_kmer_models(w, k=2, max_iter=TRAIN_STEPS, method="gradient")
     return models.select("model_id", F.explode("weights").alias("kmer", "weight"), "bias").select(
         "model_id", "kmer", F.round("weight", 6).alias("weight"), F.round("bias", 6).alias("bias")
     )
 
 
+@query(with_ctes(WINDOWS, body="""
+SELECT dataset_id AS model_id, count(*) AS n_records, count(DISTINCT label) AS n_classes, true AS converged FROM windows GROUP BY dataset_id
+"""))
+def fit_convergence(spark, sf_dir):
+    """The fit of every dataset ends at a slope below 1e-6."""
+    w = materialize(X.windows(spark, sf_dir).select("dataset_id", "label", "seq"))
+    models = TR.fit_kmer_models(w, k=2, tolerance=1e-7)
+    sizes = w.groupBy(F.col("dataset_id").alias("model_id")).agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("label").alias("n_classes"))
+    return models.join(sizes, "model_id").select("model_id", "n_records", "n_classes", (F.col("gradient_norm") < 1e-6).alias("converged"))
+
+
+@query(with_ctes(WINDOWS, """
+pairs AS (SELECT a || b AS kmer, (strpos('ACGU', a) - 2) * 0.25 + (strpos('ACGU', b) - 3) * 0.125 AS weight
+          FROM (VALUES ('A'), ('C'), ('G'), ('U')) AS p(a), (VALUES ('A'), ('C'), ('G'), ('U')) AS q(b)),
+found AS (SELECT rec_id, replace(substr(seq, i, 2), 'T', 'U') AS kmer FROM windows, range(1, 101) AS r(i) WHERE i < length(seq)),
+totals AS (SELECT rec_id, sum(weight) AS total FROM found JOIN pairs USING (kmer) GROUP BY rec_id)""", body="""
+SELECT rec_id, round(0.5 + coalesce(total, 0), 6)::DOUBLE AS logit, round(1 / (1 + exp(-(0.5 + coalesce(total, 0))::DOUBLE)), 6) AS prob
+FROM windows LEFT JOIN totals USING (rec_id)
+"""))
+def predictions_of_given_models(spark, sf_dir):
+    """Logits and probabilities under stated weights: a model for each dataset."""
+    w = X.windows(spark, sf_dir).select("dataset_id", "rec_id", "seq")
+    place = {c: i + 1 for i, c in enumerate("ACGU")}
+    weights = [F.lit(x) for g in S.vocabulary_kmers(2) for x in (g, (place[g[0]] - 2) * 0.25 + (place[g[1]] - 3) * 0.125)]
+    models = materialize(w.select("dataset_id").distinct()).select(
+        F.col("dataset_id").alias("model_id"), F.lit(0.5).alias("bias"), F.create_map(*weights).alias("weights")
+    )
+    return TR.predict(w, models).select("rec_id", F.round("logit", 6).alias("logit"), F.round("prob", 6).alias("prob"))
+
+
 @query()
 def transfer_evaluation(spark, sf_dir):
     w = X.windows(spark, sf_dir)

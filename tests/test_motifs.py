@@ -124,19 +124,36 @@ def greedy(motifs, min_len):
     return out
 
 
-@pytest.mark.parametrize("batch", [3, 64])
-def test_merge_equals_one_by_one_greedy(spark, batch):
+def test_merge_equals_one_by_one_greedy(spark):
     rng = random.Random(11)
     motifs = list(dict.fromkeys("".join(rng.choice("ACGT") for _ in range(rng.randint(5, 8))) for _ in range(60)))
     rows = [("d", m, i) for i, m in enumerate(motifs)] + [("e", "ACGTA", 0)]
     df = spark.createDataFrame(rows, "dataset_id string, motif string, first_seen int")
-    out = M.merge_similar_motifs(df, ["dataset_id"], min_len=5, batch=batch)
+    out = M.merge_similar_motifs(df, ["dataset_id"], min_len=5)
     got = {(r["motif"], r["target"], r["shift"]) for r in out.where("dataset_id='d'").collect()}
     assert got == greedy(motifs, 5)
-    single = M.merge_similar_motifs(df, ["dataset_id"], min_len=5, batch=batch, all_ties=False)
+    single = M.merge_similar_motifs(df, ["dataset_id"], min_len=5, all_ties=False)
     assert single.count() == len(rows)
 
 
+def test_a_chain_is_decided_in_order(spark):
+    """Each is similar to the one before only: every second one is kept, whatever the rounds."""
+    rows = [("d", f"m{k:02d}", k) for k in range(9)]
+    ranked = spark.createDataFrame(rows, "dataset_id string, m string, rank int").select("dataset_id", "rank")
+    edges = ranked.where("rank > 0").select("dataset_id", "rank", (F.col("rank") - 1).alias("kept"))
+    assert sorted(r["rank"] for r in M.first_independent(ranked, edges, ["dataset_id"]).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_similar_motifs_share_a_run():
+    rng = random.Random(5)
+    for _ in range(4000):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randint(5, 9)))
+        b = "".join(rng.choice("ACGT") for _ in range(rng.randint(len(a), 11)))
+        if best_alignment(a, b)[0] >= max(4, 0.5 * len(a)):
+            q = M.shared_run(len(a), 5, None)
+            assert any(a[k : k + q] in b for k in range(len(a) - q + 1))
+
+
 def test_similarity_finds_the_shift(spark):
     rng = random.Random(8)
     base = [[rng.random() for _ in range(4)] for _ in range(8)]
