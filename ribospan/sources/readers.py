@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ribospan.functions import headers as H
 from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
+from ribospan.session import materialize
+from ribospan.sources.record_files import file_system
 
 FASTA_BREAK = "\n>"
 
@@ -133,9 +135,14 @@ def parse_lenient_kmers(rows: DataFrame, max_len: int | None = None) -> DataFram
 
 def read_site_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless site table; repeated header rows are removed."""
-    schema = "type string, loc string, seq string, str string, score string, label string"
-    rows = spark.read.csv(path, sep="\t", schema=schema).where(F.col("type") != "Type")
-    return rows.withColumn("score", F.col("score").try_cast("double")).withColumn(
+    return parse_site_rows(_text(spark, path))
+
+
+def parse_site_rows(rows: DataFrame) -> DataFrame:
+    names = ["type", "loc", "seq", "str", "score", "label"]
+    cells = rows.where(F.trim("value") != "").select(F.split("value", "\t", -1).alias("c"))
+    sites = cells.select(*[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    return sites.where(F.col("type") != "Type").withColumn("score", F.col("score").try_cast("double")).withColumn(
         "label", F.col("label").try_cast("int")
     )
 
@@ -215,17 +222,19 @@ def _long_pwm(df: DataFrame, alphabet: str) -> DataFrame:
 
 def read_seq_struct_pwm(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a name and 11 rows (4 bases, 7 states) separated by a blank line, long."""
-    raw = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
+    return parse_seq_struct_pwm(_text(spark, path, lineSep="\n\n"))
+
+
+def parse_seq_struct_pwm(rows: DataFrame) -> DataFrame:
+    """:func:`read_seq_struct_pwm` on texts of one block each; what is no block drops out."""
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    blocks = raw.select(
-        F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "").alias("dataset_id"), lines.alias("l")
-    ).where(F.size("l") == 12)
+    blocks = rows.select(_stem(r"\.[^.]+$").alias("dataset_id"), lines.alias("l")).where(F.size("l") == 12)
     symbols = S.RNA + S.PWM_STATE_ORDER
-    rows = blocks.select(
+    cells = blocks.select(
         "dataset_id", F.element_at("l", 1).alias("motif"),
         F.posexplode(_matrix_rows(F.slice("l", 2, 11))).alias("j", "row"),
     )
-    return rows.select(
+    return cells.select(
         "dataset_id", "motif", F.posexplode("row").alias("pos", "p"),
         F.when(F.col("j") < 4, "seq").otherwise("struct").alias("part"),
         F.substr(F.lit(symbols), F.col("j") + 1, F.lit(1)).alias("symbol"),
@@ -234,10 +243,12 @@ def read_seq_struct_pwm(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pfm(spark: SparkSession, path: str) -> DataFrame:
     """Tab PFM files, one motif per file: rows are ``symbol<TAB>p...``."""
-    rows = spark.read.text(path).where(F.trim("value") != "").select(
-        _file_stem(r"\.[^.]+$").alias("motif"), F.split("value", "\t").alias("c")
-    )
-    return rows.select(
+    return parse_pfm(_text(spark, path))
+
+
+def parse_pfm(rows: DataFrame) -> DataFrame:
+    cells = rows.where(F.trim("value") != "").select(_stem(r"\.[^.]+$").alias("motif"), F.split("value", "\t").alias("c"))
+    return cells.select(
         "motif", F.element_at("c", 1).alias("symbol"),
         F.posexplode(F.transform(F.slice("c", 2, F.size("c")), lambda x: x.cast("double"))).alias("pos", "p"),
     )
@@ -259,50 +270,64 @@ def parse_bed(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_one_header(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """Text columns of files that all have the same header; another header is an error.
+def _by_header(spark: SparkSession, path: str, sep: str, columns: dict[str, str]) -> DataFrame:
+    """``file_name`` and the text columns ``columns`` (name in the header to output name) of files with headers.
 
-    Without the check the first file's header would be taken for all of them.
+    Each file is read by its own header, so the order of columns may differ from file to file. The
+    header is the first line that is not blank; a file without one of the columns is an error.
     """
-    return spark.read.csv(path, sep=sep, header=True, enforceSchema=False)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+    ).where(F.trim("value") != "")
+    # Inside the first block of a file the ids grow with the lines; the table has a row a file.
+    headers = materialize(lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    widest = headers.agg(F.max(F.size(F.split("header", sep)))).first()[0] or 1
+    kind = ", ".join(f"c{i} string" for i in range(widest))
+    cells = lambda text: F.from_csv(text, F.lit(kind), {"sep": sep})
+    listed = lambda row: F.array(*[row[f"c{i}"] for i in range(widest)])
+    places = headers.select("file", "header", listed(cells(F.col("header"))).alias("names"))
+    lacking = F.filter(F.array(*[F.lit(c) for c in columns]), lambda c: ~F.coalesce(F.array_contains("names", c), F.lit(False)))
+    bad = places.select("file", lacking.alias("lacking")).where(F.size("lacking") > 0).head(3)
+    if bad:
+        raise ValueError("missing required columns: " + "; ".join(f"{sorted(r['lacking'])} in {r['file']}" for r in bad))
+    rows = lines.join(places, "file").where(F.col("value") != F.col("header"))
+    parsed = rows.select("file_name", "names", cells(F.col("value")).alias("row"))
+    cell = lambda name: F.element_at(listed(F.col("row")), F.array_position("names", F.lit(name)).cast("int"))
+    return parsed.select("file_name", *[cell(c).alias(n) for c, n in columns.items()])
 
 
 def read_summary_stats(
     spark: SparkSession, path: str, columns: dict[str, str], p_value: str = "p_value"
 ) -> DataFrame:
-    """TSV with a header; ``columns`` maps required names to output names.
+    """TSV files with headers, each read by its own; ``columns`` maps required names to output names.
 
     Comma decimals are accepted in the p-value; rows without one are dropped.
     """
-    raw = _with_one_header(spark, path, "\t")
-    missing = set(columns) - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
-    out = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
+    out = _by_header(spark, path, "\t", columns).drop("file_name")
     return out.withColumn(p_value, SC.comma_decimal(p_value)).where(F.col(p_value).isNotNull())
 
 
 def read_eqtl(spark: SparkSession, path: str, rename: dict[str, str], partitions: int | None = None) -> DataFrame:
-    """Gzip TSV of genes per tissue; the tissue is the file name up to the first dot.
+    """Gzip TSV of genes per tissue, each file by its own header; the tissue is the file name up to the first dot.
 
     A gzip file is one task, so rows are spread out right after the read.
     """
-    raw = _with_one_header(spark, path, "\t")
-    missing = set(rename) - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
-    out = raw.select(
-        F.substring_index("_metadata.file_name", ".", 1).alias("tissue"),
-        *[F.col(f"`{c}`").alias(n) for c, n in rename.items()],
-    ).withColumn("pval_nominal", F.col("pval_nominal").try_cast("double"))
+    raw = _by_header(spark, path, "\t", rename)
+    out = raw.select(F.substring_index("file_name", ".", 1).alias("tissue"), *rename.values()).withColumn(
+        "pval_nominal", F.col("pval_nominal").try_cast("double")
+    )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n)
 
 
 def read_metric_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab (else whitespace) table: first column is the key, the rest numeric; rows without key drop out."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    parts = rows.select(
+    return parse_metric_table(_text(spark, path), columns)
+
+
+def parse_metric_table(rows: DataFrame, columns: list[str]) -> DataFrame:
+    parts = rows.where(F.trim("value") != "").select(
         F.when(F.contains("value", F.lit("\t")), F.split("value", "\t"))
         .otherwise(F.split(F.trim("value"), r"\s+"))
         .alias("c")
@@ -403,17 +428,10 @@ def read_best_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_variant_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog CSV with ``RBP_list`` and ``ClinVar_CLNDN``; adds the variant key."""
-    raw = _with_one_header(spark, path, ",")
-    missing = {"CHROM", "POS", "REF", "ALT", "RBP_list", "ClinVar_CLNDN"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
-    return raw.select(
-        F.col("CHROM").alias("chrom"), F.col("POS").cast("bigint").alias("pos"),
-        F.col("REF").alias("ref"), F.col("ALT").alias("alt"),
-        F.col("RBP_list").alias("rbp_list"), F.col("ClinVar_CLNDN").alias("diseases"),
-        variant_key("CHROM", "POS", "REF", "ALT").alias("variant"),
-    )
+    """Catalog CSV files with ``RBP_list`` and ``ClinVar_CLNDN``, each by its own header; adds the variant key."""
+    columns = {"CHROM": "chrom", "POS": "pos", "REF": "ref", "ALT": "alt", "RBP_list": "rbp_list", "ClinVar_CLNDN": "diseases"}
+    raw = _by_header(spark, path, ",", columns).drop("file_name")
+    return raw.withColumn("variant", variant_key("chrom", "pos", "ref", "alt")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def read_cancer_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -490,31 +508,42 @@ def read_category_lists(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def checksum_audit(
-    spark: SparkSession, manifest: str, folder: str, most_bytes: int = (1 << 31) - 1
-) -> DataFrame:
-    """sha256 of each file against a ``<digest>  <name>`` manifest: ok, mismatch, missing or too_large.
+def file_digests(files: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """``path, actual``: sha256 of each file of ``files(path)``, read in the tasks piece by piece.
 
-    The binary source reads a file into one value of at most 2 GiB; a larger file is listed by
-    its size alone and reported as ``too_large``.
+    A file of any size needs one piece of memory. What can't be opened fails the job.
     """
+    import hashlib
+
+    def run(found):
+        import pyarrow as pa
+
+        for batch in found:
+            paths, digests = batch.column(0).to_pylist(), []
+            for path in paths:
+                system, inner = file_system(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while piece := stream.read(chunk):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(digests, pa.string())], names=["path", "actual"])
+
+    return files.select("path").repartition("path").mapInArrow(run, "path string, actual string")
+
+
+def checksum_audit(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
+    """sha256 of each file against a ``<digest>  <name>`` manifest: ok, mismatch or missing."""
     wanted = spark.read.text(manifest).where(F.trim("value") != "").select(
         F.element_at(F.split(F.trim("value"), r"\s+"), 1).alias("expected"),
         F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("name"),
     )
-    files = spark.read.format("binaryFile").load(folder)
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    found = files.where(F.col("length") < most_bytes).select(
-        name, F.sha2("content", 256).alias("actual"), F.lit(False).alias("large")
-    ).unionByName(
-        files.where(F.col("length") >= most_bytes).select(
-            name, F.lit(None).cast("string").alias("actual"), F.lit(True).alias("large")
-        )
-    )
+    # The listing alone: the content column is not read.
+    listed = spark.read.format("binaryFile").load(folder).select("path")
+    found = file_digests(listed).select(F.element_at(F.split("path", "/"), -1).alias("name"), "actual")
     return wanted.join(found, "name", "left").select(
         "name", "expected", "actual",
-        F.when(F.col("large"), "too_large")
-        .when(F.col("actual").isNull(), "missing")
+        F.when(F.col("actual").isNull(), "missing")
         .when(F.lower("expected") == F.col("actual"), "ok")
         .otherwise("mismatch")
         .alias("status"),

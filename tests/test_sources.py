@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ribospan.operators import motifs as M
 from ribospan.sources import readers as R
 from ribospan.sources import writers as W
+from ribospan.sources.record_files import RecordFiles
 
 
 def put(folder, name, text):
@@ -171,23 +172,62 @@ def test_checksums(spark, tmp_path):
     manifest = put(tmp_path, "m.sha256", f"{digest('one')} a.zip\n{digest('x')} b.zip\n{digest('y')} c.zip\n")
     got = {r["name"]: r["status"] for r in R.checksum_audit(spark, manifest, str(tmp_path / "f")).collect()}
     assert got == {"a.zip": "ok", "b.zip": "mismatch", "c.zip": "missing"}
-    tiny = R.checksum_audit(spark, manifest, str(tmp_path / "f"), most_bytes=3).collect()
-    assert {r["name"]: r["status"] for r in tiny} == {"a.zip": "too_large", "b.zip": "too_large", "c.zip": "missing"}
+    small = R.file_digests(spark.read.format("binaryFile").load(str(tmp_path / "f")), chunk=2).collect()
+    assert {r["actual"] for r in small} == {digest("one"), digest("two")}
 
 
-def test_files_with_another_header_are_an_error(spark, tmp_path):
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     put(tmp_path / "g", "a.tsv", "variant_id\tp_value\nrs1\t0.5\n")
-    put(tmp_path / "g", "b.tsv", "p_value\tvariant_id\n0.1\trs2\n")
+    put(tmp_path / "g", "b.tsv", "\np_value\tx\tvariant_id\n0.1\t7\trs2\n0,2\t8\trs3\np_value\tx\tvariant_id\n")
     names = {"variant_id": "rsid", "p_value": "p_value"}
-    with pytest.raises(Exception, match="header"):
-        R.read_summary_stats(spark, str(tmp_path / "g"), names).collect()
-    with pytest.raises(Exception, match="header"):
-        R.read_eqtl(spark, str(tmp_path / "g"), {"variant_id": "rsid", "p_value": "pval_nominal"}).collect()
-    head = "CHROM,POS,REF,ALT,RBP_list,ClinVar_CLNDN\n1,5,A,G,X,d\n"
+    got = {(r["rsid"], r["p_value"]) for r in R.read_summary_stats(spark, str(tmp_path / "g"), names).collect()}
+    assert got == {("rs1", 0.5), ("rs2", 0.1), ("rs3", 0.2)}
+    eqtl = R.read_eqtl(spark, str(tmp_path / "g"), {"variant_id": "rsid", "p_value": "pval_nominal"}).collect()
+    assert {(r["tissue"], r["rsid"], r["pval_nominal"]) for r in eqtl} == {("a", "rs1", 0.5), ("b", "rs2", 0.1), ("b", "rs3", None)}
+    head = "CHROM,POS,REF,ALT,RBP_list,ClinVar_CLNDN\n1,5,A,G,\"X,Y\",d\n"
     put(tmp_path / "h", "a.csv", head)
     put(tmp_path / "h", "b.csv", head.replace("REF,ALT", "ALT,REF"))
-    with pytest.raises(Exception, match="header"):
-        R.read_variant_catalog(spark, str(tmp_path / "h")).collect()
+    got = {(r["ref"], r["alt"], r["rbp_list"]) for r in R.read_variant_catalog(spark, str(tmp_path / "h")).collect()}
+    assert got == {("A", "G", "X,Y"), ("G", "A", "X,Y")}
+    put(tmp_path / "h", "c.csv", "CHROM,POS\n1,2\n")
+    with pytest.raises(ValueError, match="ALT.*c.csv"):
+        R.read_variant_catalog(spark, str(tmp_path / "h"))
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 10**6])
+def test_record_files_are_read_in_ranges(spark, tmp_path, split):
+    spark.dataSource.register(RecordFiles)
+    read = lambda kind, path, **o: spark.read.format("record_files").options(kind=kind, splitBytes=split, **o).load(path)
+    body = "".join(f">r{k} A>T\n{'ACGU' * k}\n{','.join(['1'] * (4 * k))}\n" for k in range(1, 6))
+    put(tmp_path / "t", "A_K562_pos.fa", body)
+    put(tmp_path / "t", "A_K562_neg.fa", body.replace(">r", "\n>n"))
+    df = read("triplet", str(tmp_path / "t"))
+    text = R.read_triplet_fasta(spark, str(tmp_path / "t"))
+    names = ["dataset_id", "rec_id", "seq", "track", "label"]
+    assert sorted(map(str, df.select(names).collect())) == sorted(map(str, text.select(names).collect()))
+    sizes = [len(body), len(body) + 5]
+    assert df.rdd.getNumPartitions() == sum(-(-n // split) for n in sizes)
+    some = spark.read.format("record_files").schema("rec_id string, label int").options(kind="triplet", splitBytes=split).load(str(tmp_path / "t/A_K562_{pos,neg}.fa"))
+    assert some.columns == ["rec_id", "label"] and some.count() == 10
+    put(tmp_path / "bad", "A_K562_pos.fa", ">ok\nAC\n1,2\n>r1\nACGU\n1,2\n")
+    loose = {r["rec_id"]: r["bad_reason"] for r in read("triplet", str(tmp_path / "bad"), strict="false").collect()}
+    assert loose == {"ok": None, "r1": "length mismatch"}
+    with pytest.raises(Exception, match="length mismatch"):
+        read("triplet", str(tmp_path / "bad")).collect()
+
+
+def test_record_files_of_profiles_and_motifs(spark, tmp_path):
+    spark.dataSource.register(RecordFiles)
+    rows = "\n".join("\t".join(str(k + i / 10) for i in range(3)) for k in range(5))
+    path = put(tmp_path, "A_K562.txt", f">v1\n{rows}\n>v2\n{rows}\n")
+    got = spark.read.format("record_files").options(kind="profile", splitBytes=40, length=3).load(path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, R.read_structure_profiles(spark, path, 3).collect()))
+    meme = "MEME version 5\nALPHABET= ACGU\nMOTIF m1 x\nletter-probability matrix: alength= 4 w= 2\n0.1 0.2 0.3 0.4\n1 0 0 0\nMOTIF m2\nletter-probability matrix: w= 1\n0 0 0 1\n"
+    path = put(tmp_path, "B.meme", meme)
+    got = spark.read.format("record_files").options(kind="pwm", splitBytes=30).load(path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, R.read_meme(spark, path).collect()))
+    with pytest.raises(Exception, match="unknown columns"):
+        spark.read.format("record_files").schema("no string").options(kind="pwm").load(path).collect()
 
 
 def test_strict_checks_hold_for_any_columns(spark, tmp_path):
