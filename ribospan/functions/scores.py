@@ -99,6 +99,11 @@ def strip_version(identifier: str | Column) -> Column:
     return F.substring_index(col(identifier), ".", 1)
 
 
+def is_transcript(identifier: str | Column) -> Column:
+    """Ensembl transcripts; other identifiers (genes, spike-ins) are not."""
+    return col(identifier).rlike(r"^ENST\d")
+
+
 def significance_stars(p: str | Column) -> Column:
     c = col(p)
     return (

@@ -390,6 +390,12 @@ def pivot_matrix(df: DataFrame, row: str, column: str, value: str, columns: list
     return wide.withColumn("row_total", total)
 
 
+def volcano_table(df: DataFrame, identifier: str, q: str, effect: str) -> DataFrame:
+    """Transcripts with their identifier's version stripped (``transcript``) and their ``volcano`` class."""
+    rows = df.where(SC.is_transcript(identifier))
+    return rows.withColumn("transcript", SC.strip_version(identifier)).withColumn("volcano", SC.volcano_class(q, effect))
+
+
 def columns_by_total(df: DataFrame, column: str, value: str) -> DataFrame:
     """The values of ``column`` with their totals and their ``place`` by descending total.
 

@@ -418,13 +418,13 @@ def parse_training_log(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_best_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Best-metric JSON files, one object per file."""
+def read_best_metrics(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Best-metric JSON files: one object per file, or with ``whole_files`` off one per line."""
     schema = (
         "run_name string, data_file string, best_epoch int, best_val_auc double, "
         "best_val_acc double, best_val_prc double, best_val_mcc double, seed int, device string"
     )
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=whole_files)
 
 
 def read_variant_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ribospan import surrogates as X
 from ribospan.functions import scores as SC
+from ribospan.operators import plugins as PL
 from ribospan.operators import score_tables as T
 from ribospan.plans.annotation import annotate_impacts
 from ribospan.plans.ribosnitch import ribosnitch_dynamics
@@ -476,6 +477,67 @@ def unpivot_long(spark, sf_dir):
     )
 
 
+@query(with_ctes(SCORES, PVALUES, """
+last AS (SELECT rsid, arg_max(p_value, line_no) AS p FROM pvalues GROUP BY rsid),
+named AS (SELECT s.*, p, CASE WHEN line_no % 3 = 0 THEN 'ENSG' ELSE 'ENST' END || lpad(variant::VARCHAR, 8, '0') || '.' || (line_no % 4) AS id
+          FROM scores s LEFT JOIN last USING (rsid))""", body="""
+SELECT split_part(id, '.', 1) AS transcript,
+       CASE WHEN p < 0.05 AND alt_score - ref_score > 1 THEN 'Up-regulated'
+            WHEN p < 0.05 AND alt_score - ref_score < -1 THEN 'Down-regulated' ELSE 'Not significant' END AS volcano, count(*) AS n
+FROM named WHERE id LIKE 'ENST%' GROUP BY ALL
+"""))
+def volcano_transcripts(spark, sf_dir):
+    """Transcripts only, without the version of their identifier."""
+    joined = T.attach_pvalue(X.score_rows(spark, sf_dir), X.pvalue_rows(spark, sf_dir), "line_no")
+    kind = F.when(F.col("line_no") % 3 == 0, "ENSG").otherwise("ENST")
+    number = F.lpad(F.col("variant").cast("string"), 8, "0")
+    rows = joined.withColumn("id", F.concat(kind, number, F.lit("."), (F.col("line_no") % 4).cast("string")))
+    table = T.volcano_table(rows.withColumn("b", F.col("alt_score") - F.col("ref_score")), "id", "p_value", "b")
+    return table.groupBy("transcript", "volcano").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_ctes(SCORES, body="""
+SELECT rbp, cell, median(ref_score) FILTER (maf > 0.02::DOUBLE) AS middle, count(*) FILTER (maf > 0.02::DOUBLE) AS n, max(ref_score) FILTER (maf > 0.02::DOUBLE) AS most
+FROM scores GROUP BY ALL
+"""))
+def stat_fun_columns(spark, sf_dir):
+    """A caller's aggregate columns over the values that the caller's filter lets through."""
+    rows = X.score_rows(spark, sf_dir)
+    stats = {"middle": F.median, "n": F.count, "most": F.max}
+    return PL.summarise(rows, ["rbp", "cell"], "ref_score", stats, lambda v: F.col("maf") > 0.02)
+
+
+@query(with_ctes(SCORES, body="""
+SELECT cell, count(*) AS n, round(avg(ref_score), 9) AS mean, round(stddev_samp(ref_score), 9) AS deviation FROM scores GROUP BY cell
+"""))
+def stat_fun_arrow(spark, sf_dir):
+    """A caller's functions over Arrow tables, with partial results of shares of a group."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def partial(table: pa.Table) -> dict:
+        v = table.column("ref_score")
+        return {"n": len(v), "total": pc.sum(v).as_py(), "squares": pc.sum(pc.multiply(v, v)).as_py()}
+
+    def combine(table: pa.Table) -> dict:
+        n, total, squares = (pc.sum(table.column(c)).as_py() for c in ("n", "total", "squares"))
+        return {"n": n, "mean": total / n, "deviation": ((squares - total * total / n) / (n - 1)) ** 0.5}
+
+    rows = X.score_rows(spark, sf_dir).select("cell", "line_no", "ref_score")
+    out = PL.summarise_arrow(
+        rows, ["cell"], partial, combine, "n bigint, total double, squares double", "n bigint, mean double, deviation double", share_rows=1500
+    )
+    return out.select("cell", "n", F.round("mean", 9).alias("mean"), F.round("deviation", 9).alias("deviation"))
+
+
+@query(with_ctes(SCORES, body="""
+SELECT rbp, total, row_number() OVER (ORDER BY total DESC, rbp) AS place
+FROM (SELECT rbp, sum(line_no)::BIGINT AS total FROM scores GROUP BY rbp)
+"""))
+def columns_by_total(spark, sf_dir):
+    return T.columns_by_total(X.score_rows(spark, sf_dir), "rbp", "line_no").select("rbp", "total", "place")
+
+
 @query(with_ctes(SCORES, PVALUES, SYMBOLS, """
 last AS (SELECT rsid, arg_max(p_value, line_no) AS p_value FROM pvalues GROUP BY rsid)""", body="""
 SELECT s.line_no, coalesce(gene_name, '') AS gene_name, round(alt_score - ref_score, 6) AS delta_score,

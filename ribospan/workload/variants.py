@@ -8,7 +8,8 @@ from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
 from ribospan.operators import variants as V
 from ribospan.plans import variant_scoring as P
-from ribospan.session import materialize
+from ribospan.session import materialize, new_path
+from ribospan.streaming import scoring as STR
 from ribospan.workload.inputs_sql import CATALOG, SCORES, VARIANTS, WINDOWS, grams
 from ribospan.workload.registry import query, with_ctes
 
@@ -241,6 +242,58 @@ def variant_scoring(spark, sf_dir):
     )
 
 
+@query(with_ctes(WINDOWS, grams(2, "g2"), MODELS, VARIANTS, PARSED, APPLIED, """
+ok AS (SELECT *, CASE WHEN cell = 'en' THEN 'fr' ELSE 'en' END AS other FROM applied WHERE reject_reason IS NULL)""",
+                 grams(2, "changed_grams", "ok", "changed", "rec_id, dataset_id, changed"), """
+cells AS (SELECT DISTINCT dataset_id AS model_id, cell AS model_cell FROM windows)""", body="""
+SELECT model_id, count(*) AS n, round(avg(score), 9) AS mean_score FROM (
+  SELECT c.model_id, o.rec_id, -0.5::DOUBLE + coalesce(sum(weight), 0) AS score
+  FROM ok o JOIN cells c ON c.model_cell IN (o.cell, o.other)
+  LEFT JOIN changed_grams g ON g.rec_id = o.rec_id
+  LEFT JOIN models m ON m.model_id = c.model_id AND m.kmer = g.kmer
+  GROUP BY ALL)
+GROUP BY model_id
+"""))
+def ribosnitch_scoring(spark, sf_dir):
+    """Every model of either of a record's two cell lines."""
+    scored = P.score_ribosnitch(
+        _two_cells(X.variant_windows(spark, sf_dir)), _models(spark, sf_dir), "after", scorer=P.linear_scorer(2)
+    )
+    return scored.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score")
+    )
+
+
+@query(with_ctes(WINDOWS, grams(2, "g2"), MODELS, VARIANTS, PARSED, APPLIED,
+                 "ok AS (SELECT * FROM applied WHERE reject_reason IS NULL)",
+                 grams(2, "changed_grams", "ok", "changed", "rec_id, dataset_id, changed"), body="""
+SELECT o.rec_id, round(-0.5::DOUBLE + coalesce(sum(weight), 0), 9) AS score, md5(any_value(o.header)) AS header_digest
+FROM ok o LEFT JOIN changed_grams g ON g.rec_id = o.rec_id
+LEFT JOIN models m ON m.model_id = o.dataset_id AND m.kmer = g.kmer
+GROUP BY o.rec_id
+"""))
+def streamed_scoring(spark, sf_dir):
+    """The scoring as a stream of files into a sink keyed by batch; equal to the batch form."""
+    source, out, state = (new_path(spark, kind) for kind in ("stream", "scores", "progress"))
+    records = X.variant_windows(spark, sf_dir).select("dataset_id", "header", "seq")
+    records.repartition(6).write.parquet(source)
+    stream = STR.read_record_stream(spark, source, records.schema, files_per_batch=2)
+    STR.score_stream_once(stream, _models(spark, sf_dir), out, state, scorer=P.linear_scorer(2)).awaitTermination()
+    rec_id = F.regexp_extract("header", r"variant_(\d+)", 1).cast("bigint").alias("rec_id")
+    return STR.read_scores(spark, out).select(rec_id, F.round("score", 9).alias("score"), F.md5("header").alias("header_digest"))
+
+
+@query(with_ctes(WINDOWS, VARIANTS, CATALOG, body="""
+SELECT rec_id, rbp AS protein, cell AS cell_line FROM catalog
+"""))
+def variant_parse_without_in(spark, sf_dir):
+    """Catalog headers that end in protein, one more word and cell, without the word "in"."""
+    c = X.catalog_windows(spark, sf_dir)
+    plain = F.regexp_replace("header", " in (\\S+)$", " near $1")
+    found = H.parse_protein_cell(F.split(plain, " "))
+    return c.select("rec_id", found["protein"].alias("protein"), found["cell_line"].alias("cell_line"))
+
+
 @query(with_ctes(WINDOWS, grams(2, "g2"), MODELS, VARIANTS, CATALOG, LOCATED,
                  """s AS (SELECT rec_id, dataset_id, CASE WHEN state = 'ref'
                     THEN substr(seq, 1, idx) || a || substr(seq, idx + 2) ELSE seq END AS changed FROM located)""",
