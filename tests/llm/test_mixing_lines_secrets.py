@@ -55,7 +55,7 @@ def test_targets_words_and_copies(spark):
         assert r.taken in (0, r.size, 2 * r.size)
         taken[s] += r.taken
     for s, t in target.items():
-        assert abs(taken[s] - t) <= 600, s  # half a document, or one repeated row as a whole
+        assert abs(taken[s] - t) <= 100, s  # half a document
     again = mixing.mix_sources(df.repartition(7), slice_rows=50).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -74,6 +74,28 @@ def test_mixed_documents_repeat_rows_as_the_report_says(spark):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch):
+    rows = [(None, "one two three four five six seven eight nine ten", "a")] * 1000
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(df).collect()
+    assert sum(r.taken for r in got) == 15_000 and {r.target for r in got} == {15_000.0} and {r.taken for r in got} == {10, 20}
+    assert mixing.mixed_documents(df).count() == 1500
+    monkeypatch.setattr(mixing.repeated, "__defaults__", (64,))
+    assert sum(r.taken for r in mixing.mix_sources(df).collect()) == 15_000 and mixing.mixed_documents(df).count() == 1500
+
+
+def test_the_sample_favours_large_documents(spark):
+    rows = [(k, " ".join(["w"] * (2 if k % 2 else 20)), "a") for k in range(4000)] + [(5000 + k, "x " * 50, "b") for k in range(2000)]
+    rows += [(9000, "y " * 4000, "a")]
+    got = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS), weights=(1, 3)).collect()}
+    drawn = lambda ids: sum(got[k].taken > got[k].size * min(g.taken // g.size for g in got.values() if g.source_size == got[0].source_size) for k in ids)
+    small, large = drawn(range(1, 4000, 2)), drawn(range(0, 4000, 2))
+    assert 100 < large < 260 and 5 * small < large < 20 * small  # as the sizes: ten to one
+    assert drawn([9000]) == 1  # certain
+    for source, ids in (("a", [*range(4000), 9000]), ("b", range(5000, 7000))):
+        assert abs(sum(got[k].taken for k in ids) - got[ids[0]].target) <= 50, source
+
+
 def test_mixing_empty_and_wordless(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
     only = mixing.mix_sources(spark.createDataFrame([(1, None, None), (2, " ", "a")], DOCS)).collect()
