@@ -35,8 +35,8 @@ def alphabet_rows(df: DataFrame, keys: list[str], alphabets: list[str]) -> DataF
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int) -> DataFrame:
-    """The most enriched words per group under the Bonferroni rule, at most ``max_motifs``.
+def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int | None) -> DataFrame:
+    """The most enriched words per group under the Bonferroni rule, at most ``max_motifs`` (None: all).
 
     Enriched means p below 0.01 / n, n being the words seen in the group.
     """
@@ -47,9 +47,15 @@ def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int)
             F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
         )
     )
-    tested = hypergeom_enrichment(M.with_population(counts, rows, by))
     n_words = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    passing = tested.join(n_words, by).where(F.col("p") < F.lit(0.01) / F.col("_n")).drop("_n")
+    sized = M.with_population(counts, rows, by).join(n_words, by).withColumn("_cut", F.lit(0.01) / F.col("_n"))
+    # A word seen n times can't have a smaller p than if all n were positive; most words are too rare to pass.
+    n = F.col("n_with").cast("double")
+    least = n * F.log(F.greatest(F.col("positives") - n + 1, F.lit(1e-9)) / (F.col("total") - n + 1))
+    tested = hypergeom_enrichment(sized.where(least < F.log("_cut")))
+    passing = tested.where(F.col("p") < F.col("_cut")).drop("_n", "_cut")
+    if max_motifs is None:
+        return passing
     order = W.partitionBy(*by).orderBy("p", "motif")
     return passing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_motifs)
 
@@ -85,6 +91,22 @@ def prior_features(
     )
 
 
+def feature_vectors(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A sparse vector for each record, and the table of what its places mean.
+
+    The first is ``dataset_id, rec_id, class, places, scores`` with the non-zero scores in order of place,
+    the second ``dataset_id, place, feature``: the features of a dataset in order of name, from 0.
+    A record's vector has no more entries than its dataset has features.
+    """
+    names = materialize(features.select("dataset_id", "feature").distinct())
+    order = W.partitionBy("dataset_id").orderBy("feature")
+    places = materialize(names.withColumn("place", F.row_number().over(order) - 1))
+    rows = features.join(places, ["dataset_id", "feature"])
+    entry = F.when(F.col("score") != 0, F.struct("place", "score"))
+    vectors = rows.groupBy("dataset_id", "rec_id", F.col("label").alias("class")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return vectors.select("dataset_id", "rec_id", "class", F.col("e.place").alias("places"), F.col("e.score").alias("scores")), places
+
+
 def feature_matrix(features: DataFrame, names: list[str]) -> DataFrame:
     """Wide table with ``class`` 1/0 and one column per listed feature, joined by record."""
     return (

@@ -575,13 +575,56 @@ def transfer_evaluation(spark, sf_dir):
     return TR.transfer(named, models)
 
 
+def _alphabet_tables() -> list[str]:
+    combos = [b + s for b in S.RNA for s in S.STATES_7]
+    rows = ", ".join(f"('{c}', '{S.LETTERS_28[i]}', '{S.LETTERS_16[i]}', '{S.LETTERS_8[i]}')" for i, c in enumerate(combos))
+    four, two = dict(zip(S.STATES_7, S.STATES_4)), dict(zip(S.STATES_4_FROM, S.STATES_2))
+    states = ", ".join(f"('{s}', '{four[s]}', '{two[four[s]]}')" for s in S.STATES_7)
+    return [f"l28(c, a, b, d) AS (VALUES {rows})", f"st(s, f, t) AS (VALUES {states})"]
+
+
+@query(with_ctes(WINDOWS, LANGUAGE, *_alphabet_tables(), """
+staged AS (SELECT dataset_id, rec_id, label, i AS pos, replace(substr(seq, i, 1), 'T', 'U') AS ch, substr('EHLRBMT', (i % 7 + 1)::INTEGER, 1) AS s
+           FROM lang, range(1, 102) AS r(i) WHERE i <= length(seq)),
+spelled AS (
+  SELECT dataset_id, rec_id, any_value(label) AS label, string_agg(ch, '' ORDER BY pos) AS seq_4, string_agg(d, '' ORDER BY pos) AS seq_struct_8,
+         string_agg(b, '' ORDER BY pos) AS seq_struct_16, string_agg(a, '' ORDER BY pos) AS seq_struct_28,
+         string_agg(t, '' ORDER BY pos) AS struct_2, string_agg(f, '' ORDER BY pos) AS struct_4, string_agg(st.s, '' ORDER BY pos) AS struct_7
+  FROM staged JOIN l28 ON l28.c = ch || staged.s JOIN st ON st.s = staged.s GROUP BY dataset_id, rec_id),
+long_ AS (UNPIVOT spelled ON seq_4, seq_struct_8, seq_struct_16, seq_struct_28, struct_2, struct_4, struct_7 INTO NAME alphabet VALUE seq),
+words AS (SELECT DISTINCT dataset_id, alphabet, rec_id, label, substr(seq, i::INTEGER, 5) AS motif FROM long_, range(1, 98) AS r(i) WHERE i + 4 <= length(seq)),
+counts AS (SELECT dataset_id, alphabet, motif, count(*) AS n_with, sum(label)::BIGINT AS n_pos_with FROM words GROUP BY ALL),
+size_ AS (SELECT dataset_id, count(*) AS total, sum(label)::BIGINT AS positives FROM lang GROUP BY 1),
+known AS (SELECT *, count(*) OVER (PARTITION BY dataset_id, alphabet) AS words FROM counts JOIN size_ USING (dataset_id)),
+terms AS (
+  SELECT *, exp(
+      lgamma(positives + 1) - lgamma(k + 1) - lgamma(positives - k + 1)
+      + lgamma(total - positives + 1) - lgamma(n_with - k + 1) - lgamma(total - positives - n_with + k + 1)
+      - lgamma(total + 1) + lgamma(n_with + 1) + lgamma(total - n_with + 1)) AS t
+  FROM (SELECT *, unnest(range(greatest(n_pos_with, n_with - (total - positives)), least(positives, n_with) + 1)) AS k FROM known)),
+tails AS (SELECT dataset_id, alphabet, motif, n_with, n_pos_with, words, sum(t) AS p FROM terms GROUP BY ALL)""", body="""
+SELECT dataset_id, alphabet, motif, n_with, n_pos_with, round(log10(p), 4) AS log10_p FROM tails WHERE p < 0.01 / words
+"""))
+def motif_prior_words(spark, sf_dir):
+    """The enriched words of every dataset in each of the seven alphabets."""
+    states = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(F.lit("EHLRBMT"), i % 7 + 1, F.lit(1))), "")
+    records = language_windows(spark, sf_dir).select("dataset_id", "rec_id", "label", S.normalize_rna("seq").alias("seq"), states.alias("states"))
+    rows = materialize(MP.alphabet_rows(records, ["dataset_id", "rec_id", "label"], list(MP.ALPHABETS)))
+    words = MP.enriched_words(rows, ["dataset_id", "alphabet"], 5, None)
+    return words.select("dataset_id", "alphabet", "motif", "n_with", "n_pos_with", F.round(F.log10("p"), 4).alias("log10_p"))
+
+
 @query()
 def motif_prior_features(spark, sf_dir):
-    labels = language_windows(spark, sf_dir).select("rec_id", "label", F.lit("all").alias("dataset_id"))
+    """The prior's features over all seven alphabets, as sparse vectors of the records of each dataset."""
+    labels = language_windows(spark, sf_dir).select("rec_id", "label", "dataset_id")
     records = _stated(spark, sf_dir).drop("dataset_id").join(labels, "rec_id")
-    features = MP.prior_features(records, ["seq_4", "struct_4"], width=5, max_motifs=3, flank=1)
-    return features.groupBy("dataset_id", "feature", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score")
+    features = materialize(MP.prior_features(records, list(MP.ALPHABETS), width=5, max_motifs=5, flank=1))
+    vectors, places = MP.feature_vectors(features)
+    entries = vectors.select("dataset_id", "class", F.explode(F.arrays_zip("places", "scores")).alias("e"))
+    entries = entries.select("dataset_id", F.col("class").alias("label"), F.col("e.places").alias("place"), F.col("e.scores").alias("score"))
+    return entries.join(places, ["dataset_id", "place"]).groupBy("dataset_id", "feature", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total_score")
     )
 
 

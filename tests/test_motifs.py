@@ -278,6 +278,11 @@ def test_prior_features(spark):
     assert "seq_4_GGGGG" in names
     wide = MP.feature_matrix(f, names)
     assert wide.count() == 80
+    vectors, places = MP.feature_vectors(f)
+    assert [r["feature"] for r in places.orderBy("place").collect()] == names
+    cells = {(r["rec_id"], p): s for r in vectors.collect() for p, s in zip(r["places"], r["scores"], strict=True)}
+    want = {(r["rec_id"], names.index(r["feature"])): r["score"] for r in f.collect() if r["score"]}
+    assert cells == want and vectors.count() == 80
     means = {r["class"]: r["m"] for r in wide.groupBy("class").agg(F.avg("seq_4_GGGGG").alias("m")).collect()}
     assert means[1] == pytest.approx(1.0) and means[0] < 0.5
 
