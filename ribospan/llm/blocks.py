@@ -3,9 +3,10 @@
 A page is cut into flat blocks at block-level tags. Each block has its number of words and its
 link density (share of its words inside links), those of its neighbours, and two facts of its
 place: inside an article-like element, and inside an element that its tag, class, id or role
-names as navigation, notice, advert, form or comments. An article or main element inside such an
-element is not beside the article, unless its own class says so. A decision tree, trained here on
-``LABELLED``, says which blocks are main text.
+names as navigation, notice, advert, form or comments. Such a mark holds for text of any length, and
+for all that is inside. Only names of the layout (a wrapper with ``sidebar`` in its class) and forms around
+a whole page give way to an article or main element inside; comments, notices, footers and
+the like do not. A decision tree, trained here on ``LABELLED``, says which blocks are main text.
 
 Scripts, styles and other elements without running text are never blocks. Character references
 are decoded, white space inside a block becomes one space, kept blocks are joined by a line feed.
@@ -49,6 +50,8 @@ ASIDE_NAMES = frozenset(
     "recommendations comment comments reply replies respond discussion disqus form search pagination pager tags copyright disclaimer "
     "legal skip".split()
 )
+#: Of these, names that wrappers of a whole page bear too; an article or main element inside lifts their mark.
+LAYOUT_NAMES = frozenset("sidebar rail nav navbar navigation menu banner search share sharing social tags ad ads adv promo widget form topbar".split())
 #: Words that make a class say how the page is laid out, not what its element is (``has-sidebar``).
 STATES = frozenset("has have no with without is not enabled disabled open opened closed active on off layout enable disable show hide".split())
 MAIN_NAMES = frozenset("article articlebody content main post entry story body text".split())
@@ -82,8 +85,8 @@ LABELLED = [
     ((28, 0.0, 15, 0.0, 4, 0.0, 0, 1), 0), ((14, 0.0, 1, 1.0, 14, 0.0, 0, 1), 0), ((75, 0.05, 60, 0.0, 0, 0.0, 0, 1), 0),
     ((10, 0.0, 1, 1.0, 1, 0.0, 0, 1), 0), ((11, 0.0, 1, 1.0, 120, 0.0, 0, 1), 0), ((9, 0.0, 200, 0.0, 0, 0.0, 0, 1), 0),
     ((6, 0.0, 3, 0.0, 0, 0.0, 0, 1), 0), ((2, 0.0, 9, 0.0, 6, 0.0, 0, 1), 0), ((4, 0.0, 60, 0.0, 2, 0.5, 0, 1), 0),
-    ((150, 0.0, 120, 0.0, 130, 0.0, 0, 1), 1), ((140, 0.02, 160, 0.0, 120, 0.0, 0, 1), 1), ((260, 0.0, 140, 0.0, 180, 0.0, 0, 1), 1),
-    ((180, 0.0, 110, 0.0, 150, 0.0, 1, 1), 1), ((130, 0.0, 200, 0.0, 240, 0.0, 1, 1), 1), ((320, 0.01, 300, 0.0, 280, 0.0, 0, 1), 1),
+    ((150, 0.0, 120, 0.0, 130, 0.0, 0, 1), 0), ((140, 0.02, 160, 0.0, 120, 0.0, 0, 1), 0), ((260, 0.0, 140, 0.0, 180, 0.0, 0, 1), 0),
+    ((180, 0.0, 110, 0.0, 150, 0.0, 1, 1), 0), ((130, 0.0, 200, 0.0, 240, 0.0, 1, 1), 0), ((320, 0.01, 300, 0.0, 280, 0.0, 0, 1), 0),
     ((1, 1.0, 1, 1.0, 2, 1.0, 0, 0), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 0, 0), 0), ((4, 0.8, 3, 1.0, 6, 0.0, 0, 0), 0),
     ((3, 0.0, 0, 0.0, 2, 1.0, 0, 0), 0), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0), 0), ((6, 0.2, 60, 0.0, 0, 0.0, 0, 0), 0),
     ((5, 0.0, 3, 1.0, 5, 0.3, 0, 0), 0), ((7, 0.4, 6, 0.0, 1, 1.0, 0, 0), 0), ((2, 0.0, 1, 1.0, 0, 0.0, 0, 0), 0),
@@ -124,39 +127,47 @@ def decide(tree: tuple | float, features: tuple) -> bool:
     return tree >= 0.5
 
 
-def _place(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool | None]:
-    """Whether an element is article-like, and whether it is beside the article; None if what it is in says so."""
+def _aside_words(token: str) -> set[str]:
+    """The words of a class or id that name what is not the article; none if the token says how the page is laid out."""
+    words = {w for w in re.split(r"[^a-z]+", token) if w}
+    if words & STATES:
+        return set()
+    return words & ASIDE_NAMES | {"comments" for w in words if "comment" in w}
+
+
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is article-like, and its mark: 0 none, 1 one that an inner article lifts, 2 one that holds."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_article):
-        return False, True
+        return False, 1 if tag == "form" else 2
     if tag in ("html", "body"):
-        return False, False
-    named, whole, beside = set(), set(), False
+        return False, 0
+    named, whole, aside = set(), set(), set()
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ASIDE_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
-            return False, True
+            return False, 2
         if key == "class" and "hidden" in value.split() or key == "aria-label" and value.strip() in ASIDE_NAMES:
-            return False, True
+            return False, 2
         if key in ("class", "id", "itemprop", "role") or key.startswith("data-ad"):
             for token in value.split():
-                words = {w for w in re.split(r"[^a-z]+", token) if w}
-                named |= words
+                named |= {w for w in re.split(r"[^a-z]+", token) if w}
                 whole.add(token)
-                beside |= bool(words & ASIDE_NAMES) and not words & STATES
+                aside |= _aside_words(token)
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I):
-        return False, True
+        return False, 2
     if tag in ("article", "main"):
-        # A whole class ("comment") puts it beside; a word of one ("ad-free") only keeps the mark it is in.
-        return (False, True) if whole & ASIDE_NAMES and not whole & MAIN_NAMES else (True, None if beside else False)
-    if beside:
-        return False, True
-    return bool(named & MAIN_NAMES), False
+        # A whole class ("comment") puts it beside; a word of one ("ad-free") does not.
+        beside = (whole & ASIDE_NAMES or "comments" in aside) and not whole & MAIN_NAMES
+        return not beside, 2 if beside else 0
+    if aside:
+        return False, 1 if aside <= LAYOUT_NAMES else 2
+    return bool(named & MAIN_NAMES), 0
 
 
 def flat_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """``text, words, link density, in an article, beside it`` of each block in page order."""
     out: list = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, in an article, beside it
+    open_tags: list[tuple[str, bool, int]] = []  # tag, in an article, mark of what is beside it
     parts: list[str] = []
     linked: list[str] = []
     links, silent, at = 0, "", 0
@@ -166,8 +177,8 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if text:
             words = len(WORD.findall(text)) or 1
             inside = len(WORD.findall(html.unescape(" ".join(linked)))) if linked else 0
-            article, aside = open_tags[-1][1:] if open_tags else (False, False)
-            out.append((text, words, min(1.0, inside / words), int(article), int(aside)))
+            article, mark = open_tags[-1][1:] if open_tags else (False, 0)
+            out.append((text, words, min(1.0, inside / words), int(article), int(mark > 0)))
         parts.clear()
         linked.clear()
 
@@ -212,11 +223,11 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             links = 0
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
                 open_tags.pop()
-            article, aside = open_tags[-1][1:] if open_tags else (False, False)
-            begins, beside = _place(tag, m[3], article)
-            if tag in ("article", "main") and beside is False and not article:
-                aside = False
-            open_tags.append((tag, article or begins, aside or bool(beside)))
+            article, mark = open_tags[-1][1:] if open_tags else (False, 0)
+            begins, own = _place(tag, m[3], article)
+            if tag in ("article", "main") and begins and mark == 1 and not article:
+                mark = 0
+            open_tags.append((tag, article or begins, max(mark, own)))
     if not silent and at < len(page):
         parts.append(page[at:])
         if links:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -136,12 +137,71 @@ def test_words_of_the_layout_do_not_lose_the_article(begin):
     assert text == "\n".join([("word " * 40).strip(), "A short one.", ("more " * 30).strip()])
 
 
-def test_marked_elements_are_judged_by_their_words_too():
-    long = "word " * 140
-    page = f'<div class="widget"><p>{long}<p>{long}<p>{long}</div><div hidden><p>some words that nobody sees on this page at all</div>'
-    assert long.strip() in blocks.main_text(page, blocks.train())[0] and "nobody" not in blocks.main_text(page, blocks.train())[0]
-    comments = '<section class="comment-list"><article class="comment"><p>I think that this is a very good article that all should read</article></section>'
-    assert blocks.main_text(comments, blocks.train())[0] == ""
+@pytest.mark.parametrize("begin, end", [
+    ('<section class="comments">', "</section>"), ('<div id="comments"><article>', "</article></div>"), ('<ol class="commentlist"><li>', "</li></ol>"),
+    ("<footer>", "</footer>"), ('<div class="cookie-notice">', "</div>"), ('<div class="widget">', "</div>"), ("<form>", "</form>"),
+    ('<aside><article class="post">', "</article></aside>"), ('<section class="comment-list"><article class="comment">', "</article></section>"),
+    ('<div class="related-posts"><article>', "</article></div>"), ('<div class="usercomments"><div class="content">', "</div></div>"),
+    ("<div hidden>", "</div>"), ('<nav class="content">', "</nav>"),
+])
+def test_marks_hold_for_text_of_any_length(begin, end):
+    own = "<article>" + "".join(f"<p>{'article ' * 60}" for _ in range(3)) + "</article>"
+    for words in (4, 60, 150, 200, 1000):
+        beside = begin + "".join(f"<p>{'aside ' * words}" for _ in range(4)) + end
+        for page in (own + beside, beside + own, f"<body>{beside}<div class=main>{own}</div></body>"):
+            text = blocks.main_text(page, blocks.train())[0]
+            assert "aside" not in text and text.count("article") == 180, (words, page[:60])
+
+
+class _Walk(HTMLParser):
+    """A second extractor: text under elements that a test labels by an attribute."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.out, self.now = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        keep = dict(attrs).get("data-label")
+        self.flush()
+        self.stack.append(keep if keep else self.stack[-1] if self.stack else "other")
+
+    def handle_endtag(self, tag):
+        self.flush()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        if text and self.stack and self.stack[-1] == "main":
+            self.out.append(text)
+        self.now = []
+
+
+def labelled_page(rng):
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "light", "is", "the", "over", "&amp;", "caf&eacute;"]) for _ in range(n))
+    p = lambda n: f"<p>{prose(n)}</p>"
+    beside = [
+        lambda: "<nav><ul>" + "".join(f'<li><a href="/{k}">{prose(2)}</a></li>' for k in range(5)) + "</ul></nav>",
+        lambda: f'<div class="{rng.choice(["cookie-banner", "newsletter", "ad-slot", "share-buttons", "breadcrumbs"])}">{p(rng.randint(3, 220))}</div>',
+        lambda: f'<section id="{rng.choice(["comments", "respond", "disqus_thread"])}"><div>{p(rng.randint(3, 220))}</div>{p(150)}</section>',
+        lambda: f"<footer>{p(rng.randint(3, 200))}</footer>",
+        lambda: f"<form><p>{prose(rng.randint(2, 90))}</p></form>",
+        lambda: f'<aside class="sidebar"><h3>{prose(3)}</h3>{p(rng.randint(5, 160))}</aside>',
+    ]
+    article = f"<h1>{prose(6)}</h1>" + "".join(rng.choice([p(rng.randint(5, 120)), f"<h2>{prose(3)}</h2>{p(80)}", f"<ul><li>{prose(7)}</li><li>{prose(9)}</li></ul>"]) for _ in range(rng.randint(2, 7)))
+    before, after = ("".join(f() for f in rng.sample(beside, rng.randint(0, 3))) for _ in range(2))
+    return f'<html><body data-label="other">{before}<article data-label="main">{article}</article>{after}</body></html>'
+
+
+def test_pages_with_labelled_blocks_against_a_second_extractor():
+    rng, tree = random.Random(12), blocks.train()
+    for _ in range(150):
+        page = labelled_page(rng)
+        walk = _Walk()
+        walk.feed(page)
+        assert blocks.main_text(page, tree)[0] == "\n".join(walk.out)
 
 
 # ---------------------------------------------------------------- nearest
