@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ribospan.functions.core import let
 from ribospan.llm.trigrams import trigram_query
 from ribospan.session import materialize
 
@@ -84,15 +85,17 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans_of(rule: Rule, text: Column) -> Column:
-    """Array of ``(start, end, kind)`` of the matches that count."""
+def spans_of(rule: Rule, text: Column, portion: int = 256) -> Column:
+    """Array of ``(start, end, kind)`` of the matches that count.
+
+    Matches are gone through in portions, so that the array that grows with each match stays short.
+    """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     pieces = F.split(text, rule.pattern, -1)
     rows = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), counted.alias("counted"))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("place"), empty.alias("spans"))
 
     def step(state: Column, row: Column) -> Column:
         begin = state["place"] + F.length(row["piece"])
@@ -103,7 +106,17 @@ def spans_of(rule: Rule, text: Column) -> Column:
             end.alias("place"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans")
         )
 
-    return F.aggregate(rows, start, step, lambda s: s["spans"])
+    def portion_step(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(state["place"].alias("place"), empty.alias("spans")), step)
+        return let(done, lambda d: F.struct(d["place"].alias("place"), F.concat(state["spans"], F.array(d["spans"])).alias("spans")))
+
+    def walk(found: Column) -> Column:
+        last = F.floor((F.size(found) - 1) / portion).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(found, k * portion + 1, F.lit(portion)))
+        start = F.struct(F.lit(0).alias("place"), F.array().cast("array<array<struct<start:int,end:int,kind:string>>>").alias("spans"))
+        return F.aggregate(parts, start, portion_step, lambda s: F.flatten(s["spans"]))
+
+    return let(rows, walk)
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
