@@ -18,18 +18,20 @@ go on, with the variants that lack a word of the other half.
 
 Edge cases: a null text and one without lines have none and stay as they are; blank lines are
 never dropped; null ids come last; rows that share an id share its place (of equal lines at the
-same place each stays), and rows equal in id and text share their result; very long lines are taken whole; an empty table gives an empty result. A document of
-which every line goes is left with an empty text.
+same place each stays), and rows equal in id and text share their result; very long lines are taken whole, in time
+in proportion to their words; an empty table gives an empty result. A document of which every line goes is left
+with an empty text. Columns of the caller, whatever their names, travel in one struct and never meet those used here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribospan.session import materialize
 
 LAST = (1 << 63) - 1
+LONG = 64  # words; the variants of longer texts are hashed word by word
 
 
 ODD_SPACE = r"\x20\x20|[\x09\x0B-\x0D]"
@@ -83,6 +85,40 @@ def without(line: Column, n: Column, k: Column) -> Column:
     return F.when(k == 0, line).otherwise(F.concat_ws(" ", F.nullif(head, F.lit("")), F.nullif(tail, F.lit(""))))
 
 
+def word_hash(line: Column) -> Column:
+    """Hash of a line from the hashes of its words and places, which a variant can be put together from."""
+    words = F.transform(F.split(line, " "), lambda w, i: F.xxhash64(w, i))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def variants_of(spelled: DataFrame) -> DataFrame:
+    """``h, first, missing, n, variant`` of ``spelled(h, first, head, tail, line, n)``: the line, and without each word in play.
+
+    A variant of up to ``LONG`` words is hashed as text. Those of more words are put together from running
+    sums of the words' hashes, a row a word, so that time is in proportion to the words of a line.
+    """
+    in_play = lambda k: (
+        F.col("head") & (k > F.floor((F.col("n") - 1) / 2)) | F.col("tail") & (k <= F.floor((F.col("n") + 1) / 2))
+    )
+    rows = spelled.repartition("h")
+    short = rows.where(F.col("n") <= LONG + 1)
+    places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda k: (k == 0) | in_play(k))
+    short = short.select("h", "first", "line", "n", F.explode(places).alias("missing"))
+    as_text = F.xxhash64(without(F.col("line"), F.col("n"), F.col("missing")))
+    by_words = (F.col("missing") == 0) & (F.col("n") > LONG)
+    short = short.select("h", "first", "missing", "n", F.when(by_words, word_hash(F.col("line"))).otherwise(as_text).alias("variant"))
+    long = rows.where(F.col("n") > LONG + 1)
+    whole = long.select("h", "first", F.lit(0).alias("missing"), "n", word_hash(F.col("line")).alias("variant"))
+    words = long.select("h", "first", "head", "tail", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    words = words.select("h", "first", "head", "tail", "n", "at", F.xxhash64("word", "at").alias("own"), F.xxhash64("word", F.col("at") - 1).alias("moved"))
+    line = Window.partitionBy("h")
+    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor("own").over(so_far).bitwiseXOR(F.col("own"))
+    after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(so_far))
+    each = words.withColumn("variant", before.bitwiseXOR(after)).withColumn("missing", F.col("at") + 1).where(in_play(F.col("missing")))
+    return short.unionByName(whole).unionByName(each.select("h", "first", "missing", "n", "variant"))
+
+
 def line_marks(lines: DataFrame) -> DataFrame:
     """Place, hash, number of words and half keys of each line; no text."""
     n = n_words(F.col("line"))
@@ -129,16 +165,7 @@ def deciding_lines(docs: DataFrame, marks: DataFrame, least_words: int, small: i
     )
     spelled = materialize(spelled.withColumn("n", n_words(F.col("line"))))
     # Dealt out by hash, so that long lines do not all stay with the task that read them.
-    places = F.filter(
-        F.sequence(F.lit(0), F.col("n")),
-        lambda k: (k == 0)
-        | (F.col("head") & (k > F.floor((F.col("n") - 1) / 2)))
-        | (F.col("tail") & (k <= F.floor((F.col("n") + 1) / 2))),
-    )
-    missing = F.explode(places).alias("missing")
-    every = spelled.repartition("h").select("h", "first", "line", "n", missing)
-    variant = F.xxhash64(without(F.col("line"), F.col("n"), F.col("missing"))).alias("variant")
-    every = materialize(every.select("h", "first", "missing", "n", variant))
+    every = materialize(variants_of(spelled))
     met = every.groupBy("variant").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("variant")
     variants = materialize(every.join(met, "variant", "left_semi"))
     # The earliest line that lacks the same word, or is whole; for a whole line the earliest of all.
