@@ -3,16 +3,21 @@
 Each language is a distribution over character trigrams (letters, with word ends), learned from
 labelled texts. A document is a mixture: every word is written in one of the languages, and EM
 estimates the proportions from the words' likelihoods. Sets of languages are compared by
-penalised likelihood (half the logarithm of the number of words for each further language), and
-the largest share in the chosen set is the prediction.
+penalised likelihood (half the logarithm of the number of words for each further language): the
+set grows by the language with the next largest share as long as that rises, however many there are.
+The largest share in the chosen set is the prediction; :func:`predict` returns the set and its shares as well.
 
 The score is the share that EM gives the predicted language among all languages: near 1 for a
 text in one language, the language's part in a mixed one, lower for a few words that could be
 written in several.
 
+The model is fitted on about ``per_language`` labelled rows of each of the ``most_languages`` languages that
+have the most labelled rows (both stated bounds), so its size does not grow with the corpus.
+
 Edge cases: a null text and one without letters are ``und`` with score 0; ties go to the language
-that sorts first; null ids and extra columns are allowed, repeated rows keep a row each; without
-labelled texts every document is ``und``; very long texts are taken whole, a batch at a time.
+that sorts first; null ids are allowed, repeated rows keep a row each; without
+labelled texts every document is ``und``; very long texts are taken whole, a batch at a time; extra columns,
+whatever their names, are left out of the report and kept by :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -53,23 +58,23 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell[at].astype(np.int64), word_starts, owner
 
 
-def training_rows(docs: DataFrame, held_out: Column, per_language: int, seed: int = 5) -> DataFrame:
+def training_rows(docs: DataFrame, held_out: Column, per_language: int, most_languages: int, seed: int = 5) -> DataFrame:
     """``text, lang`` of the sample: about ``per_language`` rows of each language, by a hash of the row.
 
-    Rows are counted by language first (a number a language reaches the driver, as the model
+    Rows are counted by language first (a number for each of ``most_languages`` reaches the driver, as the model
     does); then each task decides on its own rows, and no row moves.
     """
     rows = docs.select(
         "text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.octet_length("text")).alias("h")
     ).where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return rows.select("text", "lang").limit(0)
     bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 31)))])
-    return rows.where(F.pmod("h", F.lit(1 << 31)) < F.element_at(bound, F.col("lang"))).select("text", "lang")
+    return rows.where(F.pmod("h", F.lit(1 << 31)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0))).select("text", "lang")
 
 
-def train(docs: DataFrame, held_out: Column, *, per_language: int = 3000, smoothing: float = 0.2) -> dict:
+def train(docs: DataFrame, held_out: Column, *, per_language: int = 3000, most_languages: int = 256, smoothing: float = 0.2) -> dict:
     """Log likelihoods of trigram cells, a row a language: ``{"languages": [...], "cells": array}``.
 
     Fitted on a sample of about ``per_language`` labelled rows of each language. Counting is spread over
@@ -88,7 +93,7 @@ def train(docs: DataFrame, held_out: Column, *, per_language: int = 3000, smooth
                     names=["lang", "cell", "n"],
                 )
 
-    sample = training_rows(docs, held_out, per_language)
+    sample = training_rows(docs, held_out, per_language, most_languages)
     counted = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     names = np.array(found.column("lang").to_pylist(), dtype=object)
@@ -117,13 +122,16 @@ def _mixture(weight: np.ndarray, allowed: np.ndarray, first: np.ndarray, owner:
     return share, np.add.reduceat(like, first)
 
 
-def infer(texts: list[str], model: dict, *, most: int = 3, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the predicted language (-1: undetermined) and score of each text."""
+def mixtures(texts: list[str], model: dict, *, steps: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the languages in each text's set (0 outside), shares among all languages, log likelihood a letter.
+
+    Rows of texts without letters are 0.
+    """
     n, languages = len(texts), len(model["languages"])
-    lang, score = np.full(n, -1), np.zeros(n)
+    sets, shares, fit = np.zeros((n, languages)), np.zeros((n, languages)), np.zeros(n)
     cells, starts, owner = grams(texts)
     if not languages or not len(starts):
-        return lang, score
+        return sets, shares, fit
     words = np.add.reduceat(model["cells"][cells], starts, axis=0).astype(np.float64)
     which, first, place = np.unique(owner, return_index=True, return_inverse=True)
     alone = np.add.reduceat(words, first, axis=0)
@@ -132,47 +140,69 @@ def infer(texts: list[str], model: dict, *, most: int = 3, steps: int = 8) -> tu
     count = np.diff(np.append(first, len(words)))
     share, _ = _mixture(weight, np.ones((len(which), languages)), first, place, steps)
     order = np.argsort(-share, axis=1, kind="stable")
-    # Nested sets of the languages with the largest shares; the most likely single one is a candidate too.
-    top = np.argmax(alone, axis=1)
+    # The most likely single language, then sets of the languages with the largest shares while that pays.
+    rows, top = np.arange(len(which)), np.argmax(alone, axis=1)
+    ceiling = np.add.reduceat(best_word[:, 0], first)
     chosen = np.zeros((len(which), languages))
-    chosen[np.arange(len(which)), top] = 1.0
-    value = alone[np.arange(len(which)), top] - np.add.reduceat(best_word[:, 0], first)
-    for size in range(2, min(most, languages) + 1):
+    chosen[rows, top] = 1.0
+    value = alone[rows, top] - ceiling
+    like, growing = value.copy(), rows
+    for size in range(2, languages + 1):
         allowed = np.zeros((len(which), languages))
         np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-        found, like = _mixture(weight, allowed, first, place, steps)
-        like = like - 0.5 * (size - 1) * np.log(count)
-        better = like > value
-        chosen[better], value[better] = found[better], like[better]
-    pick = np.argmax(chosen, axis=1)
-    rows = np.arange(len(which))
-    lang[which] = pick
-    score[which] = np.minimum(1.0, share[rows, pick])
-    return lang, score
+        own = np.isin(place, growing)
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(place[own]) > 0]))
+        local = np.repeat(np.arange(len(growing)), np.diff(np.append(begin, own.sum())))
+        found, log_like = _mixture(weight[own], allowed[growing], begin, local, steps)
+        penalised = log_like - 0.5 * (size - 1) * np.log(count[growing])
+        better = penalised > value[growing]
+        # Two languages may both be needed where neither pays alone, so a set gets a second chance.
+        chosen[growing[better]], value[growing[better]], like[growing[better]] = found[better], penalised[better], log_like[better]
+        growing = growing[better | (size < 3)]
+        if not len(growing):
+            break
+    letters = np.diff(np.append(starts[first], len(cells)))
+    sets[which], shares[which], fit[which] = chosen, share, (like + ceiling) / letters
+    return sets, shares, fit
+
+
+def infer(texts: list[str], model: dict, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the predicted language (-1: undetermined) and score of each text."""
+    sets, shares, _ = mixtures(texts, model, **options)
+    some = sets.sum(axis=1, initial=0.0) > 0 if sets.size else np.zeros(len(texts), bool)
+    pick = np.argmax(sets, axis=1) if sets.size else np.zeros(len(texts), np.int64)
+    score = np.minimum(1.0, shares[np.arange(len(texts)), pick]) if sets.size else np.zeros(len(texts))
+    return np.where(some, pick, -1), np.where(some, score, 0.0)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``doc_id, held_key, lang_pred, score`` of every row; only ``text`` is an input."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 cells, whatever the corpus
+    """``doc_id, lang_pred, score, languages, shares`` of every row; only ``text`` is an input.
+
+    ``languages`` are those of the document's set, the largest share first.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_languages x 65,536 cells at most, whatever the corpus
 
     def run(found):
         known = shared.value
         names = np.array([*known["languages"], UNDETERMINED], dtype=object)
         for batch in found:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs, scores = [], []
+            langs, scores, listed, parts = [], [], [], []
             for i, j in batches(texts):
-                lang, score = infer(texts[i:j], known)
-                langs += names[lang].tolist()
-                scores.append(score)
-            kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.empty(0)]))],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
-            )
+                sets, shares, _ = mixtures(texts[i:j], known)
+                for row, all_shares in zip(sets, shares, strict=True):
+                    order = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0]
+                    langs.append(names[order[0]] if order else UNDETERMINED)
+                    scores.append(min(1.0, float(all_shares[order[0]])) if order else 0.0)
+                    listed.append([names[k] for k in order])
+                    parts.append([float(row[k]) for k in order])
+            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            columns += [pa.array(listed, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "languages", "shares"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    schema = f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def held_out_key(doc_id: str = "doc_id") -> Column:
@@ -183,13 +213,18 @@ def held_out_key(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Predict every row of ``docs(doc_id, text, lang)`` by a model of the rows that are not held out."""
     model = train(docs, held_out_key(), **options)
-    return predict(docs, model).select("doc_id", held_out_key().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out_key().alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+#: Log likelihood a letter of a text whose trigrams are drawn from all cells alike.
+BLIND = -float(np.log(CELLS))
 
 
-def keep_identified(docs: DataFrame, *, least_score: float = 0.3, **options) -> DataFrame:
-    """Rows of ``docs`` with a language that holds ``least_score`` of the text or more; all columns kept.
+def keep_identified(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` that are written in some of the languages, alone or mixed; all columns kept.
 
-    Undetermined documents and those without a leading language are rejected.
+    Rejected are documents without letters, and those whose best set of languages makes them no likelier
+    than blind chance over the cells.
     """
     model = train(docs, F.lit(False), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -201,8 +236,8 @@ def keep_identified(docs: DataFrame, *, least_score: float = 0.3, **options) ->
         values = [t or "" for t in texts]
         out = [np.empty(0, bool)]
         for i, j in batches(values):
-            lang, score = infer(values[i:j], shared.value)
-            out.append((lang >= 0) & (score >= least_score))
+            sets, _, fit = mixtures(values[i:j], shared.value)
+            out.append((sets.sum(axis=1) > 0) & (fit > BLIND))
         return pd.Series(np.concatenate(out))
 
     return docs.where(kept(F.col("text")))

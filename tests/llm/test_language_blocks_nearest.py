@@ -61,6 +61,29 @@ def test_mixture_proportions(labelled):
     assert names == ["de", "fr"] and 0.6 < score[0] < 0.8 and score[1] > 0.95
 
 
+def test_the_set_grows_as_far_as_the_text_asks(labelled):
+    df, _ = labelled
+    model = language.train(df, F.lit(False))
+    rng, names = random.Random(4), model["languages"]
+    even = " ".join(prose(rng, x, 60) for x in names)
+    odd = "9 " * 20 + "zq xj qz jx " * 30
+    sets, shares, fit = language.mixtures([even, prose(rng, "de", 80), odd, "1 2 3"], model)
+    assert (sets[0] > 0.15).all() and abs(sets[0].sum() - 1) < 1e-6 and (sets[1] > 0).sum() == 1 and not sets[3].any()
+    assert fit[2] < language.BLIND < fit[1] and fit[0] > language.BLIND
+    found = language.predict(df.sparkSession.createDataFrame([(1, even), (2, None)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert sorted(found[0].languages) == sorted(names) and found[0].lang_pred == found[0].languages[0] and found[1].languages == []
+    mixed = df.sparkSession.createDataFrame([(1, even, "en"), (2, odd, "en"), (3, "12", "de")], df.schema)
+    assert 1 in {r.doc_id for r in language.keep_identified(df.unionByName(mixed)).where("text = '" + even + "'").collect()}
+
+
+def test_the_model_takes_the_languages_with_the_most_rows(labelled):
+    df, _ = labelled
+    all_names = language.train(df, F.lit(False))["languages"]
+    few = language.train(df, F.lit(False), most_languages=2)["languages"]
+    counts = {r.lang: r["count"] for r in df.where("text is not null").groupBy("lang").count().collect() if r.lang}
+    assert sorted(few) == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:2]) and len(all_names) == 4
+
+
 def test_em_against_one_document_at_a_time(labelled):
     df, _ = labelled
     model = language.train(df, F.lit(False))

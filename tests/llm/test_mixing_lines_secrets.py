@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -166,6 +167,24 @@ def test_lines_against_brute_force(spark):
     assert got == {(i, n, t) for i, n, t in kept_by_force(rows)}
 
 
+@pytest.mark.parametrize("small, long", [(0, 64), (500_000, 4), (0, 1)])
+def test_both_plans_and_both_hashes_give_the_same(spark, monkeypatch, small, long):
+    monkeypatch.setattr(lines.deciding_lines, "__defaults__", (small,))
+    monkeypatch.setattr(lines, "LONG", long)
+    rows = line_rows()
+    got = {(r.doc_id, r.n_lines, r.text) for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, n, t) for i, n, t in kept_by_force(rows)}
+
+
+def test_very_long_lines_in_time_in_proportion(spark):
+    words = [f"w{k % 977}x{k}" for k in range(60_000)]
+    changed = [*words[:30_000], "other", *words[30_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:100] + words[101:])), (4, " ".join(words[1:-1])), (5, " ".join(words[:66])), (6, " ".join(words[:65]))]
+    start = time.time()
+    got = {r.doc_id: r.n_kept for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 0} and time.time() - start < 90
+
+
 def test_a_group_of_many_variants_leaves_the_first(spark):
     rows = [(k, f"page {k} of this long report") for k in range(500)]
     got = lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -229,3 +248,11 @@ def test_trigram_queries():
     assert trigram_query("a[bc]de+f") == [frozenset({"abd", "bde"}), frozenset({"acd", "cde"})]
     assert trigram_query("x*") is None and trigram_query("(abcd)?") is None and trigram_query("ab") is None
     assert set(trigram_query("(?:foo|x)bar")) == {frozenset({"bar", "foo", "oba", "oob"}), frozenset({"bar", "xba"})}
+
+
+def test_text_with_very_many_spans(spark):
+    text = " ".join(f"{k:024x}" for k in range(40_000)) + " token=abcdef"
+    start = time.time()
+    got = secrets.scan_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [f"hex:{25 * k}:{25 * k + 24}" for k in range(40_000)] + [f"assign:{25 * 40_000}:{25 * 40_000 + 12}"]
+    assert got.spans == ",".join(want) and got.n_hex == 40_000 and time.time() - start < 60
