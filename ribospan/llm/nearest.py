@@ -10,15 +10,17 @@ estimated success: by the sum of squared distances to the cell walls that lie be
 A first visit to the home buckets gives every query a bound (the score of its last wanted
 neighbour so far); the other buckets return only what reaches it. A query that has fewer than
 ``k`` others after that is compared with all points, in blocks. Candidates of all tables are
-merged and ranked by their inner product in double precision on the original vectors.
+merged and ranked by their inner product in double precision on the original vectors. Wherever some
+are cut off, those at the border are measured as in the end, one product added after another, and of equal
+ones the smaller ids stay.
 
 Equal vectors are one point of the index with its smallest ids, as many as an answer can hold.
-Buckets larger than ``block`` points or queries are cut into blocks, and each pair of blocks is
+Vectors of different length have no inner product: each length is an index of its own. Buckets larger than ``block`` points or queries are cut into blocks, and each pair of blocks is
 one task's work; nothing is left out.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, as
-rows or as queries, and so do null ids; fewer candidates than wanted are all returned;
-ties go to the smaller id; rows equal in id and vector count once; an empty table gives an empty
+rows or as queries, and so do null ids; fewer candidates than wanted (of the query's length) are all returned;
+ties go to the smaller id among all that are visited; rows equal in id and vector count once; an empty table gives an empty
 result; extra columns are left out.
 """
 
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 
 from ribospan.session import materialize
 
-FOUND = "query long, point long, score double"
+FOUND = "query long, point long, first long, score double"
 RANGE_BITS, MAX_RANGE = 52, 2047
 MOVES = np.array(list(product(range(-3, 4), repeat=3)))
+CELLS = 1 << 22
 
 
 class Tables:
@@ -83,61 +86,83 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def points_of(rows: DataFrame, most: int) -> DataFrame:
-    """``point, vec, ids``: a row a distinct vector, with its ``most`` smallest ids."""
+    """``point, vec, ids, first``: a row a distinct vector, with its ``most`` smallest ids and the first of them."""
     keyed = rows.select("id", "vec", F.xxhash64("vec").alias("h"))
     ranked = keyed.withColumn("k", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).where(F.col("k") <= most)
     return ranked.groupBy("h").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids")).select(
-        F.col("h").alias("point"), "vec", "ids"
+        F.col("h").alias("point"), "vec", "ids", F.element_at("ids", 1).alias("first")
     )
 
 
-def _dense(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _by_length(column: pa.Array):
+    """``rows, matrix`` of the vectors of each length in a column of lists."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        yield rows, flat.reshape(len(rows), n)
 
 
 def _dealt(points: DataFrame, queries: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the block pairs (``v``, ``q``) of their bucket."""
-    counts = points.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(
-        queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket"
+    place = ["bucket", "dims"]
+    counts = points.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).join(
+        queries.groupBy(*place).agg(F.count(F.lit(1)).alias("m")), place
     )
-    counts = materialize(counts.select("bucket", F.ceil(F.col("n") / block).alias("vs"), F.ceil(F.col("m") / block).alias("qs")))
+    counts = materialize(counts.select(*place, F.ceil(F.col("n") / block).alias("vs"), F.ceil(F.col("m") / block).alias("qs")))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
-    left = queries.join(counts, "bucket").withColumn("q", own("query", "qs")).withColumn("v", every("vs")).drop("vs", "qs")
-    right = points.join(counts, "bucket").withColumn("v", own("point", "vs")).withColumn("q", every("qs")).drop("vs", "qs")
+    left = queries.join(counts, place).withColumn("q", own("query", "qs")).withColumn("v", every("vs")).drop("vs", "qs")
+    right = points.join(counts, place).withColumn("v", own("point", "vs")).withColumn("q", every("qs")).drop("vs", "qs")
     return left, right
 
 
+def best_of(asked: np.ndarray, stored: np.ndarray, first: np.ndarray, bound: np.ndarray, wanted: int) -> tuple[np.ndarray, ...]:
+    """``row, column, score`` of the ``wanted`` best of ``stored`` for each row of ``asked`` that reach its bound.
+
+    Scores are sums in order of the components. Of equal scores the smaller ``first`` goes before.
+    """
+    rough = asked @ stored.T
+    norms = np.linalg.norm(asked, axis=1) * np.linalg.norm(stored, axis=1).max()
+    slack = 4 * stored.shape[1] * np.finfo(float).eps * norms
+    cut = bound.copy()
+    if rough.shape[1] > wanted:
+        cut = np.maximum(cut, -np.partition(-rough, wanted - 1, axis=1)[:, wanted - 1])
+    row, column = np.nonzero(rough >= (cut - slack)[:, None])
+    score = np.empty(len(row))
+    step = max(1, CELLS // max(1, stored.shape[1]))
+    for k in range(0, len(row), step):
+        product = asked[row[k : k + step]] * stored[column[k : k + step]]
+        score[k : k + step] = np.add.accumulate(product, axis=1)[:, -1]
+    order = np.lexsort((first[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (place < wanted) & (score >= bound[row])
+    return row[keep], column[keep], score[keep]
+
+
 def _visit(points: DataFrame, queries: DataFrame, wanted: int, block: int) -> DataFrame:
     """The best points of each query in each bucket it visits, of those that reach its bound."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "point": np.empty(0, np.int64), "score": np.empty(0)})
-        asked, stored = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        names, own, bound = right["point"].to_numpy(), left["query"].to_numpy(), left["bound"].to_numpy()
-        out = []
-        for i in range(0, len(asked), 256):
-            scores = asked[i : i + 256] @ stored.T
-            if scores.shape[1] > wanted:
-                best = np.argpartition(-scores, wanted - 1, axis=1)[:, :wanted]
-            else:
-                best = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-            top = np.take_along_axis(scores, best, axis=1)
-            row, col = np.nonzero(top >= bound[i : i + 256, None])
-            out.append((own[i + row], names[best[row, col]], top[row, col]))
-        q, p, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query": q, "point": p, "score": s})
+        out = [(np.empty(0, np.int64),) * 3 + (np.empty(0),)]
+        if len(left) and len(right):
+            asked, stored = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+            names, first, own, bound = right["point"].to_numpy(), right["first"].to_numpy(), left["query"].to_numpy(), left["bound"].to_numpy()
+            for i in range(0, len(asked), 256):
+                row, column, score = best_of(asked[i : i + 256], stored, first, bound[i : i + 256], wanted)
+                out.append((own[i + row], names[column], first[column], score))
+        q, p, f, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query": q, "point": p, "first": f, "score": s})
 
     left, right = _dealt(points, queries, block)
-    keys = ["bucket", "v", "q"]
+    keys = ["bucket", "dims", "v", "q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
 
 
 def _best(found: DataFrame, wanted: int) -> DataFrame:
-    merged = found.groupBy("query", "point").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))
+    merged = found.groupBy("query", "point").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))
     return merged.withColumn("k", rank).where(F.col("k") <= wanted)
 
 
@@ -151,60 +176,67 @@ def nearest(
     """
     vectors, queries = materialize(vectors), materialize(queries)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    shape = vectors.agg(F.max(norm).alias("norm"), F.max(F.size("vec")).alias("dims")).first()
-    spare = k + 5  # the query itself, and a few for ranks that rounding may swap
-    points = materialize(points_of(vectors, k + 1))
+    largest = vectors.agg(F.max(norm).alias("norm")).first()["norm"] or 1.0
+    wanted = k + 1  # the query itself may be among them
+    points = materialize(points_of(vectors, wanted))
     asked = materialize(queries.select("vec", F.xxhash64("vec").alias("query")).dropDuplicates(["query"]))
-    largest, lsh = shape["norm"] or 1.0, Tables(shape["dims"] or 1, tables, width, probes, seed)
+    kinds: dict = {}
+
+    def index(dims: int) -> Tables:
+        if dims not in kinds:
+            kinds[dims] = Tables(dims, tables, width, probes, seed)
+        return kinds[dims]
 
     def store(found):
         for batch in found:
-            if not batch.num_rows:
-                continue
-            x = _dense(batch.column("vec"))
-            span = norm_range(x, largest)
-            x = x / np.ldexp(largest, -span)[:, None]
-            x = np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))])
-            for t in range(tables):
-                bucket = lsh.bucket(t, np.floor(lsh.cells(x, t))) + (span << RANGE_BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), batch.column("point"), batch.column("vec")], names=["bucket", "point", "vec"]
-                )
+            for rows, x in _by_length(batch.column("vec")):
+                span, own = norm_range(x, largest), batch.take(pa.array(rows))
+                y = x / np.ldexp(largest, -span)[:, None]
+                y = np.hstack([y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1, keepdims=True)))])
+                lsh = index(x.shape[1])
+                dims = pa.array(np.full(len(rows), x.shape[1], np.int32))
+                for t in range(tables):
+                    bucket = lsh.bucket(t, np.floor(lsh.cells(y, t))) + (span << RANGE_BITS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket), dims, own.column("point"), own.column("first"), own.column("vec")],
+                        names=["bucket", "dims", "point", "first", "vec"],
+                    )
 
     def probe(found):
         for batch in found:
-            if not batch.num_rows:
-                continue
-            x = _dense(batch.column("vec"))
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
-            for t, span in product(range(tables), spans):
-                bucket = lsh.visits(x, t) + (span << RANGE_BITS)
-                n = bucket.shape[1]
-                at = np.repeat(np.arange(len(x)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.ravel()), pa.array(np.tile(np.arange(n, dtype=np.int32), len(x))), batch.column("query").take(pa.array(at))],
-                    names=["bucket", "visit", "query"],
-                )
-
-    stored = materialize(points.select("point", "vec").mapInArrow(store, "bucket long, point long, vec array<double>"))
+            for rows, x in _by_length(batch.column("vec")):
+                y = x / np.abs(x).max(axis=1, keepdims=True)
+                y = np.hstack([y / np.linalg.norm(y, axis=1, keepdims=True), np.zeros((len(y), 1))])
+                lsh, names = index(x.shape[1]), batch.column("query").take(pa.array(rows))
+                for t, span in product(range(tables), spans):
+                    bucket = lsh.visits(y, t) + (span << RANGE_BITS)
+                    n = bucket.shape[1]
+                    at = np.repeat(np.arange(len(y)), n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket.ravel()), pa.array(np.full(len(at), x.shape[1], np.int32)),
+                         pa.array(np.tile(np.arange(n, dtype=np.int32), len(y))), names.take(pa.array(at))],
+                        names=["bucket", "dims", "visit", "query"],
+                    )
+
+    stored = points.select("point", "first", "vec").mapInArrow(store, "bucket long, dims int, point long, first long, vec array<double>")
+    stored = materialize(stored)
     spans = [r[0] for r in stored.select(F.shiftrightunsigned("bucket", RANGE_BITS)).distinct().collect()]
-    visits = materialize(asked.mapInArrow(probe, "bucket long, visit int, query long"))
+    visits = materialize(asked.mapInArrow(probe, "bucket long, dims int, visit int, query long"))
     home = visits.where("visit = 0").join(asked, "query").withColumn("bound", F.lit(float("-inf")))
-    first = materialize(_best(_visit(stored, home.drop("visit"), spare, block), spare))
-    bounds = first.where(F.col("k") == spare).select("query", F.col("score").alias("bound"))
+    first = materialize(_best(_visit(stored, home.drop("visit"), wanted, block), wanted))
+    bounds = first.where(F.col("k") == wanted).select("query", F.col("score").alias("bound"))
     others = asked.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     others = visits.where("visit > 0").join(others, "query").drop("visit")
-    found = first.drop("k").unionByName(_visit(stored, others, spare, block))
-    best = materialize(_best(found, spare).drop("k"))
+    found = first.drop("k").unionByName(_visit(stored, others, wanted, block))
+    best = materialize(_best(found, wanted).drop("k"))
     # What has fewer others than wanted meets all points.
     held = best.join(points.select("point", F.size("ids").alias("n")), "point").groupBy("query").agg(F.sum("n").alias("n"))
     short = materialize(asked.join(held, "query", "left").where(F.coalesce("n", F.lit(0)) <= k).select("query", "vec"))
     if short.head(1):
-        whole = F.lit(0).cast("long").alias("bucket")
-        everything = points.select(whole, "point", "vec")
-        rest = _visit(everything, short.select(whole, "query", "vec", F.lit(float("-inf")).alias("bound")), spare, block)
-        best = materialize(_best(best.unionByName(rest), spare))
+        whole, dims = F.lit(0).cast("long").alias("bucket"), F.size("vec").alias("dims")
+        everything = points.select(whole, dims, "point", "first", "vec")
+        rest = _visit(everything, short.select(whole, dims, "query", "vec", F.lit(float("-inf")).alias("bound")), wanted, block)
+        best = materialize(_best(best.unionByName(rest), wanted))
     best = best.select("query", "point")
     # Exact measure, one order of summation for every pair; then each query without itself.
     dot = F.aggregate(F.zip_with("q_vec", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

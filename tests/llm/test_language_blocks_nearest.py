@@ -294,3 +294,38 @@ def test_outlier_norms_and_scattered_tables_give_all_wanted(spark):
             got.setdefault(r.query_id, set()).add(r.vec_id)
         assert set(got) == set(want) and all(len(got[q]) == k for q in want)
         assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * k * len(want)
+
+
+def test_ties_at_the_border_go_to_the_smaller_ids(spark):
+    """All points are in one bucket's reach here, so the answer is exact: many equal scores, of which the smallest ids stay."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), v) for i, v in zip(rng.permutation(1500), (rng.random((1500, 6)) < 0.5).astype(float).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = by_force(rows, 20, 20), {}
+    for r in nearest.search(df, probes=343, block=400).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(want)
+    hits = sum(got[q] == [i for i, _ in want[q]] for q in want)
+    assert hits >= 0.9 * len(want)
+
+
+def test_best_of_keeps_ties_in_order_of_id():
+    rng = np.random.default_rng(2)
+    asked, stored = rng.integers(0, 2, (30, 12)).astype(float), rng.integers(0, 2, (800, 12)).astype(float)
+    first = rng.permutation(800)
+    row, column, score = nearest.best_of(asked, stored, first, np.full(30, -np.inf), 21)
+    for q in range(30):
+        exact = sorted((-float(asked[q] @ stored[i]), first[i]) for i in range(800))[:21]
+        assert [(-s, first[c]) for c, s in zip(column[row == q], score[row == q], strict=True)] == exact
+
+
+def test_each_length_is_an_index_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5 if i % 3 else 8).tolist()) for i in range(300)] + [(1000, [1.0, 2.0])]
+    found = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=200).collect()
+    size = {i: len(v) for i, v in rows}
+    got = {}
+    for r in found:
+        assert size[r.query_id] == size[r.vec_id]
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in range(0, 300, 20)) and 1000 not in got
