@@ -28,11 +28,12 @@ def _checked(df: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def _points(iv: DataFrame, cells: list[str]) -> DataFrame:
-    """Starts and ends per cell at every position; repeats collapse before the shuffle."""
+    """Starts and ends per cell at every position; repeats (a row each, or ``m`` of them) collapse before the shuffle."""
+    times = F.col("m") if "m" in iv.columns else F.lit(1)
     point = lambda pos, is_start: F.struct(F.col(pos).alias("pos"), F.lit(is_start).alias("is_start"))
-    rows = iv.select(*_SITE, "cell", F.inline(F.array(point("start", True), point("end", False))))
+    rows = iv.select(*_SITE, "cell", times.cast("bigint").alias("times"), F.inline(F.array(point("start", True), point("end", False))))
     counts = [
-        F.sum(((F.col("cell") == c) & (F.col("is_start") == (kind == "s"))).cast("bigint")).alias(f"{kind}{i}")
+        F.sum(F.when((F.col("cell") == c) & (F.col("is_start") == (kind == "s")), F.col("times")).otherwise(0)).alias(f"{kind}{i}")
         for kind in ("s", "e")
         for i, c in enumerate(cells)
     ]
@@ -58,13 +59,14 @@ def _ended(i: int) -> Column:
 
 def interval_overlap_hits(df: DataFrame, cells: list[str]) -> DataFrame:
     """One row per distinct interval: its multiplicity ``m`` and whether it meets each cell (``hit<i>``)."""
-    iv = _checked(df, cells)
+    # Repeated intervals are one row with its multiplicity before anything is joined.
+    iv = materialize(_checked(df, cells).groupBy(*_SITE, "cell", "start", "end").agg(F.count(F.lit(1)).alias("m")))
     n = range(len(cells))
     axis = _axis(iv, cells).select(
         *_SITE, "pos", *[_started(i).alias(f"started{i}") for i in n], *[_ended(i).alias(f"ended{i}") for i in n]
     )
     # Each interval meets the axis twice, at its end and at its start, in one join.
-    probes = iv.select(*_SITE, "cell", "start", "end", F.explode(F.array("start", "end")).alias("pos"))
+    probes = iv.select(*_SITE, "cell", "start", "end", "m", F.explode(F.array("start", "end")).alias("pos"))
     at_end = F.col("pos") == F.col("end")
     hits = [
         F.sum(F.when(at_end, F.col(f"started{i}")).otherwise(-F.col(f"ended{i}"))) > 0 for i in n
@@ -72,7 +74,7 @@ def interval_overlap_hits(df: DataFrame, cells: list[str]) -> DataFrame:
     return (
         probes.join(axis, [*_SITE, "pos"])
         .groupBy(*_SITE, "cell", "start", "end")
-        .agg((F.count(F.lit(1)) / 2).cast("bigint").alias("m"), *[h.alias(f"hit{i}") for i, h in zip(n, hits)])
+        .agg(F.first("m").alias("m"), *[h.alias(f"hit{i}") for i, h in zip(n, hits)])
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribospan.operators.ordered import running_sums
+from ribospan.session import materialize
 
 
 def shuffled_rank(df: DataFrame, by: list[str], rec_id: str, seed: int) -> DataFrame:
@@ -64,6 +65,7 @@ def percent_partitions(
     sizes = df.groupBy(*by, cls).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(
         F.min("_n").alias("_small")
     )
+    sizes = materialize(sizes)  # a row a group, of known size to the join
     joined = ranked.join(sizes, by) if by else ranked.withColumn(
         "_small", sizes.select("_small").scalar()
     )

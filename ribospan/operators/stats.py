@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ribospan.functions.core import col, let
 from ribospan.functions.special import hypergeom_sf, rank_sum_p, student_two_sided
 from ribospan.operators.ordered import exact_quantiles, running_sums, suffix_min, value_counts
+from ribospan.session import materialize
 
 QQ_CHUNK = 100_000
 
@@ -19,7 +20,10 @@ def hypergeom_enrichment(counts: DataFrame, out: str = "p") -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg adjusted p per group (``p * m / rank``, suffix minimum, at most 1)."""
+    """Benjamini-Hochberg adjusted p per group (``p * m / rank``, suffix minimum, at most 1).
+
+    Rows with p = 1, often most of a group, keep it: nothing larger could lower it. They meet no join.
+    """
     counts = value_counts(df, by, p, p)
     ranked = running_sums(counts, by, [p], ["n"])
     raw = ranked.select(
@@ -28,7 +32,11 @@ def bh_adjust(df: DataFrame, by: list[str], p: str = "p", out: str = "p_adj") ->
     adjusted = suffix_min(raw, by, [p], "_raw", "_min").select(
         *by, p, F.least(F.col("_min"), F.lit(1.0)).alias(out)
     )
-    return df.join(adjusted, [*by, p], "left")
+    certain = F.coalesce(F.col(p) == 1, F.lit(False))
+    joined = df.where(~certain).join(adjusted.where(F.col(p) != 1), [*by, p], "left")
+    order = [F.col(f"`{c}`") for c in joined.columns if c != out]
+    ones = df.where(certain).select(*order, F.lit(1.0).alias(out))
+    return joined.select(*order, out).unionByName(ones)
 
 
 def log2_scientific(text: str | Column) -> Column:
@@ -45,7 +53,7 @@ def bonferroni_keep(
     df: DataFrame, by: list[str], log2_p: str, rank: str, max_motifs: int, alpha: float = 0.01
 ) -> DataFrame:
     """Keep rows whose log2 p is below log2(alpha / n) among the first ``max_motifs`` of the group."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))  # a row a group, of known size to the join
     joined = df.join(sizes, by)
     cutoff = F.log2(F.lit(alpha) / F.col("_n"))
     return joined.where((F.col(log2_p) < cutoff) & (F.col(rank) <= max_motifs)).drop("_n")
@@ -133,7 +141,7 @@ def qq_points(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
 def iqr_filter(df: DataFrame, by: list[str], value: str, width: float = 1.5) -> DataFrame:
     """Rows within ``width`` interquartile ranges of the quartiles of their group."""
     q = exact_quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75}).drop("n")
-    joined = df.join(q, by)
+    joined = df.join(materialize(q), by)
     reach = F.lit(width) * (F.col("_q3") - F.col("_q1"))
     return joined.where(
         F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)

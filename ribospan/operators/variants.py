@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ribospan.functions import headers as H
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, with_once
+from ribospan.session import materialize
 
 
 def _stranded(allele: Column, strand: Column) -> Column:
@@ -129,7 +130,8 @@ def record_model_expand(records: DataFrame, models: DataFrame) -> DataFrame:
         F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"),
     )
-    by_cell = models.where(F.contains("model_id", F.lit("_"))).withColumn("_cell", F.explode(suffixes))
+    # A row a model and suffix, stored: the join knows its size, so a few popular cells need not gather anywhere.
+    by_cell = materialize(models.where(F.contains("model_id", F.lit("_"))).withColumn("_cell", F.explode(suffixes)))
     joined = cells.join(by_cell, "_cell")
     # A name can end in both cells; it is taken once, through the first.
     through_first = F.col("_cell") == F.col("cells.cell1")
