@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospan.llm.tokens import batches
+from ribospan.llm.tokens import batches, release_encoders, release_memory
 
 UNDETERMINED = "und"
 CELLS = 1 << 16
@@ -185,6 +185,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(found):
         known = shared.value
         names = np.array([*known["languages"], UNDETERMINED], dtype=object)
+        release_encoders()
         for batch in found:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs, scores, listed, parts = [], [], [], []
@@ -199,6 +200,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             columns += [pa.array(listed, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "languages", "shares"])
+        release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>"
@@ -233,11 +235,14 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
     def kept(texts):
         import pandas as pd
 
+        release_encoders()
         values = [t or "" for t in texts]
         out = [np.empty(0, bool)]
         for i, j in batches(values):
             sets, _, fit = mixtures(values[i:j], shared.value)
             out.append((sets.sum(axis=1) > 0) & (fit > BLIND))
+        del values
+        release_memory()
         return pd.Series(np.concatenate(out))
 
     return docs.where(kept(F.col("text")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 
@@ -142,3 +144,24 @@ def batches(texts: list[str], max_chars: int = 1 << 20):
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def release_memory() -> None:
+    """Give memory that this worker no longer uses back to the system, where that can be asked for."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def release_encoders() -> None:
+    """Let go of the encoders of this worker, whose look-ups are large; the next one is made anew.
+
+    For stages that run in the workers of an earlier stage that encoded.
+    """
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+    release_memory()
