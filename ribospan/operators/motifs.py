@@ -484,19 +484,23 @@ def structure_at_motif(
     """State string under the first occurrence of each ``width``-letter motif in each record.
 
     ``records`` has ``by``, ``rec_id``, ``seq`` (RNA) and ``states``; motifs are matched by
-    an equi-join on the distinct k-mers of the record.
+    an equi-join on the distinct k-mers of the record, each of which carries its own place and
+    states only.
     """
     wanted = (
         motifs.where(F.length("motif") == width)
         .select(*by, F.translate("motif", "T", "U").alias("motif"))
         .distinct()
     )
-    grams = records.select(
-        *by, "rec_id", "seq", "states", F.explode(F.array_distinct(S.kmers("seq", width))).alias("motif")
-    )
-    hits = grams.join(wanted, [*by, "motif"])
-    at = F.expr("locate(motif, seq)")
-    return hits.select(
-        *by, "motif", "rec_id", at.alias("position"),
-        F.substr("states", at, F.lit(width)).alias("states"),
-    )
+
+    def first_places(grams: Column) -> Column:
+        place = lambda m: F.array_position(grams, m).cast("int")
+        return F.transform(
+            F.array_distinct(grams),
+            lambda m: F.struct(
+                m.alias("motif"), place(m).alias("position"), F.substr("states", place(m), F.lit(width)).alias("states")
+            ),
+        )
+
+    cells = records.select(*by, "rec_id", F.inline(let(S.kmers("seq", width), first_places)))
+    return cells.join(wanted, [*by, "motif"]).select(*by, "motif", "rec_id", "position", "states")

@@ -407,44 +407,41 @@ def _stated(spark, sf_dir):
 STATED = """
 stated AS (SELECT f.dataset_id, f.rec_id, replace(f.seq, 'T', 'U') AS seq, substr(states, 3, length(f.seq)) AS states
            FROM folded f JOIN annotated USING (rec_id)),
-six AS (
-  SELECT dataset_id, kmer AS motif FROM (
-    SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, kmer) AS r FROM (
-      SELECT dataset_id, kmer, count(*) AS n FROM grams GROUP BY ALL)) WHERE r <= 10),
-hit AS (SELECT s.*, replace(motif, 'T', 'U') AS m FROM stated s JOIN six USING (dataset_id)
-        WHERE contains(s.seq, replace(motif, 'T', 'U'))),
-located AS (SELECT dataset_id, rec_id, m AS motif, CAST(strpos(seq, m) AS INTEGER) AS position,
-                   substr(states, CAST(strpos(seq, m) AS INTEGER), 6) AS states FROM hit)
+placed AS (SELECT rec_id, replace(kmer, 'T', 'U') AS motif, min(pos)::INTEGER AS position FROM grams GROUP BY ALL),
+located AS (SELECT s.dataset_id, s.rec_id, p.motif, p.position, substr(s.states, p.position, 6) AS states FROM placed p JOIN stated s USING (rec_id))
 """
 
 
-def _six_mers(spark, sf_dir):
-    return K.top_kmers(K.kmer_counts(X.windows(spark, sf_dir), 6, BY), BY, 10).select(
-        "dataset_id", F.col("kmer").alias("motif")
-    )
-
-
 def _struct_hits(spark, sf_dir):
-    return M.structure_at_motif(_six_mers(spark, sf_dir), _stated(spark, sf_dir), BY)
+    """The states under the first place of every 6-mer of a dataset in each of its windows."""
+    motifs = K.kmer_counts(X.windows(spark, sf_dir), 6, BY).select("dataset_id", F.col("kmer").alias("motif"))
+    return M.structure_at_motif(motifs, _stated(spark, sf_dir), BY)
 
 
-@query(with_ctes(WINDOWS, grams(6), FOLDED, STATED, body="SELECT dataset_id, motif, rec_id, position, states FROM located"))
+@query(with_ctes(WINDOWS, grams(6), FOLDED, STATED, body="""
+SELECT dataset_id, motif, count(*) AS n, sum(position)::BIGINT AS positions, count(DISTINCT states) AS n_states,
+       min(states) AS first_states, max(states) AS last_states
+FROM located GROUP BY ALL
+"""))
 def structure_at_motif(spark, sf_dir):
-    return _struct_hits(spark, sf_dir)
+    return _struct_hits(spark, sf_dir).groupBy("dataset_id", "motif").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"), F.count_distinct("states").alias("n_states"),
+        F.min("states").alias("first_states"), F.max("states").alias("last_states"),
+    )
 
 
 @query(with_ctes(WINDOWS, grams(6), FOLDED, STATED, """
-units AS (
-  SELECT motif, 'seq' AS part, motif AS t FROM located UNION ALL SELECT motif, 'struct', states FROM located),
-tot AS (SELECT motif, count(*) AS n FROM located GROUP BY motif),
-cc AS (SELECT motif, part, i - 1 AS pos, substr(t, i, 1) AS symbol, count(*) AS c
-       FROM (SELECT *, unnest(range(1, 7)) AS i FROM units) GROUP BY ALL),
+units AS (SELECT motif, states, count(*) AS k FROM located GROUP BY ALL),
+tot AS (SELECT motif, sum(k) AS n FROM units GROUP BY motif),
+cc AS (
+  SELECT motif, part, i - 1 AS pos, substr(t, i, 1) AS symbol, sum(k) AS c
+  FROM (SELECT motif, 'seq' AS part, motif AS t, k, unnest(range(1, 7)) AS i FROM units
+        UNION ALL SELECT motif, 'struct', states, k, unnest(range(1, 7)) FROM units) WHERE substr(t, i, 1) <> '' GROUP BY ALL),
 grid AS (
   SELECT motif, n, pos, part, symbol FROM tot, (SELECT unnest(range(0, 6)) AS pos),
     (SELECT 'seq' AS part, unnest(['A','C','G','U']) AS symbol UNION ALL SELECT 'struct', unnest(['L','R','E','H','B','M','T'])))""", body="""
-SELECT g.motif, CAST(g.pos AS INTEGER) AS pos, g.symbol, round(coalesce(c, 0) / n, 9) AS p, g.part
+SELECT g.motif, CAST(g.pos AS INTEGER) AS pos, g.symbol, round(coalesce(c, 0) / n::DOUBLE, 9) AS p, g.part
 FROM grid g LEFT JOIN cc USING (motif, part, pos, symbol)
-WHERE EXISTS (SELECT 1 FROM cc x WHERE x.motif = g.motif AND x.part = g.part AND x.pos = g.pos)
 """))
 def seq_struct_pwm(spark, sf_dir):
     hits = _struct_hits(spark, sf_dir)
