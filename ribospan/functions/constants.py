@@ -1,4 +1,4 @@
-"""Label sets the score-table operators take as parameters."""
+"""Label sets that the score-table operators take where a caller gives none."""
 
 # Disease keywords per tissue.
 TISSUE_KEYWORDS = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ribospan.functions.constants import INVALID_DISEASES
 from ribospan.functions.core import col, sigmoid
 
 
@@ -116,10 +117,10 @@ def significance_stars(p: str | Column) -> Column:
 
 
 def normalize_disease(
-    name: str | Column, exclude: list[str], merge: dict[str, str] | None = None
+    name: str | Column, exclude: list[str] | None = None, merge: dict[str, str] | None = None
 ) -> Column:
-    """Null for excluded labels, the merged label where one is given."""
-    c = col(name)
+    """Null for excluded labels (by default those that name no disease), the merged label where one is given."""
+    c, exclude = col(name), INVALID_DISEASES if exclude is None else exclude
     rule = F.when(c.isin(exclude), F.lit(None).cast("string")) if exclude else F.when(F.lit(False), c)
     for old, new in (merge or {}).items():
         rule = rule.when(c == old, new)

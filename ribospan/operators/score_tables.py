@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ribospan.functions import scores as SC
+from ribospan.functions.constants import IMPACT_DISEASES, INVALID_DISEASES, TISSUE_KEYWORDS
 from ribospan.functions.core import string_map
 from ribospan.operators.ordered import exact_quantiles, running_sums
 
@@ -169,8 +170,9 @@ def disease_tags(line: str | Column, spaces_to_underscore: bool = False) -> Colu
     return F.when(text.rlike(r"\[.*?\]"), F.split(tag, r"\|"))
 
 
-def disease_counts(df: DataFrame, invalid: list[str], variant: str = "variant", tags: str = "tags") -> DataFrame:
-    """Number of distinct variants carrying each valid label."""
+def disease_counts(df: DataFrame, invalid: list[str] | None = None, variant: str = "variant", tags: str = "tags") -> DataFrame:
+    """Number of distinct variants carrying each valid label (by default all that name a disease)."""
+    invalid = INVALID_DISEASES if invalid is None else invalid
     pairs = df.select(variant, F.explode(F.array_distinct(tags)).alias("disease")).where(
         ~F.col("disease").isin(invalid)
     )
@@ -178,14 +180,14 @@ def disease_counts(df: DataFrame, invalid: list[str], variant: str = "variant",
 
 
 def disease_impact(
-    before: DataFrame, after: DataFrame, diseases: list[str], key: list[str], order: str
+    before: DataFrame, after: DataFrame, diseases: list[str] | None, key: list[str], order: str
 ) -> DataFrame:
     """Mean positive and mean negative (after - before) per disease.
 
     The before score of a (key, disease) is that of its first row and serves all after
-    rows; a disease matches when any tag contains it.
+    rows; a disease matches when any tag contains it. ``None`` takes the stated list.
     """
-    table = F.array(*[F.lit(d) for d in diseases])
+    table = F.array(*[F.lit(d) for d in (IMPACT_DISEASES if diseases is None else diseases)])
     matched = F.filter(
         table, lambda d: F.exists(F.col("tags"), lambda t: F.contains(t, d))
     )
@@ -207,9 +209,10 @@ def disease_impact(
 
 
 def tissue_keyword_counts(
-    df: DataFrame, keywords: dict[str, list[str]], diseases: str = "diseases", rbp_list: str = "rbp_list"
+    df: DataFrame, keywords: dict[str, list[str]] | None = None, diseases: str = "diseases", rbp_list: str = "rbp_list"
 ) -> DataFrame:
-    """Rows with an RBP whose disease names contain a keyword; one count per row and keyword."""
+    """Rows with an RBP whose disease names contain a keyword (by default the stated ones); one count per row and keyword."""
+    keywords = TISSUE_KEYWORDS if keywords is None else keywords
     table = F.array(
         *[
             F.struct(F.lit(t).alias("tissue"), F.lit(k).alias("keyword"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,13 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; where that is unset it is the
-    warehouse, which every executor reaches as well. No machine-local folder is made.
+    It is the one named in ``spark.checkpoint.dir``. In local mode, where that may be unset, it is
+    below the warehouse; on a cluster a warehouse may be a folder of the driver alone, so there it must be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
     return configured.rstrip("/")
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ribospan.functions import headers as H
 from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
+from ribospan.functions.constants import CANCER_TO_TISSUE
+from ribospan.functions.core import string_map
 from ribospan.session import materialize
 from ribospan.sources.record_files import file_system
 
@@ -435,7 +437,7 @@ def read_variant_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cancer_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless 13-column cancer CSV; adds the variant key."""
+    """Headerless 13-column cancer CSV; adds the variant key and the ``tissue`` of the cancer, if it is known."""
     schema = (
         "chrom string, pos bigint, pos2 bigint, ref string, alt string, clin_sig string, "
         "strand string, cancer string, strand2 string, prefix string, "
@@ -444,7 +446,7 @@ def read_cancer_catalog(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, schema=schema)
     return raw.where(F.trim("prefix") != "").withColumn(
         "variant", variant_key("chrom", "pos", "ref", "alt")
-    )
+    ).withColumn("tissue", F.try_element_at(string_map(CANCER_TO_TISSUE), F.col("cancer")))
 
 
 def variant_key(chrom: str, pos: str, ref: str, alt: str) -> Column:
