@@ -196,7 +196,7 @@ def counted_units(docs: DataFrame, seed: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
     """What the mix takes of each row of ``docs(doc_id, text, source)``, in words."""
-    rows = materialize(single_units(counted_units(docs, seed)))
+    rows = materialize(single_units(materialize(counted_units(docs, seed))))
     plan = mixture_plan(rows, **options)
     return rows.join(plan, _same_source("plan_source")).select(
         "doc_id", "size", "source_size", "target", (copies() * F.col("size")).cast("long").alias("taken")
@@ -222,7 +222,8 @@ def mixed_documents(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
     alone = sized.join(again, same, "left_anti") if some_again else sized
     alone = alone.withColumn("nth", F.lit(1).cast("long")).withColumn("u", uniform(F.lit(1)))
     taken = alone.join(plan, _same_source("plan_source")).select("row", copies().cast("long").alias("copies"))
-    out = repeated(taken, "copies", "copy").select("row.*")
+    # A few copies a row at most (``most``), so rows are repeated where they are read.
+    out = taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
     if not some_again:
         return out
     drawn = rows.join(again, same, "left_semi").join(plan, _same_source("plan_source"))
