@@ -1,4 +1,4 @@
-"""Scalar operators on sequence strings (no shuffle, no Python)."""
+"""Scalar operators on sequence strings (no shuffle; Python only for whole Arrow batches)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ribospan.functions.core import char_at, col, let, positions
+from ribospan.functions.special import base_state_letters
 
 # Alphabets.
 RNA = "ACGU"
@@ -50,6 +51,8 @@ def is_valid_record(seq: str | Column, n_track: str | Column) -> Column:
 
 def kmers(seq: str | Column, k: int) -> Column:
     """Overlapping k-mers, stride 1; empty for sequences shorter than k."""
+    if k == 1:  # the split of a text into its characters walks through it once
+        return F.when(F.length(col(seq)) > 0, F.split(col(seq), "")).otherwise(F.array().cast("array<string>"))
     return let(
         seq,
         lambda s: F.transform(
@@ -180,21 +183,7 @@ def has_no_n(seq: str | Column) -> Column:
 
 def encode_28(seq: str | Column, states: str | Column) -> Column:
     """Base string and 7-state string to the 28-letter alphabet."""
-    return let(
-        F.struct(col(seq).alias("s"), col(states).alias("t")),
-        lambda r: F.concat_ws(
-            "",
-            F.transform(
-                positions(F.length(r["t"])),
-                lambda i: F.substr(
-                    F.lit(LETTERS_28),
-                    (F.instr(F.lit(RNA), char_at(r["s"], i)) - 1) * len(STATES_7)
-                    + F.instr(F.lit(STATES_7), char_at(r["t"], i)),
-                    F.lit(1),
-                ),
-            ),
-        ),
-    )
+    return base_state_letters(RNA, STATES_7, LETTERS_28)(col(seq), col(states))
 
 
 def reduce_alphabet(seq: str | Column, states: str | Column) -> dict[str, Column]:

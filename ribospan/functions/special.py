@@ -180,3 +180,32 @@ def dot_bracket_states(structure: pd.Series) -> pd.Series:
     )
     out = state.astype(np.uint8).tobytes().decode().split("|")[: len(structure)]
     return pd.Series(out, index=structure.index).where(structure.notna(), None)
+
+
+def base_state_letters(bases: str, states: str, letters: str):
+    """A function of a base string and a state string: the letter of each pair, all records of a batch at once.
+
+    ``letters`` is base-major. A base string that is too short counts as the first base from there
+    on; a base or state that is not listed counts as the one before the first, and letters before the
+    first are taken from the end. A record with a null is an empty text.
+    """
+    place = np.zeros((2, 256), np.int64)
+    for row, symbols in zip(place, (bases, states), strict=True):
+        for i, c in enumerate(symbols):
+            row[ord(c)] = i + 1
+    numbers = (np.arange(len(bases) + 1)[:, None] - 1) * len(states) + np.arange(len(states) + 1)
+    table = np.frombuffer(letters.encode(), np.uint8)[np.where(numbers > 0, numbers - 1, numbers)]
+
+    def codes(parts: list[str]) -> np.ndarray:
+        return np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4"), 255)
+
+    @F.pandas_udf(StringType())
+    def encode(seq: pd.Series, state: pd.Series) -> pd.Series:
+        known = (seq.notna() & state.notna()).to_numpy()
+        below = [t if k else "" for t, k in zip(state, known, strict=True)]
+        above = [s[: len(t)].ljust(len(t), bases[0]) if k else "" for s, t, k in zip(seq, below, known, strict=True)]
+        text = table[place[0][codes(above)], place[1][codes(below)]].tobytes().decode()
+        ends = np.cumsum([len(t) for t in below]).tolist()
+        return pd.Series([text[i:j] for i, j in zip([0, *ends], ends, strict=False)], index=seq.index, dtype=object)
+
+    return encode

@@ -604,7 +604,7 @@ SELECT dataset_id, alphabet, motif, n_with, n_pos_with, round(log10(p), 4) AS lo
 """))
 def motif_prior_words(spark, sf_dir):
     """The enriched words of every dataset in each of the seven alphabets."""
-    states = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(F.lit("EHLRBMT"), i % 7 + 1, F.lit(1))), "")
+    states = F.rpad(F.lit(""), F.length("seq"), F.lit("HLRBMTE"))
     records = language_windows(spark, sf_dir).select("dataset_id", "rec_id", "label", S.normalize_rna("seq").alias("seq"), states.alias("states"))
     rows = materialize(MP.alphabet_rows(records, ["dataset_id", "rec_id", "label"], list(MP.ALPHABETS)))
     words = MP.enriched_words(rows, ["dataset_id", "alphabet"], 5, None)

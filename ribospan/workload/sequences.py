@@ -393,12 +393,7 @@ GROUP BY ALL
 def alphabet_letters(spark, sf_dir):
     from ribospan.plans.motif_prior import ALPHABETS, alphabet_rows
 
-    states = F.concat_ws(
-        "",
-        F.transform(
-            F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(F.lit("EHLRBMT"), i % 7 + 1, F.lit(1))
-        ),
-    )
+    states = F.rpad(F.lit(""), F.length("seq"), F.lit("HLRBMTE"))
     w = X.windows(spark, sf_dir).select("rec_id", S.normalize_rna("seq").alias("seq"), states.alias("states"))
     rows = alphabet_rows(w, ["rec_id"], list(ALPHABETS))
     letters = rows.select("alphabet", F.explode(S.kmers("seq", 1)).alias("letter"))

@@ -109,3 +109,26 @@ def test_records_longer_than_the_padding_keep_all_positions(spark):
     short = spark.createDataFrame([(1, "AA")], ["rec_id", "seq"])
     row = short.select(FE.dinucleotide_features("seq", 4).alias("v")).first()["v"]
     assert len(row) == 4 and row[0][2] == pytest.approx(3.18 / 4)
+
+
+def spelled(seq, states):
+    """Plain statement of the 28 letters, odd inputs as the column expression took them."""
+    out = ""
+    for i, t in enumerate(states):
+        at = ((S.RNA.find(seq[i]) if i < len(seq) else 0)) * 7 + S.STATES_7.find(t) + 1
+        out += S.LETTERS_28[max(at, 1) - 1] if at >= 0 else S.LETTERS_28[at]
+    return out
+
+
+def test_alphabet_encoding_goes_through_a_batch_once(spark):
+    from ribospan.plans.motif_prior import ALPHABETS, alphabet_rows
+
+    pairs = [("ACGU", "BEHL"), ("AC", "TTTT"), ("ACGUA", "RM"), ("ANxU", "BEzT"), ("xN", "zB"), ("", ""), ("é", "B"), (None, "BE"), ("AC", None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, seq string, states string")
+    rows = alphabet_rows(df, ["id"], list(ALPHABETS))
+    assert "transform(" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["alphabet"]): r["seq"] for r in rows.collect()}
+    for i, (seq, states) in enumerate(pairs):
+        full = "" if seq is None or states is None else spelled(seq, states)
+        assert got[i, "seq_struct_28"] == full
+        assert got[i, "seq_struct_8"] == full.translate(str.maketrans(S.LETTERS_28, S.LETTERS_8))
