@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,50 +142,84 @@ def kmer_position_features(rna: str | Column, k: int) -> Column:
     return let(S.kmers(rna, k), build)
 
 
-def _numbered_kmers(rna: str, k: int, offset: int) -> Column:
-    return F.transform(
-        kmer_position_features(rna, k),
-        lambda f: F.struct(
-            f["pos"].alias("pos"),
-            (S.kmer_index(f["kmer"], k) + offset).alias("feature"),
-            f["value"].alias("value"),
-        ),
-    )
+def _kept_shares(codes: np.ndarray) -> np.ndarray:
+    """:func:`running_shares` of texts of one length, given as rows of base numbers."""
+    pos = np.arange(1, codes.shape[1] + 1)
+    count = np.zeros(codes.shape, np.int64)
+    for c in range(len(S.RNA)):
+        mine = codes == c
+        np.copyto(count, np.cumsum(mine, axis=1), where=mine)
+    down, rest = np.divmod(1000 * count, pos)
+    share = (down + (2 * rest > pos)) / 1000.0
+    row, at = np.nonzero(2 * rest == pos)
+    if len(row):
+        ties, which = np.unique(np.stack([count[row, at], at + 1], axis=1), axis=0, return_inverse=True)
+        share[row, at] = np.array([round(int(c) / int(i), 3) for c, i in ties])[which.ravel()]
+    return share
 
 
-def encode_features(df: DataFrame, keys: list[str], length: int = WINDOW) -> DataFrame:
-    """Long rows ``(keys, pos, feature, value)`` in the fixed column order 3 + 1 + 11 + 4 + 16 + 64.
+def _feature_cells(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pos, feature, value`` of texts of one length, a row a text, from rows of base numbers."""
+    n, size = codes.shape
+    padded, n_props = max(length, size), len(DINUCLEOTIDE_PROPERTIES)
+    chemistry = np.zeros((n, padded, 3))
+    chemistry[:, size:, 2] = 1.0
+    chemistry[:, :size] = np.array([CHEMISTRY[c] for c in S.RNA])[codes]
+    pairs = np.zeros((n, padded, n_props))
+    table = np.array([[v / length for v in DINUCLEOTIDES[a + b]] for a in S.RNA for b in S.RNA])
+    pairs[:, : max(size - 1, 0)] = table[codes[:, :-1] * len(S.RNA) + codes[:, 1:]]
+    at, every = np.arange(size), np.arange(padded)
+    pos = [np.repeat(every, 3), at, np.repeat(every, n_props)]
+    feature = [np.tile(np.arange(3), padded), np.full(size, 3), np.tile(np.arange(4, 4 + n_props), padded)]
+    feature = [np.broadcast_to(f, (n, len(f))) for f in feature]
+    value = [chemistry.reshape(n, -1), _kept_shares(codes), pairs.reshape(n, -1)]
+    offset = 4 + n_props
+    for k in (1, 2, 3):
+        many = max(size - k + 1, 0)
+        index = np.zeros((n, many), np.int64)
+        for j in range(k):
+            index += codes[:, j : j + many] * 4**j
+        cell = index + np.arange(n)[:, None] * 4**k
+        pos.append(at[:many])
+        feature.append(index + offset)
+        value.append(np.bincount(cell.ravel(), minlength=n * 4**k)[cell] / 100)
+        offset += 4**k
+    pos = np.concatenate(pos)
+    return np.broadcast_to(pos, (n, len(pos))), np.concatenate(feature, axis=1), np.concatenate(value, axis=1)
 
-    ``feature`` is the column number 0..98. K-mer rows are sparse (absent means 0).
-    """
-    rna = df.withColumn("_rna", S.normalize_rna("seq"))
 
-    def dense(arrays: Column, offset: int) -> Column:
-        return F.flatten(
-            F.transform(
-                arrays,
-                lambda row, i: F.transform(
-                    row,
-                    lambda v, j: F.struct(
-                        i.alias("pos"), (j + offset).alias("feature"), v.alias("value")
-                    ),
-                ),
-            )
-        )
+def encode_features(df: DataFrame, keys: list[str], length: int = WINDOW, most_cells: int = 200_000) -> DataFrame:
+    """Long rows ``(keys, pos, feature, value)`` in the fixed column order 3 + 1 + 11 + 4 + 16 + 64.
 
-    blocks = [
-        dense(chemistry_features("_rna", length), 0),
-        F.transform(
-            nucleotide_density("_rna"),
-            lambda v, i: F.struct(i.alias("pos"), F.lit(3).alias("feature"), v.alias("value")),
-        ),
-        dense(dinucleotide_features("_rna", length), 4),
-    ]
-    offset = 4 + len(DINUCLEOTIDE_PROPERTIES)
-    for k in (1, 2, 3):
-        blocks.append(_numbered_kmers("_rna", k, offset))
-        offset += 4**k
-    return rna.select(*keys, F.inline(F.concat(*blocks)))
+    ``feature`` is the column number 0..98. K-mer rows are sparse (absent means 0). Records with a
+    letter that no table lists have no rows. The texts of one length in a batch are encoded together,
+    about ``most_cells`` rows at a time.
+    """
+    rows = df.select(*keys, S.normalize_rna("seq").alias("_rna"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "pos int, feature int, value double"
+    number = np.full(256, len(S.RNA), np.int64)
+    number[[ord(c) for c in S.RNA]] = np.arange(len(S.RNA))
+    listed = set(S.RNA)
+
+    def run(found):
+        for batch in found:
+            texts = batch.column("_rna").to_pylist()
+            by_size: dict[int, list[int]] = {}
+            for i, text in enumerate(texts):
+                if text is not None and listed.issuperset(text):
+                    by_size.setdefault(len(text), []).append(i)
+            for size, members in by_size.items():
+                step = max(1, most_cells // (14 * max(length, size) + 4 * size + 1))
+                for a in range(0, len(members), step):
+                    part = members[a : a + step]
+                    text = "".join(texts[i] for i in part).encode()
+                    pos, feature, value = _feature_cells(number[np.frombuffer(text, np.uint8)].reshape(len(part), size), length)
+                    own = batch.select(keys).take(pa.array(np.repeat(part, value.shape[1])))
+                    cells = [pa.array(pos.ravel(), pa.int32()), pa.array(feature.ravel().astype(np.int32)), pa.array(value.ravel())]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *cells], names=[*keys, "pos", "feature", "value"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def importance_vector(attention: str | Column, k: int = 1) -> Column:

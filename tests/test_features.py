@@ -132,3 +132,21 @@ def test_alphabet_encoding_goes_through_a_batch_once(spark):
         full = "" if seq is None or states is None else spelled(seq, states)
         assert got[i, "seq_struct_28"] == full
         assert got[i, "seq_struct_8"] == full.translate(str.maketrans(S.LETTERS_28, S.LETTERS_8))
+
+
+def test_encoded_features_do_not_depend_on_how_many_are_encoded_together(spark):
+    texts = [SEQ, "ACGTNACGU", "", "A", "AC", "ACG", "AxC", "acg", None, "ACGU" * 40, SEQ, "GA" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id int, seq string").coalesce(1)
+    rows = FE.encode_features(df, ["rec_id"])
+    assert "transform(" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, rows.collect()))
+    assert found == sorted(map(tuple, FE.encode_features(df, ["rec_id"], most_cells=1).collect()))
+    for i, text in enumerate(texts):
+        got = {r[1:3]: r[3] for r in found if r[0] == i}
+        if text in (None, "AxC", "acg"):
+            assert not got
+            continue
+        rna = text.replace("T", "U").replace("N", "A")
+        for p, row in enumerate(dense(rna, max(101, len(rna)))):
+            for f, v in enumerate(row):
+                assert got.get((p, f), 0.0) == pytest.approx(v)
