@@ -7,6 +7,8 @@ column per (alphabet, motif) joined by record.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,18 +37,73 @@ def alphabet_rows(df: DataFrame, keys: list[str], alphabets: list[str]) -> DataF
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
+def _words(codes: np.ndarray, starts: np.ndarray, symbols: np.ndarray, width: int, records: int) -> tuple[np.ndarray, int, callable]:
+    """A number for the word at each start, a bound on the numbers, and what gives the words of numbers as rows of code points."""
+    m = len(symbols)
+    if m**width * records < 1 << 62:
+        ids = np.zeros(len(starts), np.int64)
+        for j in range(width):
+            ids = ids * m + codes[starts + j]
+        powers = m ** np.arange(width - 1, -1, -1, dtype=np.int64)
+        return ids, m**width, lambda found: symbols[found[:, None] // powers % m]
+    each, ids = np.unique(codes[starts[:, None] + np.arange(width)], axis=0, return_inverse=True)
+    return ids.ravel(), len(each), lambda found: symbols[each[found]]
+
+
+def word_counts(rows: DataFrame, by: list[str], width: int) -> DataFrame:
+    """``by, motif, n_with, n_pos_with``: records and positive records that hold each word, counted batch by batch."""
+    chosen = rows.select(*by, F.coalesce(F.col("label") == 1, F.lit(False)).alias("_marked"), F.col("seq").alias("_text"))
+    chosen = chosen.where(F.length("_text") >= width)
+    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", motif string, n_with long, n_pos_with long"
+
+    def run(found):
+        for batch in found:
+            n = batch.num_rows
+            if not n:
+                continue
+            group = np.zeros(n, np.int64)
+            for k in by:
+                values = batch.column(k).dictionary_encode(null_encoding="encode")
+                group = group * (len(values.dictionary) + 1) + values.indices.to_numpy()
+            _, first, group = np.unique(group, return_index=True, return_inverse=True)
+            texts = batch.column("_text").to_pylist()
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = np.fromiter(map(len, texts), np.int64, n)
+            symbols, codes = np.unique(points, return_inverse=True) if points.max() > 255 else (np.flatnonzero(np.bincount(points)), None)
+            if codes is None:
+                place = np.zeros(256, np.int64)
+                place[symbols] = np.arange(len(symbols))
+                codes = place[points]
+            record = np.repeat(np.arange(n), sizes - width + 1)
+            starts = np.arange(len(record)) + np.repeat(np.cumsum(sizes) - sizes - np.concatenate([[0], np.cumsum(sizes - width + 1)[:-1]]), sizes - width + 1)
+            ids, bound, spelled = _words(codes, starts, symbols, width, n)
+            # A word counts once in a record.
+            pairs = np.sort(record * bound + ids)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            record, ids = np.divmod(pairs, bound)
+            marked = batch.column("_marked").to_numpy(zero_copy_only=False)
+            held = np.sort((group[record] * bound + ids) * 2 + marked[record])
+            at = np.flatnonzero(np.concatenate([[True], held[1:] >> 1 != held[:-1] >> 1]))
+            n_with, n_pos = np.diff(np.append(at, len(held))), np.add.reduceat(held & 1, at)
+            which, ids = np.divmod(held[at] >> 1, bound)
+            spelling = np.ascontiguousarray(spelled(ids), dtype="<u4").view(f"<U{width}").ravel()
+            keys = batch.select(by).take(pa.array(first[which]))
+            yield pa.RecordBatch.from_arrays(
+                [*keys.columns, pa.array(spelling.tolist(), pa.string()), pa.array(n_with), pa.array(n_pos)],
+                names=[*by, "motif", "n_with", "n_pos_with"],
+            )
+
+    counts = chosen.mapInArrow(run, schema)
+    return counts.groupBy(*by, "motif").agg(F.sum("n_with").alias("n_with"), F.sum("n_pos_with").alias("n_pos_with"))
+
+
 def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int | None) -> DataFrame:
     """The most enriched words per group under the Bonferroni rule, at most ``max_motifs`` (None: all).
 
     Enriched means p below 0.01 / n, n being the words seen in the group.
     """
-    words = rows.select(*by, "label", F.explode(F.array_distinct(S.kmers("seq", width))).alias("motif"))
-    counts = materialize(
-        words.groupBy(*by, "motif").agg(
-            F.count(F.lit(1)).alias("n_with"),
-            F.sum((F.col("label") == 1).cast("bigint")).alias("n_pos_with"),
-        )
-    )
+    counts = materialize(word_counts(rows, by, width))
     n_words = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     sized = M.with_population(counts, rows, by).join(n_words, by).withColumn("_cut", F.lit(0.01) / F.col("_n"))
     # A word seen n times can't have a smaller p than if all n were positive; most words are too rare to pass.

@@ -290,3 +290,20 @@ def test_prior_features(spark):
 def test_alphabet_tables_agree():
     assert len(S.LETTERS_28) == len(S.LETTERS_16) == len(S.LETTERS_8) == 28
     assert set(MP.ALPHABETS["seq_struct_16"]) == set(S.LETTERS_16)
+
+
+def test_word_counts_are_records_that_hold_a_word(spark):
+    from ribospan.plans.motif_prior import word_counts
+
+    texts = ["AAAAA", "AAAB", "ABAB", "", "AB", None, "αβαβα", "αβ|", "ABAB" * 20, "\U0001f600AB\U0001f600AB"]
+    rows = [(["x", "y", None][i % 3], i % 2, [1, 0, None][(i // 2) % 3], t) for i, t in enumerate(texts * 4)]
+    df = spark.createDataFrame(rows, "dataset_id string, alphabet int, label int, seq string").repartition(3)
+    for width in (1, 2, 3, 40):
+        want = {}
+        for d, a, label, t in rows:
+            for w in {t[i : i + width] for i in range(len(t) - width + 1)} if t else ():
+                n, p = want.get((d, a, w), (0, 0))
+                want[d, a, w] = n + 1, p + (label == 1)
+        counts = word_counts(df, ["dataset_id", "alphabet"], width)
+        assert "transform(" not in counts._jdf.queryExecution().executedPlan().toString()
+        assert {(r["dataset_id"], r["alphabet"], r["motif"]): (r["n_with"], r["n_pos_with"]) for r in counts.collect()} == want
