@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 # The helpers travel with the task, so executors need no copy of this package.
@@ -171,3 +172,41 @@ def stacked_top_sums(texts: list[bytes], matrices: list, alphabet: str, n: int)
                 codes = stacked.code[np.frombuffer(b"".join([texts[j] for j in part]), np.uint8)].reshape(len(part), length)
                 out[np.ix_(part, own)] = stacked.top_sums(codes, n)
     return out
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """The code points of the texts, one text after the other."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def spelled_texts(points: np.ndarray) -> pa.Array:
+    """The text of each row of code points."""
+    n, width = points.shape
+    if n and points.max() < 128:
+        ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width))
+        return pa.StringArray.from_buffers(n, ends, pa.py_buffer(points.astype(np.uint8).tobytes()))
+    return pa.array(["".join(map(chr, row)) for row in points.tolist()], pa.string())
+
+
+def first_words(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Record, place from 0 and text of the first of each different word of ``width`` letters in each text."""
+    points = code_points(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    many = np.maximum(sizes - width + 1, 0)
+    record = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
+    starts = at + np.repeat(np.cumsum(sizes) - sizes, many)
+    symbols, codes = np.unique(points, return_inverse=True)
+    longest = int(sizes.max(initial=0)) + 1
+    if len(symbols) ** width * len(texts) * longest < 1 << 62:
+        ids, bound = np.zeros(len(starts), np.int64), len(symbols) ** width
+        for j in range(width):
+            ids = ids * len(symbols) + codes[starts + j]
+    else:
+        different, ids = np.unique(points[starts[:, None] + np.arange(width)], axis=0, return_inverse=True)
+        ids, bound = ids.ravel(), len(different)
+    found = np.sort((record * bound + ids) * longest + at)
+    word = found // longest
+    found = found[np.concatenate([[True], word[1:] != word[:-1]])[: len(found)]]
+    record, at = found // longest // bound if len(found) else found, found % longest
+    return record, at, spelled_texts(points[(np.cumsum(sizes) - sizes)[record][:, None] + at[:, None] + np.arange(width)])

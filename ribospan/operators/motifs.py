@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, let, positions
-from ribospan.functions.scans import Automaton, stacked_top_sums
+from ribospan.functions.scans import Automaton, code_points, first_words, spelled_texts, stacked_top_sums
 from ribospan.session import materialize
 
 # ---------------------------------------------------------------- regions
@@ -169,22 +169,22 @@ def with_population(counts: DataFrame, records: DataFrame, by: list[str]) -> Dat
 
 
 def symbol_frequencies(
-    instances: DataFrame, by: list[str], text: str, alphabet: str, dna_to_rna: bool = False
+    instances: DataFrame, by: list[str], text: str, alphabet: str, dna_to_rna: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Share of each symbol per position over the motif's instances, zeros filled in.
 
-    Symbols outside ``alphabet`` count in the denominator only. All four (or seven)
+    Symbols outside ``alphabet`` count in the denominator only. Equal instances are added up (their
+    number, or ``weight``) before they are taken apart. All four (or seven)
     shares of a position come out of one aggregate row, so the zero fill needs no join.
     """
     seq = F.translate(text, "T", "U") if dna_to_rna else F.col(text)
-    cells = instances.select(*by, F.posexplode(let(seq, lambda s: F.transform(
-        positions(F.length(s)), lambda i: char_at(s, i)
-    ))).alias("pos", "symbol"))
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    different = materialize(instances.groupBy(*by, seq.alias("_text")).agg(many.alias("_w")))
+    cells = different.select(*by, "_w", F.posexplode(S.kmers("_text", 1)).alias("pos", "symbol"))
     counts = cells.groupBy(*by, "pos").agg(
-        F.count(F.lit(1)).alias("_here"),
-        *[F.sum((F.col("symbol") == a).cast("bigint")).alias(f"_n{j}") for j, a in enumerate(alphabet)],
+        *[F.sum(F.when(F.col("symbol") == a, F.col("_w")).otherwise(F.lit(0))).alias(f"_n{j}") for j, a in enumerate(alphabet)],
     )
-    totals = instances.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    totals = different.groupBy(*by).agg(F.sum("_w").alias("_n"))
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("symbol"), (F.col(f"_n{j}") / F.col("_n")).alias("p"))
@@ -201,12 +201,12 @@ def pwm_from_instances(instances: DataFrame, by: list[str], text: str = "seq") -
 
 def seq_struct_pwm(
     seq_instances: DataFrame, struct_instances: DataFrame, by: list[str],
-    seq: str = "seq", states: str = "states",
+    seq: str = "seq", states: str = "states", weight: str | None = None,
 ) -> DataFrame:
-    """Four base rows and seven state rows, each over its own number of instances."""
-    bases = symbol_frequencies(seq_instances, by, seq, S.RNA, dna_to_rna=True)
+    """Four base rows and seven state rows, each over its own number of instances (the sum of ``weight``, if given)."""
+    bases = symbol_frequencies(seq_instances, by, seq, S.RNA, dna_to_rna=True, weight=weight)
     return bases.withColumn("part", F.lit("seq")).unionByName(
-        symbol_frequencies(struct_instances, by, states, S.PWM_STATE_ORDER).withColumn(
+        symbol_frequencies(struct_instances, by, states, S.PWM_STATE_ORDER, weight=weight).withColumn(
             "part", F.lit("struct")
         )
     )
@@ -485,7 +485,7 @@ def structure_at_motif(
 
     ``records`` has ``by``, ``rec_id``, ``seq`` (RNA) and ``states``; motifs are matched by
     an equi-join on the distinct k-mers of the record, each of which carries its own place and
-    states only.
+    states only. The k-mers of a batch of records are found together.
     """
     wanted = (
         motifs.where(F.length("motif") == width)
@@ -493,14 +493,27 @@ def structure_at_motif(
         .distinct()
     )
 
-    def first_places(grams: Column) -> Column:
-        place = lambda m: F.array_position(grams, m).cast("int")
-        return F.transform(
-            F.array_distinct(grams),
-            lambda m: F.struct(
-                m.alias("motif"), place(m).alias("position"), F.substr("states", place(m), F.lit(width)).alias("states")
-            ),
-        )
-
-    cells = records.select(*by, "rec_id", F.inline(let(S.kmers("seq", width), first_places)))
+    rows = records.select(*by, "rec_id", F.col("seq").alias("_text"), F.col("states").alias("_states")).where(F.length("_text") >= width)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*by, "rec_id"]) + ", motif string, position int, states string"
+
+    def run(found):
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("_text").to_pylist()
+            record, at, words = first_words(texts, width)
+            states = batch.column("_states").to_pylist()
+            if all(t is not None and len(t) == len(s) for s, t in zip(texts, states, strict=True)):
+                ends = np.cumsum([0, *map(len, texts)])
+                under = spelled_texts(code_points(states)[(ends[record] + at)[:, None] + np.arange(width)])
+            else:
+                parts = zip(record.tolist(), at.tolist(), strict=True)
+                under = pa.array([None if states[r] is None else states[r][a : a + width] for r, a in parts], pa.string())
+            keys = batch.select([*by, "rec_id"]).take(pa.array(record))
+            yield pa.RecordBatch.from_arrays(
+                [*keys.columns, words, pa.array((at + 1).astype(np.int32)), under], names=[*keys.schema.names, "motif", "position", "states"]
+            )
+
+    cells = rows.mapInArrow(run, schema)
     return cells.join(wanted, [*by, "motif"]).select(*by, "motif", "rec_id", "position", "states")

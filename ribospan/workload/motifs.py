@@ -444,9 +444,10 @@ SELECT g.motif, CAST(g.pos AS INTEGER) AS pos, g.symbol, round(coalesce(c, 0) /
 FROM grid g LEFT JOIN cc USING (motif, part, pos, symbol)
 """))
 def seq_struct_pwm(spark, sf_dir):
-    hits = _struct_hits(spark, sf_dir)
-    seqs = hits.select("motif", F.col("motif").alias("seq"))
-    return rounded(M.seq_struct_pwm(seqs, hits.select("motif", "states"), ["motif"]), 9)
+    # Two PWMs come from the hits, which are found once: equal ones are a row with their number.
+    hits = materialize(_struct_hits(spark, sf_dir).groupBy("motif", "states").agg(F.count(F.lit(1)).alias("n")))
+    seqs = hits.select("motif", F.col("motif").alias("seq"), "n")
+    return rounded(M.seq_struct_pwm(seqs, hits, ["motif"], weight="n"), 9)
 
 
 @query(with_ctes(PROFILES, body="""

@@ -307,3 +307,41 @@ def test_word_counts_are_records_that_hold_a_word(spark):
         counts = word_counts(df, ["dataset_id", "alphabet"], width)
         assert "transform(" not in counts._jdf.queryExecution().executedPlan().toString()
         assert {(r["dataset_id"], r["alphabet"], r["motif"]): (r["n_with"], r["n_pos_with"]) for r in counts.collect()} == want
+
+
+def test_first_places_of_words_and_weighted_instances(spark):
+    from ribospan.functions.scans import first_words
+    from ribospan.operators import motifs as MO
+
+    texts = ["ACGACG", "", "AC", "ÄbÄbÄ", "AAAA" * 30]
+    for width in (1, 2, 3, 50):
+        record, at, words = first_words(texts, width)
+        want = {(i, t[j : j + width]): t.find(t[j : j + width]) for i, t in enumerate(texts) for j in range(len(t) - width + 1)}
+        assert dict(zip(zip(record.tolist(), words.to_pylist()), at.tolist())) == want and len(words) == len(want)
+    recs = spark.createDataFrame([("d", 1, "ACGACG", "LLLRRR"), ("d", 2, "ACGU", "EE"), ("d", 3, "ACG", None), ("d", 4, None, "E"), (None, 5, "ACG", "EEE")], "dataset_id string, rec_id int, seq string, states string")
+    motifs = spark.createDataFrame([("d", "ACG"), ("d", "CGT"), ("d", "TTT"), (None, "ACG")], "dataset_id string, motif string")
+    hits = MO.structure_at_motif(motifs, recs, ["dataset_id"], width=3)
+    assert "transform(" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[1:] for r in hits.collect()} == {("ACG", 1, 1, "LLL"), ("ACG", 2, 1, "EE"), ("CGU", 2, 2, "E"), ("ACG", 3, 1, None)}
+    rows = spark.createDataFrame([("m", "LL"), ("m", "LL"), ("m", "LR"), ("m", None)], "motif string, states string")
+    plain = MO.symbol_frequencies(rows, ["motif"], "states", "LR")
+    counted = MO.symbol_frequencies(rows.groupBy("motif", "states").count(), ["motif"], "states", "LR", weight="count")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, counted.collect()))
+    assert {tuple(r)[1:] for r in plain.collect()} == {(0, "L", 0.75), (0, "R", 0.0), (1, "L", 0.5), (1, "R", 0.25)}
+
+
+def test_kmer_numbers_of_a_batch_and_logits_under_any_weights(spark):
+    from ribospan.plans import training as TR
+
+    texts = ["ACGU", "TTNN", "", "A", None, "AxCGAC", "GGGG", "RRA"]
+    df = spark.createDataFrame([("m" if i != 6 else "n", t) for i, t in enumerate(texts)], "dataset_id string, seq string").coalesce(1)
+    rna = [None if t is None else t.replace("T", "U").replace("N", "A") for t in texts]
+    counts = df.select(TR.kmer_counts("seq", 2).alias("c"))
+    assert "transform(" not in counts._jdf.queryExecution().executedPlan().toString()
+    grams = lambda t: [t[i : i + 2] for i in range(len(t or "") - 1)]
+    assert [r["c"] for r in counts.collect()] == [[float(grams(t).count(g)) for g in S.vocabulary_kmers(2)] for t in rna]
+    weights = {"AC": 0.5, "GU": -1.0, "UU": 2.0, "RR": 4.0, "A": 9.0}
+    models = spark.createDataFrame([("m", 0.25, weights), ("n", 1.0, None)], "model_id string, bias double, weights map<string,double>")
+    got = {r["seq"]: r["logit"] for r in TR.predict(df, models).collect()}
+    for t, r in zip(texts, rna):
+        assert got[t] == (None if t == "GGGG" else pytest.approx(0.25 + sum(weights.get(g, 0.0) for g in grams(r))))
