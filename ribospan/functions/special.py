@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # The helpers travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -209,3 +209,27 @@ def base_state_letters(bases: str, states: str, letters: str):
         return pd.Series([text[i:j] for i, j in zip([0, *ends], ends, strict=False)], index=seq.index, dtype=object)
 
     return encode
+
+
+def word_numbers(letters: str, width: int):
+    """A function of a text: occurrences of every word over ``letters``, the first letter changing fastest; a null has none."""
+    place = np.full(256, -1, np.int64)
+    place[[ord(c) for c in letters]] = np.arange(len(letters))
+    many = len(letters) ** width
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def count(texts: pd.Series) -> pd.Series:
+        known = texts.fillna("").tolist()
+        # A letter that no word has ends each text, so that no word reaches into the next.
+        text = "\x00".join(known) + "\x00"
+        codes = place[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 255)]
+        record = np.repeat(np.arange(len(known)), [len(t) + 1 for t in known])
+        n = max(len(codes) - width + 1, 0)
+        word, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(width):
+            word += codes[j : j + n] * len(letters) ** j
+            whole &= codes[j : j + n] >= 0
+        cells = np.bincount((record[:n] * many + word)[whole], minlength=len(known) * many).astype(float)
+        return pd.Series(list(cells.reshape(len(known), many)), index=texts.index)
+
+    return count

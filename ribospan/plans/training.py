@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ribospan.functions import scores as SC
 from ribospan.functions import sequence as S
-from ribospan.functions.core import let
+from ribospan.functions.special import word_numbers
 from ribospan.operators.metrics import binary_metrics
 from ribospan.operators.splits import stratified_split3
 from ribospan.plans.variant_scoring import kmer_logit
@@ -25,13 +25,7 @@ from ribospan.session import materialize
 
 def kmer_counts(seq: str | Column, k: int) -> Column:
     """Occurrences of every k-mer, in the order of :func:`vocabulary_kmers`."""
-    names = F.array(*[F.lit(g) for g in S.vocabulary_kmers(k)])
-    return let(
-        F.array_join(S.kmers(S.normalize_rna(seq), k), "|"),
-        lambda joined: F.transform(
-            names, lambda g: (F.length(joined) - F.length(F.replace(joined, g))) / F.lit(float(k))
-        ),
-    )
+    return word_numbers(S.RNA, k)(S.normalize_rna(seq))
 
 
 def standardised(train: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -196,11 +190,19 @@ def fit_kmer_models(
 
 def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "dataset_id") -> DataFrame:
     """Logit and probability of each record under the model it names; records without one drop out."""
-    scored = df.withColumn("model_id", F.col(model_id)).join(models, "model_id")
-    logit = kmer_logit(S.normalize_rna("seq"), k, F.col("weights"), F.col("bias"))
+    # A record's k-mers are counted once, before it meets its model; the logit is a product of two arrays.
+    names = S.vocabulary_kmers(k)
+    weight = lambda g: F.when(F.map_contains_key("weights", g), F.element_at("weights", g).cast("double")).otherwise(F.lit(0.0))
+    listed = F.when(F.col("weights").isNotNull(), F.array(*[weight(g) for g in names]))
+    other = F.map_filter("weights", lambda g, _w: (F.length(g) == k) & ~g.isin(names))  # words of other letters
+    counted = df.withColumn("_counts", kmer_counts("seq", k)).withColumn("model_id", F.col(model_id))
+    scored = counted.join(models.withColumns({"_listed": listed, "_other": other}), "model_id")
+    terms = F.zip_with("_counts", "_listed", lambda n, w: n * w)
+    logit = F.aggregate(terms, F.col("bias").cast("double"), lambda a, x: a + x)
+    logit = F.when(F.size("_other") > 0, kmer_logit(S.normalize_rna("seq"), k, F.col("_other"), logit)).otherwise(logit)
     return scored.withColumn("logit", logit).withColumn(
         "prob", 1 / (1 + F.exp(-F.col("logit")))
-    ).drop("weights", "bias", "gradient_norm")
+    ).drop("weights", "bias", "gradient_norm", "_counts", "_listed", "_other")
 
 
 def train_and_validate(df: DataFrame, k: int = 2, seed: int = 42, **fit) -> tuple[DataFrame, DataFrame]:
@@ -208,11 +210,12 @@ def train_and_validate(df: DataFrame, k: int = 2, seed: int = 42, **fit) -> tupl
     parts = materialize(split_records(df, seed))
     models = fit_kmer_models(parts.where(F.col("split") == "train"), k, **fit)
     held_out = predict(parts.where(F.col("split") != "train"), models, k)
-    return models, binary_metrics(held_out, ["dataset_id", "split"])
+    return models, binary_metrics(materialize(held_out.select("dataset_id", "split", "label", "prob")), ["dataset_id", "split"])
 
 
 def transfer(df: DataFrame, models: DataFrame, k: int = 2) -> DataFrame:
     """Metrics of each dataset under the model of its other cell line."""
     named = df.withColumn("other_model", SC.transfer_model_name("dataset_id"))
     scored = predict(named.where(F.col("other_model").isNotNull()), models, k, "other_model")
-    return binary_metrics(scored, ["dataset_id", "model_id"])
+    # The metrics read the scores several times.
+    return binary_metrics(materialize(scored.select("dataset_id", "model_id", "label", "prob")), ["dataset_id", "model_id"])
