@@ -117,6 +117,14 @@ def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int |
     return passing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_motifs)
 
 
+def word_instances(rows: DataFrame, words: DataFrame, by: list[str], width: int, flank: int) -> DataFrame:
+    """``by, motif, seq``: the places of ``words`` widened by ``flank``, those inside the record; a gram takes only those letters along."""
+    grams = rows.select(*by, "seq", F.posexplode(S.kmers("seq", width)).alias("at", "motif"))
+    inside = (F.col("at") - flank >= 0) & (F.col("at") + width + flank <= F.length("seq"))
+    wide = F.substr("seq", F.col("at") - flank + 1, F.lit(width + 2 * flank)).alias("seq")
+    return grams.where(inside).select(*by, "motif", wide).join(words.select(*by, "motif"), [*by, "motif"])
+
+
 def prior_features(
     records: DataFrame, alphabets: list[str], width: int = 5, max_motifs: int = 5, top_n: int = 1,
     flank: int = 0,
@@ -128,16 +136,9 @@ def prior_features(
     """
     by = ["dataset_id", "alphabet"]
     rows = materialize(alphabet_rows(records, ["dataset_id", "rec_id", "label"], alphabets))
-    words = enriched_words(rows, by, width, max_motifs)
-    grams = rows.where(F.col("label") == 1).select(
-        *by, "seq", F.posexplode(S.kmers("seq", width)).alias("at", "motif")
-    )
-    hits = grams.join(words.select(*by, "motif"), [*by, "motif"])
-    inside = (F.col("at") - flank >= 0) & (F.col("at") + width + flank <= F.length("seq"))
-    instances = hits.where(inside).select(
-        *by, "motif",
-        F.substr("seq", F.col("at") - flank + 1, F.lit(width + 2 * flank)).alias("seq"),
-    )
+    # Few rows; as a stored table their size is known to the join, so no gram is shuffled to meet them.
+    words = materialize(enriched_words(rows, by, width, max_motifs))
+    instances = word_instances(rows.where(F.col("label") == 1), words, by, width, flank)
     symbols = "".join(sorted({c for a in alphabets for c in ALPHABETS[a]}))
     shares = M.symbol_frequencies(instances, [*by, "motif"], "seq", symbols)
     # At most max_motifs rows per group; as a stored table its size is known to the join.

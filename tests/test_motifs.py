@@ -345,3 +345,16 @@ def test_kmer_numbers_of_a_batch_and_logits_under_any_weights(spark):
     got = {r["seq"]: r["logit"] for r in TR.predict(df, models).collect()}
     for t, r in zip(texts, rna):
         assert got[t] == (None if t == "GGGG" else pytest.approx(0.25 + sum(weights.get(g, 0.0) for g in grams(r))))
+
+
+def test_instances_of_words_meet_them_without_a_shuffle(spark):
+    from ribospan.plans.motif_prior import word_instances
+    from ribospan.session import materialize
+
+    by = ["dataset_id", "alphabet"]
+    rows = spark.createDataFrame([("d", "x", "ACGUACG"), ("d", "y", "ACGU"), ("e", "x", "ACGACG"), ("d", "x", None)], "dataset_id string, alphabet string, seq string")
+    words = materialize(spark.createDataFrame([("d", "x", "CG"), ("e", "x", "AC")], "dataset_id string, alphabet string, motif string"))
+    found = word_instances(rows, words, by, 2, 1)
+    assert sorted(map(tuple, found.collect())) == [("d", "x", "CG", "ACGU"), ("e", "x", "AC", "GACG")]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["seq"] for r in word_instances(rows, words, by, 2, 0).collect()) == ["AC", "AC", "CG", "CG"]
