@@ -210,3 +210,30 @@ def first_words(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, p
     found = found[np.concatenate([[True], word[1:] != word[:-1]])[: len(found)]]
     record, at = found // longest // bound if len(found) else found, found % longest
     return record, at, spelled_texts(points[(np.cumsum(sizes) - sizes)[record][:, None] + at[:, None] + np.arange(width)])
+
+
+def group_numbers(batch: pa.RecordBatch, by: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """The different values of the columns ``by``, and which of them each row has."""
+    if not by:
+        return [()], np.zeros(batch.num_rows, np.int64)
+    table = pa.Table.from_batches([batch.select(by)]).append_column("_row", pa.array(np.arange(batch.num_rows)))
+    groups = table.group_by(by, use_threads=False).aggregate([("_row", "list")])
+    rows = groups.column("_row_list").combine_chunks()
+    which = np.empty(batch.num_rows, np.int64)
+    which[rows.flatten().to_numpy()] = np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+    return list(zip(*(groups.column(c).to_pylist() for c in by), strict=True)), which
+
+
+def word_counts(texts: list, group: np.ndarray, groups: int, width: int, letters: str) -> np.ndarray:
+    """Occurrences of every word over ``letters`` in the texts of each group, the first letter changing fastest; a null has none."""
+    place = np.full(256, -1, np.int64)
+    place[[ord(c) for c in letters]] = np.arange(len(letters))
+    known = [t or "" for t in texts]
+    # A letter that no word has ends each text, so that no word reaches into the next.
+    codes = place[np.minimum(code_points([t + "\x00" for t in known]), 255)]
+    n, many = max(len(codes) - width + 1, 0), len(letters) ** width
+    cell, whole = np.repeat(group, [len(t) + 1 for t in known])[:n] * many, np.ones(n, bool)
+    for j in range(width):
+        cell += codes[j : j + n] * len(letters) ** j
+        whole &= codes[j : j + n] >= 0
+    return np.bincount(cell[whole], minlength=groups * many).reshape(groups, many)

@@ -1,26 +1,62 @@
 """K-mer tables over many datasets at once.
 
-Every count is explode + ``groupBy``: partial aggregation collapses the exploded
-rows to at most 4^k per dataset and task before anything is shuffled.
+Every count is collapsed to at most 4^k rows per dataset in the task before anything is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
+from ribospan.functions.scans import group_numbers, word_counts
 from ribospan.operators.ordered import exact_quantiles
 from ribospan.session import materialize
 
+MOST_CELLS = 1 << 22
 
 def kmer_counts(df: DataFrame, k: int, by: list[str], acgt_only: bool = True) -> DataFrame:
-    """Overlapping k-mer counts per group; optionally skip k-mers with other letters."""
-    grams = df.select(*by, F.explode(S.kmers("seq", k)).alias("kmer"))
-    if acgt_only:
-        grams = grams.where(F.col("kmer").rlike("^[ACGT]+$"))
-    return grams.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """Overlapping k-mer counts per group; optionally skip k-mers with other letters.
+
+    The k-mers of a batch of sequences are numbered and counted together, and a task holds one table of
+    counts a group (about ``MOST_CELLS`` cells in all) until it is full. K-mers over any letters, or too long for such tables, are
+    exploded.
+    """
+    if not acgt_only or len(S.DNA) ** k > MOST_CELLS:
+        grams = df.select(*by, F.explode(S.kmers("seq", k)).alias("kmer"))
+        if acgt_only:
+            grams = grams.where(F.col("kmer").rlike("^[ACGT]+$"))
+        return grams.groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(*by, F.col("seq").alias("_seq"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "kmer string, n long"
+
+    def run(found):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in found:
+            groups, which = group_numbers(batch, by)
+            counts = word_counts(batch.column("_seq").to_pylist(), which, len(groups), k, S.DNA)
+            for key, row in zip(groups, counts, strict=True):
+                held[key] = held[key] + row if key in held else row
+            if len(held) * len(S.DNA) ** k > MOST_CELLS:
+                yield from _count_rows(held, batch.schema, by, k)
+                held = {}
+        if held:
+            yield from _count_rows(held, batch.schema, by, k)
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "kmer").agg(F.sum("n").alias("n"))
+
+
+def _count_rows(held: dict, schema: pa.Schema, by: list[str], k: int):
+    """The counts that are not zero, a batch a group."""
+    words = np.array(S.vocabulary_kmers(k, S.DNA), object)
+    for key, row in held.items():
+        used = np.flatnonzero(row)
+        values = [pa.repeat(pa.scalar(v, schema.field(c).type), len(used)) for c, v in zip(by, key, strict=True)]
+        yield pa.RecordBatch.from_arrays([*values, pa.array(words[used], pa.string()), pa.array(row[used])], names=[*by, "kmer", "n"])
 
 
 def top_kmers(counts: DataFrame, by: list[str], top: int = 10) -> DataFrame:

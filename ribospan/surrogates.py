@@ -6,29 +6,59 @@ consecutive windows of 101, the last one shorter. Nothing is filtered or capped.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 WINDOW_ID_STEP = 1_000_000
+WINDOW_LETTERS = 101
+ROWS_AT_ONCE = 1 << 15
+#: The base of each byte of a text, 0 for what is no letter.
+_BASE_OF = np.zeros(256, np.uint8)
+for _letter, _base in zip(LETTERS, BASES, strict=True):
+    _BASE_OF[[ord(_letter), ord(_letter.upper())]] = ord(_base)
+
+# The helpers travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tiled(found):
+    """``doc_id, rbp, cell, w, seq`` of the windows of a batch of texts: its letters in one pass, then cut by offsets."""
+    for batch in found:
+        text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        bases = _BASE_OF[raw]
+        kept = np.concatenate([[0], np.cumsum(bases > 0)])[ends - ends[0]]
+        bases, sizes = bases[bases > 0], np.diff(kept)
+        many = -(-sizes // WINDOW_LETTERS)
+        doc = np.repeat(np.arange(len(sizes)), many)
+        w = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.append(kept[:-1][doc] + w * WINDOW_LETTERS, kept[-1])
+        for a in range(0, len(doc), ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, len(doc))
+            offsets = (starts[a : b + 1] - starts[a]).astype(np.int32)
+            seq = pa.StringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(bases[starts[a] : starts[b]]))
+            own = batch.select(["doc_id", "rbp", "cell"]).take(pa.array(doc[a:b]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(w[a:b].astype(np.int32)), seq], names=[*own.schema.names, "w", "seq"])
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, doc_id, rbp, cell, dataset_id, label, seq)."""
     # Dealt out by id, so that a small file of long texts is not one task.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
-    letters = F.translate(
-        F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES
-    )
-    tiles = docs.select(
-        "doc_id", F.col("source").alias("rbp"), F.col("lang").alias("cell"),
-        F.posexplode(F.regexp_extract_all(letters, F.lit(".{1,101}"), F.lit(0))).alias("w", "seq"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("rbp"), F.col("lang").alias("cell")).repartition("doc_id")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    tiles = docs.mapInArrow(_tiled, f"doc_id {kinds['doc_id']}, rbp {kinds['rbp']}, cell {kinds['cell']}, w int, seq string")
     return tiles.select(
         (F.col("doc_id") * WINDOW_ID_STEP + F.col("w")).alias("rec_id"), "doc_id", "rbp", "cell",
         F.concat_ws("_", "rbp", "cell").alias("dataset_id"),
