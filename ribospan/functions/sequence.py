@@ -7,8 +7,8 @@ import itertools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ribospan.functions.core import char_at, col, let, positions
-from ribospan.functions.special import base_state_letters
+from ribospan.functions.core import col, let, positions
+from ribospan.functions.special import base_state_letters, centred_track, vocabulary_ids
 
 # Alphabets.
 RNA = "ACGU"
@@ -112,22 +112,9 @@ def weighted_one_hot(
     seq: str | Column, weights: str | Column | None, channel: str, max_len: int | None = None
 ) -> Column:
     """Track holding ``weights[pos]`` where the base equals ``channel``, centred in ``max_len``."""
-    wanted = ["T", "U"] if channel in "TU" else [channel]
-
-    def track(s: Column) -> Column:
-        def value(i: Column) -> Column:
-            w = F.lit(1.0) if weights is None else F.element_at(col(weights), i).cast("double")
-            return F.when(char_at(s, i).isin(wanted), w).otherwise(F.lit(0.0))
-
-        hot = F.transform(positions(F.length(s)), value)
-        if max_len is None:
-            return hot
-        left = F.floor((F.lit(max_len) - F.length(s)) / 2).cast("int")
-        right = F.lit(max_len) - F.length(s) - left
-        zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)).cast("int"))
-        return F.concat(zeros(left), hot, zeros(right))
-
-    return let(F.upper(col(seq)), track)
+    track = centred_track("TU" if channel in "TU" else channel, max_len, weights is not None)
+    text = F.upper(col(seq))
+    return track(text) if weights is None else track(text, col(weights).cast("array<double>"))
 
 
 def int_encode(seq: str | Column) -> Column:
@@ -135,23 +122,15 @@ def int_encode(seq: str | Column) -> Column:
     return let(
         seq,
         lambda s: F.transform(
-            positions(F.length(s)),
-            lambda i: let(
-                F.instr(F.lit(DNA), char_at(s, i)),
-                lambda at: F.when(at > 0, at - 1).otherwise(F.lit(999)),
-            ),
+            kmers(s, 1),
+            lambda c: F.when(c == "A", 0).when(c == "C", 1).when(c == "G", 2).when(c == "T", 3).otherwise(999),
         ),
     )
 
 
 def tokenize_ids(tokens: str | Column, max_len: int) -> Column:
     """Struct of ``input_ids`` and ``attention_mask``: [CLS] tokens [SEP], cut and padded to ``max_len``."""
-    vocab = F.array(*[F.lit(v) for v in VOCABULARY])
-    unk, cls, sep = (F.lit(VOCABULARY.index(t)) for t in ("[UNK]", "[CLS]", "[SEP]"))
-
-    def token_id(t: Column) -> Column:
-        at = F.array_position(vocab, t).cast("int")
-        return F.when(at > 0, at - 1).otherwise(unk)
+    unk, cls, sep = (VOCABULARY.index(t) for t in ("[UNK]", "[CLS]", "[SEP]"))
 
     def build(ids: Column) -> Column:
         pad = F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))
@@ -162,8 +141,8 @@ def tokenize_ids(tokens: str | Column, max_len: int) -> Column:
             ).alias("attention_mask"),
         )
 
-    body = F.slice(F.transform(col(tokens), token_id), 1, max_len - 2)
-    return let(F.concat(F.array(cls), body, F.array(sep)), build)
+    body = F.slice(vocabulary_ids(VOCABULARY, unk)(col(tokens)), 1, max_len - 2)
+    return let(F.concat(F.array(F.lit(cls)), body, F.array(F.lit(sep))), build)
 
 
 def add_flanks(seq: str | Column, left: str, right: str) -> Column:

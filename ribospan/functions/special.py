@@ -11,9 +11,11 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 # The helpers travel with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -233,3 +235,160 @@ def word_numbers(letters: str, width: int):
         return pd.Series(list(cells.reshape(len(known), many)), index=texts.index)
 
     return count
+
+
+def listed_words(words: list[str], width: int, most_cells: int = 1 << 22):
+    """A function of a text: occurrences of each of ``words``, all of ``width`` letters and different; null for a null.
+
+    The words are a trie whose steps are tables, so that the words of a batch of texts are found by a look-up a letter.
+    """
+    symbols = sorted({ord(c) for w in words for c in w})
+    place = np.full(symbols[-1] + 2, -1, np.int64)  # the last one stands for all greater letters
+    place[symbols] = np.arange(len(symbols))
+    steps, level = [], {"": 0}
+    for j in range(width):
+        heads = {h: i for i, h in enumerate(dict.fromkeys(w[: j + 1] for w in words))}
+        table = np.full(len(level) * len(symbols), -1, np.int64)
+        for h, i in heads.items():
+            table[level[h[:-1]] * len(symbols) + place[ord(h[-1])]] = i
+        steps.append(table)
+        level = heads
+
+    def count(texts: list[str]) -> np.ndarray:
+        sizes = np.array([len(t) + 1 for t in texts])
+        codes = place[np.minimum(np.frombuffer(("|".join(texts) + "|").encode("utf-32-le", "surrogatepass"), "<u4"), symbols[-1] + 1)]
+        codes[np.cumsum(sizes) - 1] = -1  # no word reaches into the next text
+        n = max(len(codes) - width + 1, 0)
+        at = np.zeros(n, np.int64)
+        for j, table in enumerate(steps):
+            letter = codes[j : j + n]
+            at = np.where((at >= 0) & (letter >= 0), table[at * len(symbols) + letter], -1)
+        cell = np.repeat(np.arange(len(texts)) * len(words), sizes)[:n] + at
+        return np.bincount(cell[at >= 0], minlength=len(texts) * len(words))
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def counts(texts: pa.Array) -> pa.Array:
+        known, step = [t or "" for t in texts.to_pylist()], max(1, most_cells // len(words))
+        parts = [count(known[k : k + step]) for k in range(0, len(known), step)]
+        return list_array(np.concatenate([np.empty(0, np.int64), *parts]).astype(float), np.full(len(known), len(words)), texts)
+
+    return counts
+
+
+def list_array(values, sizes: np.ndarray, like: pa.Array) -> pa.Array:
+    """An array of lists of the given sizes, null where ``like`` is."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(offsets, values, mask=like.is_null() if like.null_count else None)
+
+
+def true_runs(masks: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the runs of true of ``least`` or more in arrays of booleans, half-open; a null has none."""
+    flat = masks.flatten()
+    sizes = np.asarray(masks.value_lengths().fill_null(0), np.int64)
+    on, off = (np.asarray(m.fill_null(False)) for m in (flat, pa.compute.invert(flat)))
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    edge = np.ones(len(record) + 1, bool)
+    edge[1:-1] = record[1:] != record[:-1]
+    # A run begins after a false and ends before one; a null next to it leaves it open.
+    starts = np.flatnonzero(on & (edge[:-1] | np.concatenate([[False], off])[:-1]))
+    ends = np.flatnonzero(on & (edge[1:] | np.concatenate([off, [False]])[1:]))
+    first, last = (np.searchsorted(record[x], np.arange(len(sizes) + 1)) for x in (starts, ends))
+    paired = np.minimum(np.diff(first), np.diff(last))  # the k-th start with the k-th end
+    nth = np.arange(paired.sum()) - np.repeat(np.cumsum(paired) - paired, paired)
+    owner = np.repeat(np.arange(len(sizes)), paired)
+    begins = (np.cumsum(sizes) - sizes)[owner]
+    start, end = starts[first[owner] + nth] - begins, ends[last[owner] + nth] + 1 - begins
+    long = end - start >= least
+    return owner[long], start[long], end[long]
+
+
+def vocabulary_ids(vocabulary: list[str], unknown: int):
+    """A function of an array of tokens: the place of each in the vocabulary, else ``unknown``; null for a null."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(tokens: pa.Array) -> pa.Array:
+        at = pa.compute.index_in(tokens.flatten(), pa.array(vocabulary, tokens.type.value_type))
+        sizes = np.asarray(tokens.value_lengths().fill_null(0))
+        return list_array(at.fill_null(unknown).cast(pa.int32()), sizes, tokens)
+
+    return ids
+
+
+def centred_track(letters: str, max_len: int | None, weighted: bool):
+    """A function of a text (and its weights): the weight (1) at each place with one of ``letters``, else 0, centred in ``max_len``; empty for a null."""
+    wanted = [ord(c) for c in letters]
+
+    def fill(texts: pa.Array, weights: pa.Array | None) -> pa.Array:
+        known = [t or "" for t in texts.to_pylist()]
+        sizes = np.array([len(t) for t in known], np.int64)
+        room = np.maximum((max_len or 0) - sizes, 0) * np.asarray(texts.is_valid())
+        left, whole = room // 2, sizes + room
+        points = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), "<u4")
+        hot = np.flatnonzero(np.logical_or.reduce([points == c for c in wanted]))
+        record = np.repeat(np.arange(len(sizes)), sizes)[hot]
+        at = hot - (np.cumsum(sizes) - sizes)[record]
+        cell = (np.cumsum(whole) - whole + left)[record] + at
+        values, missing = np.zeros(whole.sum()), np.zeros(whole.sum(), bool)
+        if weights is None:
+            values[cell] = 1.0
+        else:
+            given = np.asarray(weights.value_lengths().fill_null(0), np.int64)
+            absent = np.asarray(weights.is_null())[record]
+            if (~absent & (at >= given[record])).any():
+                raise ValueError("a text has more letters than weights")
+            flat = weights.flatten()
+            place = ((np.cumsum(given) - given)[record] + at)[~absent]
+            missing[cell[absent]] = True
+            values[cell[~absent]] = np.asarray(flat.fill_null(0.0))[place]
+            missing[cell[~absent]] = np.asarray(flat.is_null())[place]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values, mask=missing if missing.any() else None))
+
+    if weighted:
+
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def track(texts: pa.Array, weights: pa.Array) -> pa.Array:
+            return fill(texts, weights)
+
+    else:
+
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def track(texts: pa.Array) -> pa.Array:
+            return fill(texts, None)
+
+    return track
+
+
+def letter_rows(table: dict[str, list[float]], padding: list[float], length: int):
+    """A function of a text: the row of ``table`` of each letter, null for others, then ``padding`` up to ``length``; nulls for a null."""
+    rows = np.array([[0.0] * len(padding), *table.values(), padding])
+    place = np.zeros(256, np.int64)
+    place[[ord(c) for c in table]] = np.arange(1, len(table) + 1)
+
+    @F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+    def cells(texts: pa.Array) -> pa.Array:
+        known = texts.to_pylist()
+        sizes = np.array([length if t is None else len(t) for t in known], np.int64)
+        whole = np.maximum(sizes, length)
+        number = np.full(whole.sum(), len(rows) - 1)
+        points = np.frombuffer("".join("\x00" * length if t is None else t for t in known).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.arange(len(points)) + np.repeat(np.cumsum(whole) - whole - (np.cumsum(sizes) - sizes), sizes)
+        number[inside] = np.where(points < 256, place[np.minimum(points, 255)], 0)
+        width = rows.shape[1]
+        offsets = pa.array(np.arange(len(number) + 1, dtype=np.int32) * width)
+        inner = pa.ListArray.from_arrays(offsets, pa.array(rows[number].ravel()), mask=pa.array(number == 0) if (number == 0).any() else None)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32)), inner)
+
+    return cells
+
+
+@F.arrow_udf(StructType().add("total", DoubleType()).add("present", LongType()))
+def track_sums(tracks: pa.Array) -> pa.Array:
+    """Sum of a track and the number of its values above 0; a null has neither."""
+    values = np.asarray(tracks.flatten().fill_null(0.0), float)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(tracks.value_lengths().fill_null(0)))])
+    record = np.repeat(np.arange(len(tracks)), np.diff(ends))
+    total = np.bincount(record, values, len(tracks))
+    present = np.bincount(record[values > 0], minlength=len(tracks))
+    return pa.StructArray.from_arrays([pa.array(total), pa.array(present)], names=["total", "present"])

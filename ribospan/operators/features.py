@@ -7,14 +7,15 @@ its own string: no shuffle happens until a caller aggregates the long rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ribospan.functions import sequence as S
-from ribospan.functions.core import char_at, col, let, positions
+from ribospan.functions.core import col, let, positions
+from ribospan.functions.scans import code_points
+from ribospan.functions.special import letter_rows, list_array
 
 WINDOW = 101
 
@@ -56,15 +57,7 @@ def _lookup(table: dict[str, list[float]], key: Column) -> Column:
 
 def chemistry_features(rna: str | Column, length: int = WINDOW) -> Column:
     """Array of three channels over the sequence, padded to ``length`` positions; padding has only the last channel set."""
-    return let(
-        rna,
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(length), F.length(s))),
-            lambda i: F.when(
-                i > F.length(s), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
-            ).otherwise(_lookup(CHEMISTRY, char_at(s, i))),
-        ),
-    )
+    return letter_rows(CHEMISTRY, [0.0, 0.0, 1.0], length)(col(rna))
 
 
 def dinucleotide_features(rna: str | Column, length: int = WINDOW) -> Column:
@@ -111,9 +104,19 @@ def running_shares(text: str) -> np.ndarray:
     return share
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _running_shares(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else running_shares(t) if t else np.empty(0))
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _running_shares(texts: pa.Array) -> pa.Array:
+    known = [t or "" for t in texts.to_pylist()]
+    sizes = np.array([len(t) for t in known], np.int64)
+    symbols, codes = np.unique(code_points(known), return_inverse=True)
+    out, starts = np.empty(len(codes)), np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == size)
+        step = max(1, (1 << 20) // size)
+        for k in range(0, len(mine), step):
+            cells = starts[mine[k : k + step]][:, None] + np.arange(size)
+            out[cells] = _kept_shares(codes[cells], len(symbols))
+    return list_array(out, sizes, texts)
 
 
 def nucleotide_density(rna: str | Column) -> Column:
@@ -142,13 +145,20 @@ def kmer_position_features(rna: str | Column, k: int) -> Column:
     return let(S.kmers(rna, k), build)
 
 
-def _kept_shares(codes: np.ndarray) -> np.ndarray:
-    """:func:`running_shares` of texts of one length, given as rows of base numbers."""
+def _kept_shares(codes: np.ndarray, symbols: int = len(S.RNA)) -> np.ndarray:
+    """:func:`running_shares` of texts of one length, given as rows of letter numbers."""
     pos = np.arange(1, codes.shape[1] + 1)
-    count = np.zeros(codes.shape, np.int64)
-    for c in range(len(S.RNA)):
-        mine = codes == c
-        np.copyto(count, np.cumsum(mine, axis=1), where=mine)
+    if symbols > 16:
+        order = np.argsort(codes, axis=1, kind="stable")
+        ordered = np.take_along_axis(codes, order, 1)
+        fresh = np.concatenate([np.ones((len(codes), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+        count = np.empty(codes.shape, np.int64)
+        np.put_along_axis(count, order, pos - np.maximum.accumulate(np.where(fresh, pos - 1, 0), axis=1), 1)
+    else:
+        count = np.zeros(codes.shape, np.int64)
+        for c in range(symbols):
+            mine = codes == c
+            np.copyto(count, np.cumsum(mine, axis=1), where=mine)
     down, rest = np.divmod(1000 * count, pos)
     share = (down + (2 * rest > pos)) / 1000.0
     row, at = np.nonzero(2 * rest == pos)
@@ -265,21 +275,26 @@ def smooth_scores(row: str | Column, k: int) -> Column:
 
 def one_hot_long(df: DataFrame, keys: list[str], max_len: int | None = None) -> DataFrame:
     """Non-zero one-hot cells ``(keys, pos, channel, value)``; padding shifts the positions."""
-    def cells(s: Column) -> Column:
-        left = (
-            F.lit(0) if max_len is None
-            else F.floor((F.lit(max_len) - F.length(s)) / 2).cast("int")
-        )
-        return F.filter(
-            F.transform(
-                positions(F.length(s)),
-                lambda i: F.struct(
-                    (i - 1 + left).alias("pos"),
-                    F.when(char_at(s, i).isin("U", "T"), "T").otherwise(char_at(s, i)).alias("channel"),
-                    F.lit(1.0).alias("value"),
-                ),
-            ),
-            lambda c: c["channel"].isin(*S.DNA),
-        )
+    rows = df.select(*keys, F.upper("seq").alias("_seq"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "pos int, channel string, value double"
+    place = np.full(256, -1, np.int64)
+    place[[ord(c) for c in [*S.DNA, "U"]]] = [*range(len(S.DNA)), S.DNA.index("T")]
 
-    return df.select(*keys, F.inline(let(F.upper("seq"), cells)))
+    def run(found):
+        names = pa.array(list(S.DNA))
+        for batch in found:
+            texts = [t or "" for t in batch.column("_seq").to_pylist()]
+            for a in range(0, len(texts), 1024):
+                part = texts[a : a + 1024]
+                sizes = np.array([len(t) for t in part], np.int64)
+                codes = place[np.minimum(code_points(part), 255)]
+                kept = np.flatnonzero(codes >= 0)
+                record = np.repeat(np.arange(len(part)), sizes)[kept]
+                left = 0 if max_len is None else (max_len - sizes) // 2
+                pos = kept + (left - (np.cumsum(sizes) - sizes))[record]
+                own = batch.select(keys).take(pa.array(record + a))
+                cells = [pa.array(pos.astype(np.int32)), names.take(pa.array(codes[kept])), pa.array(np.ones(len(kept)))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *cells], names=[*keys, "pos", "channel", "value"])
+
+    return rows.mapInArrow(run, schema)

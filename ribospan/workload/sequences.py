@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ribospan import surrogates as X
 from ribospan.functions import sequence as S
+from ribospan.functions.special import track_sums
 from ribospan.operators import features as FE
 from ribospan.operators import kmers as K
 from ribospan.workload.inputs_sql import CELLS, PROFILES, WINDOWS, grams
@@ -110,21 +111,19 @@ SELECT dataset_id, replace(ch, 'U', 'T') AS channel, round(sum(pos / 101.0::DOUB
 FROM cells GROUP BY ALL
 """))
 def weighted_one_hot_totals(spark, sf_dir):
-    w = X.windows(spark, sf_dir).withColumn(
-        "weights", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i / F.lit(101.0))
-    )
+    weights = F.lit([i / X.WINDOW_LETTERS for i in range(1, X.WINDOW_LETTERS + 1)])
+    w = X.windows(spark, sf_dir).withColumn("weights", F.slice(weights, F.lit(1), F.length("seq")))
     tracks = F.array(
         *[
-            F.struct(F.lit(c).alias("channel"), S.weighted_one_hot("seq", "weights", c).alias("t"))
+            F.struct(F.lit(c).alias("channel"), track_sums(S.weighted_one_hot("seq", "weights", c)).alias("t"))
             for c in S.DNA
         ]
     )
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
-    present = F.size(F.filter("t", lambda x: x > 0))
     return (
-        w.select(*BY, F.inline(tracks))
+        w.select(*BY, tracks.alias("tracks"))
+        .select(*BY, F.inline("tracks"))
         .groupBy(*BY, "channel")
-        .agg(F.round(F.sum(total), 4).alias("weight"), F.sum(big(present)).alias("n"))
+        .agg(F.round(F.sum("t.total"), 4).alias("weight"), F.sum("t.present").alias("n"))
         .where(F.col("n") > 0)
     )
 
