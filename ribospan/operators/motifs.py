@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, let, positions
 from ribospan.functions.scans import Automaton, code_points, first_words, spelled_texts, stacked_top_sums
+from ribospan.functions.special import true_runs
 from ribospan.session import materialize
 
 # ---------------------------------------------------------------- regions
@@ -57,13 +58,25 @@ def high_score_regions(
     """Runs of high scores per record: ``(keys, start, end)``, half-open, 0-based.
 
     ``condition`` maps the score array to a boolean array; the default is above the
-    record's mean. ``offset`` drops that many leading scores (special tokens).
+    record's mean. ``offset`` drops that many leading scores (special tokens). The runs
+    of a batch of records, those of :func:`true_regions`, are found together.
     """
     values = F.col(scores)
     if offset:
         values = F.slice(values, offset + 1, F.greatest(F.size(values) - offset, F.lit(0)))
     mask = (condition or high_score_mask)(values)
-    return df.select(*keys, F.inline(true_regions(mask, min_len)))
+    rows = df.select(*keys, mask.alias("_mask"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "start int, end int"
+
+    def run(found):
+        for batch in found:
+            record, start, end = true_runs(batch.column("_mask"), min_len)
+            own = batch.select(keys).take(pa.array(record))
+            spans = [pa.array(x.astype(np.int32)) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *spans], names=[*keys, "start", "end"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def region_instances(df: DataFrame, keys: list[str], scores: str = "scores", **kwargs) -> DataFrame:

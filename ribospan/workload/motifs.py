@@ -96,8 +96,8 @@ def _condition(scores):
     return let(
         tenths,
         lambda v: let(
-            F.aggregate(v, F.lit(0.0), lambda a, x: a + x),
-            lambda t: F.transform(v, lambda x: (x * F.size(v) > t) & (x > F.array_min(v))),
+            F.struct(F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("sum"), F.array_min(v).alias("low")),
+            lambda t: F.transform(v, lambda x: (x * F.size(v) > t["sum"]) & (x > t["low"])),
         ),
     )
 
