@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ribospan.functions import sequence as S
 from ribospan.functions.core import let
+from ribospan.functions.special import listed_words
 from ribospan.operators import variants as V
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -52,10 +53,7 @@ class LinearScorer:
         if not found or len(found) > self.most_keys:
             return records, models
         names = F.array(*[F.lit(g) for g in found])
-        counts = let(
-            F.array_join(S.kmers("scored_seq", self.k), "|"),
-            lambda joined: F.transform(names, lambda g: (F.length(joined) - F.length(F.replace(joined, g))) / F.lit(float(self.k))),
-        )
+        counts = listed_words(found, self.k)("scored_seq")
         weights = F.transform(names, lambda g: F.coalesce(F.try_element_at("weights", g), F.lit(0.0)))
         return records.withColumn("_counts", counts), models.withColumn("weights", weights)
 
