@@ -11,7 +11,8 @@ needs a whole file. Only the columns of the given schema are parsed. Kinds:
 * ``profile``: header and five numeric rows; ``dataset_id, rec_id, structure_type, profile``
 * ``pwm``: MEME motifs; ``dataset_id, motif, pos, symbol, p``
 
-Options: ``path`` (a file, a folder or a pattern in the last part), ``splitBytes`` (64 MB), ``strict`` (a
+Options: ``path`` (a file, a folder or a pattern in the last part), ``splitBytes`` (64 MB; with more than
+``MOST_RANGES`` of them, smaller ranges grow up to that and a task reads several of small files), ``strict`` (a
 malformed record fails the job; else a triplet has a ``bad_reason`` and other records drop out), ``length``
 (values in a row of a profile). Files are opened through ``pyarrow.fs``, in the driver to be listed and in
 the tasks to be read. A dataset is the folder ``dataset_id=<name>`` or else the stem of the file.
@@ -33,6 +34,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 1 << 20
+MOST_RANGES, GROWN_RANGES = 1024, 256
+LARGE_RANGE = 64 << 20
 #: What a record begins with, at the beginning of a line.
 MARKS = {"triplet": b">", "profile": b">", "pwm": b"MOTIF "}
 SCHEMAS = {
@@ -99,11 +102,11 @@ def split_records(stream, start: int, end: int, mark: bytes):
         held, at = b"", start - 1
         stream.seek(start - 1)
     begun = None  # where the open record's text begins in ``held``
-    look = 0
+    look, chunk = 0, min(CHUNK, max(end - start + 1, 1 << 12))  # a short range needs little beyond itself
     while True:
         place = held.find(edge, look)
         if place < 0:
-            more = stream.read(CHUNK)
+            more = stream.read(chunk)
             if not more:
                 if begun is not None:
                     yield held[begun:]
@@ -121,10 +124,10 @@ def split_records(stream, start: int, end: int, mark: bytes):
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    end: int
+class Ranges(InputPartition):
+    """What one task reads: ``(path, start, end)`` of one range, or of several of small files."""
+
+    parts: list[tuple[str, int, int]]
 
 
 def _lines(text: str) -> list[str]:
@@ -201,16 +204,31 @@ class RecordReader(DataSourceReader):
         if not set(self.columns) <= known:
             raise ValueError(f"unknown columns: {sorted(set(self.columns) - known)}")
 
-    def partitions(self) -> list[Range]:
-        return [Range(path, k, min(k + self.split, size)) for path, size in listed_files(self.path) for k in range(0, size, self.split)]
-
-    def read(self, part: Range):
-        system, inner = file_system(part.path)
-        dataset, parse, wanted = dataset_of(part.path, self.kind), PARSERS[self.kind], set(self.columns)
-        with system.open_input_file(inner) as stream:
-            for record in split_records(stream, part.start, part.end, MARKS[self.kind]):
-                for row in parse(record.decode(), dataset, part.path, wanted, self.strict, self.length):
-                    yield tuple(row.get(c) for c in self.columns)
+    def partitions(self) -> list[Ranges]:
+        files = listed_files(self.path)
+        ranges = [(path, k, min(k + self.split, size)) for path, size in files for k in range(0, size, self.split)]
+        step = max(self.split, min(LARGE_RANGE, -(-sum(size for _, size in files) // GROWN_RANGES)))
+        if len(ranges) <= MOST_RANGES:
+            return [Ranges([part]) for part in ranges]
+        out, held = [], 0
+        for part in [(path, k, min(k + step, size)) for path, size in files for k in range(0, size, step)]:
+            size = part[2] - part[1]
+            if not out or held + size > step:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].parts.append(part)
+            held += size
+        return out
+
+    def read(self, task: Ranges):
+        parse, wanted = PARSERS[self.kind], set(self.columns)
+        for path, start, end in task.parts:
+            system, inner = file_system(path)
+            dataset = dataset_of(path, self.kind)
+            with system.open_input_file(inner) as stream:
+                for record in split_records(stream, start, end, MARKS[self.kind]):
+                    for row in parse(record.decode(), dataset, path, wanted, self.strict, self.length):
+                        yield tuple(row.get(c) for c in self.columns)
 
 
 class RecordFiles(DataSource):

@@ -14,6 +14,9 @@ from ribospan.workload.motifs import LANGUAGE, REGION_MOTIFS, _instances
 from ribospan.workload.registry import query, with_ctes
 from ribospan.workload.source_texts import TRIPLET_SQL, _triplets
 
+#: Tasks that write one dataset.
+SHARES = 16
+
 
 def _s(c):
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -41,12 +44,12 @@ def _record_files(spark, kind: str, path: str, columns: str, **options):
 
 @query(with_ctes(WINDOWS, body=TRIPLET_SQL.replace("label,", "NULL::INTEGER AS label,")))
 def record_files_triplets(spark, sf_dir):
-    """A file a dataset, each read by several tasks."""
+    """Up to ``SHARES`` files a dataset, however large it is, each read by several tasks."""
     path = new_path(spark, "files")
     rows = _triplets(spark, sf_dir).select(
         F.regexp_replace("file_name", r"_(pos|neg)\.fa$", "").alias("dataset_id"), F.concat(F.lit(">"), "value").alias("value")
     )
-    rows.repartition("dataset_id").write.partitionBy("dataset_id").text(path)
+    rows.repartition("dataset_id", F.pmod(F.xxhash64("value"), F.lit(SHARES))).write.partitionBy("dataset_id").text(path)
     read = _record_files(spark, "triplet", path, "dataset_id string, rec_id string, seq string, track array<double>, label int")
     total = F.aggregate("track", F.lit(0.0), lambda a, x: a + x).alias("track_total")
     return read.select("dataset_id", "rec_id", "seq", "label", total)
