@@ -276,8 +276,11 @@ def streamed_scoring(spark, sf_dir):
     """The scoring as a stream of files into a sink keyed by batch; equal to the batch form."""
     source, out, state = (new_path(spark, kind) for kind in ("stream", "scores", "progress"))
     records = X.variant_windows(spark, sf_dir).select("dataset_id", "header", "seq")
-    records.repartition(6).write.parquet(source)
-    stream = STR.read_record_stream(spark, source, records.schema, files_per_batch=2)
+    # Files for all cores, in three batches.
+    files = max(6, 3 * spark.sparkContext.defaultParallelism)
+    records.repartition(files).write.option("maxRecordsPerFile", 500_000).parquet(source)
+    written = spark.read.parquet(source).select(F.input_file_name().alias("f")).distinct().count()
+    stream = STR.read_record_stream(spark, source, records.schema, files_per_batch=max(2, -(-written // 3)))
     STR.score_stream_once(stream, _models(spark, sf_dir), out, state, scorer=P.linear_scorer(2)).awaitTermination()
     rec_id = F.regexp_extract("header", r"variant_(\d+)", 1).cast("bigint").alias("rec_id")
     return STR.read_scores(spark, out).select(rec_id, F.round("score", 9).alias("score"), F.md5("header").alias("header_digest"))
