@@ -10,6 +10,10 @@ of them. Frequent shingles come last in that order, by a table of counts over al
 * Heavy sets are found through inverted lists: they, and the light sets that are large enough to
   be a partner, emit the single shingles of the prefix for ``c = 1``.
 
+A key comes with the size of its set and the shingles that the set has before the end of the key and outside it:
+if the key is the first that two sets share, neither shares those. A list keeps the sets for which it has a
+partner that this leaves enough shingles in common with, so of the many keys of near copies only the first few go on.
+
 The boundary is the size at which the subsets of all smaller sets and the lists of all larger ones
 cost least together: rows that are emitted, plus the comparisons that the lists will need. List
 lengths are estimated for each class of sizes from a second table of counts over all documents.
@@ -53,6 +57,7 @@ SMALL_SKETCH = 1 << 11
 LEAST_PARITY, EXACT_PARITY = 256, 4096  # bits
 FIRST_LINKING = 6  # below, no two different sets reach the threshold
 SHORT_LIST = 64
+WHOLE_LIST = 1 << 16
 BLOCK = 1 << 16
 BLOCK_SHINGLES = 1 << 21
 PIECE = 1 << 16
@@ -284,11 +289,14 @@ def boundary(classes: dict[int, tuple[int, np.ndarray]], subset: int, per_compar
     return 0 if not cut else int(np.ceil(2 ** ((edges[cut - 1] + 1) / 2))) - 1
 
 
-def set_keys(ordered: np.ndarray, light: int, subset: int, picks: dict) -> np.ndarray:
-    """Keys of a set: subsets of its prefix if it is light, shingles of its prefix if lists of heavy sets may need it."""
-    n, out = len(ordered), []
+def set_keys(ordered: np.ndarray, light: int, subset: int, picks: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set: subsets of its prefix if it is light, shingles of its prefix if lists of heavy sets may need it.
+
+    With each key the shingles before its last one that are not in it.
+    """
+    n, out, skipped = len(ordered), [], []
     if n < FIRST_LINKING:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     if n <= light:
         length = prefix_length(n, subset)
         if length not in picks:
@@ -298,18 +306,20 @@ def set_keys(ordered: np.ndarray, light: int, subset: int, picks: dict) -> np.nd
         for k in range(subset):
             total += mixed(chosen[:, k] + np.uint64(k)) * _MULTIPLIERS[k % 4]
         out.append(mixed(total))
+        skipped.append(picks[length][:, -1] - (subset - 1))
     if n > light or n >= least_common(light + 1):
         out.append(mixed(ordered[: prefix_length(n)]))
-    return np.concatenate(out)
+        skipped.append(np.arange(len(out[-1])))
+    return np.concatenate(out), np.concatenate(skipped)
 
 
 def keyed_sets(docs: DataFrame, ranks: np.ndarray, light: int, size: int, subset: int) -> DataFrame:
-    """``key, sid`` of all sets; a task emits equal sets once."""
+    """``key, sid, room`` of all sets, ``room`` as in :func:`rooms`; a task emits equal sets once."""
 
     def run(found):
         seen, picks = set(), {}
         for batch in found:
-            keys, sids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            keys, sids, room = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for text in batch.column(0).to_pylist():
                 one = shingle_set(text, size)
                 if len(one) < FIRST_LINKING:
@@ -318,23 +328,69 @@ def keyed_sets(docs: DataFrame, ranks: np.ndarray, light: int, size: int, subset
                 if sid in seen:
                     continue
                 seen.add(sid)
-                keys.append(set_keys(in_order(one, ranks), light, subset, picks))
-                sids.append(np.full(len(keys[-1]), sid, np.uint64))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(sids))], names=["key", "sid"])
+                own, skipped = set_keys(in_order(one, ranks), light, subset, picks)
+                keys.append(own)
+                sids.append(np.full(len(own), sid, np.uint64))
+                room.append(rooms(len(one), skipped))
+            columns = [_signed(np.concatenate(keys)), _signed(np.concatenate(sids)), pa.array(np.concatenate(room))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "sid", "room"])
+
+    return _texts(docs).mapInArrow(run, "key long, sid long, room long")
+
 
-    return _texts(docs).mapInArrow(run, "key long, sid long")
+def rooms(n: int, skipped: np.ndarray) -> np.ndarray:
+    """Size of a set and, for each key, the shingles it may still share, as one number."""
+    return (np.asarray(n, np.int64) << 32) | (n - skipped)
+
+
+def with_partner(listed: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Whether a row's list (numbers in ascending order) has another row that may link with it if the list's key is their first.
+
+    Rows of one size are a group, of which the one with most room decides what others can find in it. A
+    group learns the least room that has a partner, in its own or another group of a size near enough.
+    """
+    if not len(room):
+        return np.empty(0, bool)
+    order = np.lexsort((room, listed))
+    where, n, left = listed[order], room[order] >> 32, room[order] & 0xFFFFFFFF
+    first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (n[1:] != n[:-1])]))
+    last = np.append(first[1:], len(n)) - 1
+    group = np.repeat(np.arange(len(first)), last - first + 1)
+    needed = lambda n, m: -(-LEAST * (n + m) // (LEAST + OF))
+    where, n, best = where[first], n[first], left[last]
+    two = (last > first) & (left[np.maximum(last - 1, first)] >= needed(n, n))
+    least = np.where(two, needed(n, n), np.iinfo(np.int64).max)
+    a, step = np.arange(len(first)), 0
+    while len(a):
+        step += 1
+        a = a[a + step < len(first)]
+        a = a[(where[a] == where[a + step]) & (OF * n[a] >= LEAST * n[a + step])]
+        common = needed(n[a], n[a + step])
+        hit = np.minimum(best[a], best[a + step]) >= common
+        for side in (a[hit], a[hit] + step):
+            least[side] = np.minimum(least[side], common[hit])
+    out = np.empty(len(order), bool)
+    out[order] = left >= least[group]
+    return out
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """``key, sid`` of keys that two sets or more have.
+    """``key, sid`` of keys that two sets or more have, of the sets that a key may link with another.
 
-    Short lists get a hash of their members as key, so that keys with the same members become
+    Lists of up to ``WHOLE_LIST`` rows are looked at whole, longer ones go on as they are. Short lists get a hash of their members as key, so that keys with the same members become
     one key; rows of one key may then come repeatedly.
     """
 
-    def lists(key, sid, seen):
+    def lists(key, sid, room, seen):
         """Rows of whole lists of two members or more; short ones renamed, those seen before left out."""
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        shared = np.flatnonzero(np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key)))))
+        key, sid, room = key[shared], sid[shared], room[shared]
+        linking = with_partner(np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]), room)
+        key, sid = key[linking], sid[linking]
+        if not len(key):
+            return pa.RecordBatch.from_arrays([_signed(key), _signed(sid)], names=["key", "sid"])
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         name = key[starts].copy()
         rename = sizes <= SHORT_LIST
@@ -356,31 +412,32 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
     def run(found):
         seen: set = set()
-        key, sid, long_key = np.empty(0, np.uint64), np.empty(0, np.uint64), None
+        key, sid, room, long_key = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), None
         for batch in found:
             key = np.concatenate([key, batch.column(0).to_numpy().view(np.uint64)])
             sid = np.concatenate([sid, batch.column(1).to_numpy().view(np.uint64)])
+            room = np.concatenate([room, batch.column(2).to_numpy()])
             if not len(key):
                 continue
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-            key, sid = key[fresh], sid[fresh]
+            key, sid, room = key[fresh], sid[fresh], room[fresh]
             end = int(np.searchsorted(_rank(key), _rank(key)[-1])) if len(key) else 0
             if long_key is not None:  # the rest of a long list whose first rows are out
                 rest = int((key == long_key).argmin()) if (key != long_key).any() else len(key)
                 if rest > 1:  # its first row here is out already
                     yield pa.RecordBatch.from_arrays([_signed(key[1:rest]), _signed(sid[1:rest])], names=["key", "sid"])
                 if rest == len(key):
-                    key, sid = key[-1:], sid[-1:]
+                    key, sid, room = key[-1:], sid[-1:], room[-1:]
                     continue
-                key, sid, end, long_key = key[rest:], sid[rest:], end - rest, None
+                key, sid, room, end, long_key = key[rest:], sid[rest:], room[rest:], end - rest, None
             if end:
-                yield lists(key[:end], sid[:end], seen)
-            key, sid = key[end:], sid[end:]
-            if len(key) > SHORT_LIST:
+                yield lists(key[:end], sid[:end], room[:end], seen)
+            key, sid, room = key[end:], sid[end:], room[end:]
+            if len(key) > WHOLE_LIST:
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(sid)], names=["key", "sid"])
-                long_key, key, sid = key[-1], key[-1:], sid[-1:]
+                long_key, key, sid, room = key[-1], key[-1:], sid[-1:], room[-1:]
         if len(key) and long_key is None:
-            yield lists(key, sid, seen)
+            yield lists(key, sid, room, seen)
 
     return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "key long, sid long")
 

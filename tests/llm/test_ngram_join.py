@@ -121,3 +121,31 @@ def test_long_text_is_hashed_in_pieces(monkeypatch):
     whole = ngram_join.shingle_set(text)
     monkeypatch.setattr(ngram_join, "PIECE", 17)
     assert (ngram_join.shingle_set(text) == whole).all()
+
+
+def test_lists_keep_only_sets_that_a_key_may_link(spark):
+    """Near copies share hundreds of keys each; only the first few that two may have in common go on."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        at = rng.randrange(80)
+        rows.append((i, " ".join([*words[:at], f"own{i}", *words[at + 1 :]])))
+    docs = spark.createDataFrame(rows, DOCS)
+    ranks = ngram_join.frequency_ranks(ngram_join.measured(docs, 4).where("cell IS NOT NULL").select("cell", "hits"))
+    shared = ngram_join.shared_keys(ngram_join.keyed_sets(docs, ranks, 200, 4, 2))
+    assert shared.count() <= 20 * len(rows)
+    found = ngram_join.join_by_ngrams(docs, light=200).collect()
+    assert sorted(str(tuple(r)) for r in found) == components_by_force(rows)
+
+
+def test_partners_by_size_and_room():
+    rng = np.random.default_rng(8)
+    listed = np.sort(rng.integers(0, 60, 400))
+    n = rng.integers(6, 40, 400)
+    left = n - rng.integers(0, 5, 400)
+    got = ngram_join.with_partner(listed, ngram_join.rooms(n, n - left))
+    for i in range(400):
+        others = [j for j in range(400) if j != i and listed[j] == listed[i]]
+        fits = [185 * min(left[i], left[j]) >= 85 * (n[i] + n[j]) and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j]) for j in others]
+        assert got[i] == any(fits)
