@@ -212,6 +212,66 @@ def first_words(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, p
     return record, at, spelled_texts(points[(np.cumsum(sizes) - sizes)[record][:, None] + at[:, None] + np.arange(width)])
 
 
+CODE_BITS = 5  # a capital letter
+
+
+def word_totals(texts: list[str], states: list[str], group: np.ndarray, width: int) -> tuple[np.ndarray, ...] | None:
+    """Group, word, letters of ``states`` under it, number and sum of places (from 1) of the first of each word of ``width`` letters in a text.
+
+    Words come as numbers, ``CODE_BITS`` a letter, each (group, word, letters) once. None if that takes more than capital letters.
+    """
+    points, under = code_points(texts), code_points(states)
+    both = np.concatenate([points, under])
+    if not len(both) or both.min() < 65 or both.max() > 90 or CODE_BITS * width > 30:
+        return None
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    many = np.maximum(sizes - width + 1, 0)
+    record = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
+    starts = at + np.repeat(np.cumsum(sizes) - sizes, many)
+    tables = [np.flatnonzero(np.bincount(x, minlength=91)) for x in (points, under)]
+    longest, (letters, marks) = int(sizes.max(initial=0)) + 1, tables
+    words, unders = len(letters) ** width, len(marks) ** width
+    if max(words * len(texts), (int(group.max(initial=0)) + 1) * words * unders) * longest >= 1 << 62:
+        return None
+
+    def numbers(x, table, where):
+        rank = np.zeros(91, np.int64)
+        rank[table] = np.arange(len(table))
+        x, out = rank[x], np.zeros(len(where), np.int64)
+        for j in range(width):
+            out = out * len(table) + x[where + j]
+        return out
+
+    def spread(ids, table):
+        out = np.zeros(len(ids), np.int64)
+        for j in range(width):
+            ids, digit = np.divmod(ids, len(table))
+            out |= (table[digit] - 65) << (CODE_BITS * j)
+        return out
+
+    found = np.sort((record * words + numbers(points, letters, starts)) * longest + at)
+    word = found // longest
+    fresh = np.concatenate([[True], word[1:] != word[:-1]])[: len(found)]
+    at, word = (found - word * longest)[fresh], word[fresh]
+    record = word // words
+    mark = numbers(under, marks, (np.cumsum(sizes) - sizes)[record] + at)
+    found = np.sort(((group[record] * words + (word - record * words)) * unders + mark) * longest + at)
+    cell = found // longest
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
+    n = np.diff(np.append(first, len(cell)))
+    places = np.add.reduceat(found - cell * longest + 1, first) if len(first) else n
+    cell = cell[first]
+    of, mark = cell // unders // words, spread(cell % unders, marks)
+    return of, spread(cell // unders % words, letters), mark, n, places
+
+
+def spelled_numbers(numbers: np.ndarray, width: int) -> pa.Array:
+    """The words that :func:`word_totals` numbers."""
+    shift = CODE_BITS * np.arange(width - 1, -1, -1)
+    return spelled_texts((numbers[:, None] >> shift & ((1 << CODE_BITS) - 1)) + 65)
+
+
 def group_numbers(batch: pa.RecordBatch, by: list[str]) -> tuple[list[tuple], np.ndarray]:
     """The different values of the columns ``by``, and which of them each row has."""
     if not by:

@@ -13,10 +13,15 @@ from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, let, positions
-from ribospan.functions.scans import Automaton, code_points, first_words, spelled_texts, stacked_top_sums
+from ribospan.functions.scans import (
+    Automaton, code_points, first_words, group_numbers, spelled_numbers, spelled_texts, stacked_top_sums, word_totals,
+)
 from ribospan.functions.special import true_runs
 from ribospan.session import materialize
 
+SHARES = 32  # of the records of a group
+MOST_HELD = 1 << 22  # sums in a task
+
 # ---------------------------------------------------------------- regions
 
 
@@ -492,10 +497,12 @@ def merge_similar_motifs(
 
 
 def structure_at_motif(
-    motifs: DataFrame, records: DataFrame, by: list[str], width: int = 6
+    motifs: DataFrame, records: DataFrame, by: list[str], width: int = 6, totals: bool = False
 ) -> DataFrame:
     """State string under the first occurrence of each ``width``-letter motif in each record.
 
+    With ``totals`` the records of equal motif and states are one row, ``n`` of them, and ``positions`` their sum.
+
     ``records`` has ``by``, ``rec_id``, ``seq`` (RNA) and ``states``; motifs are matched by
     an equi-join on the distinct k-mers of the record, each of which carries its own place and
     states only. The k-mers of a batch of records are found together.
@@ -505,6 +512,9 @@ def structure_at_motif(
         .select(*by, F.translate("motif", "T", "U").alias("motif"))
         .distinct()
     )
+    wanted = materialize(wanted)  # at most a row a word and group, of known size to the join
+    if totals:
+        return _state_totals(wanted, records, by, width)
 
     rows = records.select(*by, "rec_id", F.col("seq").alias("_text"), F.col("states").alias("_states")).where(F.length("_text") >= width)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -514,15 +524,7 @@ def structure_at_motif(
         for batch in found:
             if not batch.num_rows:
                 continue
-            texts = batch.column("_text").to_pylist()
-            record, at, words = first_words(texts, width)
-            states = batch.column("_states").to_pylist()
-            if all(t is not None and len(t) == len(s) for s, t in zip(texts, states, strict=True)):
-                ends = np.cumsum([0, *map(len, texts)])
-                under = spelled_texts(code_points(states)[(ends[record] + at)[:, None] + np.arange(width)])
-            else:
-                parts = zip(record.tolist(), at.tolist(), strict=True)
-                under = pa.array([None if states[r] is None else states[r][a : a + width] for r, a in parts], pa.string())
+            record, at, words, under = _first_states(batch.column("_text").to_pylist(), batch.column("_states").to_pylist(), width)
             keys = batch.select([*by, "rec_id"]).take(pa.array(record))
             yield pa.RecordBatch.from_arrays(
                 [*keys.columns, words, pa.array((at + 1).astype(np.int32)), under], names=[*keys.schema.names, "motif", "position", "states"]
@@ -530,3 +532,75 @@ def structure_at_motif(
 
     cells = rows.mapInArrow(run, schema)
     return cells.join(wanted, [*by, "motif"]).select(*by, "motif", "rec_id", "position", "states")
+
+
+def _first_states(texts: list[str], states: list, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Record, place from 0, text and states of the first of each different word of ``width`` letters in each text."""
+    record, at, words = first_words(texts, width)
+    if all(t is not None and len(t) == len(s) for s, t in zip(texts, states, strict=True)):
+        ends = np.cumsum([0, *map(len, texts)])
+        return record, at, words, spelled_texts(code_points(states)[(ends[record] + at)[:, None] + np.arange(width)])
+    parts = zip(record.tolist(), at.tolist(), strict=True)
+    return record, at, words, pa.array([None if states[r] is None else states[r][a : a + width] for r, a in parts], pa.string())
+
+
+def _state_totals(wanted: DataFrame, records: DataFrame, by: list[str], width: int) -> DataFrame:
+    """``by, motif, states, n, positions`` of the wanted motifs.
+
+    Records are dealt by group and share of a group, so that a task, which adds up the words of its records, has
+    few groups. Sums move by (group, motif), of which the joins and later sums of either need no other move.
+    """
+    rows = records.select(*by, F.col("seq").alias("_text"), F.col("states").alias("_states"), "rec_id").where(F.length("_text") >= width)
+    rows = rows.repartition(*by, F.pmod(F.xxhash64("rec_id"), F.lit(SHARES))).drop("rec_id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [*by, "motif", "states", "n", "positions"]
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in by) + "motif string, states string, n long, positions long"
+
+    def added(parts: list) -> tuple:
+        word, mark, n, places = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(word << 30 | mark, kind="stable")
+        word, mark, n, places = word[order], mark[order], n[order], places[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (mark[1:] != mark[:-1])]))
+        return word[first], mark[first], np.add.reduceat(n, first), np.add.reduceat(places, first)
+
+    def emitted(keys: dict, kind: pa.Schema):
+        for key, parts in keys.items():
+            word, mark, n, places = added(parts)
+            values = [pa.repeat(pa.scalar(v, kind.field(c).type), len(n)) for c, v in zip(by, key, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*values, spelled_numbers(word, width), spelled_numbers(mark, width), pa.array(n), pa.array(places)], names=names
+            )
+
+    def run(found):
+        held: dict[tuple, list] = {}
+        size = 0
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            texts, states = batch.column("_text").to_pylist(), batch.column("_states").to_pylist()
+            groups, which = group_numbers(batch, by)
+            whole = all(t is not None and len(t) == len(s) for s, t in zip(texts, states, strict=True))
+            found_here = word_totals(texts, states, which, width) if whole else None
+            if found_here is None:
+                record, at, words, under = _first_states(texts, states, width)
+                own = batch.select(by).take(pa.array(record)).columns
+                yield pa.RecordBatch.from_arrays([*own, words, under, pa.array(np.ones(len(at), np.int64)), pa.array(at + 1)], names=names)
+                continue
+            of, *sums = found_here
+            cuts = np.searchsorted(of, np.arange(len(groups) + 1)).tolist()
+            for key, a, b in zip(groups, cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    held.setdefault(key, []).append(tuple(x[a:b] for x in sums))
+            size += len(of)
+            if size > MOST_HELD:
+                held = {key: [added(parts)] for key, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > MOST_HELD // 2:
+                    yield from emitted(held, batch.schema)
+                    held, size = {}, 0
+        if held:
+            yield from emitted(held, batch.schema)
+
+    sums = rows.mapInArrow(run, schema).repartition(*by, "motif").groupBy(*by, "motif", "states")
+    sums = sums.agg(F.sum("n").alias("n"), F.sum("positions").alias("positions"))
+    return sums.join(wanted, [*by, "motif"]).select(*names)

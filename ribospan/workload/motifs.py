@@ -413,9 +413,9 @@ located AS (SELECT s.dataset_id, s.rec_id, p.motif, p.position, substr(s.states,
 
 
 def _struct_hits(spark, sf_dir):
-    """The states under the first place of every 6-mer of a dataset in each of its windows."""
+    """The states under the first place of every 6-mer of a dataset in its windows, with the windows that have them there and the sum of the places."""
     motifs = K.kmer_counts(X.windows(spark, sf_dir), 6, BY).select("dataset_id", F.col("kmer").alias("motif"))
-    return M.structure_at_motif(motifs, _stated(spark, sf_dir), BY)
+    return M.structure_at_motif(motifs, _stated(spark, sf_dir), BY, totals=True)
 
 
 @query(with_ctes(WINDOWS, grams(6), FOLDED, STATED, body="""
@@ -425,7 +425,7 @@ FROM located GROUP BY ALL
 """))
 def structure_at_motif(spark, sf_dir):
     return _struct_hits(spark, sf_dir).groupBy("dataset_id", "motif").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"), F.count_distinct("states").alias("n_states"),
+        F.sum("n").alias("n"), F.sum("positions").alias("positions"), F.count("states").alias("n_states"),
         F.min("states").alias("first_states"), F.max("states").alias("last_states"),
     )
 
@@ -445,7 +445,7 @@ FROM grid g LEFT JOIN cc USING (motif, part, pos, symbol)
 """))
 def seq_struct_pwm(spark, sf_dir):
     # Two PWMs come from the hits, which are found once: equal ones are a row with their number.
-    hits = materialize(_struct_hits(spark, sf_dir).groupBy("motif", "states").agg(F.count(F.lit(1)).alias("n")))
+    hits = materialize(_struct_hits(spark, sf_dir).groupBy("motif", "states").agg(F.sum("n").alias("n")))
     seqs = hits.select("motif", F.col("motif").alias("seq"), "n")
     return rounded(M.seq_struct_pwm(seqs, hits, ["motif"], weight="n"), 9)
 

@@ -358,3 +358,19 @@ def test_instances_of_words_meet_them_without_a_shuffle(spark):
     assert sorted(map(tuple, found.collect())) == [("d", "x", "CG", "ACGU"), ("e", "x", "AC", "GACG")]
     assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["seq"] for r in word_instances(rows, words, by, 2, 0).collect()) == ["AC", "AC", "CG", "CG"]
+
+
+def test_states_at_motifs_are_summed_in_the_task(spark):
+    """``totals`` gives what the single rows add up to, also for texts that no task can number."""
+    rows = [(["x", "y"][i % 2], i, "ACGUACGUUU"[i % 3 :], "EELLLRRRTT"[i % 3 :]) for i in range(200)]
+    rows += [("x", 900, "ACGUACG", None), ("x", 901, "acgACG", "LLLEEE"), ("y", 902, "ACGU", "EE"), ("x", 903, "AC", "EE"), (None, 904, "ACGU", "EEEE")]
+    recs = spark.createDataFrame(rows, "dataset_id string, rec_id bigint, seq string, states string")
+    motifs = spark.createDataFrame([(d, m) for d in "xy" for m in ("ACG", "CGT", "UUU", "GGG")], "dataset_id string, motif string")
+    single = M.structure_at_motif(motifs, recs, ["dataset_id"], width=3).collect()
+    want = {}
+    for r in single:
+        n, p = want.get((r["dataset_id"], r["motif"], r["states"]), (0, 0))
+        want[r["dataset_id"], r["motif"], r["states"]] = (n + 1, p + r["position"])
+    found = M.structure_at_motif(motifs, recs, ["dataset_id"], width=3, totals=True).collect()
+    assert len(found) == len(want)
+    assert {(r["dataset_id"], r["motif"], r["states"]): (r["n"], r["positions"]) for r in found} == want
