@@ -51,3 +51,24 @@ def test_empty_interval_is_an_error(spark):
     )
     with pytest.raises(Exception, match="after its start"):
         I.interval_overlap_count(df, ["x", "y"]).collect()
+
+
+@pytest.mark.parametrize("mode", ["raw", "unique"])
+def test_long_intervals_reach_over_many_ranges(spark, mode, monkeypatch):
+    """Points are walked along once: no running sums of a column per cell over the whole axis."""
+    rng = random.Random(6)
+    cells = ["a", "b", "c"]
+    rows = [("A", "a", "c1", 0, 5000), ("A", "b", "c1", 10, 11), ("B", "c", "c1", 3, 4000), ("B", "a", "c2", 7, 8)]
+    for _ in range(400):
+        s = rng.randint(0, 4000)
+        rows.append((rng.choice("AB"), rng.choice(cells), rng.choice(["c1", "c2"]), s, s + rng.choice([1, 2, 5, 900])))
+    df = spark.createDataFrame(rows, "rbp string, cell string, chrom string, start bigint, end bigint").repartition(3)
+    monkeypatch.setattr(I, "running_sums", None, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["interaction"]: r["n_shared"] for r in I.interval_overlap_count(df, cells, mode).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, cells, mode)
