@@ -213,26 +213,32 @@ def base_state_letters(bases: str, states: str, letters: str):
     return encode
 
 
-def word_numbers(letters: str, width: int):
-    """A function of a text: occurrences of every word over ``letters``, the first letter changing fastest; a null has none."""
-    place = np.full(256, -1, np.int64)
+def word_numbers(letters: str, width: int, read_as: dict[str, str] | None = None):
+    """A function of a text: occurrences of every word over ``letters`` (ASCII), the first letter changing fastest; a null has none.
+
+    A letter in ``read_as`` counts as the one it stands for.
+    """
+    place = np.full(256, -1, np.int32)
     place[[ord(c) for c in letters]] = np.arange(len(letters))
+    for c, known in (read_as or {}).items():
+        place[ord(c)] = letters.index(known)
     many = len(letters) ** width
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def count(texts: pd.Series) -> pd.Series:
-        known = texts.fillna("").tolist()
-        # A letter that no word has ends each text, so that no word reaches into the next.
-        text = "\x00".join(known) + "\x00"
-        codes = place[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 255)]
-        record = np.repeat(np.arange(len(known)), [len(t) + 1 for t in known])
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def count(texts: pa.Array) -> pa.Array:
+        # Letters that are no bytes of their own in UTF-8 count in no word, nor do their bytes.
+        text = texts.cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        codes = place[raw]
+        record = np.repeat(np.arange(len(text)), np.diff(ends))
         n = max(len(codes) - width + 1, 0)
-        word, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        word, whole = record[:n] * many, record[:n] == record[width - 1 :][:n]
         for j in range(width):
             word += codes[j : j + n] * len(letters) ** j
             whole &= codes[j : j + n] >= 0
-        cells = np.bincount((record[:n] * many + word)[whole], minlength=len(known) * many).astype(float)
-        return pd.Series(list(cells.reshape(len(known), many)), index=texts.index)
+        cells = np.bincount(word[whole], minlength=len(text) * many).astype(float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * many), pa.array(cells))
 
     return count
 

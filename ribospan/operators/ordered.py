@@ -45,29 +45,16 @@ def with_slice(
     every = F.xxhash64(*df.columns).isNotNull()
     size = df.agg(F.count(F.when(every, 1)).alias("n")).select(F.greatest("n", F.lit(1)))
     below = F.lit(float(n_cuts) * 2**31) / size.scalar()
-    cuts = (
-        df.where(every & (F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < below))
-        .agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("cuts"))
-        .select(
-            F.struct(
-                F.col("cuts"),
-                F.expr(f"filter(cuts, (c, i) -> (i + 1) % {tier} = 0)").alias("coarse"),
-            ).alias("c")
-        )
-    )
-    key = F.struct(*keys)
-    staged = df.withColumn("_cuts", cuts.scalar()).withColumn("_key", key)
-    coarse = F.size(F.filter(F.col("_cuts.coarse"), lambda c: c <= F.col("_key")))
-    staged = staged.withColumn("_coarse", coarse)
-    fine = F.size(
-        F.filter(
-            F.slice(F.col("_cuts.cuts"), F.col("_coarse") * tier + 1, F.lit(tier)),
-            lambda c: c <= F.col("_key"),
-        )
-    )
-    return staged.withColumn(name, F.col("_coarse") * tier + fine).drop(
-        "_cuts", "_key", "_coarse"
+    cuts = df.where(every & (F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < below)).agg(
+        F.sort_array(F.collect_list(F.struct(*keys))).alias("cuts")
     )
+    staged = df.withColumn("_cuts", cuts.scalar()).withColumn("_key", F.struct(*keys)).withColumn(name, F.lit(0))
+    # The number of cuts up to the key, by halves; chance may leave more cuts than asked for, and any
+    # beyond the last step only make the last slice longer.
+    for bit in reversed(range(n_cuts.bit_length() + 1)):
+        ahead = F.get("_cuts", F.col(name) + ((1 << bit) - 1)) <= F.col("_key")
+        staged = staged.withColumn(name, F.col(name) + F.when(ahead, 1 << bit).otherwise(0))
+    return staged.drop("_cuts", "_key")
 
 
 def running_sums(
@@ -128,15 +115,15 @@ def suffix_min(
     return joined.select(*df.columns, F.least("_local", "_rest").alias(out))
 
 
-def _join_on_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that also matches null group keys."""
+def _join_on_group(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join that also matches null group keys."""
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def value_counts(

@@ -24,14 +24,24 @@ from ribospan.session import materialize
 
 
 def kmer_counts(seq: str | Column, k: int) -> Column:
-    """Occurrences of every k-mer, in the order of :func:`vocabulary_kmers`."""
-    return word_numbers(S.RNA, k)(S.normalize_rna(seq))
+    """Occurrences of every k-mer of :func:`normalize_rna`, in the order of :func:`vocabulary_kmers`."""
+    return word_numbers(S.RNA, k, {"T": "U", "N": "A"})(seq)
 
 
-def standardised(train: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Records ``(dataset_id, label, x)`` with counts as deviations, and each dataset's means and deviations."""
-    raw = train.select("dataset_id", F.col("label").cast("double").alias("label"), kmer_counts("seq", k).alias("c"))
-    raw = materialize(raw.where(F.col("label").isNotNull() & F.col("dataset_id").isNotNull()))
+def counted(df: DataFrame, k: int) -> DataFrame:
+    """``df`` with :func:`kmer_counts` of ``seq`` as ``_counts``, unless it has that column."""
+    return df if "_counts" in df.columns else df.withColumn("_counts", kmer_counts("seq", k))
+
+
+def labelled_counts(train: DataFrame, k: int) -> DataFrame:
+    """Records ``(dataset_id, label, c)`` that a fit can use."""
+    raw = counted(train, k).select("dataset_id", F.col("label").cast("double").alias("label"), F.col("_counts").alias("c"))
+    raw = raw.where(F.col("label").isNotNull() & F.col("dataset_id").isNotNull())
+    return raw if "_counts" in train.columns else materialize(raw)
+
+
+def count_scales(raw: DataFrame, k: int) -> DataFrame:
+    """Each dataset's number of records and the mean and deviation of its counts."""
     cells = range(4**k)
     each = lambda f: F.array(*[f(F.col("c")[i]) for i in cells])
     scales = raw.groupBy("dataset_id").agg(
@@ -39,10 +49,66 @@ def standardised(train: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     )
     # A k-mer that never varies says nothing: its deviation counts as 1 and its x is 0.
     sd = F.transform("raw_sd", lambda d: F.when(d > 1e-9, d).otherwise(F.lit(1.0)))
-    scales = materialize(scales.select("dataset_id", "n", "mean", sd.alias("sd")))
+    return materialize(scales.select("dataset_id", "n", "mean", sd.alias("sd")))
+
+
+def standardised(raw: DataFrame, scales: DataFrame) -> DataFrame:
+    """Records ``(dataset_id, label, x)`` with counts as deviations."""
     centred = F.zip_with("c", "mean", lambda x, m: x - m)
     x = F.zip_with(centred, "sd", lambda d, sd: d / sd)
-    return materialize(raw.join(scales, "dataset_id").select("dataset_id", "label", x.alias("x"))), scales
+    return materialize(raw.join(scales, "dataset_id").select("dataset_id", "label", x.alias("x")))
+
+
+def count_blocks(raw: DataFrame, k: int, most_cells: int = 1 << 15) -> DataFrame:
+    """``dataset_id, labels, counts``: records of a dataset, up to ``most_cells`` counts a row.
+
+    Every step of a fit reads all records; a model then meets blocks instead of single records. Labels are
+    bytes of doubles, counts are bytes of the smallest unsigned integers that hold those of the block.
+    """
+    most = max(1, most_cells // 4**k)
+
+    def pack(found):
+        held: dict = {}  # of each dataset the records of less than a block
+        waiting = 0
+
+        def block(name: str, parts: list):
+            label, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            for a in range(0, len(label), most):
+                part = c[a : a + most]
+                yield name, label[a : a + most].tobytes(), part.astype(np.min_scalar_type(int(part.max()))).tobytes()
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            kinds = (pa.string(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["dataset_id", "labels", "counts"])
+
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            which = batch.column("dataset_id").dictionary_encode()
+            names, which = which.dictionary.to_pylist(), which.indices.to_numpy()
+            label = batch.column("label").to_numpy()
+            c = batch.column("c").flatten().to_numpy().reshape(len(label), -1)
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(len(names) + 1))
+            full = []
+            for i, name in enumerate(names):
+                mine = order[cuts[i] : cuts[i + 1]]
+                parts = held.setdefault(name, [])
+                parts.append((label[mine], c[mine]))
+                waiting += len(mine)
+                size = sum(len(p[0]) for p in parts)
+                if size >= most:
+                    full += block(name, held.pop(name))
+                    waiting -= size
+            if full:
+                yield batch_of(full)
+            if waiting > 64 * most:
+                yield batch_of([row for name, parts in held.items() for row in block(name, parts)])
+                held, waiting = {}, 0
+        yield batch_of([row for name, parts in held.items() for row in block(name, parts)])
+
+    return materialize(raw.select("dataset_id", "label", "c").mapInArrow(pack, "dataset_id string, labels binary, counts binary"))
 
 
 def gradient_step(
@@ -64,14 +130,17 @@ def gradient_step(
     )
 
 
-def newton_sums(rows: DataFrame, models: DataFrame, k: int, positive_weight: float, most_held: int = 500) -> DataFrame:
+def newton_sums(blocks: DataFrame, models: DataFrame, scales: DataFrame, k: int, positive_weight: float, most_held: int = 500) -> DataFrame:
     """``dataset_id, cell, value``: the sums that a Newton step needs, at each dataset's weights.
 
-    With d weights, the bias last, cells from 0 are the d x d curvature, then d of the gradient, the
-    loss and the total weight. Tasks add up their records of up to ``most_held`` datasets before they pass sums on.
+    ``blocks`` are :func:`count_blocks`. With d weights, the bias last, cells from 0 are the d x d curvature, then d of
+    the gradient, the loss and the total weight. Tasks add up their records of up to ``most_held`` datasets before they
+    pass sums on.
     """
     d = 4**k + 1
-    joined = rows.join(models.select("dataset_id", F.concat("w", F.array("b")).alias("w")), "dataset_id")
+    # Two joins with stored tables: of their own join Spark would not know that it is small.
+    joined = blocks.join(models.select("dataset_id", F.concat("w", F.array("b")).alias("w")), "dataset_id")
+    joined = joined.join(scales.select("dataset_id", "mean", "sd"), "dataset_id")
 
     def flush(held: dict) -> pa.RecordBatch:
         names = [n for n in held for _ in range(d * d + d + 2)]
@@ -82,27 +151,24 @@ def newton_sums(rows: DataFrame, models: DataFrame, k: int, positive_weight: flo
     def run(found):
         held: dict = {}
         for batch in found:
-            names, which = np.unique(np.array(batch.column("dataset_id").to_pylist(), dtype=object), return_inverse=True)
-            if not len(names):
-                continue
-            label = batch.column("label").to_numpy()
-            x = np.column_stack([batch.column("x").flatten().to_numpy().reshape(len(label), -1), np.ones(len(label))])
-            w = batch.column("w").flatten().to_numpy().reshape(len(label), -1)
-            z = (x * w).sum(axis=1)
-            share = np.where(label == 1, positive_weight, 1.0)
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            loss = share * (np.logaddexp(0.0, z) - label * z)
-            for i, name in enumerate(names):
-                mine = which == i
-                xs, s = x[mine], share[mine]
-                sums = ((xs * (s * p[mine] * (1 - p[mine]))[:, None]).T @ xs, xs.T @ (s * (p[mine] - label[mine])), loss[mine].sum(), s.sum())
+            for name, labels, counts, *model in zip(*(batch.column(c) for c in ("dataset_id", "labels", "counts", "w", "mean", "sd")), strict=True):
+                name, label = name.as_py(), np.frombuffer(labels.as_buffer())
+                w, mean, sd = (m.values.to_numpy() for m in model)
+                c = np.frombuffer(counts.as_buffer(), f"u{counts.as_buffer().size // (len(label) * (d - 1))}")
+                x = np.ones((len(label), d))
+                x[:, :-1] = (c.reshape(len(label), -1) - mean) / sd
+                z = x @ w
+                s = np.where(label == 1, positive_weight, 1.0)
+                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                loss = s * (np.logaddexp(0.0, z) - label * z)
+                sums = ((x * (s * p * (1 - p))[:, None]).T @ x, x.T @ (s * (p - label)), loss.sum(), s.sum())
                 held[name] = tuple(a + b for a, b in zip(held[name], sums, strict=True)) if name in held else sums
-            if len(held) > most_held:
-                yield flush(held)
-                held = {}
+                if len(held) > most_held:
+                    yield flush(held)
+                    held = {}
         yield flush(held)
 
-    sums = joined.select("dataset_id", "label", "x", "w").mapInArrow(run, "dataset_id string, cell int, value double")
+    sums = joined.select("dataset_id", "labels", "counts", "w", "mean", "sd").mapInArrow(run, "dataset_id string, cell int, value double")
     return sums.groupBy("dataset_id", "cell").agg(F.sum("value").alias("value"))
 
 
@@ -160,22 +226,27 @@ def fit_kmer_models(
 ) -> DataFrame:
     """Model table ``(model_id, bias, weights, gradient_norm)`` with one row per dataset, fitted from zero.
 
+    Records have ``seq``, or its counts in ``_counts`` (:func:`counted`).
+
     ``newton`` steps until every dataset's largest slope (of the loss in standardised counts) is below
     ``tolerance``, ``max_iter`` steps at most; ``gradient`` takes ``max_iter`` steps of ``rate`` down the
     slope and leaves ``gradient_norm`` null.
     """
-    rows, scales = standardised(train, k)
+    raw = labelled_counts(train, k)
+    scales = count_scales(raw, k)
     zeros = F.array_repeat(F.lit(0.0), 4**k)
     models = scales.select("dataset_id", zeros.alias("w"), F.lit(0.0).alias("b"))
     if method == "newton":
         extra = {"base": "array<double>", "step": "array<double>", "rate": "double", "loss": "double", "gradient_norm": "double"}
         models = models.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra.items()], F.lit(False).alias("done"))
+        blocks = count_blocks(raw, k)
         for _ in range(max_iter):
             still = models.where(~F.col("done"))
             if not still.head(1):
                 break
-            models = materialize(newton_step(models, newton_sums(rows, still, k, positive_weight), k, reg, tolerance))
+            models = materialize(newton_step(models, newton_sums(blocks, still, scales, k, positive_weight), k, reg, tolerance))
     else:
+        rows = standardised(raw, scales)
         for _ in range(max_iter):
             models = materialize(gradient_step(rows, models, k, positive_weight, rate, reg))
         models = models.withColumn("gradient_norm", F.lit(None).cast("double"))
@@ -195,11 +266,15 @@ def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "datas
     weight = lambda g: F.when(F.map_contains_key("weights", g), F.element_at("weights", g).cast("double")).otherwise(F.lit(0.0))
     listed = F.when(F.col("weights").isNotNull(), F.array(*[weight(g) for g in names]))
     other = F.map_filter("weights", lambda g, _w: (F.length(g) == k) & ~g.isin(names))  # words of other letters
-    counted = df.withColumn("_counts", kmer_counts("seq", k)).withColumn("model_id", F.col(model_id))
-    scored = counted.join(models.withColumns({"_listed": listed, "_other": other}), "model_id")
+    named = counted(df, k).withColumn("model_id", F.col(model_id))
+    scored = named.join(models.withColumns({"_listed": listed, "_other": other}), "model_id")
     terms = F.zip_with("_counts", "_listed", lambda n, w: n * w)
     logit = F.aggregate(terms, F.col("bias").cast("double"), lambda a, x: a + x)
-    logit = F.when(F.size("_other") > 0, kmer_logit(S.normalize_rna("seq"), k, F.col("_other"), logit)).otherwise(logit)
+    if "seq" in df.columns:
+        others = kmer_logit(S.normalize_rna("seq"), k, F.col("_other"), logit)
+    else:
+        others = F.raise_error(F.lit("words of other letters need the texts in seq"))
+    logit = F.when(F.size("_other") > 0, others).otherwise(logit)
     return scored.withColumn("logit", logit).withColumn(
         "prob", 1 / (1 + F.exp(-F.col("logit")))
     ).drop("weights", "bias", "gradient_norm", "_counts", "_listed", "_other")
@@ -207,8 +282,10 @@ def predict(df: DataFrame, models: DataFrame, k: int = 2, model_id: str = "datas
 
 def train_and_validate(df: DataFrame, k: int = 2, seed: int = 42, **fit) -> tuple[DataFrame, DataFrame]:
     """Models fitted on the train part and metrics per (dataset, split) on the other two."""
-    parts = materialize(split_records(df, seed))
-    models = fit_kmer_models(parts.where(F.col("split") == "train"), k, **fit)
+    # A text is read once, for its counts; split, fit and scores start from these.
+    records = materialize(counted(df, k).select("dataset_id", "rec_id", "label", "_counts"))
+    parts = split_records(records, seed)
+    models = materialize(fit_kmer_models(parts.where(F.col("split") == "train"), k, **fit))
     held_out = predict(parts.where(F.col("split") != "train"), models, k)
     return models, binary_metrics(materialize(held_out.select("dataset_id", "split", "label", "prob")), ["dataset_id", "split"])
 
