@@ -174,6 +174,56 @@ def stacked_top_sums(texts: list[bytes], matrices: list, alphabet: str, n: int)
     return out
 
 
+def _shares(matrices: list, letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares (matrix x column x letter) of matrices of one width, the means of their columns and the squares around these, -1 where a share is missing."""
+    rows = [[[*(c or [])[:letters], *[None] * (letters - len(c or []))] for c in m] for m in matrices]
+    shares = np.array(rows, float)
+    total, squares = shares[..., 0], shares[..., 0] * shares[..., 0]
+    for j in range(1, letters):
+        total, squares = total + shares[..., j], squares + shares[..., j] * shares[..., j]
+    mean = total / letters
+    whole = np.array([[None not in c for c in m] for m in rows])
+    return shares, mean, np.where(whole, squares - mean * mean * letters, -1.0)
+
+
+def best_offsets(queries: list, targets: list, letters: int, min_overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similarity, offset and overlap (query x target) of the offset with the largest mean correlation of columns, the first of equal ones.
+
+    Both sides are matrices, position x letter. The overlap is 0 where no offset has ``min_overlap`` columns; a column
+    that is flat, or that lacks a share, correlates with nothing.
+    """
+    shape = len(queries), len(targets)
+    best, offset, overlap = np.zeros(shape), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    q_widths, t_widths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (queries, targets))
+    least = max(min_overlap, 1)
+    for wide in np.unique(t_widths[t_widths >= least]).tolist():
+        t = np.flatnonzero(t_widths == wide)
+        b, mean_b, around_b = _shares([targets[k] for k in t], letters)
+        for width in np.unique(q_widths[q_widths >= least]).tolist():
+            rows = np.flatnonzero(q_widths == width)
+            step = max(1, CELLS // (len(t) * wide * width))
+            for k in range(0, len(rows), step):
+                q = rows[k : k + step]
+                a, mean_a, around_a = (x[:, :, None, None] for x in _shares([queries[j] for j in q], letters))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cross = a[..., 0] * b[..., 0]
+                    for j in range(1, letters):
+                        cross = cross + a[..., j] * b[..., j]
+                    cross = (cross - mean_a * mean_b * letters) / np.sqrt(around_a * around_b)
+                cross[(around_a <= 1e-12) | (around_b <= 1e-12)] = 0.0
+                top, at, n = np.zeros((len(q), len(t))), np.zeros((len(q), len(t)), np.int32), np.zeros((len(q), len(t)), np.int32)
+                for o in range(1 - wide, width):
+                    first, last = max(0, o), min(width, wide + o)
+                    if last - first < least:
+                        continue
+                    mean = sum(cross[:, i, :, i - o] for i in range(first, last)) / (last - first)
+                    better = (n == 0) | (mean > top) | (np.isnan(mean) & ~np.isnan(top))
+                    top[better], at[better], n[better] = mean[better], o, last - first
+                where = np.ix_(q, t)
+                best[where], offset[where], overlap[where] = top, at, n
+    return best, offset, overlap
+
+
 def code_points(texts: list[str]) -> np.ndarray:
     """The code points of the texts, one text after the other."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")

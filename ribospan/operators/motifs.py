@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from ribospan.functions import sequence as S
 from ribospan.functions.core import char_at, let, positions
 from ribospan.functions.scans import (
-    Automaton, code_points, first_words, group_numbers, spelled_numbers, spelled_texts, stacked_top_sums, word_totals,
+    Automaton, best_offsets, code_points, first_words, group_numbers, spelled_numbers, spelled_texts, stacked_top_sums, word_totals,
 )
 from ribospan.functions.special import true_runs
 from ribospan.session import materialize
@@ -301,67 +301,37 @@ def pfm_scan(
 # ------------------------------------------------------------ similarity
 
 
-def _column_pearson(a: Column, b: Column, n: int) -> Column:
-    """Pearson correlation of two PWM columns of n shares; 0 for a flat column."""
-    va, vb = [F.get(a, F.lit(i)) for i in range(n)], [F.get(b, F.lit(i)) for i in range(n)]
-
-    def add(terms):
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
-
-    ma, mb = add(va) / n, add(vb) / n
-    cross = add([x * y for x, y in zip(va, vb)]) - ma * mb * n
-    sa, sb = add([x * x for x in va]) - ma * ma * n, add([y * y for y in vb]) - mb * mb * n
-    return F.when((sa > 1e-12) & (sb > 1e-12), cross / F.sqrt(sa * sb)).otherwise(F.lit(0.0))
-
-
 def motif_similarity(
-    queries: DataFrame, db: DataFrame, on: list[str], min_overlap: int = 5, alphabet: str = S.RNA
+    queries: DataFrame, db: DataFrame, on: list[str], min_overlap: int = 5, alphabet: str = S.RNA,
+    part_columns: int = 4_000, group_rows: int = 200,
 ) -> DataFrame:
     """Best ungapped offset by mean column Pearson correlation, per query and database motif.
 
     This ranks similar motifs; it is not a significance model and gives no E-value.
     ``queries`` has ``on``, ``motif``, ``cols``; ``db`` has ``on``, ``target``,
-    ``target_cols``. Offset 0 aligns the first columns.
+    ``target_cols``. Offset 0 aligns the first columns; of equal offsets the smallest wins. Every query of a
+    group meets every database motif of it, ``group_rows`` queries and ``part_columns`` database columns in a task.
     """
-    def score(offset: Column, q: Column, t: Column) -> Column:
-        first = F.greatest(F.lit(1), offset + 1)
-        last = F.least(F.size(q), F.size(t) + offset)
-        overlap = last - first + 1
-        total = F.aggregate(
-            F.sequence(first, F.greatest(first, last)),
-            F.lit(0.0),
-            lambda acc, i: acc
-            + _column_pearson(F.element_at(q, i), F.element_at(t, i - offset), len(alphabet)),
-        )
-        return F.when(
-            overlap >= min_overlap,
-            F.struct(
-                (total / overlap).alias("similarity"),
-                (-offset).alias("neg_offset"),
-                overlap.alias("overlap"),
-            ),
-        )
-
-    def best(r: Column) -> Column:
-        q, t = r["q"], r["t"]
-        offsets = F.sequence(1 - F.size(t), F.size(q) - 1)
-        return F.array_max(
-            F.filter(F.transform(offsets, lambda o: score(o, q, t)), lambda x: x.isNotNull())
-        )
-
-    pairs = queries.join(db, on)
-    scored = pairs.withColumn(
-        "_b", let(F.struct(F.col("cols").alias("q"), F.col("target_cols").alias("t")), best)
-    )
-    return scored.where(F.col("_b").isNotNull()).select(
-        *on, "motif", "target",
-        F.col("_b.similarity").alias("similarity"),
-        (-F.col("_b.neg_offset")).alias("offset"),
-        F.col("_b.overlap").alias("overlap"),
+    # Columns of their own, since both sides may be made of one table.
+    targets = db.select(*[F.col(f"`{k}`").alias(k) for k in [*on, "target", "target_cols"]])
+    left, right, met = dealt_groups(
+        queries.select(*on, "motif", "cols"), targets, on, F.size("target_cols"), part_columns, group_rows
     )
+    kinds = {f.name: f.dataType.simpleString() for f in [*db.schema.fields, *queries.schema.fields]}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*on, "motif", "target"]) + ", similarity double, offset int, overlap int"
+    letters = len(alphabet)
+
+    def compare(own: pa.Table, others: pa.Table) -> pa.Table:
+        own = own.filter(pc.is_valid(own.column("cols")))
+        others = others.filter(pc.is_valid(others.column("target_cols")))
+        best = best_offsets(own.column("cols").to_pylist(), others.column("target_cols").to_pylist(), letters, min_overlap)
+        q, t = np.nonzero(best[2])
+        out = own.select([*on, "motif"]).take(pa.array(q)).append_column("target", others.column("target").take(pa.array(t)))
+        for name, values in zip(("similarity", "offset", "overlap"), best, strict=True):
+            out = out.append_column(name, pa.array(values[q, t]))
+        return out
+
+    return left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(compare, schema)
 
 
 def best_match(similarities: DataFrame, by: list[str]) -> DataFrame:

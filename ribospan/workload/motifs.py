@@ -262,15 +262,15 @@ def structure_power(spark, sf_dir):
 
 
 def _group_pwms(spark, sf_dir, by):
-    """The PWMs of all anchors of each group, long and as arrays of columns."""
-    p = materialize(M.pwm_from_instances(_anchored(spark, sf_dir).withColumn("grp", F.substr("motif", F.lit(1), F.lit(2))), [by, "motif"]))
+    """The PWMs of all anchors of each group (``grp``: one of them all), long and as arrays of columns."""
+    p = materialize(M.pwm_from_instances(_anchored(spark, sf_dir).withColumn("grp", F.lit("all")), [by, "motif"]))
     return p, materialize(M.pwm_rows(p, [by, "motif"]))
 
 
-def _pwm_sql(by: str) -> str:
+def _pwm_sql(by: str, grp: str = "substr(motif, 1, 2)") -> str:
     """The PWM of each (group, motif)."""
     return f"""
-anchors AS (SELECT dataset_id, substr(motif, 1, 5) AS motif, substr(motif, 1, 2) AS grp, substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances),
+anchors AS (SELECT dataset_id, substr(motif, 1, 5) AS motif, {grp} AS grp, substr(seq, CAST(s AS INTEGER) + 1, 8) AS w FROM instances),
 cell_counts AS (SELECT {by}, motif, i - 1 AS pos, replace(substr(w, i, 1), 'T', 'U') AS symbol, count(*) AS c
                 FROM (SELECT *, unnest(range(1, length(w) + 1)) AS i FROM anchors) GROUP BY ALL),
 totals AS (SELECT {by}, motif, count(*) AS n, max(length(w)) AS width FROM anchors GROUP BY ALL),
@@ -314,7 +314,7 @@ def pfm_scan(spark, sf_dir):
     )
 
 
-@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("grp"), """
+@query(with_ctes(WINDOWS, LANGUAGE, REGION_MOTIFS, _pwm_sql("grp", "'all'"), """
 cols AS (SELECT grp, motif, pos, list(p ORDER BY symbol) AS c FROM pwm GROUP BY ALL),
 pair AS (
   SELECT q.motif, t.motif AS target, q.pos - t.pos AS o, q.c AS a, t.c AS b
@@ -332,6 +332,7 @@ SELECT motif, target, round(s, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY motif ORDER BY s DESC, target) AS k FROM bo) WHERE k = 1
 """))
 def motif_similarity(spark, sf_dir):
+    """The most similar other motif of each, of all motifs."""
     _, pwms = _group_pwms(spark, sf_dir, "grp")
     db = pwms.select("grp", F.col("motif").alias("target"), F.col("cols").alias("target_cols"))
     sims = M.motif_similarity(pwms, db, ["grp"], 5).where(F.col("motif") != F.col("target"))

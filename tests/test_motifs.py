@@ -169,6 +169,60 @@ def test_similarity_finds_the_shift(spark):
     assert best["similarity"] == pytest.approx(1.0)
 
 
+def best_by_columns(q, t, min_overlap):
+    """Mean column correlation of the best offset, one column after another."""
+    def r(x, y):
+        if None in x or None in y:
+            return 0.0
+        mx, my = sum(x) / 4, sum(y) / 4
+        sx, sy = sum(a * a for a in x) - mx * mx * 4, sum(a * a for a in y) - my * my * 4
+        return (sum(a * b for a, b in zip(x, y)) - mx * my * 4) / (sx * sy) ** 0.5 if sx > 1e-12 and sy > 1e-12 else 0.0
+
+    found = []
+    for o in range(1 - len(t), len(q)):
+        at = range(max(0, o), min(len(q), len(t) + o))
+        if len(at) >= min_overlap:
+            found.append((sum(r(q[i], t[i - o]) for i in at) / len(at), -o, len(at)))
+    return max(found, default=None)
+
+
+def test_similarity_of_every_pair_however_it_is_dealt(spark):
+    rng = random.Random(9)
+    column = lambda: rng.choice([[0.25] * 4, [1.0, 0.0, 0.0, 0.0], [rng.random() for _ in range(4)], [0.5, None, 0.5, 0.0]])
+    motifs = [("g" if i % 5 else "h", f"m{i:02d}", [column() for _ in range(rng.choice([0, 3, 5, 6, 8]))]) for i in range(40)]
+    rows = [*motifs, ("g", "lost", None), (None, "apart", [[1.0, 0.0, 0.0, 0.0]] * 6), ("only", "one", [[1.0, 0.0, 0.0, 0.0]] * 6), motifs[7]]
+    df = spark.createDataFrame(rows, "grp string, motif string, cols array<array<double>>")
+    db = df.where("motif != 'one'").select("grp", F.col("motif").alias("target"), F.col("cols").alias("target_cols"))
+    want = sorted(
+        (a, q, t, s[0], -s[1], s[2]) for a, q, x in rows for b, t, y in rows
+        if a is not None and a == b and t != "one" and x and y and (s := best_by_columns(x, y, 5))
+    )
+    for sizes in ({}, {"part_columns": 30, "group_rows": 4}):
+        got = sorted(map(tuple, M.motif_similarity(df, db, ["grp"], 5, **sizes).collect()))
+        assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+
+
+def test_similarity_query_compares_motifs_of_any_leading_letters(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(12)
+    regions = ["ddddd", "bdddd", "dbddd", "bbbbbbb", "dddddddd", "dbdbd", "bbddd"]
+    texts = ["".join(rng.choice("aaaacc") if rng.random() < 0.8 else f"a{rng.choice(regions)}c" for _ in range(120)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, "web", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, entry.queries()["motif_similarity"](spark, str(tmp_path)).select("motif", "target", "similarity").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["motif_similarity"]).fetchall())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
+    motifs = {"".join({"b": "C", "d": "T"}[c] for c in w[:5]) for w in regions}
+    assert motifs <= {g[0] for g in got} and any(m[:2] != t[:2] for m, t, _ in got)
+
+
 def annotate(s):
     """Stack-based statement of the seven states."""
     mate, stack = {}, []
