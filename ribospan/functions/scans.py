@@ -262,6 +262,82 @@ def first_words(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, p
     return record, at, spelled_texts(points[(np.cumsum(sizes) - sizes)[record][:, None] + at[:, None] + np.arange(width)])
 
 
+BYTE_BITS = 7  # a letter of ASCII
+
+
+class WordSums:
+    """For each (group, word) the records and marked records that hold the word, added up over batches of ASCII texts.
+
+    A place is one number (group, word, record), so that one sort of a batch's places brings equal words together and shows
+    which of them a record has more than once.
+    """
+
+    def __init__(self, width: int) -> None:
+        self.width, self.bits = width, BYTE_BITS * width
+        self.groups: dict[tuple, int] = {}
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, raw: np.ndarray, ends: np.ndarray, groups: list[tuple], which: np.ndarray, marked: np.ndarray) -> bool:
+        """Take the texts of a batch, of which ``which`` is the group; False, and nothing is done, if numbers can't hold its words."""
+        n, width = len(which), self.width
+        low = n.bit_length()
+        if low + self.bits + max(len(groups), 1).bit_length() > 62 or raw.max(initial=0) > 127:
+            return False
+        places = max(len(raw) - width + 1, 0)
+        if not places:
+            return True
+        inside = np.ones(places, bool)
+        for j in range(1, width):
+            last = ends[1:] - j
+            inside[last[(last >= 0) & (last < places)]] = False
+        keys = raw[:places].astype(np.int64)
+        for j in range(1, width):
+            keys <<= BYTE_BITS
+            keys |= raw[j : j + places]
+        keys <<= low
+        keys |= np.repeat(which.astype(np.int64) << (low + self.bits) | np.arange(n), np.diff(ends))[:places]
+        keys = np.sort(keys[inside])
+        if not len(keys):
+            return True
+        fresh = np.empty(len(keys), bool)
+        fresh[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+        keys = keys[fresh]
+        cell = keys >> low
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        in_marked = np.add.reduceat(marked.astype(np.int64)[keys & ((1 << low) - 1)], first)
+        number = np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64)
+        cell_of = cell[first]
+        cell_of = number[cell_of >> self.bits] << self.bits | cell_of & ((1 << self.bits) - 1)
+        self.parts.append((cell_of, np.diff(np.append(first, len(cell))), in_marked))
+        self.size += len(first)
+        return True
+
+    def merge(self) -> None:
+        """Add up what batches have in common."""
+        if len(self.parts) < 2:
+            return
+        cell, *sums = map(np.concatenate, zip(*self.parts, strict=True))
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        self.parts = [(cell[first], *(np.add.reduceat(x[order], first) for x in sums))]
+        self.size = len(first)
+
+    def taken(self):
+        """Lists of groups with the number of the group, word, records and marked records of each cell, portion by portion; nothing is held after that."""
+        self.merge()
+        groups, parts = list(self.groups), self.parts
+        self.groups, self.parts, self.size = {}, [], 0
+        shift = BYTE_BITS * np.arange(self.width - 1, -1, -1)
+        for cell, n, in_marked in parts:
+            for a in range(0, len(cell), 1 << 16):
+                some = cell[a : a + (1 << 16)]
+                words = spelled_texts((some[:, None] >> shift & ((1 << BYTE_BITS) - 1)).astype(np.uint8))
+                yield groups, some >> self.bits, words, n[a : a + (1 << 16)], in_marked[a : a + (1 << 16)]
+
+
 CODE_BITS = 5  # a capital letter
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ribospan.functions.core import col, let, positions
-from ribospan.functions.special import base_state_letters, centred_track, vocabulary_ids
+from ribospan.functions.special import (
+    base_state_letters, base_state_texts, byte_table, centred_track, translated, vocabulary_ids,
+)
 
 # Alphabets.
 RNA = "ACGU"
@@ -180,6 +182,22 @@ def reduce_alphabet(seq: str | Column, states: str | Column) -> dict[str, Column
     }
 
 
+def alphabet_texts():
+    """:func:`reduce_alphabet` as a function of Arrow arrays of bases and states: a look-up for each letter of a batch."""
+    spelled = base_state_texts(RNA, STATES_7, LETTERS_28)
+    four = byte_table(STATES_7, STATES_4)
+    of_full = {"seq_struct_8": byte_table(LETTERS_28, LETTERS_8), "seq_struct_16": byte_table(LETTERS_28, LETTERS_16)}
+    of_states = {"struct_2": byte_table(STATES_4_FROM, STATES_2)[four], "struct_4": four}
+
+    def encoded(seq, states) -> dict:
+        full = spelled(seq, states)
+        out = {"seq_4": seq, "seq_struct_28": full, "struct_7": states}
+        out |= {a: translated(full, table) for a, table in of_full.items()}
+        return out | {a: translated(states, table) for a, table in of_states.items()}
+
+    return encoded
+
+
 def text_digest(text: str | Column) -> Column:
     return F.md5(col(text))
 

@@ -59,12 +59,46 @@ def hypergeom_upper(x: int, total: int, marked: int, drawn: int) -> float:
     return max(0.0, 1.0 - tail(x - 1, lo, -1))
 
 
+def hypergeom_uppers(x: np.ndarray, total: np.ndarray, marked: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """:func:`hypergeom_upper` of every row, a term of all open sums at a time."""
+    lo, hi = np.maximum(0, drawn - (total - marked)), np.minimum(marked, drawn)
+    out = np.where(x <= lo, 1.0, 0.0)
+    rows = np.flatnonzero((x > lo) & (x <= hi))
+    x, total, marked, drawn = (v[rows] for v in (x, total, marked, drawn))
+    up = x > (drawn + 1) * (marked + 1) // (total + 2)
+    start = np.where(up, x, x - 1)
+
+    def log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        each, which = np.unique(np.concatenate([n, k, n - k]), return_inverse=True)
+        a, b, c = np.array([math.lgamma(v + 1) for v in each.tolist()])[which].reshape(3, -1)
+        return a - b - c
+
+    if not len(rows):
+        return out
+    term = np.exp(log_choose(marked, start) + log_choose(total - marked, drawn - start) - log_choose(total, drawn))
+    sums, acc = np.zeros(len(rows)), term.copy()
+    # Upwards the next term has (marked - k)(drawn - k) over (k + 1)(rest + k + 1), downwards k (rest + k) over
+    # (marked - k + 1)(drawn - k + 1). Both are products (a - s)(b - s) / (c + s)(d + s) in the steps s, and 0 from the last term on.
+    rest = total - marked - drawn
+    a, b = np.where(up, marked - start, start).astype(float), np.where(up, drawn - start, rest + start).astype(float)
+    c, d = np.where(up, start + 1, marked - start + 1).astype(float), np.where(up, rest + start + 1, drawn - start + 1).astype(float)
+    live, s = np.arange(len(rows)), 0
+    while len(live):
+        for _ in range(16):
+            term = term * ((np.maximum(a - s, 0) * np.maximum(b - s, 0)) / ((c + s) * (d + s)))
+            acc = acc + term
+            s += 1
+        on = term >= acc * 1e-18
+        on &= term > 0
+        sums[live[~on]] = acc[~on]
+        live, term, acc, a, b, c, d = (v[on] for v in (live, term, acc, a, b, c, d))
+    out[rows] = np.where(up, np.minimum(1.0, sums), np.maximum(0.0, 1.0 - sums))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def hypergeom_sf(x: pd.Series, total: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series(
-        [hypergeom_upper(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(x, total, marked, drawn)],
-        dtype=float,
-    )
+    return pd.Series(hypergeom_uppers(*(v.astype("int64").to_numpy() for v in (x, total, marked, drawn))), dtype=float)
 
 
 @F.pandas_udf(DoubleType())
@@ -184,8 +218,36 @@ def dot_bracket_states(structure: pd.Series) -> pd.Series:
     return pd.Series(out, index=structure.index).where(structure.notna(), None)
 
 
-def base_state_letters(bases: str, states: str, letters: str):
-    """A function of a base string and a state string: the letter of each pair, all records of a batch at once.
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of the texts, and where each of them begins and the last one ends; a null is empty."""
+    text = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    return np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def byte_texts(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts that :func:`text_bytes` takes apart."""
+    if ends[-1] >= 1 << 31:
+        return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw)).cast(pa.string())
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw))
+
+
+def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """The texts with every byte replaced by what ``table`` has for it; a null remains."""
+    raw, ends = text_bytes(texts)
+    out = byte_texts(table[raw], ends)
+    return pa.compute.if_else(texts.is_valid(), out, pa.scalar(None, pa.string())) if texts.null_count else out
+
+
+def byte_table(letters: str, become: str) -> np.ndarray:
+    """For :func:`translated`: each of ``letters`` becomes the one of ``become`` at its place, other bytes remain."""
+    table = np.arange(256, dtype=np.uint8)
+    table[[ord(c) for c in letters]] = [ord(c) for c in become]
+    return table
+
+
+def base_state_texts(bases: str, states: str, letters: str):
+    """A function of Arrow arrays of base strings and state strings: the letter of each pair, all records of a batch at once.
 
     ``letters`` is base-major. A base string that is too short counts as the first base from there
     on; a base or state that is not listed counts as the one before the first, and letters before the
@@ -197,20 +259,28 @@ def base_state_letters(bases: str, states: str, letters: str):
             row[ord(c)] = i + 1
     numbers = (np.arange(len(bases) + 1)[:, None] - 1) * len(states) + np.arange(len(states) + 1)
     table = np.frombuffer(letters.encode(), np.uint8)[np.where(numbers > 0, numbers - 1, numbers)]
+    every = table[place[0][:, None], place[1]].ravel()  # of a byte of either
 
     def codes(parts: list[str]) -> np.ndarray:
         return np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4"), 255)
 
-    @F.pandas_udf(StringType())
-    def encode(seq: pd.Series, state: pd.Series) -> pd.Series:
-        known = (seq.notna() & state.notna()).to_numpy()
+    def spelled(seq: pa.Array, state: pa.Array) -> pa.Array:
+        if not (seq.null_count or state.null_count):
+            (above, ends), (below, same) = text_bytes(seq), text_bytes(state)
+            if np.array_equal(ends, same) and max(above.max(initial=0), below.max(initial=0)) < 128:
+                return byte_texts(every[above.astype(np.uint16) << 8 | below], ends)
+        seq, state = seq.to_pylist(), state.to_pylist()
+        known = [s is not None and t is not None for s, t in zip(seq, state, strict=True)]
         below = [t if k else "" for t, k in zip(state, known, strict=True)]
         above = [s[: len(t)].ljust(len(t), bases[0]) if k else "" for s, t, k in zip(seq, below, known, strict=True)]
-        text = table[place[0][codes(above)], place[1][codes(below)]].tobytes().decode()
-        ends = np.cumsum([len(t) for t in below]).tolist()
-        return pd.Series([text[i:j] for i, j in zip([0, *ends], ends, strict=False)], index=seq.index, dtype=object)
+        return byte_texts(table[place[0][codes(above)], place[1][codes(below)]], np.cumsum([0, *map(len, below)]))
 
-    return encode
+    return spelled
+
+
+def base_state_letters(bases: str, states: str, letters: str):
+    """:func:`base_state_texts` as a function of columns."""
+    return F.arrow_udf(StringType())(base_state_texts(bases, states, letters))
 
 
 def word_numbers(letters: str, width: int, read_as: dict[str, str] | None = None):

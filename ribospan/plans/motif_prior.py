@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
+from ribospan.functions.scans import WordSums, group_numbers
+from ribospan.functions.special import text_bytes
 from ribospan.operators import motifs as M
 from ribospan.operators.stats import hypergeom_enrichment
 from ribospan.session import materialize
 
+MOST_SUMS = 1 << 21  # of words in a task
+
 # Symbols of each alphabet.
 ALPHABETS = {
     "seq_4": S.RNA,
@@ -31,10 +36,20 @@ ALPHABETS = {
 
 
 def alphabet_rows(df: DataFrame, keys: list[str], alphabets: list[str]) -> DataFrame:
-    """Long ``(keys, alphabet, seq)`` from ``seq`` and ``states``."""
-    encoded = S.reduce_alphabet("seq", "states")
-    rows = [F.struct(F.lit(a).alias("alphabet"), encoded[a].alias("seq")) for a in alphabets]
-    return df.select(*keys, F.inline(F.array(*rows)))
+    """Long ``(keys, alphabet, seq)`` from ``seq`` and ``states``: a batch of records becomes a batch in each alphabet."""
+    chosen = df.select(*keys, F.col("seq").alias("_seq"), F.col("states").alias("_states"))
+    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "alphabet string, seq string"
+    encoded = S.alphabet_texts()
+
+    def run(found):
+        for batch in found:
+            texts = encoded(batch.column("_seq"), batch.column("_states"))
+            own = batch.select(keys).columns
+            for a in alphabets:
+                yield pa.RecordBatch.from_arrays([*own, pa.repeat(a, batch.num_rows), texts[a]], names=[*keys, "alphabet", "seq"])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def _words(codes: np.ndarray, starts: np.ndarray, symbols: np.ndarray, width: int, records: int) -> tuple[np.ndarray, int, callable]:
@@ -50,66 +65,113 @@ def _words(codes: np.ndarray, starts: np.ndarray, symbols: np.ndarray, width: in
     return ids.ravel(), len(each), lambda found: symbols[each[found]]
 
 
-def word_counts(rows: DataFrame, by: list[str], width: int) -> DataFrame:
-    """``by, motif, n_with, n_pos_with``: records and positive records that hold each word, counted batch by batch."""
+def _batch_counts(batch: pa.RecordBatch, by: list[str], width: int) -> pa.RecordBatch | None:
+    """``by, motif, n_with, n_pos_with`` of one batch of any texts."""
+    batch = batch.filter(pc.greater_equal(pc.utf8_length(batch.column("_text")), width))
+    n = batch.num_rows
+    if not n:
+        return None
+    group = np.zeros(n, np.int64)
+    for k in by:
+        values = batch.column(k).dictionary_encode(null_encoding="encode")
+        group = group * (len(values.dictionary) + 1) + values.indices.to_numpy()
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    texts = batch.column("_text").to_pylist()
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    symbols, codes = np.unique(points, return_inverse=True)
+    record = np.repeat(np.arange(n), sizes - width + 1)
+    starts = np.arange(len(record)) + np.repeat(np.cumsum(sizes) - sizes - np.concatenate([[0], np.cumsum(sizes - width + 1)[:-1]]), sizes - width + 1)
+    ids, bound, spelled = _words(codes, starts, symbols, width, n)
+    # A word counts once in a record.
+    pairs = np.sort(record * bound + ids)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    record, ids = np.divmod(pairs, bound)
+    marked = batch.column("_marked").to_numpy(zero_copy_only=False)
+    held = np.sort((group[record] * bound + ids) * 2 + marked[record])
+    at = np.flatnonzero(np.concatenate([[True], held[1:] >> 1 != held[:-1] >> 1]))
+    n_with, n_pos = np.diff(np.append(at, len(held))), np.add.reduceat(held & 1, at)
+    which, ids = np.divmod(held[at] >> 1, bound)
+    spelling = np.ascontiguousarray(spelled(ids), dtype="<u4").view(f"<U{width}").ravel()
+    keys = batch.select(by).take(pa.array(first[which]))
+    return pa.RecordBatch.from_arrays(
+        [*keys.columns, pa.array(spelling.tolist(), pa.string()), pa.array(n_with), pa.array(n_pos)],
+        names=[*by, "motif", "n_with", "n_pos_with"],
+    )
+
+
+def word_totals(rows: DataFrame, by: list[str], width: int) -> DataFrame:
+    """:func:`word_counts`, and for each group a row without a motif that counts all its records and all positive ones.
+
+    A task adds up the words of its batches, and passes on the sums when there are too many of them.
+    """
     chosen = rows.select(*by, F.coalesce(F.col("label") == 1, F.lit(False)).alias("_marked"), F.col("seq").alias("_text"))
-    chosen = chosen.where(F.length("_text") >= width)
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", motif string, n_with long, n_pos_with long"
+    names = [*by, "motif", "n_with", "n_pos_with"]
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in by) + "motif string, n_with long, n_pos_with long"
 
     def run(found):
+        sums, sizes, types = WordSums(width), {}, None
+
+        def keys_of(groups: list[tuple], which) -> list[pa.Array]:
+            return [pa.array([g[i] for g in groups], t).take(pa.array(which)) for i, t in enumerate(types)]
+
+        def held():
+            for groups, which, words, n, in_marked in sums.taken():
+                yield pa.RecordBatch.from_arrays([*keys_of(groups, which), words, pa.array(n), pa.array(in_marked)], names=names)
+            groups, many = list(sizes), np.array(list(sizes.values()), np.int64).reshape(-1, 2)
+            sizes.clear()
+            if groups:
+                motif = pa.nulls(len(groups), pa.string())
+                yield pa.RecordBatch.from_arrays([*keys_of(groups, np.arange(len(groups))), motif, pa.array(many[:, 0]), pa.array(many[:, 1])], names=names)
+
         for batch in found:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            group = np.zeros(n, np.int64)
-            for k in by:
-                values = batch.column(k).dictionary_encode(null_encoding="encode")
-                group = group * (len(values.dictionary) + 1) + values.indices.to_numpy()
-            _, first, group = np.unique(group, return_index=True, return_inverse=True)
-            texts = batch.column("_text").to_pylist()
-            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-            sizes = np.fromiter(map(len, texts), np.int64, n)
-            symbols, codes = np.unique(points, return_inverse=True) if points.max() > 255 else (np.flatnonzero(np.bincount(points)), None)
-            if codes is None:
-                place = np.zeros(256, np.int64)
-                place[symbols] = np.arange(len(symbols))
-                codes = place[points]
-            record = np.repeat(np.arange(n), sizes - width + 1)
-            starts = np.arange(len(record)) + np.repeat(np.cumsum(sizes) - sizes - np.concatenate([[0], np.cumsum(sizes - width + 1)[:-1]]), sizes - width + 1)
-            ids, bound, spelled = _words(codes, starts, symbols, width, n)
-            # A word counts once in a record.
-            pairs = np.sort(record * bound + ids)
-            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-            record, ids = np.divmod(pairs, bound)
+            types = [batch.schema.field(k).type for k in by]
+            groups, which = group_numbers(batch, by)
             marked = batch.column("_marked").to_numpy(zero_copy_only=False)
-            held = np.sort((group[record] * bound + ids) * 2 + marked[record])
-            at = np.flatnonzero(np.concatenate([[True], held[1:] >> 1 != held[:-1] >> 1]))
-            n_with, n_pos = np.diff(np.append(at, len(held))), np.add.reduceat(held & 1, at)
-            which, ids = np.divmod(held[at] >> 1, bound)
-            spelling = np.ascontiguousarray(spelled(ids), dtype="<u4").view(f"<U{width}").ravel()
-            keys = batch.select(by).take(pa.array(first[which]))
-            yield pa.RecordBatch.from_arrays(
-                [*keys.columns, pa.array(spelling.tolist(), pa.string()), pa.array(n_with), pa.array(n_pos)],
-                names=[*by, "motif", "n_with", "n_pos_with"],
-            )
-
-    counts = chosen.mapInArrow(run, schema)
+            for g, n, m in zip(groups, np.bincount(which).tolist(), np.bincount(which[marked], minlength=len(groups)).tolist(), strict=True):
+                n_all, n_marked = sizes.get(g, (0, 0))
+                sizes[g] = n_all + n, n_marked + m
+            if not sums.add(*text_bytes(batch.column("_text")), groups, which, marked):
+                counts = _batch_counts(batch, by, width)
+                if counts is not None:
+                    yield counts
+            if sums.size > MOST_SUMS:
+                sums.merge()
+                if sums.size > MOST_SUMS // 2:
+                    yield from held()
+            if len(sizes) > MOST_SUMS // 8:
+                yield from held()
+        if types:
+            yield from held()
+
+    # Equal words of a task are one row already, so they are added up behind the move only.
+    counts = chosen.mapInArrow(run, schema).repartition(*by, "motif")
     return counts.groupBy(*by, "motif").agg(F.sum("n_with").alias("n_with"), F.sum("n_pos_with").alias("n_pos_with"))
 
 
+def word_counts(rows: DataFrame, by: list[str], width: int) -> DataFrame:
+    """``by, motif, n_with, n_pos_with``: records and positive records that hold each word, each record read once."""
+    return word_totals(rows, by, width).where(F.col("motif").isNotNull())
+
+
 def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int | None) -> DataFrame:
     """The most enriched words per group under the Bonferroni rule, at most ``max_motifs`` (None: all).
 
-    Enriched means p below 0.01 / n, n being the words seen in the group.
+    Enriched means p below 0.01 / n, n being the words seen in the group. ``rows`` is read once.
     """
-    counts = materialize(word_counts(rows, by, width))
+    totals = materialize(word_totals(rows, by, width))
+    counts = totals.where(F.col("motif").isNotNull())
+    sizes = totals.where(F.col("motif").isNull()).select(*by, F.col("n_with").alias("total"), F.col("n_pos_with").alias("positives"))
     n_words = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = M.with_population(counts, rows, by).join(n_words, by).withColumn("_cut", F.lit(0.01) / F.col("_n"))
+    sized = counts.join(sizes, by).join(n_words, by).withColumn("_cut", F.lit(0.01) / F.col("_n"))
     # A word seen n times can't have a smaller p than if all n were positive; most words are too rare to pass.
     n = F.col("n_with").cast("double")
     least = n * F.log(F.greatest(F.col("positives") - n + 1, F.lit(1e-9)) / (F.col("total") - n + 1))
-    tested = hypergeom_enrichment(sized.where(least < F.log("_cut")))
+    # The counts are small, the sums over their tails long: they are dealt out whatever their size, and added up once.
+    tested = materialize(hypergeom_enrichment(sized.where(least < F.log("_cut")).repartition(M.SHARES, *by, "motif")))
     passing = tested.where(F.col("p") < F.col("_cut")).drop("_n", "_cut")
     if max_motifs is None:
         return passing

@@ -608,7 +608,7 @@ def motif_prior_words(spark, sf_dir):
     """The enriched words of every dataset in each of the seven alphabets."""
     states = F.rpad(F.lit(""), F.length("seq"), F.lit("HLRBMTE"))
     records = language_windows(spark, sf_dir).select("dataset_id", "rec_id", "label", S.normalize_rna("seq").alias("seq"), states.alias("states"))
-    rows = materialize(MP.alphabet_rows(records, ["dataset_id", "rec_id", "label"], list(MP.ALPHABETS)))
+    rows = MP.alphabet_rows(records, ["dataset_id", "rec_id", "label"], list(MP.ALPHABETS))
     words = MP.enriched_words(rows, ["dataset_id", "alphabet"], 5, None)
     return words.select("dataset_id", "alphabet", "motif", "n_with", "n_pos_with", F.round(F.log10("p"), 4).alias("log10_p"))
 

@@ -188,3 +188,19 @@ def test_areas_with_billions_of_rows(spark):
     areas = {k: v.alias(k) for k, v in M._area_columns().items()}
     got = curve.agg(*areas.values()).first()
     assert got["roc_auc"] == pytest.approx(0.5) and got["average_precision"] == pytest.approx(0.75)
+
+
+def test_tails_of_many_rows_are_those_of_each_row():
+    from ribospan.functions.special import hypergeom_uppers
+
+    rng = random.Random(3)
+    rows = [(0, 0, 0, 0), (1, 5, 0, 3), (3, 5, 5, 3), (2, 5, 5, 3), (4, 5, 4, 4), (501_000, 10_000_000, 5_000_000, 1_000_000)]
+    for _ in range(3000):
+        total = rng.choice([1, 7, 60, 5000, 300_000])
+        marked, drawn = rng.randint(0, total), rng.randint(0, total)
+        middle = marked * drawn // total
+        rows.append((max(0, middle + rng.randint(-40, 40)), total, marked, drawn))
+    got = hypergeom_uppers(*np.array(rows, np.int64).T)
+    for p, row in zip(got.tolist(), rows, strict=True):
+        assert p == pytest.approx(hypergeom_upper(*row), rel=1e-9, abs=1e-13)
+    assert hypergeom_uppers(*np.zeros((4, 0), np.int64)).shape == (0,)

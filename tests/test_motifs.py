@@ -428,3 +428,54 @@ def test_states_at_motifs_are_summed_in_the_task(spark):
     found = M.structure_at_motif(motifs, recs, ["dataset_id"], width=3, totals=True).collect()
     assert len(found) == len(want)
     assert {(r["dataset_id"], r["motif"], r["states"]): (r["n"], r["positions"]) for r in found} == want
+
+
+def test_words_of_many_batches_are_added_up_before_they_leave():
+    from ribospan.functions.scans import WordSums
+    from ribospan.functions.special import text_bytes
+
+    rng = random.Random(13)
+    for width in (1, 3, 5):
+        sums, want, taken = WordSums(width), {}, {}
+        for part in range(6):
+            texts = ["".join(rng.choice("ACGUab|") for _ in range(rng.choice([0, 1, 2, 4, 5, 9, 40]))) for _ in range(30)] + [None, "AAAAAAAA"]
+            which, marked = np.array([rng.randint(0, 2) for _ in texts]), np.array([rng.random() < 0.5 for _ in texts])
+            groups = [("x", part % 2), (None, 1), ("y", 0)]
+            import pyarrow as pa
+
+            assert sums.add(*text_bytes(pa.array(texts, pa.string())), groups, which, marked)
+            for t, g, m in zip(texts, which, marked):
+                for w in {t[i : i + width] for i in range(len(t) - width + 1)} if t else ():
+                    n, p = want.get((groups[g], w), (0, 0))
+                    want[groups[g], w] = n + 1, p + int(m)
+            if part == 2:
+                sums.merge()
+                assert sums.size == len(want)
+        for groups, which, words, n, in_marked in sums.taken():
+            cells = zip([groups[k] for k in which], words.to_pylist(), zip(n.tolist(), in_marked.tolist(), strict=True), strict=True)
+            for g, w, counts in cells:
+                assert (g, w) not in taken
+                taken[g, w] = counts
+        assert taken == want and sums.size == 0 and not sums.groups
+    assert not WordSums(5).add(*text_bytes(pa.array(["ACGÄA"])), [()], np.zeros(1, np.int64), np.ones(1, bool))
+    assert not WordSums(9).add(*text_bytes(pa.array(["ACGUACGUAC"])), [()], np.zeros(1, np.int64), np.ones(1, bool))
+
+
+def test_enriched_words_read_the_rows_once_and_count_all_records_of_a_group(spark, tmp_path):
+    """Records shorter than a word belong to the population, those of a null group to none."""
+    rows = [("d", i, int(i < 30), ("GGGGG" if i < 30 else "") + "ACGUU"[i % 5 :]) for i in range(90)]
+    rows += [("d", 90 + i, 0, ["A", None, ""][i % 3]) for i in range(30)] + [(None, 1, 1, "GGGGG"), ("e", 1, None, "ACGUA")]
+    schema = "dataset_id string, rec_id int, label int, seq string"
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, schema).mapInArrow(passed, schema)
+    found = MP.enriched_words(df, ["dataset_id"], 5, None).collect()
+    assert read.value == len(rows)
+    best = {r["motif"]: r for r in found}
+    assert {r["dataset_id"] for r in found} == {"d"} and (best["GGGGG"]["total"], best["GGGGG"]["positives"]) == (120, 30)
+    assert best["GGGGG"]["n_with"] == best["GGGGG"]["n_pos_with"] == 30
