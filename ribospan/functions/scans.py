@@ -97,13 +97,15 @@ class StackedPwms:
     """PWMs of one width as tables of the products over short words, and a scan over them."""
 
     def __init__(self, matrices: np.ndarray, alphabet: str, most_rows: int = 4096) -> None:
-        """``matrices``: motif x position x letter; any other letter has probability 0."""
+        """``matrices``: motif x position x letter; any other letter, like one that no motif has, has probability 0."""
+        used = np.flatnonzero((matrices != 0).any(axis=(0, 1)))
+        matrices, alphabet = matrices[:, :, used], [alphabet.encode()[k] for k in used]
         motifs, self.width, letters = matrices.shape
         self.code = np.full(256, letters, np.int64)
-        for k, letter in enumerate(alphabet.encode()):
+        for k, letter in enumerate(alphabet):
             self.code[letter] = k
         self.letters, span = letters + 1, 1
-        while (letters + 1) ** (span + 1) <= most_rows:
+        while span < self.width and (letters + 1) ** (span + 1) <= most_rows:
             span += 1
         full = np.concatenate([matrices, np.zeros((motifs, self.width, 1))], axis=2)
         self.cuts = [(k, min(k + span, self.width)) for k in range(0, self.width, span)]
@@ -119,11 +121,14 @@ class StackedPwms:
             self.rest.insert(0, self.rest[0] * table.max(axis=0))
 
     def _word_codes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each cut the numbers of the words, a row a window."""
         windows, out = codes.shape[1] - self.width + 1, []
+        codes = np.ascontiguousarray(codes.T, np.int32)  # a table has few rows
         for a, b in self.cuts:
-            word = np.zeros((len(codes), windows), np.int64)
+            word = np.zeros((windows, len(codes[0])), np.int32)
             for k in range(a, b):
-                word = word * self.letters + codes[:, k : k + windows]
+                word *= self.letters
+                word += codes[k : k + windows]
             out.append(word)
         return out
 
@@ -138,22 +143,22 @@ class StackedPwms:
         if windows < n:
             return np.zeros((len(codes), motifs))
         words = self._word_codes(codes)
-        best = np.zeros((n, len(codes), motifs))
+        best = np.zeros((n, len(codes) * motifs))
         for w in range(windows):
-            score = self.tables[0][words[0][:, w]]
+            score = self.tables[0].take(words[0][w], axis=0)
+            cell = np.flatnonzero((score * self.rest[0]).ravel() > best[-1])
+            score = score.ravel()[cell]
             for k in range(1, len(words)):
-                if k < len(words) - 1 or len(words) == 2:
-                    score = score * self.tables[k][words[k][:, w]]
-                    continue
-                row, motif = np.nonzero(score * self.rest[k - 1] > best[-1])
-                value = score[row, motif] * self.tables[k][words[k][row, w], motif]
-                score = np.zeros_like(score)
-                score[row, motif] = value
+                if k > 1:
+                    on = score * self.rest[k - 1][cell % motifs] > best[-1][cell]
+                    cell, score = cell[on], score[on]
+                row, motif = np.divmod(cell, motifs)
+                score = score * self.tables[k][words[k][w][row], motif]
             for k in range(n):
-                lower = np.minimum(best[k], score)
-                np.maximum(best[k], score, out=best[k])
-                score = lower
-        return best.sum(axis=0)
+                known = best[k][cell]
+                best[k][cell] = np.maximum(known, score)
+                score = np.minimum(known, score)
+        return best.sum(axis=0).reshape(len(codes), motifs)
 
 
 def stacked_top_sums(texts: list[bytes], matrices: list, alphabet: str, n: int) -> np.ndarray:
@@ -338,6 +343,22 @@ class WordSums:
                 yield groups, some >> self.bits, words, n[a : a + (1 << 16)], in_marked[a : a + (1 << 16)]
 
 
+def word_places(points: np.ndarray, ends: np.ndarray, words: list[str], width: int, flank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the word, text and place of each of ``words`` in texts of letters ``points`` that end at ``ends[1:]``, if ``flank`` letters on both sides are there."""
+    none, found = np.zeros(0, np.int64), []
+    for k, word in enumerate(words):
+        letters = code_points([word])
+        if len(letters) != width:
+            continue
+        at = np.flatnonzero(points[: max(len(points) - width + 1, 0)] == letters[0])
+        for j in range(1, width):
+            at = at[points[at + j] == letters[j]]
+        text = np.searchsorted(ends, at, "right") - 1
+        inside = (at - flank >= ends[text]) & (at + width + flank <= ends[text + 1])
+        found.append((np.full(int(inside.sum()), k), text[inside], at[inside]))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (none, none, none)
+
+
 CODE_BITS = 5  # a capital letter
 
 

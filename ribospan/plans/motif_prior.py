@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ribospan.functions import sequence as S
-from ribospan.functions.scans import WordSums, group_numbers
+from ribospan.functions.scans import WordSums, code_points, group_numbers, spelled_texts, word_places
 from ribospan.functions.special import text_bytes
 from ribospan.operators import motifs as M
 from ribospan.operators.stats import hypergeom_enrichment
@@ -180,11 +180,36 @@ def enriched_words(rows: DataFrame, by: list[str], width: int, max_motifs: int |
 
 
 def word_instances(rows: DataFrame, words: DataFrame, by: list[str], width: int, flank: int) -> DataFrame:
-    """``by, motif, seq``: the places of ``words`` widened by ``flank``, those inside the record; a gram takes only those letters along."""
-    grams = rows.select(*by, "seq", F.posexplode(S.kmers("seq", width)).alias("at", "motif"))
-    inside = (F.col("at") - flank >= 0) & (F.col("at") + width + flank <= F.length("seq"))
-    wide = F.substr("seq", F.col("at") - flank + 1, F.lit(width + 2 * flank)).alias("seq")
-    return grams.where(inside).select(*by, "motif", wide).join(words.select(*by, "motif"), [*by, "motif"])
+    """``by, motif, seq``: the places of ``words`` widened by ``flank``, those inside the record.
+
+    A record meets the list of its group's words, of which there are few, and leaves only its places.
+    """
+    lists = materialize(words.groupBy(*by).agg(F.collect_list("motif").alias("_words")))
+    met = rows.select(*by, F.col("seq").alias("_text")).where(F.length("_text") >= width).join(lists, by)
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in by) + "motif string, seq string"
+
+    def run(found):
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            groups, which = group_numbers(batch, by)
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(len(groups) + 1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = batch.take(pa.array(order[a:b]))
+                listed = own.column("_words")[0].as_py()
+                points, ends = text_bytes(own.column("_text"))
+                if points.max(initial=0) > 127:
+                    texts = own.column("_text").to_pylist()
+                    points, ends = code_points(texts), np.cumsum([0, *map(len, texts)])
+                word, text, at = word_places(points, ends, listed, width, flank)
+                if len(at):
+                    wide = spelled_texts(points[(at - flank)[:, None] + np.arange(width + 2 * flank)])
+                    keys = own.select(by).take(pa.array(text)).columns
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(listed, pa.string()).take(pa.array(word)), wide], names=[*by, "motif", "seq"])
+
+    return met.select(*by, "_text", "_words").mapInArrow(run, schema)
 
 
 def prior_features(
@@ -221,9 +246,13 @@ def feature_vectors(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = materialize(features.select("dataset_id", "feature").distinct())
     order = W.partitionBy("dataset_id").orderBy("feature")
     places = materialize(names.withColumn("place", F.row_number().over(order) - 1))
-    rows = features.join(places, ["dataset_id", "feature"])
-    entry = F.when(F.col("score") != 0, F.struct("place", "score"))
-    vectors = rows.groupBy("dataset_id", "rec_id", F.col("label").alias("class")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    keys = ["dataset_id", "rec_id", F.col("label").alias("class")]
+    entry = F.struct("place", "score")
+    # Most scores are 0: a record has one row for them all, so that it has a vector, and one for each other score.
+    some = features.where(F.col("score") != 0).join(places, ["dataset_id", "feature"]).select(*keys, entry.alias("entry"))
+    named = features.where(F.col("dataset_id").isNotNull() & F.col("feature").isNotNull())
+    none = named.select(*keys).distinct().withColumn("entry", F.lit(None).cast(some.schema["entry"].dataType))
+    vectors = some.unionByName(none).groupBy("dataset_id", "rec_id", "class").agg(F.sort_array(F.collect_list("entry")).alias("e"))
     return vectors.select("dataset_id", "rec_id", "class", F.col("e.place").alias("places"), F.col("e.score").alias("scores")), places
 
 

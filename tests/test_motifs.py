@@ -479,3 +479,43 @@ def test_enriched_words_read_the_rows_once_and_count_all_records_of_a_group(spar
     best = {r["motif"]: r for r in found}
     assert {r["dataset_id"] for r in found} == {"d"} and (best["GGGGG"]["total"], best["GGGGG"]["positives"]) == (120, 30)
     assert best["GGGGG"]["n_with"] == best["GGGGG"]["n_pos_with"] == 30
+
+
+def test_instances_are_found_without_a_row_for_each_gram(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("ACG") for _ in range(rng.randint(0, 25))) for _ in range(120)] + ["ÄCGÄCG", "ACG", "ACGACGACG"]
+    rows = spark.createDataFrame([(["d", "e", None][i % 3], t) for i, t in enumerate(texts)], "dataset_id string, seq string")
+    listed = [("d", "ACG"), ("d", "CGA"), ("d", "AC"), ("e", "GGG"), ("e", "GGG"), ("e", None), (None, "ACG"), ("f", "AAA"), ("d", "ÄCG")]
+    words = spark.createDataFrame(listed, "dataset_id string, motif string")
+    found = MP.word_instances(rows, words, ["dataset_id"], 3, 1)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted(
+        (g, w, t[j - 1 : j + 4]) for i, t in enumerate(texts) for g, w in listed
+        if g and g == ["d", "e", None][i % 3] for j in range(1, len(t) - 3) if t[j : j + 3] == w
+    )
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_scan_prunes_nothing_that_counts(n):
+    from ribospan.functions.scans import stacked_top_sums
+
+    rng = random.Random(15 + n)
+    letters = S.LETTERS_28
+    texts = ["".join(rng.choice(letters[:6] + "z") for _ in range(rng.choice([0, 3, 7, 11, 30]))) for _ in range(40)]
+    matrices = [[[rng.choice([0.0, 0.0, rng.random()]) if j < k else 0.0 for j in range(28)] for _ in range(w)] for w, k in ((1, 6), (3, 4), (7, 28), (7, 6), (4, 0))]
+    got = stacked_top_sums([t.encode() for t in texts], matrices, letters, n)
+    for t, row in zip(texts, got):
+        for m, score in zip(matrices, row):
+            each = [np.prod([m[j][letters.index(c)] if c in letters else 0.0 for j, c in enumerate(t[i : i + len(m)])]) for i in range(len(t) - len(m) + 1)]
+            assert score == pytest.approx(sum(sorted(each)[-n:]) if len(each) >= n else 0.0, rel=1e-12)
+
+
+def test_vectors_of_records_without_a_score_are_empty(spark):
+    rows = [("d", 1, 1, "a", 0.0), ("d", 1, 1, "b", 2.0), ("d", 1, 1, "c", 1.0), ("d", 2, 0, "a", 0.0), ("d", 2, 0, "b", 0.0), ("e", 1, 1, "b", 3.0)]
+    rows += [("d", None, None, "b", 4.0), ("d", None, None, "a", None), (None, 3, 1, "a", 5.0), ("e", 4, 0, None, 6.0), ("d", 1, 1, "b", 2.0)]
+    features = spark.createDataFrame(rows, "dataset_id string, rec_id int, label int, feature string, score double")
+    vectors, places = MP.feature_vectors(features)
+    want = {("d", 1, 1): ([1, 1, 2], [2.0, 2.0, 1.0]), ("d", 2, 0): ([], []), ("e", 1, 1): ([1], [3.0]), ("d", None, None): ([1], [4.0])}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in vectors.collect()} == want and vectors.count() == len(want)
+    assert [r["feature"] for r in places.where("dataset_id = 'd'").orderBy("place").collect()] == ["a", "b", "c"]
